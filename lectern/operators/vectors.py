@@ -113,26 +113,46 @@ def _scan_search(queries: DataFrame, items: DataFrame, k: int | None, floor: flo
     return items.select("item_id", "vector").mapInPandas(_scan(qids, matrix, k, floor), _HITS)
 
 
-def _block_search(queries: DataFrame, items: DataFrame, k: int | None, floor: float | None, group: str) -> DataFrame:
+def _blocks_for(rows: Column, size: int) -> Column:
+    return F.ceil(rows / size).cast("int")
+
+
+def _block_search(
+    queries: DataFrame, items: DataFrame, k: int | None, floor: float | None, group: str | None
+) -> DataFrame:
     """Both sides in blocks; a large group is spread over many blocks."""
-    sizes = items.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / ITEM_BLOCK).cast("int").alias("item_blocks"))
-    asked = queries.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("query_blocks"))
-    grid = sizes.join(asked, group)
+    if group is None:
+        # One group: its block counts are two numbers, no join is needed for them.
+        grid = {
+            "item_blocks": _blocks_for(F.lit(max(1, items.count())), ITEM_BLOCK),
+            "query_blocks": _blocks_for(F.lit(max(1, queries.count())), QUERY_BLOCK),
+        }
+        items, queries = items.withColumns(grid), queries.withColumns(grid)
+        keys = ["item_block", "query_block"]
+    else:
+        rows = F.count(F.lit(1))
+        sizes = items.groupBy(group).agg(_blocks_for(rows, ITEM_BLOCK).alias("item_blocks"))
+        asked = queries.groupBy(group).agg(_blocks_for(rows, QUERY_BLOCK).alias("query_blocks"))
+        # One row per group on this side; the other side may be split where it is skewed.
+        grid = sizes.join(asked, group)
+        items, queries = items.join(grid, group), queries.join(grid, group)
+        keys = [group, "item_block", "query_block"]
 
     def block(key: str, n: str) -> Column:
         return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
 
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
     left = (
-        items.join(grid, group)
-        .withColumn("item_block", block("item_id", "item_blocks"))
-        .withColumn("query_block", F.explode(F.sequence(F.lit(0), F.col("query_blocks") - 1)))
-        .select(group, "item_block", "query_block", "item_id", "vector")
+        items.withColumn("item_block", block("item_id", "item_blocks"))
+        .withColumn("query_block", every("query_blocks"))
+        .select(*keys, "item_id", "vector")
     )
     right = (
-        queries.join(grid, group)
-        .withColumn("query_block", block("query_id", "query_blocks"))
-        .withColumn("item_block", F.explode(F.sequence(F.lit(0), F.col("item_blocks") - 1)))
-        .select(group, "item_block", "query_block", "query_id", F.col("vector").alias("query_vector"))
+        queries.withColumn("query_block", block("query_id", "query_blocks"))
+        .withColumn("item_block", every("item_blocks"))
+        .select(*keys, "query_id", F.col("vector").alias("query_vector"))
     )
 
     def multiply(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +161,6 @@ def _block_search(queries: DataFrame, items: DataFrame, k: int | None, floor: fl
         scores = _unit_rows(query_rows["query_vector"]) @ _unit_rows(item_rows["vector"]).T
         return _best(query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy(), scores, k, floor)
 
-    keys = [group, "item_block", "query_block"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, _HITS)
 
 
@@ -155,7 +174,6 @@ def _search(queries: DataFrame, items: DataFrame, k: int | None, floor: float |
         rows = queries.select("query_id", "vector").limit(fits + 1).collect()
         if len(rows) <= fits:
             return _scan_search(queries, items, k, floor, rows)
-        queries, items, group = queries.withColumn("__all", F.lit(0)), items.withColumn("__all", F.lit(0)), "__all"
     return _block_search(queries, items, k, floor, group)
 
 

@@ -96,12 +96,9 @@ def grounding_share(spark, folder):
     from lectern.operators.grounding import grounded_answers
 
     sentences = query_vectors(spark, folder).select(F.col("label").alias("answer_id"), F.col("query_id").alias("sentence_id"), "vector")
-    evidence = (
-        item_vectors(spark, folder).select(F.col("label").alias("answer_id"), F.col("item_id").alias("evidence_id"), "vector")
-        .join(sentences.select(F.col("sentence_id").alias("evidence_id"), F.lit(True).alias("own")), "evidence_id", "left")
-    )
-    # A sentence may lean on any other vector of its answer, sentences of the answer included.
-    return grounded_answers(sentences, evidence.drop("own"), skip_same_id=True)
+    evidence = item_vectors(spark, folder).select(F.col("label").alias("answer_id"), F.col("item_id").alias("evidence_id"), "vector")
+    # A sentence may lean on any vector of its answer but itself.
+    return grounded_answers(sentences, evidence, skip_same_id=True)
 
 
 # ---- text -------------------------------------------------------------------
@@ -202,3 +199,265 @@ def substring_scores(spark, folder):
     scores = L.substring_scores(queries_of(spark, folder), document_chunks(spark, folder))
     top = top_per_group(scores, ["query_id"], [F.desc("score"), F.col("chunk_id")], 50)
     return top.withColumn("rank", F.col("rank").cast("bigint"))
+
+
+# ---- fusion -----------------------------------------------------------------
+HYBRID = f"""(
+  WITH v AS (SELECT query_id, item_id AS chunk_id, rank, score AS vector_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM}) WHERE rank <= 50),
+  l AS (SELECT query_id, chunk_id, rank FROM {sql_search(100)} WHERE rank <= 50),
+  fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, max(vector_score) AS vector_score
+            FROM (SELECT query_id, chunk_id, rank, vector_score FROM v UNION ALL SELECT query_id, chunk_id, rank, NULL FROM l) GROUP BY ALL)
+  SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, vector_score, rank FROM (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best_rank, chunk_id) AS rank FROM fused) WHERE rank <= 25)"""
+
+
+def named_chunks(spark, folder):
+    return D.docs(spark, folder).select(F.col("doc_id").alias("chunk_id"), "doc_id", "doc_name", F.col("text").alias("content"))
+
+
+def hybrid_rows(spark, folder):
+    from lectern.operators.retrieval import hybrid_search as search
+
+    return search(
+        queries_of(spark, folder), query_vectors(spark, folder), named_chunks(spark, folder), item_vectors(spark, folder)
+    ).select(
+        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "vector_score", F.col("rank").cast("bigint").alias("rank")
+    )
+
+
+@query("hybrid_search", "RET-17 SET-1 TOP-3 TOP-1", f"SELECT * FROM {HYBRID}")
+def hybrid_search(spark, folder):
+    return hybrid_rows(spark, folder)
+
+
+# Queries that name documents: one per labelled document.
+NAMED_Q = """(SELECT l.doc_id AS query_id, CASE WHEN l.quality = 1 THEN concat('Tell me about the ', d.lang, ' ', d.source, ' ', d.doc_id, ' file: ', d.text)
+    ELSE concat('Compare ', d.lang, ' ', d.source, ' and others: ', d.text) END AS query, d.lang, d.source FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def named_queries(spark, folder):
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    about = F.concat(F.lit("Tell me about the "), F.col("lang"), F.lit(" "), F.col("source"), F.lit(" "), F.col("doc_id"), F.lit(" file: "), F.col("text"))
+    compare = F.concat(F.lit("Compare "), F.col("lang"), F.lit(" "), F.col("source"), F.lit(" and others: "), F.col("text"))
+    return (
+        table(spark, folder, "documents").join(labels, "doc_id")
+        .select(F.col("doc_id").alias("query_id"), F.when(F.col("quality") == 1, about).otherwise(compare).alias("query"), "lang", "source")
+    )
+
+
+def _sql_phrases(words: str, shortest: int, longest: int) -> str:
+    parts = [
+        f"list_transform(range(1, greatest(len({words}) - {n} + 2, 1)), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
+        for n in range(shortest, longest + 1)
+    ]
+    return f"list_distinct(flatten([{', '.join(parts)}]))"
+
+
+TITLE_MATCH = f"""(WITH q AS (SELECT query_id, unnest({_sql_phrases('w', 2, 4)}) AS phrase FROM (SELECT query_id, {S.content_terms('query')} AS w FROM {NAMED_Q})),
+    d AS (SELECT doc_id, unnest({_sql_phrases('w', 2, 4)}) AS phrase FROM (SELECT doc_id, {S.tokens('doc_name')} AS w FROM {S.DOCS}))
+    SELECT DISTINCT q.query_id, d.doc_id FROM q JOIN d ON d.phrase = q.phrase)"""
+
+
+@query("title_matches", "RET-7", f"SELECT * FROM {TITLE_MATCH}")
+def title_matches(spark, folder):
+    return L.title_matches(named_queries(spark, folder), D.docs(spark, folder))
+
+
+@query(
+    "query_document_scope", "RET-18",
+    f"""WITH d AS (SELECT phrase, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({_sql_phrases('w', 2, 5)}) AS phrase FROM
+          (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(doc_name, '\\.[^.]+$', '')), '[a-z]+'), lambda w: w NOT IN ('autorecovered', 'recovered')) AS w FROM {S.DOCS})) GROUP BY phrase),
+        q AS (SELECT query_id, unnest({_sql_phrases('w', 2, 5)}) AS phrase FROM (SELECT query_id, {S.tokens("replace(query, source, 'src')")} AS w FROM {NAMED_Q}))
+        SELECT query_id, arg_max(q.phrase, (length(q.phrase), -first_doc, q.phrase)) AS scope FROM q JOIN d ON d.phrase = q.phrase GROUP BY query_id""",
+)
+def query_document_scope(spark, folder):
+    asked = named_queries(spark, folder).withColumn("query", F.replace("query", F.col("source"), F.lit("src")))
+    return L.name_scope(asked, D.docs(spark, folder))
+
+
+@query(
+    "named_document_chunks", "TOP-4 SET-2",
+    f"""WITH terms AS (SELECT query_id, {S.content_terms('query')} AS t FROM {NAMED_Q}),
+        c AS (SELECT chunk_id, doc_id, s, {S.tokens('s')} AS w FROM (SELECT chunk_id, doc_id, {S.searchable('content')} AS s FROM {S.PARAGRAPHS}) WHERE length(s) >= 20),
+        scored AS (SELECT m.query_id, c.doc_id, c.chunk_id, length(c.s) AS n,
+            CAST(coalesce(list_sum(list_transform(t.t, lambda q: len(list_filter(c.w, lambda x: contains(x, q))))), 0) AS BIGINT) AS score
+            FROM {TITLE_MATCH} m JOIN c ON c.doc_id = m.doc_id JOIN terms t ON t.query_id = m.query_id
+            WHERE m.query_id = m.doc_id)
+        SELECT query_id, doc_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, n DESC, chunk_id) AS rank FROM scored) WHERE rank <= 5""",
+)
+def named_document_chunks(spark, folder):
+    from lectern.operators.retrieval import named_document_rows
+
+    asked = named_queries(spark, folder)
+    # Each query names its own document; a name of its own makes the match one to one.
+    own = D.docs(spark, folder).select("doc_id", "doc_name")
+    chunks = D.paragraphs(spark, folder).join(own, "doc_id")
+    rows = named_document_rows(asked, chunks).filter("query_id = doc_id")
+    return rows.select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
+
+
+@query(
+    "query_topics", "RET-19 RET-5 RET-20",
+    f"""SELECT query_id, sha256({S.collapse("regexp_replace(t2, '[^a-z0-9]+', ' ', 'g')")}) AS topic_hash,
+          sha256({S.collapse("regexp_replace(query, concat('(?i)\\b', lang, ' ', source, '\\b'), ' ', 'g')")}) AS bare_hash,
+          sha256(CASE WHEN length(r) >= 3 THEN r ELSE query END) AS retrieval_hash
+        FROM (SELECT query_id, query, lang, source, regexp_replace({S.rep(S.rep('lower(query)', fixed.TOPIC_NOISE[0], ' '), fixed.TOPIC_NOISE[1], ' ')}, concat('\\b', lang, ' ', source, '\\b'), ' ', 'g') AS t2,
+              {S.collapse(S.rep(S.rep(S.rep(S.rep('query', fixed.RETRIEVAL_NOISE[0], ' ', 'i'), fixed.RETRIEVAL_NOISE[1], ' ', 'i'), fixed.RETRIEVAL_NOISE[2], ' ', 'i'), fixed.RETRIEVAL_NOISE[3], ' ', 'i'))} AS r
+              FROM {NAMED_Q})""",
+)
+def query_topics(spark, folder):
+    from lectern.operators import retrieval as R
+
+    target = F.concat_ws(" ", "lang", "source")
+    query_text = F.col("query")
+    return named_queries(spark, folder).select(
+        "query_id",
+        F.sha2(R.query_topic(query_text, target), 256).alias("topic_hash"),
+        F.sha2(R.without_name(query_text, target), 256).alias("bare_hash"),
+        F.sha2(R.retrieval_text(query_text, F.lit(True)), 256).alias("retrieval_hash"),
+    )
+
+
+@query(
+    "scoped_search", "RET-4 FLT-9",
+    f"""WITH q AS (SELECT l.doc_id AS query_id, concat(d.lang, ' ', d.source, ' ', d.doc_id) AS target, l.quality,
+            CASE WHEN l.quality = 1 THEN concat(d.lang, ' ', d.source, ' ', d.doc_id, ' ', string_split(d.text, chr(10))[1]) ELSE concat(d.lang, ' ', d.source, ' ', d.doc_id, ' zzunknownzz') END AS query
+            FROM labels l JOIN documents d ON d.doc_id = l.doc_id),
+        scope AS (SELECT q.query_id, d.doc_id FROM q JOIN {S.DOCS} d ON contains(lower(d.doc_name), lower(q.target))),
+        terms AS (SELECT query_id, list_distinct({S.scope_terms("replace(query, target, ' ')")}) AS t FROM q),
+        alt AS (SELECT query_id, alt, list_distinct(t) AS t FROM (SELECT query_id, i AS alt, {S.scope_terms('parts[i]')} AS t FROM (SELECT query_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM
+               (SELECT query_id, regexp_split_to_array(lower({S.collapse("replace(query, target, ' ')")}), ' or ') AS parts FROM q))) WHERE len(t) > 0),
+        c AS (SELECT chunk_id, doc_id, chunk_index, list_distinct({S.scope_terms('content')}) AS w FROM {S.PARAGRAPHS}),
+        hit AS (SELECT DISTINCT s.query_id, c.chunk_id FROM scope s JOIN c ON c.doc_id = s.doc_id JOIN alt ON alt.query_id = s.query_id WHERE list_has_all(c.w, alt.t)),
+        whole AS (SELECT query_id, chunk_id FROM (SELECT s.query_id, c.chunk_id, row_number() OVER (PARTITION BY s.query_id ORDER BY c.chunk_index, c.chunk_id) AS rn
+               FROM scope s JOIN c ON c.doc_id = s.doc_id WHERE s.query_id NOT IN (SELECT query_id FROM hit)) WHERE rn <= 500)
+        SELECT query_id, chunk_id, 'scoped' AS leg FROM hit UNION ALL SELECT query_id, chunk_id, 'document' FROM whole""",
+)
+def scoped_search(spark, folder):
+    from lectern.operators import retrieval as R
+
+    labels = table(spark, folder, "labels").select("doc_id", "quality")
+    name = F.concat_ws(" ", "lang", "source", F.col("doc_id").cast("string"))
+    first_line = F.split("text", "\n")[0]
+    asked = table(spark, folder, "documents").join(labels, "doc_id").select(
+        F.col("doc_id").alias("query_id"), name.alias("target_document"), F.lit(None).cast("bigint").alias("active_document"),
+        F.when(F.col("quality") == 1, F.concat_ws(" ", name, first_line)).otherwise(F.concat_ws(" ", name, F.lit("zzunknownzz"))).alias("query"),
+    )
+    names = D.docs(spark, folder).select("doc_id", "doc_name")
+    chunks = D.paragraphs(spark, folder).join(names, "doc_id")
+    return R.scoped_search(asked, chunks, 500).select("query_id", "chunk_id", "leg")
+
+
+# ---- evidence ---------------------------------------------------------------
+def candidate_rows(spark, folder):
+    """Hybrid candidates with their texts; some queries are scoped to a language."""
+    docs = D.docs(spark, folder).select("doc_id", "doc_name", "text", "lang")
+    asked = queries_of(spark, folder).select(
+        "query_id", "query",
+        F.when(F.col("query_id") % 3 == 0, "en src").when(F.col("query_id") % 7 == 1, "de src").alias("target_document"),
+    )
+    rows = hybrid_rows(spark, folder)
+    return (
+        rows.join(docs, F.col("chunk_id") == F.col("doc_id")).join(asked, "query_id")
+        .select(
+            "query_id", "query", "target_document", F.lit(None).cast("bigint").alias("active_document"),
+            F.lit(None).cast("string").alias("topic"), "chunk_id", "doc_id", "doc_name", F.col("text").alias("content"),
+            "vector_score", F.array().cast("array<string>").alias("parent_headings"), "rank", F.col("lang").alias("page"),
+            F.lit(None).cast("int").alias("chunk_index"),
+        )
+    )
+
+
+CANDIDATES = f"""(SELECT h.query_id, b.text AS query, CASE WHEN h.query_id % 3 = 0 THEN 'en src' WHEN h.query_id % 7 = 1 THEN 'de src' END AS target_document,
+    h.chunk_id, d.doc_name, d.text AS content, h.vector_score, h.rank, d.lang AS page FROM {HYBRID} h JOIN {S.DOCS} d ON d.doc_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id)"""
+JUDGED = f"""(WITH s AS (SELECT *, {S.searchable('content')} AS clean, coalesce(vector_score, 0) AS rel FROM {CANDIDATES}),
+    t AS (SELECT *, length(clean) >= 20 AS searchable, max(CASE WHEN length(clean) >= 20 THEN rel END) OVER (PARTITION BY query_id) AS best FROM s),
+    u AS (SELECT *, CASE WHEN target_document IS NOT NULL THEN greatest(0.05, best * 0.3) ELSE greatest(0.25, best - 0.15) END AS threshold,
+          len(list_filter({S.content_terms('query')}, lambda q: len(list_filter(list_distinct({S.tokens('clean')}), lambda w: contains(w, q) OR contains(q, w))) > 0)) > 0 AS al FROM t)
+    SELECT *, CASE WHEN NOT searchable THEN 'Chunk contains no searchable text'
+       WHEN rel < threshold THEN printf('Low embedding similarity (%.3f < %.3f)', rel, threshold)
+       WHEN target_document IS NOT NULL AND NOT {S.has('query', fixed.CROSS_DOCUMENT)} AND NOT contains(lower(doc_name), target_document)
+         AND NOT contains(target_document, regexp_replace(lower(doc_name), '\\.[^/.]+$', '')) THEN concat('Document mismatch: expected ', target_document, ', got ', lower(doc_name))
+       WHEN NOT (rel >= 0.35 OR (rel >= 0.18 AND al) OR (target_document IS NOT NULL AND al)) THEN 'Evidence does not align with the current query' END AS reject_reason FROM u)"""
+
+
+@query(
+    "evidence_selection", "WIN-5 FLT-13 RET-8 RET-9 RET-10 RET-11 SET-10",
+    f"SELECT query_id, chunk_id, reject_reason IS NULL AS accepted, reject_reason FROM {JUDGED}",
+)
+def evidence_selection(spark, folder):
+    from lectern.operators.evidence import judged
+
+    return judged(candidate_rows(spark, folder)).select("query_id", "chunk_id", "accepted", "reject_reason")
+
+
+@query(
+    "overlap_selection", "RET-12",
+    f"""WITH o AS (SELECT query_id, chunk_id, target_document, len(list_intersect(list_distinct({S.tokens('query')}), list_distinct({S.tokens('content')}))) / len(list_distinct({S.tokens('query')})) AS rel FROM {CANDIDATES}),
+        b AS (SELECT *, max(rel) OVER (PARTITION BY query_id) AS best FROM o)
+        SELECT query_id, chunk_id, round(rel, 6) AS relevance, rel >= greatest(CASE WHEN target_document IS NULL THEN 0.25 ELSE 0.12 END, best - 0.15) AS accepted FROM b""",
+)
+def overlap_selection(spark, folder):
+    from lectern.operators.evidence import judged_by_overlap
+
+    return judged_by_overlap(candidate_rows(spark, folder)).select("query_id", "chunk_id", F.round("relevance", 6).alias("relevance"), "accepted")
+
+
+@query(
+    "evidence_budget", "WIN-4 SET-3",
+    f"""WITH firsts AS (SELECT *, row_number() OVER (PARTITION BY org_id, text ORDER BY doc_id) AS rn FROM {S.DOCS}),
+        costed AS (SELECT org_id, doc_id, length(text) + length(doc_name) + 30 AS cost FROM firsts WHERE rn = 1),
+        cum AS (SELECT *, CAST(sum(cost) OVER (PARTITION BY org_id ORDER BY doc_id) AS BIGINT) AS total_chars, row_number() OVER (PARTITION BY org_id ORDER BY doc_id) AS place FROM costed)
+        SELECT org_id, doc_id, CAST(cost AS BIGINT) AS cost, total_chars FROM cum WHERE total_chars <= 14000 OR place = 1""",
+)
+def evidence_budget(spark, folder):
+    from lectern.operators.evidence import first_occurrences, within_budget
+
+    rows = D.docs(spark, folder).select("org_id", "doc_id", "doc_name", F.col("text").alias("content"))
+    kept = first_occurrences(rows, ["org_id"], F.sha2("content", 256), "doc_id")
+    return within_budget(kept, "org_id", [F.col("doc_id")]).select(
+        "org_id", "doc_id", F.col("cost").cast("bigint").alias("cost"), F.col("total_chars").cast("bigint").alias("total_chars")
+    )
+
+
+EVIDENCE_PARAGRAPHS = f"""(SELECT h.query_id, d.org_id AS group_doc, d.doc_name, p.chunk_id, p.chunk_index, h.rank FROM {HYBRID} h JOIN {S.PARAGRAPHS} p ON p.doc_id = h.chunk_id JOIN {S.DOCS} d ON d.doc_id = h.chunk_id)"""
+
+
+@query(
+    "presentation_order", "WIN-6",
+    f"""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first_seen, chunk_index NULLS LAST, rank) AS place FROM (
+          SELECT query_id, chunk_id, rank, CASE WHEN chunk_id % 4 = 0 THEN NULL ELSE chunk_id % 100 END AS chunk_index, min(rank) OVER (PARTITION BY query_id, page) AS first_seen FROM {CANDIDATES})""",
+)
+def presentation_order(spark, folder):
+    from lectern.operators.evidence import presentation_order as order
+
+    rows = candidate_rows(spark, folder).select(
+        "query_id", "chunk_id", "rank", F.col("page").alias("doc_id"),
+        F.when(F.col("chunk_id") % 4 != 0, F.col("chunk_id") % 100).alias("chunk_index"),
+    )
+    return order(rows).select("query_id", "chunk_id", F.col("place").cast("bigint").alias("place"))
+
+
+@query(
+    "evidence_sources", "AGG-8",
+    f"""SELECT query_id, string_agg(page, ',' ORDER BY first_rank, page) AS sources FROM (SELECT query_id, page, min(rank) AS first_rank FROM {CANDIDATES} GROUP BY query_id, page) GROUP BY query_id""",
+)
+def evidence_sources(spark, folder):
+    from lectern.operators.evidence import source_documents
+
+    rows = candidate_rows(spark, folder).select("query_id", "rank", F.col("page").alias("doc_id"))
+    return source_documents(rows).select("query_id", F.array_join("doc_ids", ",").alias("sources"))
+
+
+@query(
+    "evidence_text", "AGG-12 SET-6",
+    f"""WITH p AS (SELECT query_id, doc_name, page, rank, i AS pos, {S.trim_all('parts[i]')} AS paragraph FROM (SELECT *, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT *, string_split(content, chr(10)) AS parts FROM {CANDIDATES}))),
+        k AS (SELECT *, row_number() OVER (PARTITION BY query_id, lower(left(paragraph, 50)) ORDER BY rank, pos) AS rn FROM p WHERE length(paragraph) >= 10)
+        SELECT query_id, doc_name, page, CAST(min(rank) AS BIGINT) AS first_rank, sha256(string_agg(paragraph, chr(10) || chr(10) ORDER BY rank, pos)) AS body_hash FROM k WHERE rn = 1 GROUP BY query_id, doc_name, page""",
+)
+def evidence_text(spark, folder):
+    from lectern.operators.evidence import evidence_document
+
+    rows = candidate_rows(spark, folder).withColumn("content", F.replace("content", F.lit("\n"), F.lit("\n\n")))
+    return evidence_document(rows).select("query_id", "doc_name", "page", "first_rank", F.sha2("body", 256).alias("body_hash"))
