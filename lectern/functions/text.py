@@ -86,14 +86,17 @@ def scope_terms(col: Column) -> Column:
 
 def word_phrases(words: Column, shortest: int, longest: int) -> Column:
     """All runs of ``shortest`` to ``longest`` adjacent words, as phrases."""
-    def of_size(size: int) -> Column:
-        starts = F.when(F.size(words) >= size, F.sequence(F.lit(1), F.size(words) - size + 1))
+    def of_size(w: Column, size: int) -> Column:
+        starts = F.when(F.size(w) >= size, F.sequence(F.lit(1), F.size(w) - size + 1))
         return F.coalesce(
-            F.transform(starts, lambda s: F.array_join(F.slice(words, s, F.lit(size)), " ")),
+            F.transform(starts, lambda s: F.array_join(F.slice(w, s, F.lit(size)), " ")),
             F.array().cast("array<string>"),
         )
 
-    return F.array_distinct(F.flatten(F.array(*[of_size(n) for n in range(shortest, longest + 1)])))
+    return bind(
+        words,
+        lambda w: F.array_distinct(F.flatten(F.array(*[of_size(w, n) for n in range(shortest, longest + 1)]))),
+    )
 
 
 def word_set_cosine(left: Column, right: Column) -> Column:

@@ -17,15 +17,40 @@ from pyspark.sql.types import DoubleType
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.ranking import top_per_group
+from lectern.session import cut_lineage, scratch_path
 
 
 # ---- index ------------------------------------------------------------------
+def stemmed_words(col: Column) -> Column:
+    """All words of a text in order as stems; a stop word keeps its place as an empty string."""
+    return F.transform(
+        T.tokens(col), lambda w: F.when(w.isin(fixed.STOPWORDS), F.lit("")).otherwise(T.scope_stem(w))
+    )
+
+
+def prepared_chunks(chunks: DataFrame) -> DataFrame:
+    """Chunks (chunk_id, content, ...) with their stemmed ``words``.
+
+    Every function below takes chunks with or without ``words``; a corpus that
+    is searched more than once is prepared once and stored.
+    """
+    if "words" in chunks.columns:
+        return chunks
+    return chunks.withColumn("words", stemmed_words(F.col("content")))
+
+
+def stored_words(chunks: DataFrame) -> DataFrame:
+    """(chunk_id, words) written to the shared folder, for plans that read them several times."""
+    path = scratch_path(chunks.sparkSession, "words")
+    prepared_chunks(chunks).select("chunk_id", "words").write.parquet(path)
+    return chunks.sparkSession.read.parquet(path)
+
+
 def term_positions(chunks: DataFrame) -> DataFrame:
     """(chunk_id, term, pos): stems with their place among all words; stop words left out."""
     return (
-        chunks.select("chunk_id", F.posexplode(T.tokens(F.col("content"))).alias("pos", "word"))
-        .filter(~F.col("word").isin(fixed.STOPWORDS))
-        .select("chunk_id", T.scope_stem(F.col("word")).alias("term"), "pos")
+        prepared_chunks(chunks).select("chunk_id", F.posexplode("words").alias("pos", "term"))
+        .filter("term <> ''").select("chunk_id", "term", "pos")
     )
 
 
@@ -41,7 +66,8 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
 
 
 def _chunk_terms(chunks: DataFrame) -> DataFrame:
-    return chunks.select("chunk_id", F.explode(F.array_distinct(T.scope_terms(F.col("content")))).alias("term"))
+    words = F.array_distinct(F.array_remove("words", ""))
+    return prepared_chunks(chunks).select("chunk_id", F.explode(words).alias("term"))
 
 
 # ---- query syntax -----------------------------------------------------------
@@ -62,7 +88,7 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
         body = F.regexp_replace(part, F.lit(r'(?:^|\s)-("[^"]*"|\S+)'), F.lit(" "))
         phrases = F.transform(
             F.regexp_extract_all(body, F.lit(r'"([^"]*)"'), F.lit(1)),
-            lambda p: F.concat(F.lit(" "), F.array_join(F.transform(T.tokens(p), T.scope_stem), " "), F.lit(" ")),
+            lambda p: F.concat(F.lit(" "), F.array_join(stemmed_words(p), " "), F.lit(" ")),
         )
         return F.struct(
             F.array_distinct(T.scope_terms(body)).alias("terms"),
@@ -149,7 +175,7 @@ def and_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that satisfy a query (query_id, chunk_id, score by cover density)."""
     parsed = parsed_queries(queries).select("query_id", "alternatives")
     pairs = and_candidates(parsed, chunks).join(parsed, "query_id")
-    stemmed = chunks.select("chunk_id", F.transform(T.tokens(F.col("content")), T.scope_stem).alias("words"))
+    stemmed = prepared_chunks(chunks).select("chunk_id", "words")
     met = (
         pairs.join(stemmed, "chunk_id")
         .withColumn("met", F.filter("alternatives", lambda a: _satisfied(a, F.col("words"))))
@@ -176,7 +202,10 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     Queries made of stop words only have no result.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    strict = top_per_group(and_hits(worded, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
+    # The hits are read twice, so they are kept: at most ``limit`` rows per query.
+    strict = cut_lineage(
+        top_per_group(and_hits(worded, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
+    )
     missed = worded.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     loose = top_per_group(or_hits(missed, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
     return strict.withColumn("leg", F.lit("and")).unionByName(loose.withColumn("leg", F.lit("or")))
@@ -219,8 +248,11 @@ def substrings(word: Column) -> Column:
 
 def count_in_words(terms: Column, words: Column) -> Column:
     """The same score inside one row, for candidate pairs a plan already has."""
-    per_term = F.transform(terms, lambda t: F.size(F.filter(words, lambda w: w.contains(t))))
-    return F.aggregate(per_term, F.lit(0), lambda acc, x: acc + x)
+    def counted(ws: Column) -> Column:
+        per_term = F.transform(terms, lambda t: F.size(F.filter(ws, lambda w: w.contains(t))))
+        return F.aggregate(per_term, F.lit(0), lambda acc, x: acc + x)
+
+    return T.bind(words, counted)
 
 
 # ---- names ------------------------------------------------------------------

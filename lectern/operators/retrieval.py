@@ -11,6 +11,7 @@ from lectern.functions.patterns import jvm
 from lectern.operators import lexical as L
 from lectern.operators.ranking import top_per_group
 from lectern.operators.vectors import top_similar
+from lectern.session import cut_lineage
 
 
 # ---- fusion -----------------------------------------------------------------
@@ -197,7 +198,7 @@ def hybrid_search(
     vector only the text search runs.
     """
     inner = max(2 * k, 50)
-    lexical = L.search(queries, chunks, max(2 * inner, 50))
+    lexical = cut_lineage(L.search(queries, L.stored_words(chunks), max(2 * inner, 50)))
     pool = chunks.join(lexical.select("chunk_id").distinct(), "chunk_id", "left_semi")
     named_in_text = named_document_rows(queries, pool).join(lexical.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     text_leg = with_named_rows(lexical.filter(F.col("rank") <= inner).select("query_id", "chunk_id", "rank"), named_in_text)

@@ -24,5 +24,19 @@ def query(name: str, covers: str, sql: str | None = None):
     return register
 
 
+_TASK_BYTES = 64 * 1024 * 1024
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A given table. One that is too small to fill the cluster is spread first.
+
+    A single small row group would otherwise keep all text work in one task. At
+    scale the scan has more splits than cores and nothing is moved. Filters and
+    column pruning still reach the scan.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if name in ("documents", "pages") and size < cores * _TASK_BYTES:
+        return df.repartition(cores)
+    return df

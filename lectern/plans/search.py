@@ -246,17 +246,26 @@ def named_queries(spark, folder):
     )
 
 
-def _sql_phrases(words: str, shortest: int, longest: int) -> str:
-    parts = [
-        f"list_transform(range(1, greatest(len({words}) - {n} + 2, 1)), lambda i: array_to_string({words}[i:i + {n - 1}], ' '))"
+def _sql_phrases(source: str, key: str, words: str, shortest: int, longest: int) -> str:
+    """All runs of adjacent words of a list column, as rows (key, phrase)."""
+    leads = ", ".join(f"lead(w, {n}) OVER (PARTITION BY {key} ORDER BY i) AS w{n}" for n in range(1, longest))
+    arms = " UNION ALL ".join(
+        f"SELECT {key}, concat_ws(' ', w, {', '.join(f'w{k}' for k in range(1, n))}) AS phrase FROM led WHERE w{n - 1} IS NOT NULL"
         for n in range(shortest, longest + 1)
-    ]
-    return f"list_distinct(flatten([{', '.join(parts)}]))"
-
-
-TITLE_MATCH = f"""(WITH q AS (SELECT query_id, unnest({_sql_phrases('w', 2, 4)}) AS phrase FROM (SELECT query_id, {S.content_terms('query')} AS w FROM {NAMED_Q})),
-    d AS (SELECT doc_id, unnest({_sql_phrases('w', 2, 4)}) AS phrase FROM (SELECT doc_id, {S.tokens('doc_name')} AS w FROM {S.DOCS}))
-    SELECT DISTINCT q.query_id, d.doc_id FROM q JOIN d ON d.phrase = q.phrase)"""
+    )
+    return f"""(WITH one AS (SELECT {key}, unnest({words}) AS w, unnest(range(len({words}))) AS i FROM {source}),
+      led AS (SELECT *, {leads} FROM one) {arms})"""
+
+
+QUERY_WORDS = f"(SELECT query_id, {S.content_terms('query')} AS ws FROM {NAMED_Q})"
+NAME_WORDS = f"(SELECT doc_id, {S.tokens('doc_name')} AS ws FROM {S.DOCS})"
+TITLE_MATCH = f"""(SELECT DISTINCT q.query_id, d.doc_id FROM (SELECT DISTINCT * FROM {_sql_phrases(QUERY_WORDS, 'query_id', 'ws', 2, 4)}) q
+    JOIN (SELECT DISTINCT * FROM {_sql_phrases(NAME_WORDS, 'doc_id', 'ws', 2, 4)}) d ON d.phrase = q.phrase)"""
+SCOPE_QUERY_WORDS = f"(SELECT query_id, {S.tokens("replace(query, source, 'src')")} AS ws FROM {NAMED_Q})"
+SCOPE_NAME_WORDS = (
+    "(SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(doc_name, '\\.[^.]+$', '')), '[a-z]+'), "
+    f"lambda w: w NOT IN ('autorecovered', 'recovered')) AS ws FROM {S.DOCS})"
+)
 
 
 @query("title_matches", "RET-7", f"SELECT * FROM {TITLE_MATCH}")
@@ -266,9 +275,8 @@ def title_matches(spark, folder):
 
 @query(
     "query_document_scope", "RET-18",
-    f"""WITH d AS (SELECT phrase, min(doc_id) AS first_doc FROM (SELECT doc_id, unnest({_sql_phrases('w', 2, 5)}) AS phrase FROM
-          (SELECT doc_id, list_filter(regexp_extract_all(lower(regexp_replace(doc_name, '\\.[^.]+$', '')), '[a-z]+'), lambda w: w NOT IN ('autorecovered', 'recovered')) AS w FROM {S.DOCS})) GROUP BY phrase),
-        q AS (SELECT query_id, unnest({_sql_phrases('w', 2, 5)}) AS phrase FROM (SELECT query_id, {S.tokens("replace(query, source, 'src')")} AS w FROM {NAMED_Q}))
+    f"""WITH d AS (SELECT phrase, min(doc_id) AS first_doc FROM {_sql_phrases(SCOPE_NAME_WORDS, 'doc_id', 'ws', 2, 5)} GROUP BY phrase),
+        q AS (SELECT DISTINCT query_id, phrase FROM {_sql_phrases(SCOPE_QUERY_WORDS, 'query_id', 'ws', 2, 5)})
         SELECT query_id, arg_max(q.phrase, (length(q.phrase), -first_doc, q.phrase)) AS scope FROM q JOIN d ON d.phrase = q.phrase GROUP BY query_id""",
 )
 def query_document_scope(spark, folder):
