@@ -68,3 +68,45 @@ def uploads(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws("|", "p_name", "p_size"), 256).alias("sha256"),
         F.when(key % 3 == 0, "application/x-upload").alias("declared_mime"),
     )
+
+
+# Turns in front of the user texts; the second value is the format a reader expects.
+UTTERANCES = [
+    ("Create a PDF report about", "pdf"),
+    ("Explain the idea of", "none"),
+    ("Convert that to Excel.", "xlsx"),
+    ("Now make it a PDF.", "pdf"),
+    ("Now show it as a diagram.", "svg"),
+    ("Summarize this in 50 words.", "none"),
+    ("Give me the data as CSV.", "csv"),
+    ("Download the presentation.", "pptx"),
+    ("Explain each feature of the above.", "none"),
+    ("Based on the information, create a flow diagram.", "svg"),
+    ("Show the system architecture in navy for management.", "svg"),
+    ("Make that professional.", "none"),
+    ("What is written in en src about", "none"),
+    ("Put the numbers into a green spreadsheet.", "xlsx"),
+    ("Is there a chart of the last quarter?", "none"),
+    ("Generate a Word document to download and send.", "docx"),
+    ("Create a minimal timeline diagram of", "svg"),
+    ("Rewrite it.", "none"),
+]
+
+
+def messages(spark: SparkSession, folder: str) -> DataFrame:
+    """Conversation turns with answer ids, sources, topics and realistic openings."""
+    conv, turn = F.col("conv_id"), F.col("turn")
+    is_user, is_assistant = F.col("role") == "user", F.col("role") == "assistant"
+    opening = F.get(F.array(*[F.lit(u) for u, _ in UTTERANCES]), ((conv * 5 + turn) % len(UTTERANCES)).cast("int"))
+    answered = is_assistant & ((conv + turn) % 4 != 3)
+    content = (
+        F.when(is_user, F.concat_ws(" ", opening, "text"))
+        .when(is_assistant & ((conv + turn) % 6 == 5), F.concat_ws(" ", F.lit("I cannot answer that."), "text"))
+        .otherwise(F.col("text"))
+    )
+    return table(spark, folder, "conversations").select(
+        F.concat(F.lit("m"), conv, F.lit("_"), turn).alias("message_id"), "conv_id", "turn", "role", content.alias("content"),
+        F.when(answered, F.concat(F.lit("a"), conv, F.lit("_"), turn)).alias("answer_id"),
+        F.when(answered & ((conv + turn) % 3 == 0), F.array(conv * 7 + turn)).otherwise(F.array().cast("array<bigint>")).alias("source_doc_ids"),
+        F.when(answered & ((conv + turn) % 5 < 2), F.concat(F.lit("topic "), conv % 10)).alias("topic"),
+    )

@@ -147,3 +147,18 @@ def upload_errors() -> str:
         "CASE WHEN size_bytes > 52428800 THEN printf('File too large: %.1f MB. Maximum: 50 MB', size_bytes / 1048576.0) END, "
         "CASE WHEN size_bytes = 0 THEN 'File is empty' END], lambda e: e IS NOT NULL)"
     )
+
+
+def messages() -> str:
+    from lectern.plans.derived import UTTERANCES
+
+    openings = strings([u for u, _ in UTTERANCES])
+    answered = "(role = 'assistant' AND (conv_id + turn) % 4 <> 3)"
+    return (
+        "(SELECT concat('m', conv_id, '_', turn) AS message_id, conv_id, turn, role, "
+        f"CASE WHEN role = 'user' THEN concat({openings}[((conv_id * 5 + turn) % {len(UTTERANCES)}) + 1], ' ', text) "
+        "WHEN role = 'assistant' AND (conv_id + turn) % 6 = 5 THEN concat('I cannot answer that. ', text) ELSE text END AS content, "
+        f"CASE WHEN {answered} THEN concat('a', conv_id, '_', turn) END AS answer_id, "
+        f"CASE WHEN {answered} AND (conv_id + turn) % 3 = 0 THEN conv_id * 7 + turn END AS source_doc, "
+        f"CASE WHEN {answered} AND (conv_id + turn) % 5 < 2 THEN concat('topic ', conv_id % 10) END AS topic FROM conversations)"
+    )
