@@ -25,7 +25,7 @@ def last_turns(spark, folder):
 
 @query(
     "latest_rows", "WIN-2 UPD-8",
-    "SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS "at", count(*) AS events FROM events GROUP BY user_id",
+    """SELECT user_id, arg_max(event_type, (ts, event_id)) AS status, max(ts) AS "at", count(*) AS events FROM events GROUP BY user_id""",
 )
 def latest_rows(spark, folder):
     return U.latest_status(table(spark, folder, "events"), "user_id", "ts", "event_type", "event_id")
