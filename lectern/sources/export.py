@@ -109,16 +109,28 @@ def write_texts(docs: DataFrame, text: str, path: str) -> None:
     docs.select("doc_id", F.col(text).alias("value")).write.mode("overwrite").partitionBy("doc_id").text(path)
 
 
-def file_checks(spark: SparkSession, path: str) -> DataFrame:
-    """Written files with size and signature checks (path, bytes, format, ok)."""
+def file_checks(spark: SparkSession, path: str, expected: DataFrame | None = None) -> DataFrame:
+    """Written files with size and signature checks (name, bytes, format, ok).
+
+    The file source does not list empty files, so the catalog's names can be
+    given: a name without a file with content is reported as not ok.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     ext = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
     head = F.substring("content", 1, 5)
-    text = F.decode("content", F.lit("UTF-8"))
+    text = F.decode("content", "UTF-8")
     good = (
         F.when(ext == "pdf", head.cast("string").startswith("%PDF-"))
         .when(ext.isin("docx", "pptx", "xlsx", "zip"), head.cast("string").startswith("PK"))
         .when(ext == "json", F.try_parse_json(text).isNotNull())
         .otherwise(F.lit(True))
     )
-    return files.select("path", F.col("length").alias("bytes"), ext.alias("format"), ((F.col("length") > 0) & good).alias("ok"))
+    found = files.select(
+        F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("bytes"), ext.alias("format"),
+        ((F.col("length") > 0) & good).alias("ok"),
+    )
+    if expected is None:
+        return found
+    return expected.select("name").join(found, "name", "left").withColumns(
+        {"bytes": F.coalesce("bytes", F.lit(0)), "ok": F.coalesce("ok", F.lit(False))}
+    )

@@ -28,7 +28,7 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 def text_files(files: DataFrame) -> DataFrame:
     """Text of the files with a text extension, headed by their name and cleaned."""
     ext = F.lower(F.element_at(F.split("name", r"\."), -1))
-    raw = F.concat(F.lit("[File: "), F.col("name"), F.lit("]\n\n"), F.decode("bytes", F.lit("UTF-8")))
+    raw = F.concat(F.lit("[File: "), F.col("name"), F.lit("]\n\n"), F.decode("bytes", "UTF-8"))
     return files.filter(ext.isin(fixed.TEXT_EXTENSIONS)).withColumn("text", T.structured_clean(raw)).drop("bytes")
 
 
