@@ -464,7 +464,7 @@ def list_from_heading(col: Column) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
 
     def fold(text: Column) -> Column:
-        parts = F.filter(F.transform(F.split(text, r"\s*-\s*"), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(text, r"\s*-\s*"), trim_all), lambda p: p != "")
         return F.aggregate(
             parts,
             empty,

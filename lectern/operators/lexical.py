@@ -17,7 +17,7 @@ from pyspark.sql.types import DoubleType
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.ranking import top_per_group
-from lectern.session import cut_lineage, scratch_path
+from lectern.session import kept
 
 
 # ---- index ------------------------------------------------------------------
@@ -40,10 +40,10 @@ def prepared_chunks(chunks: DataFrame) -> DataFrame:
 
 
 def stored_words(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, words) written to the shared folder, for plans that read them several times."""
-    path = scratch_path(chunks.sparkSession, "words")
-    prepared_chunks(chunks).select("chunk_id", "words").write.parquet(path)
-    return chunks.sparkSession.read.parquet(path)
+    """(chunk_id, words) as a stored table: words are cut once, however many plans read them."""
+    if "words" in chunks.columns:
+        return chunks.select("chunk_id", "words")
+    return kept(prepared_chunks(chunks).select("chunk_id", "words"), "words")
 
 
 def term_positions(chunks: DataFrame) -> DataFrame:
@@ -174,10 +174,12 @@ def cover_density(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
 def and_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     """Chunks that satisfy a query (query_id, chunk_id, score by cover density)."""
     parsed = parsed_queries(queries).select("query_id", "alternatives")
-    pairs = and_candidates(parsed, chunks).join(parsed, "query_id")
-    stemmed = prepared_chunks(chunks).select("chunk_id", "words")
+    stemmed = stored_words(chunks)
+    # Candidates are few next to the corpus. Stored, their size is known, and the
+    # words of all chunks are only moved when there are too many to broadcast.
+    pairs = kept(and_candidates(parsed, stemmed), "candidates").join(parsed, "query_id")
     met = (
-        pairs.join(stemmed, "chunk_id")
+        stemmed.join(pairs, "chunk_id")
         .withColumn("met", F.filter("alternatives", lambda a: _satisfied(a, F.col("words"))))
         .filter(F.size("met") > 0)
     )
@@ -202,9 +204,10 @@ def search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
     Queries made of stop words only have no result.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    # The hits are read twice, so they are kept: at most ``limit`` rows per query.
-    strict = cut_lineage(
-        top_per_group(and_hits(worded, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
+    chunks = stored_words(chunks)
+    # The hits are read twice: at most ``limit`` rows per query.
+    strict = kept(
+        top_per_group(and_hits(worded, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit), "hits"
     )
     missed = worded.join(strict.select("query_id").distinct(), "query_id", "left_anti")
     loose = top_per_group(or_hits(missed, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)

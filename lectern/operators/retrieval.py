@@ -11,7 +11,7 @@ from lectern.functions.patterns import jvm
 from lectern.operators import lexical as L
 from lectern.operators.ranking import top_per_group
 from lectern.operators.vectors import top_similar
-from lectern.session import cut_lineage
+from lectern.session import kept
 
 
 # ---- fusion -----------------------------------------------------------------
@@ -123,18 +123,20 @@ def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFram
     chunk_id, doc_id, doc_name, chunk_index and content.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    scope = scoped_documents(worded, chunks.select("doc_id", "doc_name").distinct())
+    scope = kept(scoped_documents(worded, chunks.select("doc_id", "doc_name").distinct()), "scope")
     order = [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")]
 
     # The name of the document need not stand in its chunks.
     bare = worded.withColumn(
         "query", F.coalesce(T.blank_to_null(without_name(F.col("query"), F.col("target_document"))), F.col("query"))
     )
+    words = L.stored_words(chunks)
     in_scope = chunks.join(scope, "doc_id")
     scoped_queries = bare.join(scope.select("query_id").distinct(), "query_id", "left_semi")
-    hits = L.and_hits(scoped_queries, chunks.join(scope.select("doc_id").distinct(), "doc_id", "left_semi"))
+    reachable = in_scope.select("chunk_id").distinct()
+    hits = L.and_hits(scoped_queries, words.join(reachable, "chunk_id", "left_semi"))
     inside = hits.join(in_scope.select("query_id", "chunk_id", "chunk_index"), ["query_id", "chunk_id"])
-    first = top_per_group(inside, ["query_id"], order, limit).withColumn("leg", F.lit("scoped"))
+    first = kept(top_per_group(inside, ["query_id"], order, limit), "scoped").withColumn("leg", F.lit("scoped"))
 
     dry = scoped_queries.select("query_id").join(first.select("query_id").distinct(), "query_id", "left_anti")
     whole = in_scope.join(dry, "query_id", "left_semi").select(
@@ -144,7 +146,7 @@ def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFram
 
     both = first.unionByName(second).select("query_id", "chunk_id", "score", "rank", "leg")
     free = worded.join(scope.select("query_id").distinct(), "query_id", "left_anti")
-    return both.unionByName(L.search(free, chunks, limit).select(*both.columns))
+    return both.unionByName(L.search(free, words, limit).select(*both.columns))
 
 
 # ---- parent sections --------------------------------------------------------
@@ -198,7 +200,7 @@ def hybrid_search(
     vector only the text search runs.
     """
     inner = max(2 * k, 50)
-    lexical = cut_lineage(L.search(queries, L.stored_words(chunks), max(2 * inner, 50)))
+    lexical = kept(L.search(queries, chunks, max(2 * inner, 50)), "lexical")
     pool = chunks.join(lexical.select("chunk_id").distinct(), "chunk_id", "left_semi")
     named_in_text = named_document_rows(queries, pool).join(lexical.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     text_leg = with_named_rows(lexical.filter(F.col("rank") <= inner).select("query_id", "chunk_id", "rank"), named_in_text)

@@ -309,7 +309,18 @@ def structured_reports(spark, folder):
     return M.structured_documents(M.blocks_of(report_docs(spark, folder))).select("doc_id", "section", "heading", "level", "pos", "node", "item", F.sha2("text", 256).alias("text_hash"))
 
 
-@query("claim_sentences", "TXT-25")
+def _sql_claims(x):
+    out = S.rep(S.rep(S.rep(x, fixed.ANY_TAG, " "), fixed.SOURCE_NOTE_ROUND, " ", "i"), fixed.SOURCE_NOTE_SQUARE, " ", "i")
+    cut = f"string_split(regexp_replace({S.collapse(out)}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    bare = S.rep(f"regexp_replace(regexp_replace({S.trim_all('s')}, '^#{{1,6}}\\s*', ''), '^[-*•\\d+.)]\\s*', '')", r"\*{1,3}")
+    return f"list_transform({cut}, lambda s: {bare})"
+
+
+@query(
+    "claim_sentences", "TXT-25",
+    f"""WITH a AS (SELECT conv_id, turn, list_filter({_sql_claims(ANSWER)}, lambda s: length(s) >= 25 AND NOT {S.has('s', fixed.INTRO_SENTENCE)} AND NOT ({S.has('s', fixed.LABEL_SENTENCE, '')} AND length(s) < 80)) AS c FROM conversations)
+        SELECT conv_id, turn, CAST(unnest(range(len(c))) AS INTEGER) AS n, unnest(c) AS sentence FROM a""",
+)
 def claim_sentences(spark, folder):
     return answers(spark, folder).select("conv_id", "turn", F.posexplode(T.claim_sentences(F.col("answer"))).alias("n", "sentence"))
 
@@ -436,12 +447,18 @@ def svg_label_rows(spark, folder):
 
 
 # ---- vectors from text ------------------------------------------------------
-@query("hashed_vectors", "UDF-1")
+@query(
+    "hashed_vectors", "UDF-1 UDF-2",
+    f"SELECT doc_id, CAST(64 AS INTEGER) AS dims, len({S.tokens('text')}) > 0 AS unit_norm FROM documents",
+)
 def hashed_vectors(spark, folder):
     from lectern.operators.embed import embedder, hashing_model
 
     embed = embedder(hashing_model(64))
-    return table(spark, folder, "documents").select("doc_id", F.size(embed(F.col("text"))).alias("dims"))
+    from lectern.operators.vectors import vector_checks
+
+    rows = table(spark, folder, "documents").select("doc_id", embed(F.col("text")).alias("v"))
+    return vector_checks(rows, "v", 64).select("doc_id", F.size("v").alias("dims"), "unit_norm")
 
 
 # ---- streams ----------------------------------------------------------------
@@ -483,3 +500,152 @@ def summary_triggers(spark, folder):
 
     out = _finish(spark, triggers(_stream(spark, folder, "conversations")), "summaries")
     return spark.read.schema("conv_id bigint, version bigint, messages bigint").parquet(out)
+
+
+# ---- sections ---------------------------------------------------------------
+SECTION_BLOCKS = f"""(WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', left(content, 25)) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', left(content, 25)) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}),
+    h AS (SELECT *, max(CASE WHEN b LIKE '# %' THEN i END) OVER w AS p1, max(CASE WHEN b LIKE '## %' THEN i END) OVER w AS p2 FROM l WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    t AS (SELECT doc_id, i, {S.trim_all("regexp_replace(b, '^#+ ', '')")} AS t FROM l WHERE b LIKE '# %' OR b LIKE '## %'),
+    j AS (SELECT h.doc_id, h.i, h.b, a.t AS t1, CASE WHEN h.p2 > h.p1 THEN c.t END AS t2 FROM h LEFT JOIN t a ON a.doc_id = h.doc_id AND a.i = h.p1 LEFT JOIN t c ON c.doc_id = h.doc_id AND c.i = h.p2 WHERE NOT (h.b LIKE '# %' OR h.b LIKE '## %'))
+    SELECT doc_id, i, b, t1, t2, CASE WHEN regexp_matches(t2, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.+)$') THEN t2 WHEN regexp_matches(t1, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.+)$') THEN t1 END AS numbered FROM j)"""
+
+
+def section_blocks(spark, folder):
+    rows = K.heading_paths(structured_docs(spark, folder))
+    return rows.withColumn("metadata", K.chunk_metadata(F.col("path"), F.col("block")))
+
+
+@query(
+    "section_counts", "AGG-4 CHK-6",
+    f"""SELECT doc_id, coalesce(nullif(regexp_extract(numbered, '^(\\d+(?:\\.\\d+)*)[.)]?\\s+(.+)$', 1), ''), t2, t1, '(unsectioned)') AS section, count(*) AS chunks FROM {SECTION_BLOCKS} GROUP BY ALL""",
+)
+def section_counts(spark, folder):
+    from lectern.operators.reports import section_counts as counts
+
+    return counts(section_blocks(spark, folder))
+
+
+@query(
+    "parent_sections", "JOIN-11 RET-13 RET-14 RET-24",
+    f"""WITH q AS (SELECT doc_id, min(t1) AS topic FROM {SECTION_BLOCKS} WHERE t2 IS NOT NULL GROUP BY doc_id),
+        w AS (SELECT doc_id, topic, list_distinct({S.scope_terms('topic')}) AS words FROM q),
+        s AS (SELECT b.doc_id, b.i, b.numbered FROM {SECTION_BLOCKS} b JOIN w ON w.doc_id = b.doc_id WHERE b.t2 IS NOT NULL AND len(w.words) > 0 AND list_has_all({S.scope_terms('b.t1')}, w.words))
+        SELECT doc_id, count(*) AS siblings, count(DISTINCT regexp_extract(numbered, '^(\\d+(?:\\.\\d+)*)', 1)) AS sections FROM s GROUP BY doc_id""",
+)
+def parent_sections(spark, folder):
+    from lectern.operators.retrieval import with_parent_sections
+
+    chunks = section_blocks(spark, folder).select(
+        F.concat_ws("_", "doc_id", "pos").alias("chunk_id"), "doc_id", F.col("doc_id").alias("query_id"), "pos",
+        F.col("metadata.parent_headings").alias("parent_headings"), F.col("metadata.section_number").alias("section_number"),
+    )
+    nested = chunks.filter(F.size("parent_headings") > 0)
+    # The question of each document names its first parent heading; one chunk of it was found.
+    asked = nested.groupBy("query_id").agg(F.min(F.get("parent_headings", F.lit(0))).alias("topic"))
+    seed = nested.join(asked, "query_id").filter(F.get("parent_headings", F.lit(0)) == F.col("topic"))
+    seed = seed.groupBy("query_id", "topic").agg(F.min(F.struct("pos", "chunk_id", "doc_id", "parent_headings", "section_number")).alias("r"))
+    candidates = seed.select("query_id", "topic", "r.chunk_id", "r.doc_id", "r.parent_headings", "r.section_number", F.lit("named").alias("target_document"))
+    full = with_parent_sections(candidates, chunks.drop("query_id"))
+    return full.filter("topic is not null or section_scope_match").groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("siblings"), F.count_distinct("section_number").alias("sections")
+    )
+
+
+# ---- more answer text -------------------------------------------------------
+@query("repaired_punctuation", "TXT-16", "SELECT doc_id, sha256(replace(text, ',', '—')) AS text_hash FROM documents")
+def repaired_punctuation(spark, folder):
+    broken = F.replace("text", F.lit(","), F.lit(fixed.misread("—")))
+    return table(spark, folder, "documents").select("doc_id", F.sha2(T.repair_punctuation(broken), 256).alias("text_hash"))
+
+
+@query(
+    "flattened_lists", "TXT-14 TXT-19",
+    """SELECT p_partkey, concat('### Features of ', p_name, chr(10), chr(10), '1. Alpha ', p_brand, chr(10), '2. Beta ', p_type) AS numbered,
+         concat('Access to ', p_name, ' and more|Login of ', p_name, ' users|Role-Based ', p_name, ' rules|Document-Level ', p_brand) AS dashed FROM part""",
+)
+def flattened_lists(spark, folder):
+    line = F.concat(F.lit("Features of "), F.col("p_name"), F.lit(" 1. Alpha "), F.col("p_brand"), F.lit("  2. Beta "), F.col("p_type"))
+    dashed = F.concat(
+        F.lit("Access to "), F.col("p_name"), F.lit(" and more-Login of "), F.col("p_name"), F.lit(" users-Role-Based "),
+        F.col("p_name"), F.lit(" rules-Document-Level "), F.col("p_brand"),
+    )
+    rows = table(spark, folder, "part").select("p_partkey", T.numbered_list_from_line(line).alias("numbered"), T.list_from_heading(dashed).alias("d"))
+    return rows.select("p_partkey", "numbered", F.array_join(F.concat(F.array("d.heading"), F.col("d.items")), "|").alias("dashed"))
+
+
+@query("source_blocks_dropped", "TXT-17", f"SELECT doc_id, {S.trim_all('text')} AS text FROM documents")
+def source_blocks_dropped(spark, folder):
+    text = F.concat(F.lit("## Source: file.pdf\n"), F.col("text"), F.lit("\n### Sources - a.pdf"))
+    return table(spark, folder, "documents").select("doc_id", T.drop_source_blocks(text).alias("text"))
+
+
+@query(
+    "fixed_titles", "TXT-13 TXT-12",
+    """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN concat('# Report of Hotel Data', chr(10), text) ELSE concat('# Other words', chr(10), text) END AS answer FROM conversations""",
+)
+def fixed_titles(spark, folder):
+    title = F.when(F.col("turn") % 2 == 0, "# Give me the hotel report!").otherwise("# Other words")
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", F.concat(title, F.lit("\n"), F.col("text")).alias("a"))
+    return rows.select("conv_id", "turn", T.fix_title(F.col("a"), F.lit("give me the hotel report"), F.lit("ANSWER"), F.lit("hotel data")).alias("answer"))
+
+
+@query(
+    "grounded_prompts", "RET-23",
+    """WITH e AS (SELECT conv_id, string_agg(concat('[', turn + 1, '] ', role, chr(10), text), chr(10) || chr(10) ORDER BY turn) AS evidence FROM conversations WHERE turn < 4 GROUP BY conv_id),
+       p AS (SELECT b.item_id AS query_id, concat('Answer only from the evidence. Say so when it is not enough.', chr(10), chr(10), 'Evidence:', chr(10), coalesce(e.evidence, '(none)'), chr(10), chr(10), 'Question: ', b.text) AS t
+             FROM benchmark b LEFT JOIN e ON e.conv_id = b.item_id)
+       SELECT query_id, sha256(t) AS prompt_hash, CAST(ceil(length(t) / 4.0) AS BIGINT) AS prompt_tokens FROM p""",
+)
+def grounded_prompts(spark, folder):
+    from lectern.operators.conversation import grounded_prompts as prompts
+
+    row = "array<struct<role:string,content:string>>"
+    turns = table(spark, folder, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"), F.array().cast(row).alias("history"),
+        F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("charts_json"),
+    )
+    proof = table(spark, folder, "conversations").filter("turn < 4").select(
+        F.col("conv_id").alias("query_id"), (F.col("turn") + 1).alias("place"), F.col("role").alias("doc_name"), F.col("text").alias("content")
+    )
+    return prompts(turns, proof).select("query_id", F.sha2("prompt", 256).alias("prompt_hash"), "prompt_tokens")
+
+
+# ---- files ------------------------------------------------------------------
+@query("file_scan", "SRC-1")
+def file_scan(spark, folder):
+    from lectern.sources.files import scan_files
+
+    return scan_files(spark, folder, "*.parquet").select("name", "size")
+
+
+@query("file_checks", "SRC-18")
+def file_checks(spark, folder):
+    from lectern.sources.export import file_checks as checks
+
+    return checks(spark, folder).select("name", "bytes", "format", "ok")
+
+
+@query(
+    "archive_members", "SRC-6",
+    "SELECT doc_id, member, sha256(text) AS text_hash FROM (SELECT doc_id, text, unnest(['notes/a.txt', 'b.md']) AS member FROM documents)",
+)
+def archive_members(spark, folder):
+    from lectern.sources.files import archive_members as members
+
+    def zipped(batches):
+        import io
+        import zipfile
+
+        for batch in batches:
+            out = []
+            for text in batch["text"]:
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as archive:
+                    for name in ("notes/a.txt", "b.md", "__MACOSX/c.txt", "d.exe"):
+                        archive.writestr(name, text)
+                out.append(data.getvalue())
+            yield batch[["path"]].assign(bytes=out)
+
+    docs = table(spark, folder, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    files = docs.mapInPandas(zipped, "path string, bytes binary")
+    return members(files).select(F.col("path").cast("bigint").alias("doc_id"), "member", F.sha2("raw", 256).alias("text_hash"))
