@@ -229,24 +229,23 @@ def substring_scores(queries: DataFrame, chunks: DataFrame) -> DataFrame:
         "chunk_id", "word"
     ).agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = words.select("word").distinct()
-    pieces = vocabulary.select("word", F.explode(substrings(F.col("word"))).alias("term"))
-    bridge = pieces.join(asked.select("term").distinct(), "term", "left_semi")
-    per_word = asked.join(bridge, "term").groupBy("query_id", "word").agg(F.sum("times").alias("weight"))
+    bridge = substrings(vocabulary).join(asked.select("term").distinct(), "term", "left_semi").distinct()
+    # Counts per chunk and term first: far fewer rows than chunk, word and query.
+    per_term = words.join(bridge, "word").groupBy("chunk_id", "term").agg(F.sum("tf").alias("tf"))
     return (
-        words.join(per_word, "word")
+        per_term.join(asked, "term")
         .groupBy("query_id", "chunk_id")
-        .agg(F.sum(F.col("tf") * F.col("weight")).cast("bigint").alias("score"))
+        .agg(F.sum(F.col("tf") * F.col("times")).cast("bigint").alias("score"))
     )
 
 
-def substrings(word: Column) -> Column:
-    """All distinct substrings of a word."""
-    starts = F.sequence(F.lit(1), F.length(word))
-    from_start = F.transform(
-        starts,
-        lambda s: F.transform(F.sequence(F.lit(1), F.length(word) - s + 1), lambda n: F.substring(word, s, n)),
+def substrings(vocabulary: DataFrame) -> DataFrame:
+    """Every substring of every word (word, term)."""
+    starts = vocabulary.select("word", F.explode(F.sequence(F.lit(1), F.length("word"))).alias("start"))
+    cuts = starts.select(
+        "word", "start", F.explode(F.sequence(F.lit(1), F.length("word") - F.col("start") + 1)).alias("n")
     )
-    return F.array_distinct(F.flatten(from_start))
+    return cuts.select("word", F.substring("word", F.col("start"), F.col("n")).alias("term"))
 
 
 def count_in_words(terms: Column, words: Column) -> Column:
