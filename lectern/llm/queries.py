@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from lectern.llm import budgets, language, licenses, pieces, quality, shards, sqlchecks
+from lectern.llm import budgets, contamination, language, licenses, pieces, quality, shards, sqlchecks
 
 MODEL = "piece_bpe_32k.model"
 
@@ -35,6 +35,15 @@ def labels_or_none(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+@query
+def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Benchmark phrases in every document."""
+    return contamination.contamination(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+ORACLES["op3_decontamination"] = sqlchecks.decontamination(10)
+
+
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures and the likelihood-ratio verdict of every document."""

@@ -42,3 +42,37 @@ WITH RECURSIVE crc AS (
 SELECT doc_id, size, text_crc32, 'rows' AS law, (pos % {n_shards})::INTEGER AS shard, pos // {n_shards} AS slot, NULL::INTEGER AS grown_shard
 FROM numbered JOIN (SELECT id, pos FROM walk WHERE step = 1 AND pos < n) USING (id)
 """
+
+
+def words_of(text: str) -> str:
+    return (
+        f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+        r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+    )
+
+
+def decontamination(size: int) -> str:
+    """Windows of items and of documents as strings, joined by equality."""
+    return f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_no, doc_id, {words_of("text")} AS w FROM documents
+), items AS (
+  SELECT item_id, {words_of("text")} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item_id, least({size}, len(w)) AS n, array_to_string(list_slice(w, i, i + least({size}, len(w)) - 1), ' ') AS words
+  FROM (SELECT *, unnest(range(1, greatest(len(w) - {size}, 0) + 2)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT row_no, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS words
+  FROM (SELECT row_no, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)
+), hits AS (
+  SELECT row_no, i, n, item_id FROM places JOIN windows USING (n, words)
+), hit_words AS (
+  SELECT row_no, count(DISTINCT k) AS n_hit FROM (SELECT DISTINCT row_no, unnest(range(i, i + n)) AS k FROM hits) GROUP BY row_no
+), named AS (
+  SELECT row_no, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
+  FROM (SELECT DISTINCT row_no, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row_no
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit_words USING (row_no) LEFT JOIN named USING (row_no)
+"""
