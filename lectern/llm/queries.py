@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from lectern.llm import budgets, contamination, language, licenses, pieces, quality, shards, sqlchecks
+from lectern.llm import budgets, contamination, language, licenses, lm, pieces, quality, shards, sqlchecks
 
 MODEL = "piece_bpe_32k.model"
 
@@ -51,6 +51,12 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(docs, quality.fit(docs, labels_or_none(spark, folder)))
 
 
+@query
+def op5_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    """Log probability of every document, learned from six sevenths of them."""
+    return lm.score(read(spark, folder, "documents"), language.id_remainder(7) == 2)
+
+
 @query
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Exact token counts of every document and which exceed 4,096."""
