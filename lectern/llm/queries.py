@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from lectern.llm import budgets, contamination, language, licenses, lm, pieces, quality, shards, sqlchecks
+from lectern.llm import budgets, contamination, jaccard, language, licenses, lm, pieces, quality, shards, sqlchecks
 
 MODEL = "piece_bpe_32k.model"
 
@@ -35,6 +35,12 @@ def labels_or_none(spark: SparkSession, folder: str) -> DataFrame | None:
         return None
 
 
+@query
+def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class and links of every document."""
+    return jaccard.near_duplicates(read(spark, folder, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark phrases in every document."""
