@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from lectern.llm import budgets, contamination, jaccard, language, licenses, lm, pieces, quality, shards, sqlchecks
+from lectern.llm import budgets, contamination, jaccard, language, licenses, lm, pieces, quality, shards, sqlchecks, suffixes
 
 MODEL = "piece_bpe_32k.model"
 
@@ -41,6 +41,12 @@ def op1_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.near_duplicates(read(spark, folder, "documents"))
 
 
+@query
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Bytes of every document that repeat an earlier document."""
+    return suffixes.dedup(read(spark, folder, "documents"))
+
+
 @query
 def op3_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark phrases in every document."""

@@ -18,10 +18,10 @@ and a suffix is merged log n times. Levels keep the smallest doc_id of each
 (seed, surroundings). Each batch is then merge-scanned against the merged levels:
 
 * surroundings seen in a smaller doc_id: every string through the anchor is one;
-* a seed with one surroundings only: no string through the anchor is;
+* a seed with one surroundings only: no string of which it is the least seed is;
 * else undecided: seed known, surroundings new (the rim of a match).
 
-**Rims.** A string whose anchors are all undecided is hashed; the smallest doc_id of
+**Rims.** A string whose least seed is undecided is hashed; the smallest doc_id of
 each such hash decides it. First the hashes of a batch are combined, then dealt
 out by hash and sent back.
 
@@ -104,13 +104,13 @@ class Text:
         return ok
 
 
-def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, their document, seed fingerprint and fingerprint of the surroundings."""
+def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, their document, seed fingerprint and fingerprint of the surroundings; the least seed of each string."""
     seeds = text.every(SEED)
     inside = text.inside(LENGTH)
     if not inside.any():
         empty = np.empty(0, np.int64)
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint32)
+        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint32), empty.astype(np.uint64)
     least = np.where(inside, _sliding(seeds, WINDOW, np.minimum), np.uint64(0))
     edge = np.zeros(WINDOW - 1, np.uint64)
     reached = _sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum)
@@ -120,7 +120,7 @@ def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     low, high = np.maximum(place - RIM, offsets[doc]), np.minimum(place + LENGTH, offsets[doc + 1])
     around = text.ranges(low, high) + B.mixed((place - low).astype(np.uint64))
     around = (around >> np.uint64(32)).astype(np.uint32)
-    return place, doc, seeds[place], np.minimum(around, MANY - np.uint32(1))
+    return place, doc, seeds[place], np.minimum(around, MANY - np.uint32(1)), least
 
 
 def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -132,6 +132,7 @@ class Levels:
 
     def __init__(self):
         self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.seeds: tuple[np.ndarray, np.ndarray] | None = None  # distinct seeds and their surroundings, once all are in
 
     @staticmethod
     def _sorted(suffix, seed, doc):
@@ -143,7 +144,7 @@ class Levels:
     def add(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> None:
         if not len(suffix):
             return
-        new = self._sorted(suffix, seed, doc)
+        new, self.seeds = self._sorted(suffix, seed, doc), None
         while self.arrays and len(self.arrays[-1][0]) <= 2 * len(new[0]):
             new = self._sorted(*(np.concatenate(pair) for pair in zip(self.arrays.pop(), new)))
         self.arrays.append(new)
@@ -156,8 +157,10 @@ class Levels:
 
     def scan(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """1: in a smaller doc_id too, 2: undecided, 0: neither."""
-        known, seeds, least = self.merged()
-        distinct, counts = np.unique(seeds, return_counts=True)
+        if self.seeds is None:
+            self.seeds = np.unique(self.merged()[1], return_counts=True)
+        known, _, least = self.merged()
+        distinct, counts = self.seeds
         full = least[np.searchsorted(known, suffix)] < doc
         several = counts[np.searchsorted(distinct, seed)] > 1
         return np.where(full, 1, np.where(several, 2, 0)).astype(np.uint8)
@@ -189,7 +192,7 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
             all_ids, all_marks = _ids(batch.column("doc_id")), batch.column("mark").to_numpy()
             for block in B.blocks(batch.column("text"), BATCH_BYTES):
                 ids, marks = all_ids[block.row : block.row + block.n], all_marks[block.row : block.row + block.n]
-                _, doc, seeds, around = anchors(Text(block))
+                _, doc, seeds, around, _ = anchors(Text(block))
                 ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 hot = _hot(seeds, doc)
                 rows = []
@@ -335,7 +338,7 @@ def decide(docs: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
                 rows, waiting = [], []
                 if len(answered):
                     text = Text(block)
-                    place, doc, seeds, _ = anchors(text)
+                    place, doc, seeds, _, least_seed = anchors(text)
                     first = np.searchsorted(doc, np.arange(block.n + 1))
                     bucket = (seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seeds), np.int64)
                 for d in range(block.n):
@@ -351,7 +354,7 @@ def decide(docs: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
                     full = at[code == 1]
                     low = np.maximum(full - RIM, offsets[d]) - offsets[d]
                     high = np.minimum(full + LENGTH, offsets[d + 1]) - offsets[d]
-                    rims = _undecided(at - offsets[d], code, len(body))
+                    rims = _undecided(at, seeds[first[d] : first[d + 1]], code, least_seed) - offsets[d]
                     if len(rims):
                         waiting.append((own, mark, body, np.concatenate([low, high]).astype(np.int32), rims + offsets[d], rims.astype(np.int32)))
                     else:
@@ -398,15 +401,24 @@ def _codes_of(given: list[dict], bucket: np.ndarray) -> np.ndarray:
     return code
 
 
-def _undecided(at: np.ndarray, code: np.ndarray, n: int) -> np.ndarray:
-    """Places of the strings all of whose anchors are undecided."""
-    if n < LENGTH or not (code == 2).any():
+def _undecided(at: np.ndarray, seeds: np.ndarray, code: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """Places of the strings whose least seed is undecided and that reach no anchor found in a smaller doc_id.
+
+    The least seed alone is sure to be an anchor wherever the string stands.
+    """
+    open_ = code == 2
+    if not open_.any():
         return np.empty(0, np.int64)
-    barred = np.zeros(n + 2, np.int32)
-    other = at[code != 2]
-    np.add.at(barred, np.maximum(other - RIM, 0), 1)
-    np.add.at(barred, other + 1, -1)
-    return np.flatnonzero(np.cumsum(barred)[: n - LENGTH + 1] == 0)
+    start = at[open_][:, None] - np.arange(WINDOW)
+    own = np.repeat(seeds[open_][:, None], WINDOW, axis=1)
+    within = (start >= 0) & (start < len(least))
+    start, own = start[within], own[within]
+    found = np.unique(start[least[start] == own])
+    full = at[code == 1]
+    if not len(full):
+        return found
+    after = np.searchsorted(full, found)
+    return found[~((after < len(full)) & (full[np.minimum(after, len(full) - 1)] <= found + RIM))]
 
 
 def deal_rims(decided: DataFrame, bits: int) -> DataFrame:
