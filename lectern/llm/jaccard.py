@@ -8,8 +8,8 @@ of the set, and only one text of a class goes on: copies are never paired.
 The forest has ``trees`` prefix tries over MinHash values. Two classes are
 candidates where they share a trie's prefix. The prefix starts at ``longest``
 values and is shortened until two texts exactly at the threshold meet in some trie
-with the target probability (``depth``): with 24 tries and 0.9999 that is four
-values, and texts of similarity 0.9 are missed less than once in 10^11. A class
+with the target probability (``depth``): with 24 tries and 0.99999 that is four
+values, and texts of similarity 0.9 are missed about once in 10^11. A class
 meets the smallest class of its prefix only, so the table of candidates has at
 most one row for each class and trie, however large a group.
 
@@ -49,7 +49,7 @@ class Forest:
     threshold: float = 0.8
     trees: int = 24
     longest: int = 8
-    target: float = 0.9999
+    target: float = 0.99999
     block_rows: int = 2048
     block_shingles: int = 4_000_000
 
