@@ -23,6 +23,17 @@ _PIECE = 1 << 20
 SPACES = (0x20, *range(0x09, 0x0E))
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, longer where a table has a column of that name."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """Spread 64-bit values: the finalising steps of splitmix64."""
     x = x ^ (x >> np.uint64(30))

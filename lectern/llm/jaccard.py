@@ -284,9 +284,10 @@ def one_of_each(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     ).select("s.doc_id", "s.mark", F.lit(True).alias("lead"))
     wordless = rows.where("class is null").select("doc_id", "mark", F.lit(False).alias("lead"))
     chosen = first.unionAll(wordless.distinct())
-    marked = docs.withColumn("__mark", text_mark())
-    keys = chosen.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__chosen"), F.col("lead").alias("__lead"))
-    stay = marked.join(keys, marked["doc_id"].eqNullSafe(keys["__id"]) & (marked["__mark"] == keys["__chosen"]))
+    mark, other, chosen_mark, lead, own = B.unused(docs.columns, "__mark", "__id", "__chosen", "__lead", "__own")
+    marked = docs.withColumn(mark, text_mark())
+    keys = chosen.select(F.col("doc_id").alias(other), F.col("mark").alias(chosen_mark), F.col("lead").alias(lead))
+    stay = marked.join(keys, marked["doc_id"].eqNullSafe(keys[other]) & (marked[mark] == keys[chosen_mark]))
     # Repeated rows of a group are one document; rows without a word are not judged.
-    own = F.when(F.col("__lead"), F.lit(0)).otherwise(F.monotonically_increasing_id())
-    return stay.withColumn("__own", own).dropDuplicates(["doc_id", "__mark", "__own"]).select(*docs.columns)
+    stay = stay.withColumn(own, F.when(F.col(lead), F.lit(0)).otherwise(F.monotonically_increasing_id()))
+    return stay.dropDuplicates(["doc_id", mark, own]).select(*docs.columns)

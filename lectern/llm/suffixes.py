@@ -527,25 +527,26 @@ def cut(docs: DataFrame) -> DataFrame:
     such a column, is counted anew.
     """
     spans = repeated_spans(docs).where(F.length("spans") > 0).select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"])
-    marked = docs.withColumn("__mark", text_mark())
-    right = spans.select(F.col("doc_id").alias("__id"), F.col("mark").alias("__own"), F.col("spans").alias("__spans"))
-    both = marked.join(right, marked["doc_id"].eqNullSafe(right["__id"]) & (marked["__mark"] == right["__own"]), "left")
+    mark, other, own, cuts = B.unused(docs.columns, "__mark", "__id", "__own", "__spans")
+    marked = docs.withColumn(mark, text_mark())
+    right = spans.select(F.col("doc_id").alias(other), F.col("mark").alias(own), F.col("spans").alias(cuts))
+    both = marked.join(right, marked["doc_id"].eqNullSafe(right[other]) & (marked[mark] == right[own]), "left")
 
     def run(batches):
         for batch in batches:
-            texts = []
-            for text, raw in zip(batch.column("text").to_pylist(), batch.column("__spans").to_pylist()):
+            texts, all_spans = [], batch.column(cuts).to_pylist()
+            for text, raw in zip(batch.column("text").to_pylist(), all_spans):
                 texts.append(text if raw is None else without(text, np.frombuffer(raw, np.int32).reshape(-1, 2)))
-            keep = [raw is None or bool(t.strip()) for t, raw in zip(texts, batch.column("__spans").to_pylist())]
-            out = batch.drop_columns(["__spans"])
+            keep = [raw is None or bool(t.strip()) for t, raw in zip(texts, all_spans)]
+            out = batch.drop_columns([cuts])
             out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in out.schema.names:
                 at = out.schema.get_field_index("n_chars")
-                changed = pa.array([None if raw is None else len(t) for t, raw in zip(texts, batch.column("__spans").to_pylist())], out.schema.field(at).type)
+                changed = pa.array([None if raw is None else len(t) for t, raw in zip(texts, all_spans)], out.schema.field(at).type)
                 out = out.set_column(at, out.schema.field(at), pa.compute.coalesce(changed, out.column(at)))
             yield out.filter(pa.array(keep))
 
-    return both.select(*docs.columns, "__spans").mapInArrow(run, docs.schema)
+    return both.select(*docs.columns, cuts).mapInArrow(run, docs.schema)
 
 
 def without(text: str, spans: np.ndarray) -> str:
