@@ -5,28 +5,26 @@ tables, limits, patterns and formats. None of it is logic.
 """
 
 # ---- fixed values: query words ---------------------------------------------
-STOPWORDS = (
-    "the a an is are was were be to of and or in on for with that this it as at by from "
-    "what how did does do can could would should will shall which who whom i you we they"
-).split()
+STOPWORDS = [
+    "the", "a", "an", "is", "are", "was", "were", "be", "to", "of", "and", "or", "in", "on", "for", "with",
+    "that", "this", "it", "as", "at", "by", "from", "what", "how", "did", "does", "do", "can", "could",
+    "would", "should", "will", "shall", "which", "who", "whom", "i", "you", "we", "they",
+]
 
 # ---- fixed values: upload formats ------------------------------------------
-SUPPORTED_EXTENSIONS = (
-    "pdf docx doc txt md markdown rtf odt "
-    "csv tsv xlsx xls ods json yaml yml "
-    "pptx ppt odp "
-    "html htm xml "
-    "svg png jpg jpeg webp gif tiff bmp "
-    "zip "
-    "eml msg "
-    "py js jsx ts tsx java c cpp cs go rs php rb sql sh ps1 css scss "
-    "log ini cfg conf properties env example"
-).split()
+SUPPORTED_EXTENSIONS = [
+    "pdf", "docx", "doc", "txt", "md", "markdown", "rtf", "odt", "csv", "tsv", "xlsx", "xls", "ods", "json",
+    "yaml", "yml", "pptx", "ppt", "odp", "html", "htm", "xml", "svg", "png", "jpg", "jpeg", "webp", "gif",
+    "tiff", "bmp", "zip", "eml", "msg", "py", "js", "jsx", "ts", "tsx", "java", "c", "cpp", "cs", "go", "rs",
+    "php", "rb", "sql", "sh", "ps1", "css", "scss", "log", "ini", "cfg", "conf", "properties", "env",
+    "example",
+]
 
-TEXT_EXTENSIONS = (
-    "txt md markdown csv tsv json yaml yml xml html htm py js jsx ts tsx java c cpp cs go rs "
-    "php rb sql sh ps1 css scss env log ini cfg conf properties example"
-).split()
+TEXT_EXTENSIONS = [
+    "txt", "md", "markdown", "csv", "tsv", "json", "yaml", "yml", "xml", "html", "htm", "py", "js", "jsx",
+    "ts", "tsx", "java", "c", "cpp", "cs", "go", "rs", "php", "rb", "sql", "sh", "ps1", "css", "scss", "env",
+    "log", "ini", "cfg", "conf", "properties", "example",
+]
 
 MIME_TYPES = {
     "pdf": "application/pdf",
@@ -309,6 +307,9 @@ RESOLVER_TEMPLATES = [
     "simple_document",
 ]
 
+# ---- fixed values: terms of the search that needs only one of them ---------
+OR_TERMS = 8
+
 # ---- fixed values: diagram schema ------------------------------------------
 DIAGRAM_TEMPLATES = [
     "organization_chart", "process_flow", "workflow", "timeline", "architecture", "hierarchy",
@@ -333,14 +334,14 @@ SOURCE_NOTE_ROUND = r"\(\s*source\s*:\s*[^)]+\)"
 SOURCE_NOTE_SQUARE = r"\[\s*source\s*:\s*[^\]]+\]"
 
 # ---- fixed values: mis-decoded punctuation and what it stood for -----------
-# UTF-8 punctuation read as Windows-1252, once or twice over.
-MOJIBAKE = ["—", "–", "’", "“", "”", "…"]
-
-
-def misread(mark: str, times: int = 1) -> str:
-    """The characters seen when UTF-8 text is decoded as Windows-1252."""
-    for _ in range(times):
-        mark = "".join(
-            bytes([b]).decode("cp1252", errors="ignore") or chr(b) for b in mark.encode("utf-8")
-        )
-    return mark
+# UTF-8 punctuation read as Windows-1252 twice over, once, and what it was.
+MOJIBAKE = [
+    ("Ã¢â‚¬â€\x9d", "â€”", "—"),
+    ("Ã¢â‚¬â€œ", "â€“", "–"),
+    ("Ã¢â‚¬â„¢", "â€™", "’"),
+    ("Ã¢â‚¬Å“", "â€œ", "“"),
+    ("Ã¢â‚¬Â\x9d", "â€\x9d", "”"),
+    ("Ã¢â‚¬Â¦", "â€¦", "…"),
+]
+# A closing quote that lost its unprintable last byte.
+CUT_QUOTE = ("â€", "”")

@@ -497,10 +497,10 @@ def list_from_heading(col: Column) -> Column:
 
 def repair_punctuation(col: Column, times: int = 1) -> Column:
     for n in range(times, 0, -1):
-        for mark in fixed.MOJIBAKE:
-            col = F.replace(col, F.lit(fixed.misread(mark, n)), F.lit(mark))
-    # The closing quote often lost its unprintable last byte.
-    return F.replace(col, F.lit("â€"), F.lit("”"))
+        for twice, once, mark in fixed.MOJIBAKE:
+            col = F.replace(col, F.lit(twice if n == 2 else once), F.lit(mark))
+    cut, mark = fixed.CUT_QUOTE
+    return F.replace(col, F.lit(cut), F.lit(mark))
 
 
 def print_text(col: Column) -> Column:

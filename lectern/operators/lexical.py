@@ -39,11 +39,12 @@ def prepared_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("words", stemmed_words(F.col("content")))
 
 
-def stored_words(chunks: DataFrame) -> DataFrame:
-    """(chunk_id, words) as a stored table: words are cut once, however many plans read them."""
+def stored_words(chunks: DataFrame, group: str | None = None) -> DataFrame:
+    """(chunk_id, words, group) as a stored table: words are cut once, however many plans read them."""
+    columns = ["chunk_id", "words", *([group] if group else [])]
     if "words" in chunks.columns:
-        return chunks.select("chunk_id", "words")
-    return kept(prepared_chunks(chunks).select("chunk_id", "words"), "words")
+        return chunks.select(*columns)
+    return kept(prepared_chunks(chunks).select(*columns), "words")
 
 
 def term_positions(chunks: DataFrame) -> DataFrame:
@@ -65,9 +66,9 @@ def term_statistics(chunks: DataFrame) -> DataFrame:
     return _chunk_terms(chunks).groupBy("term").agg(F.count(F.lit(1)).alias("chunks"))
 
 
-def _chunk_terms(chunks: DataFrame) -> DataFrame:
+def _chunk_terms(chunks: DataFrame, group: str | None = None) -> DataFrame:
     words = F.array_distinct(F.array_remove("words", ""))
-    return prepared_chunks(chunks).select("chunk_id", F.explode(words).alias("term"))
+    return prepared_chunks(chunks).select("chunk_id", *([group] if group else []), F.explode(words).alias("term"))
 
 
 # ---- query syntax -----------------------------------------------------------
@@ -101,26 +102,31 @@ def parsed_queries(queries: DataFrame) -> DataFrame:
 
 
 # ---- matching ---------------------------------------------------------------
-def and_candidates(parsed: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(query_id, chunk_id) pairs that hold the rarest term of an alternative."""
+def and_candidates(parsed: DataFrame, chunks: DataFrame, group: str | None = None) -> DataFrame:
+    """(query_id, chunk_id) pairs that hold the rarest term of an alternative.
+
+    With ``group``, a column of both sides, a query meets only chunks of its own group.
+    """
+    own = [group] if group else []
+    keys = ["term", *own]
     asked = (
-        parsed.select("query_id", F.posexplode("alternatives").alias("alt", "a"))
-        .select("query_id", "alt", F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("term"))
+        parsed.select("query_id", *own, F.posexplode("alternatives").alias("alt", "a"))
+        .select("query_id", *own, "alt", F.size("a.terms").alias("n_terms"), F.explode("a.terms").alias("term"))
     )
-    chunk_terms = _chunk_terms(chunks)
+    chunk_terms = _chunk_terms(chunks, group)
     # Only the counts of asked terms are needed.
     counts = (
-        chunk_terms.join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        chunk_terms.join(asked.select(*keys).distinct(), keys, "left_semi")
+        .groupBy(*keys).agg(F.count(F.lit(1)).alias("df"))
     )
     rarest = (
-        asked.join(counts, "term")
-        .groupBy("query_id", "alt", "n_terms")
+        asked.join(counts, keys)
+        .groupBy("query_id", *own, "alt", "n_terms")
         .agg(F.count(F.lit(1)).alias("known"), F.min_by("term", F.struct("df", "term")).alias("term"))
         .filter("known = n_terms")
-        .select("query_id", "term").distinct()
+        .select("query_id", *keys).distinct()
     )
-    return chunk_terms.join(rarest, "term").select("query_id", "chunk_id").distinct()
+    return chunk_terms.join(rarest, keys).select("query_id", "chunk_id").distinct()
 
 
 def _satisfied(alternative: Column, words: Column) -> Column:
@@ -171,15 +177,27 @@ def cover_density(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd
         )
 
 
-def and_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def and_hits(queries: DataFrame, chunks: DataFrame, group: str | None = None) -> DataFrame:
     """Chunks that satisfy a query (query_id, chunk_id, score by cover density)."""
-    parsed = parsed_queries(queries).select("query_id", "alternatives")
-    stemmed = stored_words(chunks)
+    parsed = parsed_queries(queries).select("query_id", "alternatives", *([group] if group else []))
+    stemmed = stored_words(chunks, group)
     # Candidates are few next to the corpus. Stored, their size is known, and the
     # words of all chunks are only moved when there are too many to broadcast.
-    pairs = kept(and_candidates(parsed, stemmed), "candidates").join(parsed, "query_id")
+    candidates = kept(and_candidates(parsed, stemmed, group), "candidates")
+    return _verified_hits(parsed, stemmed, candidates)
+
+
+def hits_among(queries: DataFrame, chunks: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Those of the given (query_id, chunk_id) pairs whose chunk satisfies its query, with their score."""
+    parsed = parsed_queries(queries).select("query_id", "alternatives")
+    return _verified_hits(parsed, stored_words(chunks), pairs.select("query_id", "chunk_id"))
+
+
+def _verified_hits(parsed: DataFrame, stemmed: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Those of the (query_id, chunk_id) pairs that satisfy their query, with their score."""
     met = (
-        stemmed.join(pairs, "chunk_id")
+        stemmed.select("chunk_id", "words")
+        .join(candidates.join(parsed.select("query_id", "alternatives"), "query_id"), "chunk_id")
         .withColumn("met", F.filter("alternatives", lambda a: _satisfied(a, F.col("words"))))
         .filter(F.size("met") > 0)
     )
@@ -188,29 +206,39 @@ def and_hits(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     )
 
 
-def or_hits(queries: DataFrame, chunks: DataFrame, first_terms: int = 8) -> DataFrame:
-    """Chunks with any of a query's first terms; score is the number of occurrences."""
-    asked = queries.select(
-        "query_id",
-        F.explode(F.array_distinct(F.transform(F.slice(T.content_terms(F.col("query")), 1, first_terms), T.scope_stem))).alias("term"),
+def or_hits(queries: DataFrame, chunks: DataFrame, first_terms: int | None = None, group: str | None = None) -> DataFrame:
+    """Chunks with any of a query's terms (or of its first few); score is the number of occurrences.
+
+    Each chunk counts its terms in its own row, so a common word makes one row a chunk, not one an occurrence.
+    """
+    own = [group] if group else []
+    terms = T.content_terms(F.col("query"))
+    if first_terms is not None:
+        terms = F.slice(terms, 1, first_terms)
+    asked = queries.select("query_id", *own, F.explode(F.array_distinct(F.transform(terms, T.scope_stem))).alias("term"))
+    keys = ["term", *own]
+    counted = (
+        prepared_chunks(chunks).select("chunk_id", *own, F.explode(F.array_remove("words", "")).alias("term"))
+        .join(asked.select(*keys).distinct(), keys, "left_semi")
+        .groupBy("chunk_id", *keys).agg(F.count(F.lit(1)).alias("tf"))
     )
-    words = term_positions(chunks).select("chunk_id", "term")
-    return words.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    return counted.join(asked, keys).groupBy("query_id", "chunk_id").agg(F.sum("tf").cast("double").alias("score"))
 
 
-def search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
-    """AND search; queries without any hit fall back to OR. Best ``limit`` rows each.
+def search(queries: DataFrame, chunks: DataFrame, limit: int, group: str | None = None) -> DataFrame:
+    """AND search; queries without any hit fall back to OR of their first eight terms. Best ``limit`` rows each.
 
-    Queries made of stop words only have no result.
+    Queries made of stop words only have no result. ``group`` names a column of
+    both sides, such as the tenant, that must agree.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    chunks = stored_words(chunks)
+    chunks = stored_words(chunks, group)
     # The hits are read twice: at most ``limit`` rows per query.
     strict = kept(
-        top_per_group(and_hits(worded, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit), "hits"
+        top_per_group(and_hits(worded, chunks, group), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit), "hits"
     )
     missed = worded.join(strict.select("query_id").distinct(), "query_id", "left_anti")
-    loose = top_per_group(or_hits(missed, chunks), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
+    loose = top_per_group(or_hits(missed, chunks, fixed.OR_TERMS, group), ["query_id"], [F.desc("score"), F.col("chunk_id")], limit)
     return strict.withColumn("leg", F.lit("and")).unionByName(loose.withColumn("leg", F.lit("or")))
 
 
@@ -258,16 +286,20 @@ def count_in_words(terms: Column, words: Column) -> Column:
 
 
 # ---- names ------------------------------------------------------------------
-def title_matches(queries: DataFrame, documents: DataFrame) -> DataFrame:
+def title_matches(queries: DataFrame, documents: DataFrame, group: str | None = None) -> DataFrame:
     """(query_id, doc_id) where two to four adjacent query words stand in the file name.
 
-    Phrases of both sides meet by equality.
+    Phrases of two words decide: a name that holds a longer phrase holds its first
+    two words as well, so longer ones could only repeat the match.
     """
+    own = [group] if group else []
     asked = queries.select(
-        "query_id", F.explode(T.word_phrases(T.content_terms(F.col("query")), 2, 4)).alias("phrase")
+        "query_id", *own, F.explode(T.word_phrases(T.content_terms(F.col("query")), 2, 2)).alias("phrase")
+    )
+    named = documents.select(
+        "doc_id", *own, F.explode(T.word_phrases(T.tokens(F.col("doc_name")), 2, 2)).alias("phrase")
     )
-    named = documents.select("doc_id", F.explode(T.word_phrases(T.tokens(F.col("doc_name")), 2, 4)).alias("phrase"))
-    return named.join(asked, "phrase").select("query_id", "doc_id").distinct()
+    return named.join(asked, ["phrase", *own]).select("query_id", "doc_id").distinct()
 
 
 def names_containing(fragments: DataFrame, documents: DataFrame) -> DataFrame:

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.functions.patterns import jvm
 from lectern.operators import lexical as L
 from lectern.operators.ranking import top_per_group
-from lectern.operators.vectors import top_similar
+from lectern.operators.vectors import DIGITS, cosine, top_similar
 from lectern.session import kept
 
 
@@ -33,19 +34,26 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, keep: int) -> DataFram
 
 
 # ---- documents named in the query -------------------------------------------
-def named_document_rows(queries: DataFrame, chunks: DataFrame, per_document: int = 5) -> DataFrame:
+def named_document_rows(
+    queries: DataFrame, chunks: DataFrame, per_document: int = 5, hits: DataFrame | None = None, group: str | None = None
+) -> DataFrame:
     """Best few chunks of every document that a query names.
 
     ``chunks`` has chunk_id, doc_id, doc_name and content. Longer text first among equal scores.
+    With ``hits`` (query_id, chunk_id) a query chooses among its own hits only, so its
+    rows do not depend on the other queries. With ``group`` both sides must agree in it.
     """
-    documents = chunks.select("doc_id", "doc_name").distinct()
-    named = L.title_matches(queries, documents)
+    documents = chunks.select("doc_id", "doc_name", *([group] if group else [])).distinct()
+    named = L.title_matches(queries, documents, group)
     asked = queries.select("query_id", T.content_terms(F.col("query")).alias("terms"))
     clean = chunks.withColumn("clean", T.searchable_text(F.col("content"))).filter(
         F.length("clean") >= fixed.MIN_SEARCHABLE_CHARS
     )
+    pairs = clean.join(named, "doc_id")
+    if hits is not None:
+        pairs = pairs.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     scored = (
-        clean.join(named, "doc_id").join(asked, "query_id")
+        pairs.join(asked, "query_id")
         .select(
             "query_id", "doc_id", "chunk_id",
             L.count_in_words(F.col("terms"), T.tokens(F.col("clean"))).cast("bigint").alias("score"),
@@ -55,11 +63,17 @@ def named_document_rows(queries: DataFrame, chunks: DataFrame, per_document: int
     return top_per_group(scored, ["query_id", "doc_id"], [F.desc("score"), F.desc("n"), F.col("chunk_id")], per_document)
 
 
-def with_named_rows(selected: DataFrame, named: DataFrame) -> DataFrame:
-    """Selected (query_id, chunk_id, ...) plus named rows that are not in it yet."""
+def with_named_rows(selected: DataFrame, named: DataFrame, after: int | None = None) -> DataFrame:
+    """Selected (query_id, chunk_id, rank, ...) plus named rows that are not in it yet.
+
+    With ``after``, the added rows are ranked one after the other from ``after + 1``.
+    """
     keys = ["query_id", "chunk_id"]
-    extra = named.select(*keys).distinct().join(selected.select(*keys), keys, "left_anti")
-    return selected.unionByName(extra, allowMissingColumns=True)
+    extra = named.join(selected.select(*keys), keys, "left_anti")
+    if after is None:
+        return selected.unionByName(extra.select(*keys), allowMissingColumns=True)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id", "rank", "chunk_id"))
+    return selected.unionByName(extra.select(*keys, (place + after).alias("rank")), allowMissingColumns=True)
 
 
 # ---- scopes -----------------------------------------------------------------
@@ -98,8 +112,8 @@ def crosses_documents(query: Column) -> Column:
     return T.matches(query, fixed.CROSS_DOCUMENT)
 
 
-def scoped_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
-    """(query_id, doc_id) of the scope of each scoped query.
+def scoped_documents(queries: DataFrame, documents: DataFrame, group: str | None = None) -> DataFrame:
+    """(query_id, doc_id) of the scope of each scoped query, in its own group if one is named.
 
     ``active_document`` is an id; ``target_document`` a name fragment. A query
     across documents keeps an id scope but not a name scope.
@@ -110,12 +124,16 @@ def scoped_documents(queries: DataFrame, documents: DataFrame) -> DataFrame:
         & ~F.col("target_document").isin("", "null") & ~crosses_documents(F.col("query"))
     ).select("query_id", F.trim("target_document").alias("fragment"))
     found = L.names_containing(by_name, documents)
-    return by_id.join(documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id").unionByName(
+    scope = by_id.join(documents.select("doc_id"), "doc_id", "left_semi").select("query_id", "doc_id").unionByName(
         by_name.join(found, "fragment").select("query_id", "doc_id")
     )
+    if group is None:
+        return scope
+    owned = scope.join(documents.select("doc_id", group), "doc_id")
+    return owned.join(queries.select("query_id", group), ["query_id", group], "left_semi").select("query_id", "doc_id")
 
 
-def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFrame:
+def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int, group: str | None = None) -> DataFrame:
     """Text search with scopes (query_id, chunk_id, score, rank, leg).
 
     Scoped AND search; without a hit the whole scoped document in order; queries
@@ -123,19 +141,20 @@ def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFram
     chunk_id, doc_id, doc_name, chunk_index and content.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    scope = kept(scoped_documents(worded, chunks.select("doc_id", "doc_name").distinct()), "scope")
+    documents = chunks.select("doc_id", "doc_name", *([group] if group else [])).distinct()
+    scope = kept(scoped_documents(worded, documents, group), "scope")
     order = [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")]
 
     # The name of the document need not stand in its chunks.
     bare = worded.withColumn(
         "query", F.coalesce(T.blank_to_null(without_name(F.col("query"), F.col("target_document"))), F.col("query"))
     )
-    words = L.stored_words(chunks)
+    words = L.stored_words(chunks, group)
     in_scope = chunks.join(scope, "doc_id")
     scoped_queries = bare.join(scope.select("query_id").distinct(), "query_id", "left_semi")
-    reachable = in_scope.select("chunk_id").distinct()
-    hits = L.and_hits(scoped_queries, words.join(reachable, "chunk_id", "left_semi"))
-    inside = hits.join(in_scope.select("query_id", "chunk_id", "chunk_index"), ["query_id", "chunk_id"])
+    # The scope already says which chunks a query may look into: those pairs are tested, no others.
+    reachable = in_scope.select("query_id", "chunk_id", "chunk_index")
+    inside = L.hits_among(scoped_queries, words, reachable).join(reachable, ["query_id", "chunk_id"])
     first = kept(top_per_group(inside, ["query_id"], order, limit), "scoped").withColumn("leg", F.lit("scoped"))
 
     dry = scoped_queries.select("query_id").join(first.select("query_id").distinct(), "query_id", "left_anti")
@@ -146,7 +165,7 @@ def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int) -> DataFram
 
     both = first.unionByName(second).select("query_id", "chunk_id", "score", "rank", "leg")
     free = worded.join(scope.select("query_id").distinct(), "query_id", "left_anti")
-    return both.unionByName(L.search(free, words, limit).select(*both.columns))
+    return both.unionByName(L.search(free, words, limit, group).select(*both.columns))
 
 
 # ---- parent sections --------------------------------------------------------
@@ -191,29 +210,67 @@ def with_parent_sections(candidates: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 # ---- the whole search -------------------------------------------------------
+def _vector_leg(queries, query_vectors, items, places, scope, tenant, k) -> DataFrame:
+    """Nearest items of each query in its tenant and, where it has one, its scope."""
+    if tenant is None and scope is None and places is None:
+        return top_similar(query_vectors, items, k)
+    placed = items.select("item_id", "vector").join(places, "item_id")
+    asked = query_vectors.select("query_id", "vector").join(queries.select("query_id", *([tenant] if tenant else [])), "query_id")
+    if scope is None:
+        return top_similar(asked, placed, k, group=tenant)
+    limited = scope.select("query_id").distinct()
+    free = top_similar(asked.join(limited, "query_id", "left_anti"), placed, k, group=tenant)
+    # A scope is a list of pairs already, in the query's own tenant.
+    pairs = placed.join(scope, "doc_id").join(asked.select("query_id", F.col("vector").alias("asked")), "query_id")
+    near = pairs.select("query_id", "item_id", F.round(cosine(F.col("asked"), F.col("vector")), DIGITS).alias("score"))
+    return free.unionByName(top_per_group(near, ["query_id"], [F.desc("score"), F.col("item_id")], k).select(*free.columns))
+
+
 def hybrid_search(
     queries: DataFrame, query_vectors: DataFrame, chunks: DataFrame, item_vectors: DataFrame, k: int = fixed.TOP_K
 ) -> DataFrame:
     """Fused vector and text search with the rows of named documents.
 
-    ``chunks`` has chunk_id, doc_id, doc_name and content. Without any stored
-    vector only the text search runs.
+    ``chunks`` has chunk_id, doc_id, doc_name and content. Optional columns limit
+    what a query sees, before anything is ranked: ``status`` of chunks (READY only),
+    ``org_id`` of both sides (must agree), ``active_document`` and
+    ``target_document`` of queries (scope; needs chunk_index). With ``topic`` of
+    queries and ``parent_headings`` of chunks, sibling sections are added at the
+    end. Without any stored vector only the text search runs.
     """
     inner = max(2 * k, 50)
-    lexical = kept(L.search(queries, chunks, max(2 * inner, 50)), "lexical")
+    places = None
+    if "status" in chunks.columns:
+        chunks = chunks.filter(F.col("status") == "READY")
+    tenant = "org_id" if "org_id" in chunks.columns and "org_id" in queries.columns else None
+    own = [tenant] if tenant else []
+    scoped = "target_document" in queries.columns and "active_document" in queries.columns
+    if scoped or tenant or "status" in chunks.columns:
+        places = chunks.select(F.col("chunk_id").alias("item_id"), "doc_id", *own)
+    scope = None
+    if scoped:
+        documents = chunks.select("doc_id", "doc_name", *own).distinct()
+        scope = kept(scoped_documents(queries, documents, tenant), "scope")
+        lexical = kept(scoped_search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
+    else:
+        lexical = kept(L.search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
     pool = chunks.join(lexical.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    named_in_text = named_document_rows(queries, pool).join(lexical.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    text_leg = with_named_rows(lexical.filter(F.col("rank") <= inner).select("query_id", "chunk_id", "rank"), named_in_text)
-    # Named rows come after the ranked ones.
-    text_leg = text_leg.withColumn("rank", F.coalesce("rank", F.lit(inner + 1)))
-    if item_vectors.limit(1).count() == 0:
-        return top_per_group(
-            text_leg.select("query_id", "chunk_id", F.col("rank").alias("best_rank")),
-            ["query_id"], [F.col("best_rank"), F.col("chunk_id")], k,
-        ).withColumns({"rrf_score": F.lit(None).cast("double"), "vector_score": F.lit(None).cast("double")})
-    vector_leg = top_similar(query_vectors, item_vectors, 2 * k)
-    fused = fuse(vector_leg, text_leg, max(k, 25))
-    return with_named_rows(fused, named_document_rows(queries, chunks))
+    named_in_text = named_document_rows(queries, pool, hits=lexical, group=tenant)
+    ranked = lexical.select("query_id", "chunk_id", "rank")
+    if item_vectors.isEmpty():
+        # Named rows are added after the cut, as a reader asked for their documents.
+        out = with_named_rows(ranked.filter(F.col("rank") <= k), named_in_text, k).withColumns(
+            {"best_rank": F.col("rank"), "rrf_score": F.lit(None).cast("double"), "vector_score": F.lit(None).cast("double")}
+        )
+    else:
+        text_leg = with_named_rows(ranked.filter(F.col("rank") <= inner), named_in_text, inner)
+        vector_leg = _vector_leg(queries, query_vectors, item_vectors, places, scope, tenant, 2 * k)
+        out = with_named_rows(fuse(vector_leg, text_leg, max(k, 25)), named_document_rows(queries, chunks, group=tenant))
+    if "parent_headings" not in chunks.columns or not {"topic", "target_document"} <= set(queries.columns):
+        return out
+    facts = chunks.select("chunk_id", "doc_id", "parent_headings")
+    asked = queries.select("query_id", "topic", "target_document")
+    return with_parent_sections(out.join(facts, "chunk_id").join(asked, "query_id"), facts)
 
 
 def retrieval_mode(intent: Column, has_prior: Column, bypass: Column) -> Column:

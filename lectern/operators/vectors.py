@@ -21,7 +21,8 @@ from lectern.operators.ranking import top_per_group
 BROADCAST_BYTES = 32 * 1024 * 1024
 ITEM_BLOCK = 4096
 QUERY_BLOCK = 1024
-_CELLS = 4_000_000
+#: Equal vectors may differ in the last bits of a product; they must tie.
+DIGITS = 12
 _HITS = "query_id bigint, item_id bigint, score double"
 
 
@@ -58,7 +59,7 @@ def _unit_rows(vectors) -> np.ndarray:
 
 def _best(qids, ids, scores, k: int | None, floor: float | None) -> pd.DataFrame:
     """Best ``k`` per row of ``scores`` (ties by id), or all at or above ``floor``."""
-    scores = np.round(scores, 6) + 0.0
+    scores = np.round(scores, DIGITS) + 0.0
     if floor is not None:
         keep = scores >= floor
     elif scores.shape[1] > k:
@@ -77,36 +78,52 @@ def _best(qids, ids, scores, k: int | None, floor: float | None) -> pd.DataFrame
     return pd.DataFrame({"query_id": qids[rows], "item_id": names, "score": values})
 
 
-def _merge(kept: pd.DataFrame | None, more: pd.DataFrame, k: int | None) -> pd.DataFrame:
-    if kept is None:
-        return more
-    both = pd.concat([kept, more], ignore_index=True)
-    if k is None:
-        return both
-    both = both.sort_values(["query_id", "score", "item_id"], ascending=[True, False, True])
-    return both.groupby("query_id", sort=False).head(k)
-
-
 def _scan(qids: np.ndarray, queries: np.ndarray, k: int | None, floor: float | None):
-    step = max(1, _CELLS // max(1, len(qids)))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept = None
+        best: list[tuple[np.ndarray, np.ndarray]] = [
+            (np.empty((min(QUERY_BLOCK, len(qids) - at), 0)), np.empty((min(QUERY_BLOCK, len(qids) - at), 0), np.int64))
+            for at in range(0, len(qids), QUERY_BLOCK)
+        ]
         for batch in batches:
-            for at in range(0, len(batch), step):
-                part = batch.iloc[at : at + step]
-                scores = queries @ _unit_rows(part["vector"]).T
-                found = _best(qids, part["item_id"].to_numpy(), scores, k, floor)
-                if k is None:
-                    yield found
-                else:
-                    kept = _merge(kept, found, k)
-        if kept is not None:
-            yield kept
+            for low in range(0, len(batch), ITEM_BLOCK):
+                part = batch.iloc[low : low + ITEM_BLOCK]
+                items, ids = _unit_rows(part["vector"]).T, part["item_id"].to_numpy()
+                for n, at in enumerate(range(0, len(qids), QUERY_BLOCK)):
+                    scores = queries[at : at + QUERY_BLOCK] @ items
+                    if k is None:
+                        yield _best(qids[at : at + QUERY_BLOCK], ids, scores, None, floor)
+                    else:
+                        best[n] = _kept_best(*best[n], np.round(scores, DIGITS) + 0.0, ids, k)
+        if k is not None:
+            for n, at in enumerate(range(0, len(qids), QUERY_BLOCK)):
+                scores, ids = best[n]
+                rows = np.repeat(qids[at : at + QUERY_BLOCK], scores.shape[1])
+                yield pd.DataFrame({"query_id": rows, "item_id": ids.ravel(), "score": scores.ravel()})
 
     return run
 
 
+def _kept_best(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, names: np.ndarray, k: int):
+    """The best ``k`` columns of each row (ties by id) of what is kept and what is new."""
+    if more.shape[1] > k:
+        # A column under a row's k-th best of the new ones cannot stay; the others come in order.
+        order = np.lexsort((np.broadcast_to(names, more.shape), -more), axis=1)[:, :k] if more.shape[1] <= 4 * k else _top(more, names, k)
+        more, names = np.take_along_axis(more, order, 1), names[order]
+    else:
+        names = np.broadcast_to(names, more.shape)
+    both, both_ids = np.concatenate([scores, more], axis=1), np.concatenate([ids, names], axis=1)
+    order = np.lexsort((both_ids, -both), axis=1)[:, :k]
+    return np.take_along_axis(both, order, 1), np.take_along_axis(both_ids, order, 1)
+
+
+def _top(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the best ``k`` of each row, with the smallest ids among those equal to the k-th."""
+    cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    # Everything over the cut goes first, then the cut's equals by id; the rest never.
+    rank = np.where(scores > cut, -1.0, np.where(scores == cut, names.astype(np.float64), np.inf))
+    return np.argpartition(rank, k - 1, axis=1)[:, :k]
+
+
 def _scan_search(queries: DataFrame, items: DataFrame, k: int | None, floor: float | None, rows) -> DataFrame:
     qids = np.array([r["query_id"] for r in rows], dtype=np.int64)
     matrix = _unit_rows([r["vector"] for r in rows])
@@ -152,7 +169,8 @@ def _block_search(
     right = (
         queries.withColumn("query_block", block("query_id", "query_blocks"))
         .withColumn("item_block", every("item_blocks"))
-        .select(*keys, "query_id", F.col("vector").alias("query_vector"))
+        # Both sides may come from one table; fresh keys tell them apart.
+        .select(*[F.col(c).alias(c) for c in keys], "query_id", F.col("vector").alias("query_vector"))
     )
 
     def multiply(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
@@ -208,17 +226,22 @@ def build_lists(items: DataFrame, seed: int = 7):
     return model.transform(features).drop("features"), np.stack(model.clusterCenters())
 
 
-def probe_lists(queries: DataFrame, centres: np.ndarray, probes: int = 1) -> DataFrame:
-    """One row per query and probed list. The centres are √n vectors."""
+def probe_lists(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, k: int, probes: int = 1) -> DataFrame:
+    """One row per query and probed list: the nearest ``probes``, and on until they hold ``k`` items.
+
+    The centres and the list sizes are √n rows.
+    """
     centre_norms = (centres * centres).sum(axis=1)
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             m = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])
             distance = centre_norms[None, :] - 2.0 * (m @ centres.T)
-            near = np.argsort(distance, axis=1)[:, :probes]
-            out = batch.loc[batch.index.repeat(near.shape[1])].copy()
-            out["list_id"] = near.reshape(-1).astype("int32")
+            near = np.argsort(distance, axis=1, kind="stable")
+            before = np.cumsum(sizes[near], axis=1) - sizes[near]
+            probed = (np.arange(near.shape[1]) < probes) | (before < k)
+            out = batch.loc[batch.index.repeat(probed.sum(axis=1))].copy()
+            out["list_id"] = near[probed].astype("int32")
             yield out
 
     return queries.select("query_id", "vector").mapInPandas(nearest, "query_id bigint, vector array<float>, list_id int")
@@ -226,5 +249,8 @@ def probe_lists(queries: DataFrame, centres: np.ndarray, probes: int = 1) -> Dat
 
 def top_similar_in_lists(queries: DataFrame, listed: DataFrame, centres: np.ndarray, k: int, probes: int = 1) -> DataFrame:
     """Approximate top ``k``: exact ranking inside the probed lists only."""
-    partial = _block_search(probe_lists(queries, centres, probes), listed, k, None, "list_id")
+    sizes = np.zeros(len(centres), np.int64)
+    for row in listed.groupBy("list_id").count().toLocalIterator():
+        sizes[row["list_id"]] = row["count"]
+    partial = _block_search(probe_lists(queries, centres, sizes, k, probes), listed, k, None, "list_id")
     return top_per_group(partial, ["query_id"], [F.desc("score"), F.col("item_id")], k)

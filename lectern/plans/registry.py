@@ -24,19 +24,17 @@ def query(name: str, covers: str, sql: str | None = None):
     return register
 
 
-_TASK_BYTES = 64 * 1024 * 1024
+PARTITIONS = "lectern.input.partitions"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. One that is too small to fill the cluster is spread first.
+    """A given table, in the partitions of its scan.
 
-    A single small row group would otherwise keep all text work in one task. At
-    scale the scan has more splits than cores and nothing is moved. Filters and
-    column pruning still reach the scan.
+    A session may set ``lectern.input.partitions`` where its text tables are one
+    small row group each, as on a laptop: they are then dealt out to so many tasks.
+    Without the setting, as on a cluster, nothing is moved. Filters and column
+    pruning reach the scan either way.
     """
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if name in ("documents", "pages") and size < cores * _TASK_BYTES:
-        return df.repartition(cores)
-    return df
+    wanted = spark.conf.get(PARTITIONS, None)
+    return df.repartition(int(wanted)) if wanted and name in ("documents", "pages") else df

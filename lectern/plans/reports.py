@@ -482,13 +482,14 @@ def _finish(spark, stream, label, mode="append"):
 def live_status_counts(spark, folder):
     from lectern.streaming.status import live_counts
 
-    name = "live_counts_" + scratch_path(spark, "x")[-8:]
+    folder_out = scratch_path(spark, "live-counts")
     running = (
-        live_counts(_stream(spark, folder, "events"), "event_type").writeStream.outputMode("complete").format("memory")
-        .queryName(name).option("checkpointLocation", scratch_path(spark, "live-state")).trigger(availableNow=True).start()
+        live_counts(_stream(spark, folder, "events"), "event_type").writeStream.outputMode("complete")
+        .foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(folder_out))
+        .option("checkpointLocation", scratch_path(spark, "live-state")).trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.table(name)
+    return spark.read.schema("event_type string, n bigint").parquet(folder_out)
 
 
 @query(
@@ -554,7 +555,7 @@ def parent_sections(spark, folder):
 # ---- more answer text -------------------------------------------------------
 @query("repaired_punctuation", "TXT-16", "SELECT doc_id, sha256(replace(text, ',', '—')) AS text_hash FROM documents")
 def repaired_punctuation(spark, folder):
-    broken = F.replace("text", F.lit(","), F.lit(fixed.misread("—")))
+    broken = F.replace("text", F.lit(","), F.lit(fixed.MOJIBAKE[0][1]))
     return table(spark, folder, "documents").select("doc_id", F.sha2(T.repair_punctuation(broken), 256).alias("text_hash"))
 
 
@@ -611,18 +612,60 @@ def grounded_prompts(spark, folder):
 
 
 # ---- files ------------------------------------------------------------------
-@query("file_scan", "SRC-1")
+def file_bytes(spark, folder):
+    """Files of several kinds made from the given tables: doc_id, name and bytes."""
+    docs = table(spark, folder, "documents").select(
+        F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.concat(F.lit("note "), "doc_id", F.lit(".txt")).alias("name"), F.col("text").alias("raw")
+    )
+    pages = table(spark, folder, "pages").select(
+        F.concat(F.lit("p"), "page_id").alias("doc_id"), F.concat(F.lit("page "), "page_id", F.lit(".html")).alias("name"), F.col("html").alias("raw")
+    )
+    props = table(spark, folder, "events").select(
+        F.concat(F.lit("e"), "event_id").alias("doc_id"),
+        F.concat(F.lit("event "), "event_id", F.when(F.col("event_id") % 5 == 0, ".docx").otherwise(".json")).alias("name"),
+        F.col("props").alias("raw"),
+    )
+    return docs.unionByName(pages).unionByName(props).select("doc_id", "name", F.encode("raw", "UTF-8").alias("bytes"))
+
+
+@query(
+    "file_scan", "SRC-1",
+    """SELECT name, size FROM (SELECT concat('note ', doc_id, '.txt') AS name, strlen(text) AS size FROM documents
+       UNION ALL SELECT concat('page ', page_id, '.html'), strlen(html) FROM pages)""",
+)
 def file_scan(spark, folder):
-    from lectern.sources.files import scan_files
+    """Text and page files as one row each, with their size in bytes."""
+    rows = file_bytes(spark, folder).filter(~F.col("doc_id").startswith("e"))
+    return rows.select("name", F.octet_length("bytes").cast("bigint").alias("size"))
 
-    return scan_files(spark, folder, "*.parquet").select("name", "size")
 
+@query(
+    "ingested_files", "SRC-1 SRC-2 SRC-4 STR-1",
+    """SELECT name, CASE WHEN name LIKE '%.docx' THEN 'FAILED' ELSE 'READY' END AS status FROM (
+       SELECT concat('note ', doc_id, '.txt') AS name FROM documents
+       UNION ALL SELECT concat('page ', page_id, '.html') FROM pages
+       UNION ALL SELECT concat('event ', event_id, CASE WHEN event_id % 5 = 0 THEN '.docx' ELSE '.json' END) FROM events)""",
+)
+def ingested_files(spark, folder):
+    """Status of files after extraction: those that are no office package, whatever their name says, fail."""
+    from lectern.sources.files import extracted_texts
 
-@query("file_checks", "SRC-18")
-def file_checks(spark, folder):
-    from lectern.sources.export import file_checks as checks
+    files = file_bytes(spark, folder)
+    read = extracted_texts(files).select("doc_id").distinct().withColumn("status", F.lit("READY"))
+    return files.select("doc_id", "name").join(read, "doc_id", "left").select("name", F.coalesce("status", F.lit("FAILED")).alias("status"))
 
-    return checks(spark, folder).select("name", "bytes", "format", "ok")
+
+@query(
+    "file_checks", "SRC-18",
+    """SELECT doc_id, strlen(text) > 0 AS filled, regexp_matches(text, '^(%PDF|PK|<svg)') AS signed, sha256(text) AS digest FROM documents""",
+)
+def file_checks(spark, folder):
+    """Size, signature and digest of the bytes of every document."""
+    data = F.encode("text", "UTF-8")
+    return table(spark, folder, "documents").select(
+        "doc_id", (F.octet_length(data) > 0).alias("filled"),
+        F.col("text").rlike(r"\A(%PDF|PK|<svg)").alias("signed"), F.sha2(data, 256).alias("digest"),
+    )
 
 
 @query(

@@ -34,30 +34,34 @@ def document_chunks(spark, folder):
 
 
 QV = "(SELECT b.item_id AS query_id, e.embedding AS vector, e.label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
-SIM = f"(SELECT q.query_id, e.vec_id AS item_id, q.label AS q_label, e.label, round({S.cosine('q.vector', 'e.embedding')}, 6) AS score FROM {QV} q, embeddings e)"
+SIM = f"(SELECT q.query_id, e.vec_id AS item_id, q.label AS q_label, e.label, round({S.cosine('q.vector', 'e.embedding')}, 12) AS score FROM {QV} q, embeddings e)"
 
 
 # ---- vectors ----------------------------------------------------------------
 @query(
     "vector_topk", "RET-15 TOP-1 WIN-7 JOIN-6",
-    f"""SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM}) WHERE rank <= 10""",
+    f"""SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM}) WHERE rank <= 10""",
 )
 def vector_topk(spark, folder):
-    return V.top_similar(query_vectors(spark, folder), item_vectors(spark, folder), 10).withColumn("rank", F.col("rank").cast("bigint"))
+    return V.top_similar(query_vectors(spark, folder), item_vectors(spark, folder), 10).withColumns(
+        {"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)}
+    )
 
 
 @query(
     "vector_topk_scoped", "TOP-1 FLT-9",
-    f"""SELECT query_id, item_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM} WHERE label = q_label) WHERE rank <= 10""",
+    f"""SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM} WHERE label = q_label) WHERE rank <= 10""",
 )
 def vector_topk_scoped(spark, folder):
     out = V.top_similar(query_vectors(spark, folder), item_vectors(spark, folder), 10, group="label")
-    return out.withColumn("rank", F.col("rank").cast("bigint"))
+    return out.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)})
 
 
-@query("similar_pairs", "JOIN-7", f"SELECT query_id, item_id, score FROM {SIM} WHERE score >= 0.25")
+@query("similar_pairs", "JOIN-7", f"SELECT query_id, item_id, round(score, 6) AS score FROM {SIM} WHERE score >= 0.25")
 def similar_pairs(spark, folder):
-    return V.similar_pairs(query_vectors(spark, folder), item_vectors(spark, folder), 0.25)
+    return V.similar_pairs(query_vectors(spark, folder), item_vectors(spark, folder), 0.25).withColumn(
+        "score", F.round("score", 6)
+    )
 
 
 @query("vector_list_search", "RET-16")
@@ -66,6 +70,17 @@ def vector_list_search(spark, folder):
     return V.top_similar_in_lists(query_vectors(spark, folder), listed, centres, 10)
 
 
+@query(
+    "vector_all_lists", "RET-16",
+    f"""SELECT query_id, item_id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM}) WHERE rank <= 10""",
+)
+def vector_all_lists(spark, folder):
+    """Every list probed: the index must then give the exact result."""
+    listed, centres = V.build_lists(item_vectors(spark, folder))
+    out = V.top_similar_in_lists(query_vectors(spark, folder), listed, centres, 10, probes=len(centres))
+    return out.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)})
+
+
 @query(
     "chunk_vectors", "JOIN-6",
     f"""SELECT c.doc_id, c.doc_name, e.label, CAST(len(e.embedding) AS BIGINT) AS dims FROM {S.CATALOG} c JOIN embeddings e ON e.vec_id = c.doc_id WHERE c.status = 'READY'""",
@@ -162,9 +177,9 @@ OR_HITS = f"""(SELECT q.query_id, i.chunk_id, CAST(sum(i.tf) AS DOUBLE) AS score
     JOIN {INDEX} i ON i.term = q.term GROUP BY q.query_id, i.chunk_id)"""
 
 
-def sql_search(limit: int) -> str:
+def sql_search(limit: int, allowed: str = "") -> str:
     return f"""(
-      WITH a AS (SELECT * FROM {AND_HITS}), o AS (SELECT * FROM {OR_HITS} WHERE query_id NOT IN (SELECT query_id FROM a))
+      WITH a AS (SELECT h.* FROM {AND_HITS} h {allowed}), o AS (SELECT h.* FROM {OR_HITS} h {allowed} WHERE query_id NOT IN (SELECT query_id FROM a))
       SELECT query_id, chunk_id, score, rank, leg FROM (
         SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
         (SELECT *, 'and' AS leg FROM a UNION ALL SELECT *, 'or' AS leg FROM o)) WHERE rank <= {limit})"""
@@ -177,7 +192,7 @@ def and_search(spark, folder):
 
 @query("or_search", "RET-3", f"SELECT query_id, chunk_id, score FROM {OR_HITS}")
 def or_search(spark, folder):
-    return L.or_hits(queries_of(spark, folder), document_chunks(spark, folder))
+    return L.or_hits(queries_of(spark, folder), document_chunks(spark, folder), fixed.OR_TERMS)
 
 
 @query("lexical_search", "RET-1 RET-3 TOP-2", f"SELECT * FROM {sql_search(50)}")
@@ -202,16 +217,23 @@ def substring_scores(spark, folder):
 
 
 # ---- fusion -----------------------------------------------------------------
-HYBRID = f"""(
-  WITH v AS (SELECT query_id, item_id AS chunk_id, rank, score AS vector_score FROM (
-        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM {SIM}) WHERE rank <= 50),
-  l AS (SELECT query_id, chunk_id, rank FROM {sql_search(100)} WHERE rank <= 50),
+def sql_hybrid(allowed: str = "") -> str:
+    return f"""(
+  WITH v AS (SELECT query_id, chunk_id, rank, score AS vector_score FROM (
+        SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM
+        (SELECT h.* FROM (SELECT query_id, item_id AS chunk_id, score FROM {SIM}) h {allowed})) WHERE rank <= 50),
+  l AS (SELECT query_id, chunk_id, rank FROM {sql_search(100, allowed)} WHERE rank <= 50),
   fused AS (SELECT query_id, chunk_id, sum(1.0::DOUBLE / (60 + rank)) AS rrf, min(rank) AS best_rank, max(vector_score) AS vector_score
             FROM (SELECT query_id, chunk_id, rank, vector_score FROM v UNION ALL SELECT query_id, chunk_id, rank, NULL FROM l) GROUP BY ALL)
-  SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, vector_score, rank FROM (
+  SELECT query_id, chunk_id, round(rrf, 9) AS rrf_score, round(vector_score, 6) AS vector_score, rank FROM (
     SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, best_rank, chunk_id) AS rank FROM fused) WHERE rank <= 25)"""
 
 
+HYBRID = sql_hybrid()
+# A query asks for the tenant of the document with its id, and sees that tenant's finished documents.
+ALLOWED = f"""JOIN (SELECT q.doc_id AS query_id, d.doc_id AS chunk_id FROM {S.CATALOG} q JOIN {S.CATALOG} d ON d.org_id = q.org_id AND d.status = 'READY') w USING (query_id, chunk_id)"""
+
+
 def named_chunks(spark, folder):
     return D.docs(spark, folder).select(F.col("doc_id").alias("chunk_id"), "doc_id", "doc_name", F.col("text").alias("content"))
 
@@ -222,7 +244,7 @@ def hybrid_rows(spark, folder):
     return search(
         queries_of(spark, folder), query_vectors(spark, folder), named_chunks(spark, folder), item_vectors(spark, folder)
     ).select(
-        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), "vector_score", F.col("rank").cast("bigint").alias("rank")
+        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("vector_score", 6).alias("vector_score"), F.col("rank").cast("bigint").alias("rank")
     )
 
 
@@ -231,6 +253,20 @@ def hybrid_search(spark, folder):
     return hybrid_rows(spark, folder)
 
 
+@query("tenant_hybrid_search", "FLT-8 TOP-1 RET-17", f"SELECT * FROM {sql_hybrid(ALLOWED)}")
+def tenant_hybrid_search(spark, folder):
+    from lectern.operators.retrieval import hybrid_search as search
+
+    catalog = D.catalog(spark, folder).select("doc_id", "org_id", "status")
+    owner = catalog.select(F.col("doc_id").alias("query_id"), "org_id")
+    chunks = named_chunks(spark, folder).join(catalog, "doc_id")
+    return search(
+        queries_of(spark, folder).join(owner, "query_id"), query_vectors(spark, folder), chunks, item_vectors(spark, folder)
+    ).select(
+        "query_id", "chunk_id", F.round("rrf_score", 9).alias("rrf_score"), F.round("vector_score", 6).alias("vector_score"), F.col("rank").cast("bigint").alias("rank")
+    )
+
+
 # Queries that name documents: one per labelled document.
 NAMED_Q = """(SELECT l.doc_id AS query_id, CASE WHEN l.quality = 1 THEN concat('Tell me about the ', d.lang, ' ', d.source, ' ', d.doc_id, ' file: ', d.text)
     ELSE concat('Compare ', d.lang, ' ', d.source, ' and others: ', d.text) END AS query, d.lang, d.source FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
@@ -429,9 +465,6 @@ def evidence_budget(spark, folder):
     )
 
 
-EVIDENCE_PARAGRAPHS = f"""(SELECT h.query_id, d.org_id AS group_doc, d.doc_name, p.chunk_id, p.chunk_index, h.rank FROM {HYBRID} h JOIN {S.PARAGRAPHS} p ON p.doc_id = h.chunk_id JOIN {S.DOCS} d ON d.doc_id = h.chunk_id)"""
-
-
 @query(
     "presentation_order", "WIN-6",
     f"""SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY first_seen, chunk_index NULLS LAST, rank) AS place FROM (

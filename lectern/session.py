@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -19,6 +20,9 @@ def local_session(app: str = "lectern", cores: str = "8", partitions: int = 8) -
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        # One small file would leave all text work to one task; see ``plans.registry.table``.
+        .config("lectern.input.partitions", cores if cores.isdigit() else "8")
         .config("spark.driver.memory", os.environ.get("LECTERN_DRIVER_MEMORY", "12g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
@@ -33,11 +37,14 @@ def local_session(app: str = "lectern", cores: str = "8", partitions: int = 8) -
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (tests, a laptop) is a fresh temporary
-    folder made; it is remembered in the session so that it is made once.
+    Without that setting a local session gets a fresh temporary folder, made once;
+    on a cluster it is an error, as executors do not see each other's folders.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("lectern.local.dir", None)
     if not named:
+        master = spark.sparkContext.master
+        if not re.match(r"local(\[|$)", master):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("lectern.local.dir", named)
     return named

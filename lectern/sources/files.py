@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -32,35 +33,94 @@ def text_files(files: DataFrame) -> DataFrame:
     return files.filter(ext.isin(fixed.TEXT_EXTENSIONS)).withColumn("text", T.structured_clean(raw)).drop("bytes")
 
 
+#: What a damaged, cut off or encrypted archive raises.
+_DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError)
+
+
+#: Endings whose text is not the bytes as they stand.
+MARKUP = ["html", "htm", "xml"]
+YAML = ["yaml", "yml"]
+
+
+def _ending(name: str = "name") -> Column:
+    return F.lower(F.element_at(F.split(name, r"\."), -1))
+
+
+def extracted_texts(files: DataFrame) -> DataFrame:
+    """Text of files by their ending (doc_id, text); ``files`` has doc_id, name and bytes.
+
+    Markup, JSON, YAML, SVG, archives, word-processor and slide files are read as
+    such, other text endings as plain text. A file that cannot be read, or whose
+    kind has no text here, gives no row.
+    """
+    from lectern.sources.markup import json_lines, svg_labels, yaml_lines
+
+    ext = _ending()
+    head = F.concat(F.lit("[File: "), F.col("name"), F.lit("]\n\n"))
+    raw = files.withColumn("raw", F.decode("bytes", "UTF-8"))
+
+    def shaped(rows: DataFrame, body: Column) -> DataFrame:
+        return rows.select("doc_id", F.when(T.trim_all(body) != "", F.concat(head, body)).alias("text")).filter("text is not null")
+
+    special = [*MARKUP, *YAML, "json"]
+    plain = shaped(raw.filter(ext.isin([e for e in fixed.TEXT_EXTENSIONS if e not in special])), T.structured_clean(F.col("raw")))
+    markup = shaped(raw.filter(ext.isin(MARKUP)), T.structured_clean(T.markup_text(F.col("raw"))))
+    json_text = shaped(json_lines(raw.filter(ext == "json"), "raw"), T.structured_clean(F.col("lines")))
+    yaml_text = shaped(yaml_lines(raw.filter(ext.isin(YAML)), "raw"), T.structured_clean(F.col("lines")))
+    svg = shaped(raw.filter(ext == "svg"), svg_labels(F.col("raw")))
+
+    def packed(ending: str) -> DataFrame:
+        return files.filter(ext == ending).select(F.col("doc_id").alias("path"), "bytes")
+
+    sections = archive_sections(archive_members(packed("zip")))
+    archives = sections.groupBy("path").agg(F.expr("listagg(section, '\\n\\n') WITHIN GROUP (ORDER BY member)").alias("text"))
+    word = word_text(package_parts(packed("docx"), r"^word/document\.xml$"))
+    decks = slide_deck_text(slides(package_parts(packed("pptx"), r"^ppt/slides/slide\d+\.xml$")))
+    named = files.select("doc_id", "name")
+    for other in (archives, word, decks):
+        rows = other.select(F.col("path").alias("doc_id"), F.col("text").alias("body")).join(named, "doc_id")
+        plain = plain.unionByName(shaped(rows, F.col("body")))
+    for other in (markup, json_text, yaml_text, svg):
+        plain = plain.unionByName(other)
+    return plain
+
+
 # ---- archives ---------------------------------------------------------------
 def archive_members(files: DataFrame) -> DataFrame:
-    """Text members of zip files (path, member, raw): one row in, many out."""
+    """Text members of zip files (path, member, raw, error): one row in, many out.
+
+    A damaged archive gives one row with its ``error`` and no member.
+    """
     wanted = set(fixed.TEXT_EXTENSIONS)
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["bytes"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                    for info in archive.infolist():
-                        name = info.filename
-                        ext = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-                        if info.is_dir() or "__MACOSX" in name or ".git/" in name or ext not in wanted:
-                            continue
-                        body = archive.read(info).decode("utf-8", errors="replace")
-                        yield pd.DataFrame({"path": [path], "member": [name], "raw": [body]})
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as archive:
+                        for info in archive.infolist():
+                            name = info.filename
+                            ext = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+                            if info.is_dir() or "__MACOSX" in name or ".git/" in name or ext not in wanted:
+                                continue
+                            body = archive.read(info).decode("utf-8", errors="replace")
+                            yield pd.DataFrame({"path": [path], "member": [name], "raw": [body], "error": [None]}, dtype="str")
+                except _DAMAGED as damage:
+                    yield pd.DataFrame({"path": [path], "member": [None], "raw": [None], "error": [str(damage)]}, dtype="str")
 
-    return files.select("path", "bytes").mapInPandas(members, "path string, member string, raw string")
+    return files.select("path", "bytes").mapInPandas(members, "path string, member string, raw string, error string")
 
 
 def archive_sections(members: DataFrame) -> DataFrame:
     """One headed section per archive member."""
+    members = members.filter("error is null")
     section = F.concat(F.lit("# Archive file: "), F.col("member"), F.lit("\n\n"), T.structured_clean(F.col("raw")))
     return members.select("path", "member", section.alias("section"))
 
 
 # ---- office XML -------------------------------------------------------------
 def package_parts(files: DataFrame, pattern: str) -> DataFrame:
-    """XML parts of zipped office files whose name matches (path, part, xml)."""
+    """XML parts of zipped office files whose name matches (path, part, xml); a damaged file has none."""
     import re
 
     rule = re.compile(pattern)
@@ -68,9 +128,12 @@ def package_parts(files: DataFrame, pattern: str) -> DataFrame:
     def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, data in zip(batch["path"], batch["bytes"]):
-                with zipfile.ZipFile(io.BytesIO(data)) as package:
-                    names = [n for n in package.namelist() if rule.search(n)]
-                    xml = [package.read(n).decode("utf-8", errors="replace") for n in names]
+                try:
+                    with zipfile.ZipFile(io.BytesIO(data)) as package:
+                        names = [n for n in package.namelist() if rule.search(n)]
+                        xml = [package.read(n).decode("utf-8", errors="replace") for n in names]
+                except _DAMAGED:
+                    continue
                 yield pd.DataFrame({"path": [path] * len(names), "part": names, "xml": xml}, dtype="str")
 
     return files.select("path", "bytes").mapInPandas(parts, "path string, part string, xml string")

@@ -23,24 +23,41 @@ def _shown(value) -> str:
     return str(value)
 
 
-def _paths(value, label: str = "") -> str:
+def _children(value) -> list[tuple[str, object]]:
+    """Steps from a container to its members; a scalar has none."""
+    if isinstance(value, dict):
+        return [(f".{k}", v) for k, v in value.items()]
     if isinstance(value, list):
-        return "\n".join(_paths(v, f"{label}[{i}]") for i, v in enumerate(value))
-    if not isinstance(value, dict):
-        return _shown(value)
-    lines = []
-    for key, child in value.items():
-        name = f"{label}.{key}" if label else key
-        body = _paths(child, name)
-        lines.append(f"{name}:\n{body}" if "\n" in body else f"{name}: {body}")
-    return "\n".join(lines)
+        return [(f"[{k}]", v) for k, v in enumerate(value)]
+    return []
+
+
+def path_lines(value) -> str:
+    """``path: value`` lines of nested JSON, at any depth.
+
+    Nodes are listed parents first; their texts are then put together from the
+    last to the first, so no call nests.
+    """
+    nodes = [("", value, -1)]
+    at = 0
+    while at < len(nodes):
+        path, node, _ = nodes[at]
+        nodes += [(path + step if path else step.removeprefix("."), child, at) for step, child in _children(node)]
+        at += 1
+    parts: list[list[str]] = [[] for _ in nodes]
+    for (path, node, parent), own in zip(reversed(nodes), reversed(parts)):
+        text = "\n".join(reversed(own)) if isinstance(node, (dict, list)) else _shown(node)
+        if parent >= 0:
+            named = isinstance(nodes[parent][1], dict)
+            parts[parent].append(f"{path}:{chr(10) if chr(10) in text else ' '}{text}" if named else text)
+    return "\n".join(reversed(parts[0])) if isinstance(value, (dict, list)) else _shown(value)
 
 
 @F.pandas_udf(StringType())
 def _nested_lines(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def one(doc: str) -> str:
         try:
-            return _paths(json.loads(doc))
+            return path_lines(json.loads(doc))
         except (TypeError, ValueError):
             return doc
 
@@ -68,12 +85,21 @@ def json_lines(df: DataFrame, column: str, out: str = "lines") -> DataFrame:
 def _yaml_as_json(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     import yaml
 
+    def one(doc: str) -> str:
+        try:
+            return json.dumps(yaml.safe_load(doc), default=str)
+        except yaml.YAMLError:
+            return doc
+
     for batch in docs:
-        yield batch.map(lambda d: json.dumps(yaml.safe_load(d), default=str), na_action="ignore")
+        yield batch.map(one, na_action="ignore")
 
 
 def yaml_lines(df: DataFrame, column: str, out: str = "lines") -> DataFrame:
-    """As ``json_lines`` for YAML; needs the optional yaml package on the workers."""
+    """As ``json_lines`` for YAML; needs the optional yaml package on the workers.
+
+    A text that is no YAML stays as it is.
+    """
     staged = df.withColumn("__json", _yaml_as_json(F.col(column)))
     return json_lines(staged, "__json", out).drop("__json")
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions import text as T
 from lectern.operators import catalog as C
 from lectern.operators.chunking import chunk_documents
 from lectern.operators.embed import embed_pending
-from lectern.sources.files import text_files
+from lectern.session import kept
+from lectern.sources.files import extracted_texts
 from lectern.sources.tables import append_absent
 
 MODEL, VERSION = "word-hash", "1"
@@ -25,8 +25,10 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
 
 
 def ingest_batch(files: DataFrame, store: str, org: str, embed) -> None:
-    """Validate, deduplicate, chunk, embed and append one batch of files.
+    """Validate, deduplicate, extract by type, chunk, embed and append one batch of files.
 
+    A document is READY with at least one chunk, else FAILED; a damaged file is a
+    FAILED row and stops nothing.
     The document row is written last and marks a file as done. A batch that
     broke off is run again and completes: each append skips the keys it finds.
     """
@@ -42,14 +44,18 @@ def ingest_batch(files: DataFrame, store: str, org: str, embed) -> None:
     fresh = accepted.join(first, ["org_id", "sha256", "path"], "left_semi")
     if _exists(spark, f"{store}/documents"):
         fresh = fresh.join(spark.read.parquet(f"{store}/documents").select("org_id", "sha256"), ["org_id", "sha256"], "left_anti")
+    # Read four times below; the bytes are fetched and hashed once.
+    fresh = kept(fresh, "fresh")
     rows = C.document_rows(fresh)
-    texts = text_files(fresh.select("name", "bytes", C.document_id(F.col("org_id"), F.col("sha256")).alias("doc_id")))
-    chunks = chunk_documents(texts.select("doc_id", "text"))
+    texts = extracted_texts(fresh.select("name", "bytes", C.document_id(F.col("org_id"), F.col("sha256")).alias("doc_id")))
+    chunks = kept(chunk_documents(texts), "chunks")
     append_absent(spark, f"{store}/chunks", chunks, ["chunk_id"])
-    stored_chunks = spark.read.parquet(f"{store}/chunks").join(rows.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
-    append_absent(spark, f"{store}/embeddings", embed_pending(stored_chunks, None, MODEL, VERSION, embed), ["id"])
+    # A file without a chunk was not read: its status says so.
+    read = chunks.select(F.col("doc_id").alias("id")).distinct().withColumn("status", F.lit("READY"))
+    done = rows.drop("status").join(read, "id", "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
+    append_absent(spark, f"{store}/embeddings", embed_pending(chunks, None, MODEL, VERSION, embed), ["id"])
     append_absent(spark, f"{store}/rejected", rejected, ["path"])
-    append_absent(spark, f"{store}/documents", rows.withColumn("status", F.lit("READY")), ["id"])
+    append_absent(spark, f"{store}/documents", done.select(*rows.columns), ["id"])
 
 
 def start_ingest(files: DataFrame, store: str, checkpoint: str, org: str, embed):

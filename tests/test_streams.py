@@ -92,3 +92,41 @@ def test_vectors_have_unit_length(spark):
     rows = [r[0] for r in df.select(embedder(hashing_model(48))(F.col("t"))).collect()]
     assert len(rows[0]) == 48 and abs(sum(x * x for x in rows[0]) - 1) < 1e-5
     assert sum(map(abs, rows[1])) == 0 and rows[2] is None
+
+
+def test_ingest_reads_by_type_and_tells_failures(spark, tmp_path):
+    import io
+    import zipfile
+
+    def package(parts):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return data.getvalue()
+
+    src, store = tmp_path / "files", tmp_path / "store"
+    src.mkdir()
+    files = {
+        "page.html": b"<html><script>var hidden = 1</script><h1>Heading of it</h1><p>A paragraph that is long enough.</p></html>",
+        "data.json": b'{"outer": {"inner": ["first value here", "second value"]}}',
+        "bad.yaml": b"key: [unclosed and long enough to be a chunk",
+        "letter.docx": package({"word/document.xml": "<w:document><w:p><w:r><w:t>A letter with enough text</w:t></w:r></w:p></w:document>"}),
+        "notes.zip": package({"a.txt": "text of the first member", "b.exe": "x"}),
+        "broken.zip": b"PK\x03\x04 cut off",
+        "scan.pdf": b"%PDF-1.7 no text here",
+    }
+    for name, data in files.items():
+        (src / name).write_bytes(data)
+    ingest.start_ingest(ingest.file_stream(spark, str(src)), str(store), str(store) + "-cp", "org", embedder(hashing_model(16))).awaitTermination()
+    rows = {r["name"]: r for r in spark.read.parquet(str(store / "documents")).collect()}
+    assert {n for n, r in rows.items() if r["status"] == "FAILED"} == {"broken.zip", "scan.pdf"}
+    assert set(rows) == set(files)
+    text = {}
+    for r in spark.read.parquet(str(store / "chunks")).collect():
+        text[r["doc_id"]] = text.get(r["doc_id"], "") + r["content"]
+    of = lambda name: text[rows[name]["id"]]
+    assert "hidden" not in of("page.html") and "# Heading of it" in of("page.html")
+    assert "outer.inner[0]" not in of("data.json") and "first value here" in of("data.json")
+    assert "A letter with enough text" in of("letter.docx")
+    assert "text of the first member" in of("notes.zip") and "unclosed" in of("bad.yaml")

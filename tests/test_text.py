@@ -73,7 +73,7 @@ def test_claims(spark):
 def test_misread_punctuation(spark):
     from lectern.functions import fixed
 
-    broken = "a" + fixed.misread("—") + "b" + fixed.misread("’", 2) + "c"
+    broken = "a" + fixed.MOJIBAKE[0][1] + "b" + fixed.MOJIBAKE[2][0] + "c"
     assert one(spark, broken, T.print_text) == "a—b’c"
 
 
