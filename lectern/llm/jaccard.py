@@ -242,8 +242,9 @@ def joined(docs: DataFrame, forest: Forest = Forest()) -> tuple[DataFrame, DataF
     )
     texts = docs.select("doc_id", "text", text_mark().alias("mark"))
     same = texts["doc_id"].eqNullSafe(wanted["doc_id"]) & (texts["mark"] == wanted["mark"])
+    # A merge at every size: a broadcast would stop fitting as the corpus grows.
     # Repeated rows bring the same set; one of them is enough.
-    sets = _sets(texts.join(wanted, same), forest.words).dropDuplicates(["node"])
+    sets = _sets(texts.hint("merge").join(wanted, same), forest.words).dropDuplicates(["node"])
     # Part p meets every part q: in the block (min, max) of the two.
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))
     placed = sets.withColumn("q", other).select(

@@ -8,8 +8,9 @@ size. A suffix is taken only where it starts at an *anchor*: the place of the le
 hash among the ``WINDOW`` seeds (``SEED`` bytes each) of some string of ``LENGTH``
 bytes. That choice depends on the string alone, so a string and its copy have the
 same anchors, and every string holds one: about one place in fifteen is kept and
-no match is lost. A suffix is known by the fingerprint of its seed and that of its
-*surroundings* (all bytes that any string through the seed can reach).
+no match is lost. A suffix is known by the fingerprint of its seed, that of its
+*surroundings* (all bytes that any string through the seed can reach), and two
+short ones of the seed with half of the surroundings to its left or right.
 
 **Logarithmic index family.** Suffixes are dealt out by seed fingerprint. A bucket
 takes the batches of its documents one after the other: each becomes a sorted
@@ -18,8 +19,9 @@ and a suffix is merged log n times. Levels keep the smallest doc_id of each
 (seed, surroundings). Each batch is then merge-scanned against the merged levels:
 
 * surroundings seen in a smaller doc_id: every string through the anchor is one;
-* a seed with one surroundings only: no string of which it is the least seed is;
-* else undecided: seed known, surroundings new (the rim of a match).
+* no other surroundings of the seed agree on the left or the right half: no string
+  of which it is the least seed is (a common string covers one half at least);
+* else undecided: the rim of a match.
 
 **Rims.** A string whose least seed is undecided is hashed; the smallest doc_id of
 each such hash decides it. First the hashes of a batch are combined, then dealt
@@ -56,11 +58,11 @@ LENGTH = 50
 SEED = 22
 WINDOW = LENGTH - SEED + 1
 RIM = LENGTH - SEED
-BATCH_BYTES = 4 << 20
-HOT = 64
+HALF = RIM // 2
+BATCH_BYTES = 1 << 20
+HOT = 16
 BUCKET_ENTRIES = 500_000
 NO_ID = np.iinfo(np.int64).max
-#: Stands for the surroundings of a hot seed.
 MANY = np.uint32(0xFFFFFFFF)
 
 
@@ -104,23 +106,30 @@ class Text:
         return ok
 
 
-def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Places of the anchors, their document, seed fingerprint and fingerprint of the surroundings; the least seed of each string."""
+def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the anchors, their document and seed fingerprint; the least seed of each string."""
     seeds = text.every(SEED)
     inside = text.inside(LENGTH)
     if not inside.any():
         empty = np.empty(0, np.int64)
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint32), empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
     least = np.where(inside, _sliding(seeds, WINDOW, np.minimum), np.uint64(0))
     edge = np.zeros(WINDOW - 1, np.uint64)
     reached = _sliding(np.concatenate([edge, least, edge]), WINDOW, np.maximum)
     place = np.flatnonzero((reached == seeds) & (reached > 0))
-    offsets = text.block.offsets
-    doc = np.searchsorted(offsets, place, "right") - 1
-    low, high = np.maximum(place - RIM, offsets[doc]), np.minimum(place + LENGTH, offsets[doc + 1])
+    doc = np.searchsorted(text.block.offsets, place, "right") - 1
+    return place, doc, seeds[place], least
+
+
+def surroundings(text: Text, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Fingerprints of all surroundings of each anchor, of their left and of their right half."""
+    first, last = text.block.offsets[doc], text.block.offsets[doc + 1]
+    low, high = np.maximum(place - RIM, first), np.minimum(place + LENGTH, last)
     around = text.ranges(low, high) + B.mixed((place - low).astype(np.uint64))
-    around = (around >> np.uint64(32)).astype(np.uint32)
-    return place, doc, seeds[place], np.minimum(around, MANY - np.uint32(1)), least
+    left = text.ranges(np.maximum(place - HALF, first), place + SEED)
+    right = text.ranges(place, np.minimum(place + SEED + HALF, last))
+    around = np.minimum((around >> np.uint64(32)).astype(np.uint32), MANY - np.uint32(1))
+    return around, (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)
 
 
 def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -128,23 +137,23 @@ def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, smallest doc_id)."""
+    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, halves, smallest doc_id)."""
 
     def __init__(self):
-        self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.seeds: tuple[np.ndarray, np.ndarray] | None = None  # distinct seeds and their surroundings, once all are in
+        self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.several: list[np.ndarray] | None = None
 
     @staticmethod
-    def _sorted(suffix, seed, doc):
+    def _sorted(suffix, seed, halves, doc):
         order = np.argsort(suffix)
-        suffix, seed, doc = suffix[order], seed[order], doc[order]
+        suffix, seed, halves, doc = suffix[order], seed[order], halves[order], doc[order]
         first = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
-        return suffix[first], seed[first], np.minimum.reduceat(doc, first)
+        return suffix[first], seed[first], halves[first], np.minimum.reduceat(doc, first)
 
-    def add(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> None:
+    def add(self, suffix: np.ndarray, seed: np.ndarray, halves: np.ndarray, doc: np.ndarray) -> None:
         if not len(suffix):
             return
-        new, self.seeds = self._sorted(suffix, seed, doc), None
+        new, self.several = self._sorted(suffix, seed, halves, doc), None
         while self.arrays and len(self.arrays[-1][0]) <= 2 * len(new[0]):
             new = self._sorted(*(np.concatenate(pair) for pair in zip(self.arrays.pop(), new)))
         self.arrays.append(new)
@@ -153,20 +162,48 @@ class Levels:
         while len(self.arrays) > 1:
             b, a = self.arrays.pop(), self.arrays.pop()
             self.arrays.append(self._sorted(*(np.concatenate(pair) for pair in zip(a, b))))
-        return self.arrays[0] if self.arrays else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64))
-
-    def scan(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """1: in a smaller doc_id too, 2: undecided, 0: neither."""
-        if self.seeds is None:
-            self.seeds = np.unique(self.merged()[1], return_counts=True)
-        known, _, least = self.merged()
-        distinct, counts = self.seeds
+        return self.arrays[0]
+
+    def scan(self, suffix: np.ndarray, seed: np.ndarray, halves: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """1: in a smaller doc_id too, 2: undecided, 0: neither. ``hot`` seeds leave all their suffixes undecided."""
+        known, seeds, parts, least = self.merged()
+        if self.several is None:
+            self.several = [_repeated(_half(seeds, parts, side)) for side in (0, 1)]
         full = least[np.searchsorted(known, suffix)] < doc
-        several = counts[np.searchsorted(distinct, seed)] > 1
-        return np.where(full, 1, np.where(several, 2, 0)).astype(np.uint8)
+        open_ = _among(seed, hot)
+        for side, several in enumerate(self.several):
+            open_ |= _among(_half(seed, halves, side), several)
+        return np.where(full, 1, np.where(open_, 2, 0)).astype(np.uint8)
+
+
+def _half(seeds: np.ndarray, halves: np.ndarray, side: int) -> np.ndarray:
+    return B.mixed(seeds + (halves[:, side].astype(np.uint64) << np.uint64(48)) + np.uint64(side))
+
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    ranked = np.sort(values)
+    return np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+
+
+def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
+    if not len(ranked):
+        return np.zeros(len(values), bool)
+    return ranked[np.minimum(np.searchsorted(ranked, values), len(ranked) - 1)] == values
+
+
+def _short(seeds: np.ndarray, bits: int) -> bytes:
+    """48 bits of each seed below those that name its bucket."""
+    wide = ((seeds << np.uint64(bits)) >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)
+    return np.ascontiguousarray(wide[:, :6]).tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    wide = np.zeros((len(raw) // 6, 8), np.uint8)
+    wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return wide.view("<u8").ravel()
 
 
-DEALT = "bucket int, batch long, ids binary, marks binary, counts binary, seeds binary, around binary"
+DEALT = "bucket int, batch long, ids binary, marks binary, counts binary, seeds binary, around binary, halves binary"
 
 
 def _ids(column) -> np.ndarray:
@@ -182,9 +219,9 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
     """The suffixes of each batch of documents, for each bucket in the order of documents and places."""
     size = 1 << bits
 
-    def row(bucket, number, ids, marks, doc, *columns):
+    def row(bucket, number, ids, marks, doc, seeds, around, halves):
         own, counts = np.unique(doc, return_counts=True)
-        return (bucket, number, ids[own].tobytes(), marks[own].tobytes(), counts.astype(np.int32).tobytes(), *(c.tobytes() for c in columns))
+        return (bucket, number, ids[own].tobytes(), marks[own].tobytes(), counts.astype(np.int32).tobytes(), seeds, around.tobytes(), halves.tobytes())
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
@@ -192,16 +229,19 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
             all_ids, all_marks = _ids(batch.column("doc_id")), batch.column("mark").to_numpy()
             for block in B.blocks(batch.column("text"), BATCH_BYTES):
                 ids, marks = all_ids[block.row : block.row + block.n], all_marks[block.row : block.row + block.n]
-                _, doc, seeds, around, _ = anchors(Text(block))
+                text = Text(block)
+                place, doc, seeds, _ = anchors(text)
+                around, *both = surroundings(text, place, doc)
+                halves = np.stack(both, axis=1)
                 ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 hot = _hot(seeds, doc)
                 rows = []
                 if hot.any():
-                    rows.append(row(-1 - number % 1021, number, ids, marks, doc[hot], ordinal[hot].astype(np.int32), np.empty(0, np.uint32)))
+                    rows.append(row(-1 - number % 1021, number, ids, marks, doc[hot], ordinal[hot].astype(np.int32).tobytes(), around[:0], halves[:0]))
                 bucket = (seeds >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(seeds), np.uint16)
                 plain = np.flatnonzero(~hot)
                 plain = plain[np.argsort(bucket[plain], kind="stable")]
-                marked, first = np.unique(seeds[hot], return_index=True)
+                marked = np.unique(seeds[hot])
                 least = np.full(len(marked), NO_ID)
                 np.minimum.at(least, np.searchsorted(marked, seeds[hot]), ids[doc[hot]])
                 cuts = np.searchsorted(bucket[plain], np.arange(size + 1))
@@ -209,18 +249,18 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
                 for b in range(size):
                     mine = plain[cuts[b] : cuts[b + 1]]
                     if len(mine):
-                        rows.append(row(b, number, ids, marks, doc[mine], seeds[mine], around[mine]))
+                        rows.append(row(b, number, ids, marks, doc[mine], _short(seeds[mine], bits), around[mine], halves[mine]))
                     low, high = marked_cuts[b], marked_cuts[b + 1]
                     if high > low:
-                        # One entry for each hot seed: as a document of its own without a mark to answer to.
-                        rows.append((b, -1, least[low:high].tobytes(), b"", np.ones(high - low, np.int32).tobytes(), marked[low:high].tobytes(), np.full(high - low, MANY).tobytes()))
+                        # One entry for each hot seed, with nobody to answer to.
+                        rows.append((b, -1, least[low:high].tobytes(), b"", b"", _short(marked[low:high], bits), b"", b""))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int32()),
                         pa.array([r[1] for r in rows], pa.int64()),
-                        *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 7)),
+                        *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 8)),
                     ],
-                    ["bucket", "batch", "ids", "marks", "counts", "seeds", "around"],
+                    ["bucket", "batch", "ids", "marks", "counts", "seeds", "around", "halves"],
                 )
                 number += 1
 
@@ -275,18 +315,19 @@ def judge(dealt: DataFrame) -> DataFrame:
             for r in rows:
                 out.append(_code_table(-1, read(r, "ids", np.int64), read(r, "marks", np.int64), read(r, "counts", np.int32).astype(np.int64), read(r, "seeds", np.uint8), 4))
             return pa.concat_tables(out).cast(schema)
+        hot = np.unique(np.concatenate([np.empty(0, np.uint64), *(_long(r["seeds"]) for r in rows if r["batch"] < 0)]))
+        rows = [r for r in rows if r["batch"] >= 0]
         levels = Levels()
         entries = []
         for r in rows:
             counts = read(r, "counts", np.int32).astype(np.int64)
-            seeds = read(r, "seeds", np.uint64)
-            entry = (_known(seeds, read(r, "around", np.uint32)), seeds, np.repeat(read(r, "ids", np.int64), counts))
+            seeds = _long(r["seeds"])
+            halves = read(r, "halves", np.uint16).reshape(-1, 2)
+            entry = (_known(seeds, read(r, "around", np.uint32)), seeds, halves, np.repeat(read(r, "ids", np.int64), counts))
             levels.add(*entry)
             entries.append((entry, counts))
         for r, (entry, counts) in zip(rows, entries):
-            if r["batch"] < 0:
-                continue
-            codes = levels.scan(*entry)
+            codes = levels.scan(*entry, hot)
             some = np.maximum.reduceat(codes, np.cumsum(counts) - counts) > 0
             if some.any():
                 whole = _code_table(bucket, read(r, "ids", np.int64), read(r, "marks", np.int64), counts, codes, 1)
@@ -338,7 +379,7 @@ def decide(docs: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
                 rows, waiting = [], []
                 if len(answered):
                     text = Text(block)
-                    place, doc, seeds, _, least_seed = anchors(text)
+                    place, doc, seeds, least_seed = anchors(text)
                     first = np.searchsorted(doc, np.arange(block.n + 1))
                     bucket = (seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seeds), np.int64)
                 for d in range(block.n):

@@ -84,7 +84,7 @@ def test_levels_stay_logarithmic():
     levels, pick = suffixes.Levels(), np.random.default_rng(1)
     for _ in range(64):
         seeds = pick.integers(0, 1 << 60, 100).astype(np.uint64)
-        levels.add(seeds, seeds, pick.integers(0, 50, 100))
+        levels.add(seeds, seeds, np.zeros((100, 2), np.uint16), pick.integers(0, 50, 100))
         assert len(levels.arrays) <= 8
     assert len(levels.merged()[0]) == 6400
 
