@@ -8,9 +8,8 @@ size. A suffix is taken only where it starts at an *anchor*: the place of the le
 hash among the ``WINDOW`` seeds (``SEED`` bytes each) of some string of ``LENGTH``
 bytes. That choice depends on the string alone, so a string and its copy have the
 same anchors, and every string holds one: about one place in fifteen is kept and
-no match is lost. A suffix is known by the fingerprint of its seed, that of its
-*surroundings* (all bytes that any string through the seed can reach), and two
-short ones of the seed with half of the surroundings to its left or right.
+no match is lost. A suffix is known by the fingerprint of its seed and that of its
+*surroundings* (all bytes that any string through the seed can reach).
 
 **Logarithmic index family.** Suffixes are dealt out by seed fingerprint. A bucket
 takes the batches of its documents one after the other: each becomes a sorted
@@ -19,25 +18,27 @@ and a suffix is merged log n times. Levels keep the smallest doc_id of each
 (seed, surroundings). Each batch is then merge-scanned against the merged levels:
 
 * surroundings seen in a smaller doc_id: every string through the anchor is one;
-* no other surroundings of the seed agree on the left or the right half: no string
-  of which it is the least seed is (a common string covers one half at least);
-* else undecided: the rim of a match.
+* a seed with one surroundings only: no string of which it is the least seed is;
+* else open: the rim of a match, or a seed that recurs by chance.
 
-**Rims.** A string whose least seed is undecided is hashed; the smallest doc_id of
-each such hash decides it. First the hashes of a batch are combined, then dealt
-out by hash and sent back.
+**Rims.** Open anchors are dealt out by seed once more, now with their surroundings
+as they are; the bucket finds the smallest doc_id of each string of which the seed
+is the least one, and answers with a bit for each string.
 
-A seed that stands in ``HOT`` documents of one batch or more is not dealt out with
-all its places: its bucket gets one entry a batch, which makes the seed undecided
-elsewhere, and its places are undecided themselves. So a passage in a third of all
-documents costs a bucket one entry a batch, and a batch one hash for each string.
+A seed that stands in ``HOT`` documents of one batch or more is *hot*. Its places are
+not dealt out by seed: its bucket gets one entry a batch, and all its places are open.
+Their strings are hashed, combined inside the batch, and dealt out by hash. So a
+passage in a third of all documents costs a batch one hash for each of its strings,
+and the strings over its edge, which all differ, are spread over all buckets.
+
+Texts are shuffled once: they are kept in the shared folder, bucketed by a key of
+doc_id and text, and both later passes join them bucket by bucket.
 
 Cases: a null or empty text has 0 bytes, nothing removed, and the hash of nothing.
 Texts under ``LENGTH`` bytes are never cut. Rows that share a doc_id do not count
 against each other; repeated rows get equal results. A null doc_id counts as the
 largest. Very long texts are one piece of work. An empty table gives an empty
-result; other columns are not read. Equality is that of 64-bit fingerprints and
-more (96 bits for a suffix).
+result. Equality is that of 64-bit fingerprints or more (80 bits for a suffix).
 """
 
 from __future__ import annotations
@@ -47,23 +48,24 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
-from lectern.session import kept
+from lectern.session import kept, scratch_path
 
 LENGTH = 50
 SEED = 22
 WINDOW = LENGTH - SEED + 1
 RIM = LENGTH - SEED
-HALF = RIM // 2
 BATCH_BYTES = 1 << 20
 HOT = 16
 BUCKET_ENTRIES = 500_000
+OPEN_ENTRIES = 60_000
 NO_ID = np.iinfo(np.int64).max
-MANY = np.uint32(0xFFFFFFFF)
+FULL, OPEN, OPEN_HOT = 1, 2, 3
 
 
 def _sliding(values: np.ndarray, size: int, op) -> np.ndarray:
@@ -121,15 +123,11 @@ def anchors(text: Text) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
     return place, doc, seeds[place], least
 
 
-def surroundings(text: Text, place: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Fingerprints of all surroundings of each anchor, of their left and of their right half."""
-    first, last = text.block.offsets[doc], text.block.offsets[doc + 1]
-    low, high = np.maximum(place - RIM, first), np.minimum(place + LENGTH, last)
+def surroundings(text: Text, place: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Fingerprint of all surroundings of each anchor."""
+    low, high = np.maximum(place - RIM, text.block.offsets[doc]), np.minimum(place + LENGTH, text.block.offsets[doc + 1])
     around = text.ranges(low, high) + B.mixed((place - low).astype(np.uint64))
-    left = text.ranges(np.maximum(place - HALF, first), place + SEED)
-    right = text.ranges(place, np.minimum(place + SEED + HALF, last))
-    around = np.minimum((around >> np.uint64(32)).astype(np.uint32), MANY - np.uint32(1))
-    return around, (left >> np.uint64(48)).astype(np.uint16), (right >> np.uint64(48)).astype(np.uint16)
+    return (around >> np.uint64(32)).astype(np.uint32)
 
 
 def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -137,23 +135,23 @@ def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, halves, smallest doc_id)."""
+    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, smallest doc_id)."""
 
     def __init__(self):
-        self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.several: list[np.ndarray] | None = None
+        self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.several: np.ndarray | None = None
 
     @staticmethod
-    def _sorted(suffix, seed, halves, doc):
+    def _sorted(suffix, seed, doc):
         order = np.argsort(suffix)
-        suffix, seed, halves, doc = suffix[order], seed[order], halves[order], doc[order]
+        suffix, seed, doc = suffix[order], seed[order], doc[order]
         first = np.flatnonzero(np.append(True, suffix[1:] != suffix[:-1]))
-        return suffix[first], seed[first], halves[first], np.minimum.reduceat(doc, first)
+        return suffix[first], seed[first], np.minimum.reduceat(doc, first)
 
-    def add(self, suffix: np.ndarray, seed: np.ndarray, halves: np.ndarray, doc: np.ndarray) -> None:
+    def add(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> None:
         if not len(suffix):
             return
-        new, self.several = self._sorted(suffix, seed, halves, doc), None
+        new, self.several = self._sorted(suffix, seed, doc), None
         while self.arrays and len(self.arrays[-1][0]) <= 2 * len(new[0]):
             new = self._sorted(*(np.concatenate(pair) for pair in zip(self.arrays.pop(), new)))
         self.arrays.append(new)
@@ -164,25 +162,16 @@ class Levels:
             self.arrays.append(self._sorted(*(np.concatenate(pair) for pair in zip(a, b))))
         return self.arrays[0]
 
-    def scan(self, suffix: np.ndarray, seed: np.ndarray, halves: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """1: in a smaller doc_id too, 2: undecided, 0: neither. ``hot`` seeds leave all their suffixes undecided."""
-        known, seeds, parts, least = self.merged()
+    def scan(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """FULL: in a smaller doc_id too, OPEN: undecided, OPEN_HOT: undecided and hot, 0: neither."""
+        known, seeds, least = self.merged()
         if self.several is None:
-            self.several = [_repeated(_half(seeds, parts, side)) for side in (0, 1)]
-        full = least[np.searchsorted(known, suffix)] < doc
-        open_ = _among(seed, hot)
-        for side, several in enumerate(self.several):
-            open_ |= _among(_half(seed, halves, side), several)
-        return np.where(full, 1, np.where(open_, 2, 0)).astype(np.uint8)
-
-
-def _half(seeds: np.ndarray, halves: np.ndarray, side: int) -> np.ndarray:
-    return B.mixed(seeds + (halves[:, side].astype(np.uint64) << np.uint64(48)) + np.uint64(side))
-
-
-def _repeated(values: np.ndarray) -> np.ndarray:
-    ranked = np.sort(values)
-    return np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+            ranked = np.sort(seeds)
+            self.several = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
+        codes = np.where(_among(seed, self.several), OPEN, 0).astype(np.uint8)
+        codes[_among(seed, hot)] = OPEN_HOT
+        codes[least[np.searchsorted(known, suffix)] < doc] = FULL
+        return codes
 
 
 def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -203,68 +192,65 @@ def _long(raw: bytes) -> np.ndarray:
     return wide.view("<u8").ravel()
 
 
-DEALT = "bucket int, batch long, ids binary, marks binary, counts binary, seeds binary, around binary, halves binary"
+DEALT = "bucket int, batch long, keys binary, ids binary, counts binary, seeds binary, around binary"
 
 
 def _ids(column) -> np.ndarray:
     return column.cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
 
 
-def text_mark():
-    """Tells apart rows that share a doc_id."""
-    return F.xxhash64(F.coalesce("text", F.lit("")))
+def row_key():
+    """doc_id and text of a row as one number; repeated rows share it and their result."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
 
 
 def deal(docs: DataFrame, bits: int) -> DataFrame:
     """The suffixes of each batch of documents, for each bucket in the order of documents and places."""
     size = 1 << bits
 
-    def row(bucket, number, ids, marks, doc, seeds, around, halves):
+    def row(bucket, number, keys, ids, doc, seeds, around):
         own, counts = np.unique(doc, return_counts=True)
-        return (bucket, number, ids[own].tobytes(), marks[own].tobytes(), counts.astype(np.int32).tobytes(), seeds, around.tobytes(), halves.tobytes())
+        return (bucket, number, keys[own].tobytes(), ids[own].tobytes(), counts.astype(np.int32).tobytes(), seeds, around.tobytes())
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            all_ids, all_marks = _ids(batch.column("doc_id")), batch.column("mark").to_numpy()
+            all_ids, all_keys = _ids(batch.column("doc_id")), batch.column("key").to_numpy()
             for block in B.blocks(batch.column("text"), BATCH_BYTES):
-                ids, marks = all_ids[block.row : block.row + block.n], all_marks[block.row : block.row + block.n]
+                ids, keys = all_ids[block.row : block.row + block.n], all_keys[block.row : block.row + block.n]
                 text = Text(block)
                 place, doc, seeds, _ = anchors(text)
-                around, *both = surroundings(text, place, doc)
-                halves = np.stack(both, axis=1)
+                around = surroundings(text, place, doc)
                 ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 hot = _hot(seeds, doc)
                 rows = []
                 if hot.any():
-                    rows.append(row(-1 - number % 1021, number, ids, marks, doc[hot], ordinal[hot].astype(np.int32).tobytes(), around[:0], halves[:0]))
+                    rows.append(row(-1 - number % 1021, number, keys, ids, doc[hot], ordinal[hot].astype(np.int32).tobytes(), around[:0]))
                 bucket = (seeds >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(seeds), np.uint16)
                 plain = np.flatnonzero(~hot)
                 plain = plain[np.argsort(bucket[plain], kind="stable")]
                 marked = np.unique(seeds[hot])
-                least = np.full(len(marked), NO_ID)
-                np.minimum.at(least, np.searchsorted(marked, seeds[hot]), ids[doc[hot]])
                 cuts = np.searchsorted(bucket[plain], np.arange(size + 1))
                 marked_cuts = np.searchsorted((marked >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marked), np.int64), np.arange(size + 1))
                 for b in range(size):
                     mine = plain[cuts[b] : cuts[b + 1]]
                     if len(mine):
-                        rows.append(row(b, number, ids, marks, doc[mine], _short(seeds[mine], bits), around[mine], halves[mine]))
+                        rows.append(row(b, number, keys, ids, doc[mine], _short(seeds[mine], bits), around[mine]))
                     low, high = marked_cuts[b], marked_cuts[b + 1]
                     if high > low:
                         # One entry for each hot seed, with nobody to answer to.
-                        rows.append((b, -1, least[low:high].tobytes(), b"", b"", _short(marked[low:high], bits), b"", b""))
+                        rows.append((b, -1, b"", b"", b"", _short(marked[low:high], bits), b""))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([r[0] for r in rows], pa.int32()),
                         pa.array([r[1] for r in rows], pa.int64()),
-                        *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 8)),
+                        *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 7)),
                     ],
-                    ["bucket", "batch", "ids", "marks", "counts", "seeds", "around", "halves"],
+                    ["bucket", "batch", "keys", "ids", "counts", "seeds", "around"],
                 )
                 number += 1
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, DEALT)
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, DEALT)
 
 
 def _hot(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -278,286 +264,328 @@ def _hot(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return np.isin(seeds, many) if len(many) else np.zeros(len(seeds), bool)
 
 
-CODES = "doc_id long, mark long, bucket int, codes binary"
+#: Answers for a row: codes of its anchors in a bucket (CODE), ordinals of its hot anchors
+#: (HOT_AT), bits for the strings of its open anchors (BITS), flags for its hot strings (FLAGS).
+CODE, HOT_AT, BITS, FLAGS = range(4)
+ANSWER = "key long, kind int, bucket int, data binary, n_open long"
+_ANSWER = pa.schema([("key", pa.int64()), ("kind", pa.int32()), ("bucket", pa.int32()), ("data", pa.binary()), ("n_open", pa.int64())])
 
 
-def _binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    return pa.Array.from_buffers(
-        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
+def _answers(kind: int, bucket: int, keys: np.ndarray, counts: np.ndarray, data: np.ndarray, n_open=None) -> pa.Table:
+    """A row for each document: ``counts`` values of ``data`` each."""
+    offsets = (np.append(0, np.cumsum(counts)) * data.itemsize).astype(np.int32)
+    raw = pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())])
+    n = len(keys)
+    return pa.table(
+        [pa.array(keys), pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), raw, pa.array(np.zeros(n, np.int64) if n_open is None else n_open)],
+        schema=_ANSWER,
     )
 
 
-def _code_table(bucket, ids, marks, counts, codes, width) -> pa.Table:
-    offsets = np.append(0, np.cumsum(counts)) * width
-    return pa.table(
-        {
-            "doc_id": pa.array(ids, mask=ids == NO_ID),
-            "mark": pa.array(marks),
-            "bucket": pa.array(np.full(len(ids), bucket, np.int32)),
-            "codes": _binaries(codes, offsets),
-        }
-    )
+def _array(row: dict, name: str, kind) -> np.ndarray:
+    return np.frombuffer(row[name], kind)
 
 
 def judge(dealt: DataFrame) -> DataFrame:
-    """For each document and bucket with anything but zeros: the codes of its suffixes there.
-
-    Bucket -1 names hot places: their ordinals among the document's anchors.
-    """
-    schema = pa.schema([("doc_id", pa.int64()), ("mark", pa.int64()), ("bucket", pa.int32()), ("codes", pa.binary())])
+    """For each row and bucket with anything but zeros, the codes of its suffixes there; places of hot seeds."""
 
     def run(key, table):
         bucket = key[0].as_py()
         rows = table.to_pylist()
-        out = []
-        read = lambda r, name, kind: np.frombuffer(r[name], kind)
         if bucket < 0:
-            for r in rows:
-                out.append(_code_table(-1, read(r, "ids", np.int64), read(r, "marks", np.int64), read(r, "counts", np.int32).astype(np.int64), read(r, "seeds", np.uint8), 4))
-            return pa.concat_tables(out).cast(schema)
+            return pa.concat_tables([
+                _answers(HOT_AT, -1, _array(r, "keys", np.int64), _array(r, "counts", np.int32).astype(np.int64), _array(r, "seeds", np.int32))
+                for r in rows
+            ])
         hot = np.unique(np.concatenate([np.empty(0, np.uint64), *(_long(r["seeds"]) for r in rows if r["batch"] < 0)]))
         rows = [r for r in rows if r["batch"] >= 0]
         levels = Levels()
         entries = []
         for r in rows:
-            counts = read(r, "counts", np.int32).astype(np.int64)
+            counts = _array(r, "counts", np.int32).astype(np.int64)
             seeds = _long(r["seeds"])
-            halves = read(r, "halves", np.uint16).reshape(-1, 2)
-            entry = (_known(seeds, read(r, "around", np.uint32)), seeds, halves, np.repeat(read(r, "ids", np.int64), counts))
+            entry = (_known(seeds, _array(r, "around", np.uint32)), seeds, np.repeat(_array(r, "ids", np.int64), counts))
             levels.add(*entry)
             entries.append((entry, counts))
+        out = [_ANSWER.empty_table()]
         for r, (entry, counts) in zip(rows, entries):
             codes = levels.scan(*entry, hot)
-            some = np.maximum.reduceat(codes, np.cumsum(counts) - counts) > 0
+            first = np.cumsum(counts) - counts
+            some = np.maximum.reduceat(codes, first) > 0
             if some.any():
-                whole = _code_table(bucket, read(r, "ids", np.int64), read(r, "marks", np.int64), counts, codes, 1)
-                out.append(whole.filter(pa.array(some)))
-        return pa.concat_tables(out).cast(schema) if out else schema.empty_table()
-
-    return dealt.groupBy("bucket").applyInArrow(run, CODES)
-
-
-#: Rows of decided documents have ``batch`` null; the others are packed, a batch to a row.
-DECIDED = (
-    "batch long, n_rims long, doc_id long, mark long, n_bytes long, spans binary, kept_sha256 string, ids binary, marks binary, "
-    "texts array<binary>, covers array<binary>, places array<binary>, which binary, rims binary, least binary"
-)
-_DECIDED = pa.schema(
-    [("batch", pa.int64()), ("n_rims", pa.int64()), ("doc_id", pa.int64()), ("mark", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.binary()), ("kept_sha256", pa.string()), ("ids", pa.binary()), ("marks", pa.binary()), ("texts", pa.list_(pa.binary())), ("covers", pa.list_(pa.binary())), ("places", pa.list_(pa.binary())), ("which", pa.binary()), ("rims", pa.binary()), ("least", pa.binary())]
-)
-
-
-def finish(doc_id: int, mark: int, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> dict:
-    """Spans and digest of a document, given ranges to remove."""
-    out = {"doc_id": None if doc_id == NO_ID else doc_id, "mark": mark, "n_bytes": len(raw), "spans": b""}
-    if not len(starts):
-        return {**out, "kept_sha256": hashlib.sha256(raw).hexdigest()}
-    cover = np.zeros(len(raw) + 1, np.int32)
-    np.add.at(cover, starts, 1)
-    np.add.at(cover, ends, -1)
-    gone = np.cumsum(cover[:-1]) > 0
-    step = np.diff(np.concatenate([[0], gone.view(np.int8), [0]]))
-    spans = np.stack([np.flatnonzero(step == 1), np.flatnonzero(step == -1)], axis=1).astype(np.int32)
-    rest = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-    return {**out, "spans": spans.tobytes(), "kept_sha256": hashlib.sha256(rest).hexdigest()}
-
-
-def decide(docs: DataFrame, codes: DataFrame, bits: int) -> DataFrame:
-    """Documents whose spans follow from the codes, and packed batches of those with rims."""
-    found = codes.groupBy("doc_id", "mark").agg(F.collect_set(F.struct("bucket", "codes")).alias("parts"))
-    texts = docs.select("doc_id", "text", text_mark().alias("mark"))
-    right = found.select(F.col("doc_id").alias("id"), F.col("mark").alias("own"), "parts")
-    joined = texts.join(right, texts["doc_id"].eqNullSafe(right["id"]) & (texts["mark"] == right["own"]), "left")
-
-    def run(batches):
-        number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            all_ids, all_marks, parts = _ids(batch.column("doc_id")), batch.column("mark").to_numpy(), batch.column("parts")
-            for block in B.blocks(batch.column("text"), BATCH_BYTES):
-                answered = np.flatnonzero(~np.asarray(parts.slice(block.row, block.n).is_null()))
-                raw, offsets = block.data.tobytes(), block.offsets
-                rows, waiting = [], []
-                if len(answered):
-                    text = Text(block)
-                    place, doc, seeds, least_seed = anchors(text)
-                    first = np.searchsorted(doc, np.arange(block.n + 1))
-                    bucket = (seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seeds), np.int64)
-                for d in range(block.n):
-                    own, mark = int(all_ids[block.row + d]), int(all_marks[block.row + d])
-                    body = raw[offsets[d] : offsets[d + 1]]
-                    given = parts[block.row + d].as_py()
-                    if given is None:
-                        none = np.empty(0, np.int64)
-                        rows.append(finish(own, mark, body, none, none))
-                        continue
-                    at = place[first[d] : first[d + 1]]
-                    code = _codes_of(given, bucket[first[d] : first[d + 1]])
-                    full = at[code == 1]
-                    low = np.maximum(full - RIM, offsets[d]) - offsets[d]
-                    high = np.minimum(full + LENGTH, offsets[d + 1]) - offsets[d]
-                    rims = _undecided(at, seeds[first[d] : first[d + 1]], code, least_seed) - offsets[d]
-                    if len(rims):
-                        waiting.append((own, mark, body, np.concatenate([low, high]).astype(np.int32), rims + offsets[d], rims.astype(np.int32)))
-                    else:
-                        rows.append(finish(own, mark, body, low, high))
-                if rows:
-                    yield _record([{"batch": None, **r} for r in rows])
-                if waiting:
-                    places = np.concatenate([w[4] for w in waiting])
-                    hashes, which = np.unique(text.ranges(places, places + LENGTH), return_inverse=True)
-                    least = np.full(len(hashes), NO_ID)
-                    np.minimum.at(least, which, np.repeat([w[0] for w in waiting], [len(w[4]) for w in waiting]))
-                    yield _record([
-                        {
-                            "batch": number, "n_rims": len(hashes),
-                            "ids": np.array([w[0] for w in waiting], np.int64).tobytes(),
-                            "marks": np.array([w[1] for w in waiting], np.int64).tobytes(),
-                            "texts": [w[2] for w in waiting], "covers": [w[3].tobytes() for w in waiting],
-                            "places": [w[5].tobytes() for w in waiting], "which": which.astype(np.int32).tobytes(),
-                            "rims": hashes.tobytes(), "least": least.tobytes(),
-                        }
-                    ])
-                    number += 1
-
-    return joined.select(texts["doc_id"], "text", texts["mark"], "parts").mapInArrow(run, DECIDED)
-
-
-def _record(rows: list[dict]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([{name: r.get(name) for name in _DECIDED.names} for r in rows], schema=_DECIDED)
-
-
-def _codes_of(given: list[dict], bucket: np.ndarray) -> np.ndarray:
-    """Codes of a document's anchors from its parts."""
-    code = np.zeros(len(bucket), np.uint8)
-    plain = np.ones(len(bucket), bool)
-    for part in given:
-        if part["bucket"] < 0:
-            hot = np.frombuffer(part["codes"], np.int32)
-            plain[hot] = False
-            code[hot] = 2
-    for part in given:
-        if part["bucket"] >= 0:
-            mine = np.flatnonzero(plain & (bucket == part["bucket"]))
-            code[mine] = np.frombuffer(part["codes"], np.uint8)
-    return code
-
-
-def _undecided(at: np.ndarray, seeds: np.ndarray, code: np.ndarray, least: np.ndarray) -> np.ndarray:
-    """Places of the strings whose least seed is undecided and that reach no anchor found in a smaller doc_id.
-
-    The least seed alone is sure to be an anchor wherever the string stands.
+                n_open = np.add.reduceat((codes == OPEN).astype(np.int64), first)
+                out.append(_answers(CODE, bucket, _array(r, "keys", np.int64), counts, codes, n_open).filter(pa.array(some)))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+# ---- a document with its answers --------------------------------------------
+class Answered:
+    """A block of documents, the anchors and their codes."""
+
+    def __init__(self, block: B.Block, given: list[list[dict] | None], bits: int):
+        self.block, self.text, self.given = block, Text(block), given
+        self.place, self.doc, self.seeds, self.least = anchors(self.text)
+        self.first = np.searchsorted(self.doc, np.arange(block.n + 1))
+        self.bucket = (self.seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.seeds), np.int64)
+        self.code = np.zeros(len(self.place), np.uint8)
+        for d, parts in enumerate(given):
+            if not parts:
+                continue
+            low, high = self.first[d], self.first[d + 1]
+            code, plain = self.code[low:high], np.ones(high - low, bool)
+            for part in parts:
+                if part["kind"] == HOT_AT:
+                    at = np.frombuffer(part["data"], np.int32)
+                    plain[at], code[at] = False, OPEN_HOT
+            for part in parts:
+                if part["kind"] == CODE:
+                    code[plain & (self.bucket[low:high] == part["bucket"])] = np.frombuffer(part["data"], np.uint8)
+
+    def strings(self, which: np.ndarray) -> np.ndarray:
+        """For anchors ``which``, a row of flags: may the string that starts l bytes before it be a copy?
+
+        Only strings of which the anchor is the least seed, and that reach no anchor found whole in a smaller doc_id.
+        """
+        start = self.place[which][:, None] - np.arange(WINDOW)
+        inside = (start >= 0) & (start < len(self.least))
+        held = np.zeros(len(self.block.data) + 2, np.int32)
+        full = self.place[self.code == FULL]
+        np.add.at(held, np.maximum(full - RIM, 0), 1)
+        np.add.at(held, full + 1, -1)
+        sure = np.cumsum(held) > 0
+        at = np.where(inside, start, 0)
+        return inside & (self.least[at] == self.seeds[which][:, None]) & ~sure[at]
+
+    def open_anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        which = np.flatnonzero(self.code == OPEN)
+        return which, self.strings(which) if len(which) else np.zeros((0, WINDOW), bool)
+
+    def hot_strings(self) -> tuple[np.ndarray, np.ndarray]:
+        """Starts of the strings of hot anchors, in order, and their hashes."""
+        which = np.flatnonzero(self.code == OPEN_HOT)
+        if not len(which):
+            return np.empty(0, np.int64), np.empty(0, np.uint64)
+        start = np.unique((self.place[which][:, None] - np.arange(WINDOW))[self.strings(which)])
+        return start, self.text.ranges(start, start + LENGTH)
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("key").agg(F.collect_set(F.struct("kind", "bucket", "data")).alias("answers"))
+
+
+def _answered(batch: pa.RecordBatch, bits: int):
+    for block in B.blocks(batch.column("text"), BATCH_BYTES):
+        part = batch.slice(block.row, block.n)
+        yield part, Answered(block, part.column("answers").to_pylist(), bits)
+
+
+RIMS = "bucket int, keys binary, ids binary, counts binary, body binary, which binary"
+
+
+def deal_rims(texts: DataFrame, codes: DataFrame, bits: int, open_bits: int) -> DataFrame:
+    """Open anchors by seed, with their surroundings; hot strings by hash, each once a batch.
+
+    Buckets of hot strings are numbered from ``2 ** open_bits``.
     """
-    open_ = code == 2
-    if not open_.any():
-        return np.empty(0, np.int64)
-    start = at[open_][:, None] - np.arange(WINDOW)
-    own = np.repeat(seeds[open_][:, None], WINDOW, axis=1)
-    within = (start >= 0) & (start < len(least))
-    start, own = start[within], own[within]
-    found = np.unique(start[least[start] == own])
-    full = at[code == 1]
-    if not len(full):
-        return found
-    after = np.searchsorted(full, found)
-    return found[~((after < len(full)) & (full[np.minimum(after, len(full) - 1)] <= found + RIM))]
-
-
-def deal_rims(decided: DataFrame, bits: int) -> DataFrame:
     def run(batches):
+        pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            for r in batch.to_pylist():
-                hashes, least = np.frombuffer(r["rims"], np.uint64), np.frombuffer(r["least"], np.int64)
-                edges = (np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else np.zeros(1, np.uint64)
-                cuts = np.append(np.searchsorted(hashes, edges), len(hashes))
-                full = np.flatnonzero(np.diff(cuts))
+            for part, own in _answered(batch, bits):
+                keys, ids = part.column("key").to_numpy(), _ids(part.column("doc_id"))
+                data = own.block.data
+                rows = []
+                which, flags = own.open_anchors()
+                at = own.place[which]
+                reach = np.concatenate([np.arange(-RIM, 0), np.arange(SEED, LENGTH)])
+                around = data[np.clip(at[:, None] + reach, 0, max(0, len(data) - 1))] if len(at) else np.zeros((0, 2 * RIM), np.uint8)
+                mask = (flags.astype(np.uint32) << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+                seed = own.seeds[which]
+                bucket = _bucket(seed, open_bits)
+                doc = own.doc[which]
+                for b in np.unique(bucket).tolist():
+                    mine = np.flatnonzero(bucket == b)
+                    docs, counts = np.unique(doc[mine], return_counts=True)
+                    body = seed[mine].tobytes() + mask[mine].tobytes() + around[mine].tobytes()
+                    rows.append((b, keys[docs].tobytes(), ids[docs].tobytes(), counts.astype(np.int32).tobytes(), pack(body), b""))
+                start, hashes = own.hot_strings()
+                doc = np.searchsorted(own.block.offsets, start, "right") - 1
+                bucket = _bucket(hashes, open_bits)
+                for b in np.unique(bucket).tolist():
+                    mine = np.flatnonzero(bucket == b)
+                    docs, counts = np.unique(doc[mine], return_counts=True)
+                    once, again = np.unique(hashes[mine], return_inverse=True)
+                    rows.append((b + (1 << open_bits), keys[docs].tobytes(), ids[docs].tobytes(), counts.astype(np.int32).tobytes(), once.tobytes(), pack(again.astype(np.int32).tobytes())))
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full, pa.int32()),
-                        pa.array(np.full(len(full), r["batch"]), pa.int64()),
-                        pa.array([hashes[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                        pa.array([least[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
-                    ],
-                    ["bucket", "batch", "rims", "least"],
+                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
+                    ["bucket", "keys", "ids", "counts", "body", "which"],
                 )
 
-    return decided.select("batch", "rims", "least").mapInArrow(run, "bucket int, batch long, rims binary, least binary")
+    joined = texts.select("key", "doc_id", "text").join(_groups(codes), "key")
+    return joined.mapInArrow(run, RIMS)
 
 
-def least_of_rims(dealt: DataFrame) -> DataFrame:
-    """The smallest doc_id of each string, sent back to the batches that asked."""
+def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
+    # Not the leading bits, which the first dealing has used.
+    return (B.mixed(values) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
 
-    def run(key, table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("rims").to_pylist()]
-        least = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()])
-        distinct, which = np.unique(np.concatenate(parts), return_inverse=True)
-        best = np.full(len(distinct), NO_ID)
-        np.minimum.at(best, which, least)
-        back, low = [], 0
-        for p in parts:
-            back.append(best[which[low : low + len(p)]].tobytes())
-            low += len(p)
-        return pa.table({"batch": table.column("batch"), "bucket": table.column("bucket"), "best": pa.array(back, pa.binary())})
 
-    return dealt.groupBy("bucket").applyInArrow(run, "batch long, bucket int, best binary")
+def strings_of(seed: np.ndarray, around: np.ndarray) -> np.ndarray:
+    """Hash of each string through a seed: column l starts l bytes before it."""
+    value = B.constants(81, 256)
+    left, right = B.constants(82, RIM) | np.uint64(1), B.constants(83, RIM) | np.uint64(1)
+    n = len(seed)
+    before, after = np.zeros((n, WINDOW), np.uint64), np.zeros((n, WINDOW), np.uint64)
+    for k in range(RIM):
+        before[:, k + 1] = before[:, k] + value[around[:, RIM - 1 - k]] * left[k]
+        after[:, k + 1] = after[:, k] + value[around[:, RIM + k]] * right[k]
+    return B.mixed(B.mixed(before + seed[:, None]) + after[:, ::-1] + np.arange(WINDOW, dtype=np.uint64))
 
 
-RESULT = "doc_id long, mark long, n_bytes long, spans binary, kept_sha256 string"
-_RESULT = pa.schema([(n, _DECIDED.field(n).type) for n in ("doc_id", "mark", "n_bytes", "spans", "kept_sha256")])
+def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
+    """Answers: a bit for each string of an open anchor, a flag for each hot string: is there a smaller doc_id?"""
+    def run(key, table):
+        unpack = zstandard.ZstdDecompressor().decompress
+        bucket = key[0].as_py()
+        rows = table.to_pylist()
+        counts = [_array(r, "counts", np.int32).astype(np.int64) for r in rows]
+        doc = [np.repeat(_array(r, "ids", np.int64), c) for r, c in zip(rows, counts)]
+        out = []
+        if bucket >= 1 << open_bits:
+            once = [_array(r, "body", np.uint64) for r in rows]
+            again = [np.frombuffer(unpack(r["which"]), np.int32) for r in rows]
+            distinct = np.unique(np.concatenate(once))
+            best = np.full(len(distinct), NO_ID)
+            at = [np.searchsorted(distinct, o)[w] for o, w in zip(once, again)]
+            for a, d in zip(at, doc):
+                np.minimum.at(best, a, d)
+            for r, c, a, d in zip(rows, counts, at, doc):
+                out.append(_answers(FLAGS, bucket - (1 << open_bits), _array(r, "keys", np.int64), c, (best[a] < d).astype(np.uint8)))
+            return pa.concat_tables(out)
+        hashes, masks = [], []
+        for r, c in zip(rows, counts):
+            n, body = int(c.sum()), unpack(r["body"])
+            seed = np.frombuffer(body, np.uint64, n)
+            mask = np.frombuffer(body, np.uint32, n, 8 * n)
+            around = np.frombuffer(body, np.uint8, offset=12 * n).reshape(n, 2 * RIM)
+            valid = (mask[:, None] >> np.arange(WINDOW, dtype=np.uint32)) & 1 == 1
+            masks.append(valid)
+            hashes.append(strings_of(seed, around)[valid])
+        distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
+        owner = np.concatenate([np.broadcast_to(d[:, None], v.shape)[v] for d, v in zip(doc, masks)])
+        best = np.full(len(distinct), NO_ID)
+        np.minimum.at(best, which, owner)
+        copied = best[which] < owner
+        low = 0
+        for r, c, v in zip(rows, counts, masks):
+            bits = np.zeros(v.shape, np.uint32)
+            n = int(v.sum())
+            bits[v] = copied[low : low + n]
+            low += n
+            out.append(_answers(BITS, bucket, _array(r, "keys", np.int64), c, (bits << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)))
+        return pa.concat_tables(out)
+
+    return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
+
+
+def _spans(own: Answered, open_bits: int) -> list[np.ndarray]:
+    """Maximal removed runs (from, to) of each document of a block."""
+    n = len(own.block.data)
+    cover = np.zeros(n + 1, np.int32)
+    full = own.code == FULL
+    np.add.at(cover, np.maximum(own.place[full] - RIM, own.block.offsets[own.doc[full]]), 1)
+    np.add.at(cover, np.minimum(own.place[full] + LENGTH, own.block.offsets[own.doc[full] + 1]), -1)
+    which = np.flatnonzero(own.code == OPEN)
+    start, hashes = own.hot_strings()
+    bits, flags = np.zeros(len(which), np.uint32), np.zeros(len(start), bool)
+    for where, values, kind, target, dtype in (
+        (own.doc[which], own.seeds[which], BITS, bits, np.uint32),
+        (np.searchsorted(own.block.offsets, start, "right") - 1, hashes, FLAGS, flags, np.uint8),
+    ):
+        bucket = _bucket(values, open_bits)
+        first = np.searchsorted(where, np.arange(own.block.n + 1))
+        for d, parts in enumerate(own.given):
+            for part in parts or ():
+                if part["kind"] == kind:
+                    low, high = first[d], first[d + 1]
+                    target[low:high][bucket[low:high] == part["bucket"]] = np.frombuffer(part["data"], dtype)
+    rows, steps = np.nonzero((bits[:, None] >> np.arange(WINDOW, dtype=np.uint32)) & 1)
+    copied = np.concatenate([own.place[which][rows] - steps, start[flags]])
+    np.add.at(cover, copied, 1)
+    np.add.at(cover, copied + LENGTH, -1)
+    gone = np.cumsum(cover[:-1]) > 0
+    runs = B.runs(gone, own.block.offsets)
+    ranges = np.stack([runs.start, runs.end], axis=1)
+    return [ranges[runs.first[d] : runs.first[d + 1]] - own.block.offsets[d] for d in range(own.block.n)]
 
 
-def settle(waiting: DataFrame, answers: DataFrame) -> DataFrame:
-    """Spans of the documents with rims."""
+def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
+    """``finish(batch part, block, spans of each document)`` over all rows, with all columns of ``docs`` at hand."""
+    spark = docs.sparkSession
+    (key,) = B.unused(docs.columns, "__key")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
+    bits = _bits(size / ((WINDOW + 1) / 2), BUCKET_ENTRIES)
+    codes = kept(judge(deal(docs, bits)), "suffix-codes")
+    n_open = codes.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0]
+    open_bits = _bits(n_open, OPEN_ENTRIES)
+    # Texts by row key, in as many buckets as a shuffle has partitions: later joins leave them in place.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, "texts")
+    name = "suffix_texts_" + path[-12:]
+    keyed = docs.withColumn(key, row_key())
+    keyed.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    rims = settle_rims(deal_rims(texts.withColumnRenamed(key, "key") if key != "key" else texts, codes, bits, open_bits), open_bits)
+    answers = _groups(codes.unionAll(kept(rims, "suffix-rims")))
+    (given,) = B.unused(docs.columns, "answers")
+    joined = texts.join(answers.select(F.col("key").alias(key), F.col("answers").alias(given)), key, "left").drop(key)
 
-    def run(left, right):
-        r = left.to_pylist()[0]
-        parts = dict(zip(right.column("bucket").to_pylist(), right.column("best").to_pylist()))
-        best = np.frombuffer(b"".join(parts[b] for b in sorted(parts)), np.int64)[np.frombuffer(r["which"], np.int32)]
-        rows, low = [], 0
-        for own, mark, body, cover, places in zip(np.frombuffer(r["ids"], np.int64).tolist(), np.frombuffer(r["marks"], np.int64).tolist(), r["texts"], r["covers"], r["places"]):
-            cover, places = np.frombuffer(cover, np.int32), np.frombuffer(places, np.int32)
-            half = len(cover) // 2
-            copied = places[best[low : low + len(places)] < own]
-            low += len(places)
-            rows.append(finish(own, mark, body, np.concatenate([cover[:half], copied]), np.concatenate([cover[half:], copied + LENGTH])))
-        return pa.Table.from_pylist(rows, schema=_RESULT)
+    def run(batches):
+        for batch in batches:
+            for block in B.blocks(batch.column("text"), BATCH_BYTES):
+                part = batch.slice(block.row, block.n)
+                own = Answered(block, part.column(given).to_pylist(), bits)
+                yield finish(part.drop_columns([given]), block, _spans(own, open_bits))
 
-    return waiting.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(run, RESULT)
+    return joined.mapInArrow(run, schema)
 
 
-def _bits(entries: float) -> int:
-    return min(16, max(0, math.ceil(math.log2(max(1.0, entries) / BUCKET_ENTRIES))))
+def _bits(entries: float, size: int) -> int:
+    return min(16, max(0, math.ceil(math.log2(max(1.0, entries) / size))))
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id, mark, n_bytes, spans (int32 pairs from, to) and kept_sha256 of every row."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
-    bits = _bits(size / ((WINDOW + 1) / 2))
-    decided = kept(decide(docs, judge(deal(docs, bits)), bits), "decided")
-    done = decided.where("batch is null").select("doc_id", "mark", "n_bytes", "spans", "kept_sha256")
-    waiting = decided.where("batch is not null")
-    rims = waiting.agg(F.coalesce(F.sum("n_rims"), F.lit(0))).first()[0]
-    answers = least_of_rims(deal_rims(waiting, _bits(rims)))
-    packed = waiting.select("batch", "ids", "marks", "texts", "covers", "places", "which")
-    return done.unionAll(settle(packed, answers))
+def _rest(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
+    gone = np.zeros(len(data), bool)
+    for low, high in spans.tolist():
+        gone[low:high] = True
+    return gone
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed ranges."""
+
+    def finish(part, block, spans):
+        digests, removed = [], []
+        for d, own in enumerate(spans):
+            data = block.data[block.offsets[d] : block.offsets[d + 1]]
+            gone = _rest(data, own)
+            digests.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
+            removed.append(int(gone.sum()))
+        return pa.RecordBatch.from_arrays(
+            [
+                part.column("doc_id").cast(pa.int64()), pa.array(np.diff(block.offsets)), pa.array(removed, pa.int64()),
+                pa.array([len(s) for s in spans], pa.int64()), pa.array(digests, pa.string()),
+                pa.array([[{"low": a, "high": b} for a, b in s.tolist()] for s in spans], _RANGES),
+            ],
+            ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans"],
+        )
+
+    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:bigint,high:bigint>>"
+    return with_spans(docs.select("doc_id", "text"), finish, schema)
 
-    def run(batches):
-        for batch in batches:
-            spans = [np.frombuffer(x, np.int32).reshape(-1, 2) for x in batch.column("spans").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), batch.column("n_bytes"),
-                    pa.array([int((s[:, 1] - s[:, 0]).sum()) for s in spans], pa.int64()),
-                    pa.array([len(s) for s in spans], pa.int64()),
-                    batch.column("kept_sha256"),
-                ],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
-            )
 
-    return repeated_spans(docs).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+_RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
 
 
 def cut(docs: DataFrame) -> DataFrame:
@@ -567,35 +595,24 @@ def cut(docs: DataFrame) -> DataFrame:
     of which nothing but white space is left is dropped; ``n_chars``, where there is
     such a column, is counted anew.
     """
-    spans = repeated_spans(docs).where(F.length("spans") > 0).select("doc_id", "mark", "spans").dropDuplicates(["doc_id", "mark"])
-    mark, other, own, cuts = B.unused(docs.columns, "__mark", "__id", "__own", "__spans")
-    marked = docs.withColumn(mark, text_mark())
-    right = spans.select(F.col("doc_id").alias(other), F.col("mark").alias(own), F.col("spans").alias(cuts))
-    both = marked.join(right, marked["doc_id"].eqNullSafe(right[other]) & (marked[mark] == right[own]), "left")
 
-    def run(batches):
-        for batch in batches:
-            texts, all_spans = [], batch.column(cuts).to_pylist()
-            for text, raw in zip(batch.column("text").to_pylist(), all_spans):
-                texts.append(text if raw is None else without(text, np.frombuffer(raw, np.int32).reshape(-1, 2)))
-            keep = [raw is None or bool(t.strip()) for t, raw in zip(texts, all_spans)]
-            out = batch.drop_columns([cuts])
-            out = out.set_column(out.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
-            if "n_chars" in out.schema.names:
-                at = out.schema.get_field_index("n_chars")
-                changed = pa.array([None if raw is None else len(t) for t, raw in zip(texts, all_spans)], out.schema.field(at).type)
-                out = out.set_column(at, out.schema.field(at), pa.compute.coalesce(changed, out.column(at)))
-            yield out.filter(pa.array(keep))
+    def finish(part, block, spans):
+        texts = [t if not len(s) else without(t, s) for t, s in zip(part.column("text").to_pylist(), spans)]
+        keep = [not len(s) or bool(t.strip()) for t, s in zip(texts, spans)]
+        out = part.set_column(part.schema.get_field_index("text"), part.schema.field("text"), pa.array(texts, part.schema.field("text").type))
+        if "n_chars" in out.schema.names:
+            at = out.schema.get_field_index("n_chars")
+            changed = pa.array([len(t) if len(s) else None for t, s in zip(texts, spans)], out.schema.field(at).type)
+            out = out.set_column(at, out.schema.field(at), pa.compute.coalesce(changed, out.column(at)))
+        return out.filter(pa.array(keep, pa.bool_()))
 
-    return both.select(*docs.columns, cuts).mapInArrow(run, docs.schema)
+    return with_spans(docs, finish, docs.schema)
 
 
 def without(text: str, spans: np.ndarray) -> str:
     """A text without byte ranges, keeping characters that are not covered whole."""
     data = np.frombuffer(text.encode(), np.uint8)
-    gone = np.zeros(len(data), bool)
-    for low, high in spans.tolist():
-        gone[low:high] = True
+    gone = _rest(data, spans)
     first = np.flatnonzero((data & 0xC0) != 0x80)
     whole = np.logical_and.reduceat(gone, first)
     return data[~np.repeat(whole, np.diff(np.append(first, len(data))))].tobytes().decode()
