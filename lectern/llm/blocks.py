@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 512 << 10
 _GOLD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _BASE = 0xD1342543DE82EF95

@@ -37,7 +37,7 @@ from lectern.llm import blocks as B
 from lectern.session import kept
 
 SIZE = 10
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 WINDOWS_AT_ONCE = 200_000
 CANDIDATES_AT_ONCE = 2_000_000
 

@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 from lectern.llm import blocks as B
 from lectern.session import kept
 
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 BUCKET_ENTRIES = 2_000_000
-ROUND_BYTES = 96 << 20
+ROUND_BYTES = 64 << 20
 LEVEL_BASE = 1.5
 PROBES = 3
 BITS_PER_INSERT = 8

@@ -17,7 +17,7 @@ import pyarrow as pa
 from lectern.llm import blocks as B
 
 MARK = "▁"
-MEMORY_UNITS = 1_000_000
+MEMORY_UNITS = 300_000
 _MARK_BYTES = MARK.encode()
 
 
