@@ -23,6 +23,21 @@ _PIECE = 1 << 20
 SPACES = (0x20, *range(0x09, 0x0E))
 
 
+ROWS_AT_ONCE = 1000
+
+
+def modest(df):
+    """The same table; its session passes texts to Python at most ``ROWS_AT_ONCE`` rows at a time.
+
+    Ten thousand texts, the usual number, are copied several times between the JVM
+    and Python, and are most of a task's memory. Results do not depend on it.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
+        conf.set(name, str(ROWS_AT_ONCE))
+    return df
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, longer where a table has a column of that name."""
     taken = {c.lower() for c in columns}

@@ -89,7 +89,7 @@ def build_index(docs: DataFrame) -> DataFrame:
                 )
                 number += 1
 
-    return kept(docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, INDEX), "postings")
+    return kept(B.modest(docs).select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, INDEX), "postings")
 
 
 @dataclass

@@ -124,7 +124,7 @@ def signed(docs: DataFrame, forest: Forest) -> DataFrame:
                     ["doc_id", "mark", "class", "n_shingles", "labels"],
                 )
 
-    return docs.select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, SIGNED)
+    return B.modest(docs).select("doc_id", "text", text_mark().alias("mark")).mapInArrow(run, SIGNED)
 
 
 def text_mark():

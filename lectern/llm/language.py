@@ -110,7 +110,7 @@ def _counter(bits: int):
 
 def fit(training: DataFrame, bits: int = 15, smoothing: float = 0.5, max_languages: int = 1000) -> Model:
     """Count every row of ``training(text, lang)``; rows without a language teach nothing."""
-    rows = training.select("text", "lang").where(F.col("lang").isNotNull())
+    rows = B.modest(training).select("text", "lang").where(F.col("lang").isNotNull())
     counted = rows.mapInArrow(_counter(bits), "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     tables: dict[str, np.ndarray] = {}
     docs: dict[str, int] = {}
@@ -177,7 +177,7 @@ def predict(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
                 ["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return docs.select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, SCHEMA)
+    return B.modest(docs).select("doc_id", "text", held_out.alias("held_out")).mapInArrow(run, SCHEMA)
 
 
 def id_remainder(modulus: int) -> Column:

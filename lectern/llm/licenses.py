@@ -151,7 +151,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, rows=NOTICES) -> Da
             for block in B.blocks(batch.column("text")):
                 yield _scan_block(batch.column("doc_id").slice(block.row, block.n), block, phrases, known)
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return B.modest(docs).select("doc_id", "text").mapInArrow(run, SCHEMA)
 
 
 def _scan_block(ids, block: B.Block, phrases: dict[str, str], known: list[Notice]) -> pa.RecordBatch:

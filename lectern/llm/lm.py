@@ -119,7 +119,7 @@ def segments(docs: DataFrame, held_out: Column) -> DataFrame:
                 number += 1
 
     # The fractions of a hash's range that go to one bucket follow from these rows' sizes.
-    return kept(docs.select("doc_id", "text", held_out.alias("held")).mapInArrow(run, SEGMENTS), "lm-segments")
+    return kept(B.modest(docs).select("doc_id", "text", held_out.alias("held")).mapInArrow(run, SEGMENTS), "lm-segments")
 
 
 def _segment(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

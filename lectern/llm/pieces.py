@@ -27,6 +27,7 @@ import hashlib
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from sentencepiece import sentencepiece_model_pb2
 
@@ -160,7 +161,7 @@ def encode(docs: DataFrame, model_file: str) -> DataFrame:
                     ["doc_id", "text", "ids", "score"],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>, score double")
+    return B.modest(docs).select("doc_id", "text").mapInArrow(run, "doc_id long, text string, ids array<int>, score double")
 
 
 def decode(rows: DataFrame, model_file: str) -> DataFrame:
@@ -212,4 +213,4 @@ def round_trips(docs: DataFrame, model_file: str) -> DataFrame:
                     [c.strip().split(" ")[0] for c in SUMMARY.split(",")],
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SUMMARY)
+    return B.modest(docs).select("doc_id", "text").mapInArrow(run, SUMMARY)

@@ -48,6 +48,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -60,8 +61,8 @@ LENGTH = 50
 SEED = 22
 WINDOW = LENGTH - SEED + 1
 RIM = LENGTH - SEED
-BATCH_BYTES = 1 << 20
-HOT = 16
+BATCH_BYTES = 512 << 10
+HOT = 8
 BUCKET_ENTRIES = 500_000
 OPEN_ENTRIES = 60_000
 NO_ID = np.iinfo(np.int64).max
@@ -250,7 +251,7 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
                 )
                 number += 1
 
-    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, DEALT)
+    return B.modest(docs).select("doc_id", "text", row_key().alias("key")).mapInArrow(run, DEALT)
 
 
 def _hot(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:

@@ -13,12 +13,12 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 from lectern.llm import blocks as B
 
 MARK = "▁"
 MEMORY_UNITS = 300_000
-_MARK_BYTES = MARK.encode()
 
 
 def unified(texts: pa.Array) -> pa.Array:
