@@ -21,8 +21,8 @@ def report_docs(spark, folder):
     """Every line of a document becomes a heading, bullet, numbered point, table row or paragraph."""
     def shaped(line, i):
         return (
-            F.when(i == 0, F.concat(F.lit("# "), F.left(line, F.lit(40))))
-            .when(i % 7 == 1, F.concat(F.lit("## "), i.cast("string"), F.lit(". "), F.left(line, F.lit(30))))
+            F.when(i == 0, F.concat(F.lit("# "), line))
+            .when(i % 7 == 1, F.concat(F.lit("## "), i.cast("string"), F.lit(". "), line))
             .when(i % 7 == 2, F.concat(F.lit("- "), line))
             .when(i % 7 == 3, F.concat(F.lit("| a | "), F.length(line).cast("string"), F.lit(" |")))
             .when(i % 7 == 4, F.concat(F.lit("| b | "), i.cast("string"), F.lit(" |")))
@@ -34,7 +34,7 @@ def report_docs(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
-REPORT_LINES = f"""(SELECT doc_id, i, {S.trim_all('CASE WHEN i = 0 THEN concat($$# $$, left(line, 40)) WHEN i % 7 = 1 THEN concat($$## $$, i, $$. $$, left(line, 30)) WHEN i % 7 = 2 THEN concat($$- $$, line) WHEN i % 7 = 3 THEN concat($$| a | $$, length(line), $$ |$$) WHEN i % 7 = 4 THEN concat($$| b | $$, i, $$ |$$) WHEN i % 7 = 5 THEN concat($$3) $$, line) ELSE line END')} AS line
+REPORT_LINES = f"""(SELECT doc_id, i, {S.trim_all('CASE WHEN i = 0 THEN concat($$# $$, line) WHEN i % 7 = 1 THEN concat($$## $$, i, $$. $$, line) WHEN i % 7 = 2 THEN concat($$- $$, line) WHEN i % 7 = 3 THEN concat($$| a | $$, length(line), $$ |$$) WHEN i % 7 = 4 THEN concat($$| b | $$, i, $$ |$$) WHEN i % 7 = 5 THEN concat($$3) $$, line) ELSE line END')} AS line
     FROM (SELECT doc_id, i - 1 AS i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM
       (SELECT doc_id, string_split(regexp_replace(text, '[|<>#*_`\\r]', ' ', 'g'), chr(10)) AS parts FROM documents))))"""
 REPORT_BLOCKS = f"""(SELECT doc_id, i AS first_line, CASE WHEN line LIKE '|%' THEN 'table' WHEN line LIKE '# %' THEN 'h1' WHEN line LIKE '## %' THEN 'h2' WHEN regexp_matches(line, '^[-]\\s+') THEN 'bullet'
@@ -97,7 +97,7 @@ def html_export_lines(spark, folder):
 @query(
     "distinct_sections", "SET-5",
     f"""WITH l AS (SELECT doc_id, i, line, CAST(sum(CASE WHEN i > 0 AND i % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS s FROM
-          (SELECT doc_id, chunk_index AS i, CASE WHEN chunk_index % 3 = 0 THEN concat('## ', left(content, 2)) ELSE left(content, 1) END AS line FROM {S.PARAGRAPHS})),
+          (SELECT doc_id, chunk_index AS i, CASE WHEN chunk_index % 3 = 0 THEN concat('## ', content) ELSE content END AS line FROM {S.PARAGRAPHS})),
         body AS (SELECT doc_id, s, {S.trim_all(S.rep("string_agg(line, chr(10) ORDER BY i)", chr(92) + 'n{3,}', chr(10) * 2))} AS b FROM l GROUP BY doc_id, s),
         k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower({S.collapse('b')}) ORDER BY s) AS rn FROM body WHERE b <> '')
         SELECT doc_id, s AS pos, sha256(b) AS body_hash FROM k WHERE rn = 1""",
@@ -106,7 +106,7 @@ def distinct_sections(spark, folder):
     # A heading needs text after its marks to open a section.
     lines = F.transform(
         F.split("text", "\n"),
-        lambda l, i: F.when(i % 3 == 0, F.concat(F.lit("## "), F.left(l, F.lit(2)))).otherwise(F.left(l, F.lit(1))),
+        lambda l, i: F.when(i % 3 == 0, F.concat(F.lit("## "), l)).otherwise(l),
     )
     docs = table(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
     return M.distinct_section_rows(docs).select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.sha2("body", 256).alias("body_hash"))
@@ -115,13 +115,13 @@ def distinct_sections(spark, folder):
 @query(
     "single_titles", "WIN-13",
     f"""SELECT doc_id, sha256(string_agg(CASE WHEN i > 0 AND i % 4 = 0 THEN concat('## ', line) WHEN i = 0 THEN concat('# ', line) ELSE line END, chr(10) ORDER BY i)) AS text_hash FROM
-          (SELECT doc_id, chunk_index AS i, concat('t', left(regexp_replace(content, '[^A-Za-z]', '', 'g'), 20)) AS line FROM {S.PARAGRAPHS}) GROUP BY doc_id""",
+          (SELECT doc_id, chunk_index AS i, concat('t', content) AS line FROM {S.PARAGRAPHS}) GROUP BY doc_id""",
 )
 def single_titles(spark, folder):
     lines = F.transform(
         F.split("text", "\n"),
         lambda l, i: F.concat(
-            F.when(i % 4 == 0, "# ").otherwise(""), F.lit("t"), F.left(F.regexp_replace(l, F.lit("[^A-Za-z]"), F.lit("")), F.lit(20))
+            F.when(i % 4 == 0, "# ").otherwise(""), F.lit("t"), l
         ),
     )
     docs = table(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n").alias("text"))
@@ -130,7 +130,7 @@ def single_titles(spark, folder):
 
 @query(
     "implicit_headings", "WIN-12",
-    f"""WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 3 = 1 THEN concat('- ', content) WHEN chunk_index % 3 = 0 THEN left(content, 30) ELSE content END")} AS b FROM {S.PARAGRAPHS}),
+    f"""WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 3 = 1 THEN concat('- ', content) ELSE content END")} AS b FROM {S.PARAGRAPHS}),
         n AS (SELECT doc_id, i, b, row_number() OVER w - 1 AS p, coalesce(lead(b) OVER w, '') AS nxt FROM l WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         o AS (SELECT doc_id, i, CASE WHEN regexp_matches(b, '^\\d+\\.\\s+[A-Z]') AND regexp_matches(nxt, '^(-|\\*|•)\\s+') THEN concat('## ', b)
           WHEN NOT regexp_matches(b, '^[#|\\-*•\\d]') AND length(b) <= 110 AND NOT regexp_matches(b, '[.!?]$') AND regexp_matches(nxt, '^(\\||-|\\*|•|\\d+\\.\\s+)') THEN concat(CASE WHEN p = 0 THEN '# ' ELSE '## ' END, b) ELSE b END AS b FROM n)
@@ -139,7 +139,7 @@ def single_titles(spark, folder):
 def implicit_headings(spark, folder):
     lines = F.transform(
         F.split("text", "\n"),
-        lambda l, i: F.when(i % 3 == 1, F.concat(F.lit("- "), l)).when(i % 3 == 0, F.left(l, F.lit(30))).otherwise(l),
+        lambda l, i: F.when(i % 3 == 1, F.concat(F.lit("- "), l)).otherwise(l),
     )
     docs = table(spark, folder, "documents").select("doc_id", F.array_join(lines, "\n\n").alias("text"))
     return docs.select("doc_id", F.sha2(K.implicit_headings(F.col("text")), 256).alias("text_hash"))
@@ -165,8 +165,8 @@ def structured_docs(spark, folder):
     """Headed documents with page markers, from the lines of the given texts."""
     def shaped(line, i):
         return (
-            F.when(i % 11 == 0, F.concat(F.lit("# "), (i / 11 + 1).cast("int").cast("string"), F.lit(". "), F.left(line, F.lit(25))))
-            .when(i % 11 == 4, F.concat(F.lit("## "), (i / 11 + 1).cast("int").cast("string"), F.lit(".1 "), F.left(line, F.lit(25))))
+            F.when(i % 11 == 0, F.concat(F.lit("# "), (i / 11 + 1).cast("int").cast("string"), F.lit(". "), line))
+            .when(i % 11 == 4, F.concat(F.lit("## "), (i / 11 + 1).cast("int").cast("string"), F.lit(".1 "), line))
             .when(i % 11 == 8, F.concat(F.lit("<!-- PAGE "), (i / 11 + 1).cast("int").cast("string"), F.lit(" -->")))
             .otherwise(line)
         )
@@ -188,7 +188,7 @@ def chunk_sections(spark, folder):
 
 @query(
     "heading_paths", "WIN-11 CHK-3",
-    f"""WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', left(content, 25)) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', left(content, 25)) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}),
+    f"""WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', content) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', content) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}),
         h AS (SELECT *, max(CASE WHEN b LIKE '# %' THEN i END) OVER w AS p1, max(CASE WHEN b LIKE '## %' THEN i END) OVER w AS p2 FROM l WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
         t AS (SELECT doc_id, i, {S.trim_all("regexp_replace(b, '^#+ ', '')")} AS t FROM l WHERE b LIKE '# %' OR b LIKE '## %')
         SELECT h.doc_id, sha256(h.b) AS block_hash, concat_ws(' > ', a.t, CASE WHEN h.p2 > h.p1 THEN c.t END) AS path FROM h LEFT JOIN t a ON a.doc_id = h.doc_id AND a.i = h.p1 LEFT JOIN t c ON c.doc_id = h.doc_id AND c.i = h.p2
@@ -492,6 +492,49 @@ def live_status_counts(spark, folder):
     return spark.read.schema("event_type string, n bigint").parquet(folder_out)
 
 
+@query(
+    "stalled_alerts", "STR-3",
+    """SELECT user_id AS doc_id, event_type AS status FROM (
+         SELECT *, lead(ts) OVER w AS next_ts, max(ts) OVER () AS last_ts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id))
+       WHERE event_type <> 'purchase' AND coalesce(next_ts, last_ts - INTERVAL 1 MINUTE) > ts + INTERVAL 15 MINUTE""",
+)
+def stalled_alerts(spark, folder):
+    """Users as documents and event types as status; a purchase ends the work."""
+    from lectern.streaming.status import stalled_alerts as alerts
+
+    events = _stream(spark, folder, "events").select(
+        F.col("user_id").alias("doc_id"), "event_id", F.col("event_type").alias("status"), F.col("ts").cast("timestamp").alias("ts")
+    )
+    out = _finish(spark, alerts(events, ["purchase"]), "stalled")
+    return spark.read.schema("doc_id bigint, status string, last_seen timestamp").parquet(out).select("doc_id", "status")
+
+
+@query(
+    "generated_notes", "UDF-3",
+    "SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 7 <> 3 THEN concat('Note: ', text) END AS note FROM conversations",
+)
+def generated_notes(spark, folder):
+    """A stand-in model that breaks off once for each prompt and always for some: those give null."""
+    from lectern.operators.embed import generator
+
+    def load():
+        asked = set()
+
+        def model(prompts):
+            if prompts[0].startswith("never "):
+                raise RuntimeError("no answer")
+            if prompts[0] not in asked:
+                asked.add(prompts[0])
+                raise RuntimeError("try again in 0.0s")
+            return ["Note: " + p for p in prompts]
+
+        return model
+
+    prompt = F.when((F.col("conv_id") + F.col("turn")) % 7 == 3, F.concat(F.lit("never "), "text")).otherwise(F.col("text"))
+    note = generator(load, retries=2, wait_seconds=0.0)(prompt)
+    return table(spark, folder, "conversations").select("conv_id", "turn", note.alias("note"))
+
+
 @query(
     "summary_triggers", "STR-2",
     "SELECT conv_id, v AS version, v * 8 AS messages FROM (SELECT conv_id, unnest(range(1, count(*) // 8 + 1)) AS v FROM conversations GROUP BY conv_id)",
@@ -504,7 +547,7 @@ def summary_triggers(spark, folder):
 
 
 # ---- sections ---------------------------------------------------------------
-SECTION_BLOCKS = f"""(WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', left(content, 25)) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', left(content, 25)) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}),
+SECTION_BLOCKS = f"""(WITH l AS (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', content) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', content) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}),
     h AS (SELECT *, max(CASE WHEN b LIKE '# %' THEN i END) OVER w AS p1, max(CASE WHEN b LIKE '## %' THEN i END) OVER w AS p2 FROM l WHERE b <> '' WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
     t AS (SELECT doc_id, i, {S.trim_all("regexp_replace(b, '^#+ ', '')")} AS t FROM l WHERE b LIKE '# %' OR b LIKE '## %'),
     j AS (SELECT h.doc_id, h.i, h.b, a.t AS t1, CASE WHEN h.p2 > h.p1 THEN c.t END AS t2 FROM h LEFT JOIN t a ON a.doc_id = h.doc_id AND a.i = h.p1 LEFT JOIN t c ON c.doc_id = h.doc_id AND c.i = h.p2 WHERE NOT (h.b LIKE '# %' OR h.b LIKE '## %'))
