@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lectern.functions import fixed
 from lectern.functions.patterns import jvm
@@ -503,8 +507,18 @@ def repair_punctuation(col: Column, times: int = 1) -> Column:
     return F.replace(col, F.lit(cut), F.lit(mark))
 
 
+@F.pandas_udf(StringType())
+def _composed(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(col: Column) -> Column:
+    """Unicode NFC; only texts with combining marks visit Python."""
+    return F.coalesce(_composed(F.when(col.rlike(r"\p{M}"), col)), col)
+
+
 def print_text(col: Column) -> Column:
-    out = F.regexp_replace(F.coalesce(col, F.lit("")), F.lit(fixed.CONTROL_CHARS), F.lit(""))
+    out = F.regexp_replace(composed(F.coalesce(col, F.lit(""))), F.lit(fixed.CONTROL_CHARS), F.lit(""))
     out = repair_punctuation(out, 2)
     return collapse(F.replace(out, F.lit("**"), F.lit("")))
 

@@ -302,22 +302,29 @@ def title_matches(queries: DataFrame, documents: DataFrame, group: str | None =
     return named.join(asked, ["phrase", *own]).select("query_id", "doc_id").distinct()
 
 
+def _grams(text: Column, sizes) -> Column:
+    places = F.sequence(F.lit(1), F.length(text))
+    cut = F.flatten(F.transform(places, lambda i: F.array(*[F.substring(text, i, F.lit(n)) for n in sizes])))
+    return F.array_distinct(cut)
+
+
 def names_containing(fragments: DataFrame, documents: DataFrame) -> DataFrame:
     """(fragment, doc_id) where the file name contains the fragment, case aside.
 
-    The first three characters of a fragment select names by equality; the full
-    test follows on those rows only.
+    A fragment meets names by the rarest of its three-letter pieces, so beginnings
+    that all names share select nothing; the full test follows on those rows only.
     """
-    wanted = fragments.select("fragment").distinct().withColumn("gram", F.lower(F.left("fragment", F.lit(3))))
-    name = F.lower("doc_name")
-    places = F.sequence(F.lit(1), F.length(name))
-    grams = F.array_distinct(
-        F.flatten(F.transform(places, lambda i: F.array(*[F.substring(name, i, F.lit(n)) for n in (1, 2, 3)])))
+    name, low = F.lower("doc_name"), F.lower("fragment")
+    keyed = documents.select("doc_id", name.alias("low_name"), F.explode(_grams(name, (1, 2, 3))).alias("gram"))
+    whole = F.filter(_grams(low, (3,)), lambda g: F.length(g) == 3)
+    pieces = fragments.select("fragment").distinct().filter(F.length("fragment") > 0).select(
+        "fragment", F.explode(F.when(F.length(low) < 3, F.array(low)).otherwise(whole)).alias("gram")
+    )
+    counts = keyed.join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = pieces.join(counts, "gram", "left").groupBy("fragment").agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
     )
-    keyed = documents.select("doc_id", name.alias("low_name"), F.explode(grams).alias("gram"))
-    return keyed.join(wanted, "gram").filter(F.col("low_name").contains(F.lower("fragment"))).select(
-        "fragment", "doc_id"
-    ).distinct()
+    return keyed.join(rarest, "gram").filter(F.col("low_name").contains(low)).select("fragment", "doc_id").distinct()
 
 
 def name_scope(queries: DataFrame, documents: DataFrame) -> DataFrame:
