@@ -423,7 +423,7 @@ def deal_rims(texts: DataFrame, codes: DataFrame, bits: int, open_bits: int) ->
                     ["bucket", "keys", "ids", "counts", "body", "which"],
                 )
 
-    joined = texts.select("key", "doc_id", "text").join(_groups(codes), "key")
+    joined = texts.join(_groups(codes), "key")
     return joined.mapInArrow(run, RIMS)
 
 
@@ -537,7 +537,8 @@ def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
     keyed = docs.withColumn(key, row_key())
     keyed.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    rims = settle_rims(deal_rims(texts.withColumnRenamed(key, "key") if key != "key" else texts, codes, bits, open_bits), open_bits)
+    plain = texts.select(F.col(key).alias("key"), "doc_id", "text")
+    rims = settle_rims(deal_rims(plain, codes, bits, open_bits), open_bits)
     answers = _groups(codes.unionAll(kept(rims, "suffix-rims")))
     (given,) = B.unused(docs.columns, "answers")
     joined = texts.join(answers.select(F.col("key").alias(key), F.col("answers").alias(given)), key, "left").drop(key)

@@ -37,9 +37,9 @@ def frame(spark, rows, text="text"):
     """documents with columns whose names the operators use inside."""
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField(text, T.StringType()), T.StructField("lang", T.StringType()),
-        *(T.StructField(n, T.StringType()) for n in ("mark", "bucket", "segment", "class", "root", "__mark", "trusted", "held", "labels")),
+        *(T.StructField(n, T.StringType()) for n in ("mark", "bucket", "segment", "class", "root", "__mark", "trusted", "held", "labels", "key", "answers")),
     ])
-    return spark.createDataFrame([(*r, *"abcdefghi") for r in rows], schema).repartition(3)
+    return spark.createDataFrame([(*r, *"abcdefghijk") for r in rows], schema).repartition(3)
 
 
 @pytest.fixture(scope="session")
