@@ -294,10 +294,7 @@ def judge(dealt: DataFrame) -> DataFrame:
         bucket = key[0].as_py()
         rows = table.to_pylist()
         if bucket < 0:
-            return pa.concat_tables([
-                _answers(HOT_AT, -1, _array(r, "keys", np.int64), _array(r, "counts", np.int32).astype(np.int64), _array(r, "seeds", np.int32))
-                for r in rows
-            ])
+            return _answers(HOT_AT, -1, *(np.concatenate([_array(r, c, t) for r in rows]) for c, t in (("keys", np.int64), ("counts", np.int32), ("seeds", np.int32))))
         hot = np.unique(np.concatenate([np.empty(0, np.uint64), *(_long(r["seeds"]) for r in rows if r["batch"] < 0)]))
         rows = [r for r in rows if r["batch"] >= 0]
         levels = Levels()
@@ -308,15 +305,14 @@ def judge(dealt: DataFrame) -> DataFrame:
             entry = (_known(seeds, _array(r, "around", np.uint32)), seeds, np.repeat(_array(r, "ids", np.int64), counts))
             levels.add(*entry)
             entries.append((entry, counts))
-        out = [_ANSWER.empty_table()]
-        for r, (entry, counts) in zip(rows, entries):
-            codes = levels.scan(*entry, hot)
-            first = np.cumsum(counts) - counts
-            some = np.maximum.reduceat(codes, first) > 0
-            if some.any():
-                n_open = np.add.reduceat((codes == OPEN).astype(np.int64), first)
-                out.append(_answers(CODE, bucket, _array(r, "keys", np.int64), counts, codes, n_open).filter(pa.array(some)))
-        return pa.concat_tables(out)
+        if not rows:
+            return _ANSWER.empty_table()
+        codes = np.concatenate([levels.scan(*entry, hot) for entry, _ in entries])
+        counts = np.concatenate([c for _, c in entries])
+        first = np.cumsum(counts) - counts
+        n_open = np.add.reduceat((codes == OPEN).astype(np.int64), first)
+        whole = _answers(CODE, bucket, np.concatenate([_array(r, "keys", np.int64) for r in rows]), counts, codes, n_open)
+        return whole.filter(pa.array(np.maximum.reduceat(codes, first) > 0))
 
     return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
 
@@ -452,18 +448,16 @@ def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
         rows = table.to_pylist()
         counts = [_array(r, "counts", np.int32).astype(np.int64) for r in rows]
         doc = [np.repeat(_array(r, "ids", np.int64), c) for r, c in zip(rows, counts)]
-        out = []
+        keys, per_key = np.concatenate([_array(r, "keys", np.int64) for r in rows]), np.concatenate(counts)
         if bucket >= 1 << open_bits:
             once = [_array(r, "body", np.uint64) for r in rows]
             again = [np.frombuffer(unpack(r["which"]), np.int32) for r in rows]
             distinct = np.unique(np.concatenate(once))
             best = np.full(len(distinct), NO_ID)
             at = [np.searchsorted(distinct, o)[w] for o, w in zip(once, again)]
-            for a, d in zip(at, doc):
-                np.minimum.at(best, a, d)
-            for r, c, a, d in zip(rows, counts, at, doc):
-                out.append(_answers(FLAGS, bucket - (1 << open_bits), _array(r, "keys", np.int64), c, (best[a] < d).astype(np.uint8)))
-            return pa.concat_tables(out)
+            at, owner = np.concatenate(at), np.concatenate(doc)
+            np.minimum.at(best, at, owner)
+            return _answers(FLAGS, bucket - (1 << open_bits), keys, per_key, (best[at] < owner).astype(np.uint8))
         hashes, masks = [], []
         for r, c in zip(rows, counts):
             n, body = int(c.sum()), unpack(r["body"])
@@ -474,18 +468,13 @@ def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
             masks.append(valid)
             hashes.append(strings_of(seed, around)[valid])
         distinct, which = np.unique(np.concatenate(hashes), return_inverse=True)
-        owner = np.concatenate([np.broadcast_to(d[:, None], v.shape)[v] for d, v in zip(doc, masks)])
+        valid = np.concatenate(masks)
+        owner = np.repeat(np.concatenate(doc), valid.sum(axis=1))
         best = np.full(len(distinct), NO_ID)
         np.minimum.at(best, which, owner)
-        copied = best[which] < owner
-        low = 0
-        for r, c, v in zip(rows, counts, masks):
-            bits = np.zeros(v.shape, np.uint32)
-            n = int(v.sum())
-            bits[v] = copied[low : low + n]
-            low += n
-            out.append(_answers(BITS, bucket, _array(r, "keys", np.int64), c, (bits << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)))
-        return pa.concat_tables(out)
+        bits = np.zeros(valid.shape, np.uint32)
+        bits[valid] = best[which] < owner
+        return _answers(BITS, bucket, keys, per_key, (bits << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32))
 
     return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
 
