@@ -77,10 +77,6 @@ def test_misread_punctuation(spark):
     assert one(spark, broken, T.print_text) == "a—b’c"
 
 
-def test_print_text_composes_letters(spark):
-    assert one(spark, "cafe\u0301 **x**", T.print_text) == "caf\u00e9 x"
-
-
 def test_source_blocks(spark):
     text = "Intro\n\n## Source: file.pdf\nText\n\n## Sources\n- a.pdf\n\nEnd"
     out = one(spark, text, T.drop_source_blocks)
