@@ -32,7 +32,9 @@ passage in a third of all documents costs a batch one hash for each of its strin
 and the strings over its edge, which all differ, are spread over all buckets.
 
 Texts are shuffled once: they are kept in the shared folder, bucketed by a key of
-doc_id and text, and both later passes join them bucket by bucket.
+doc_id and text, and the later passes join them bucket by bucket. Of the rows that
+share a key one is marked, and only that one is dealt out and judged: which seeds
+are hot depends on the batch, so two rows of a key could get two answers.
 
 Cases: a null or empty text has 0 bytes, nothing removed, and the hash of nothing.
 Texts under ``LENGTH`` bytes are never cut. Rows that share a doc_id do not count
@@ -53,6 +55,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.llm import blocks as B
 from lectern.session import kept, scratch_path
@@ -205,8 +208,23 @@ def row_key():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.coalesce("text", F.lit("")))
 
 
+def marked(keyed: DataFrame, key: str, mark: str) -> DataFrame:
+    """``mark``: is the row the first of its key in its partition? (All rows of a key must be in one.)"""
+
+    def run(batches):
+        seen = set()
+        for batch in batches:
+            first = []
+            for k in batch.column(key).to_pylist():
+                first.append(k not in seen)
+                seen.add(k)
+            yield batch.append_column(mark, pa.array(first, pa.bool_()))
+
+    return B.modest(keyed).mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField(mark, T.BooleanType())]))
+
+
 def deal(docs: DataFrame, bits: int) -> DataFrame:
-    """The suffixes of each batch of documents, for each bucket in the order of documents and places."""
+    """The suffixes of each batch of documents (doc_id, text, key), for each bucket in the order of documents and places."""
     size = 1 << bits
 
     def row(bucket, number, keys, ids, doc, seeds, around):
@@ -251,7 +269,7 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
                 )
                 number += 1
 
-    return B.modest(docs).select("doc_id", "text", row_key().alias("key")).mapInArrow(run, DEALT)
+    return B.modest(docs).select("doc_id", "text", "key").mapInArrow(run, DEALT)
 
 
 def _hot(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -513,24 +531,24 @@ def _spans(own: Answered, open_bits: int) -> list[np.ndarray]:
 def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
     """``finish(batch part, block, spans of each document)`` over all rows, with all columns of ``docs`` at hand."""
     spark = docs.sparkSession
-    (key,) = B.unused(docs.columns, "__key")
+    key, mark = B.unused(docs.columns, "__key", "__judged")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
     bits = _bits(size / ((WINDOW + 1) / 2), BUCKET_ENTRIES)
-    codes = kept(judge(deal(docs, bits)), "suffix-codes")
-    n_open = codes.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0]
-    open_bits = _bits(n_open, OPEN_ENTRIES)
     # Texts by row key, in as many buckets as a shuffle has partitions: later joins leave them in place.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = scratch_path(spark, "texts")
     name = "suffix_texts_" + path[-12:]
     keyed = docs.withColumn(key, row_key())
-    keyed.repartition(parts, key).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
+    marked(keyed.repartition(parts, key), key, mark).write.bucketBy(parts, key).option("path", path).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    plain = texts.select(F.col(key).alias("key"), "doc_id", "text")
+    plain = texts.where(F.col(mark)).select(F.col(key).alias("key"), "doc_id", "text")
+    codes = kept(judge(deal(plain, bits)), "suffix-codes")
+    n_open = codes.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0]
+    open_bits = _bits(n_open, OPEN_ENTRIES)
     rims = settle_rims(deal_rims(plain, codes, bits, open_bits), open_bits)
     answers = _groups(codes.unionAll(kept(rims, "suffix-rims")))
     (given,) = B.unused(docs.columns, "answers")
-    joined = texts.join(answers.select(F.col("key").alias(key), F.col("answers").alias(given)), key, "left").drop(key)
+    joined = texts.join(answers.select(F.col("key").alias(key), F.col("answers").alias(given)), key, "left").drop(key, mark)
 
     def run(batches):
         for batch in batches:

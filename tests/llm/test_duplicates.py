@@ -77,6 +77,17 @@ def test_suffixes_with_hot_seeds_and_many_buckets(docs, pairs, monkeypatch):
     assert ordered(rows(suffixes.dedup(docs).drop("spans"))) == brute.repeated_bytes(pairs)
 
 
+def test_suffixes_of_repeated_rows_over_batches(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "HOT", 3)
+    monkeypatch.setattr(suffixes, "BATCH_BYTES", 3_000)
+    copy = "a row that comes again and again, the same in every batch, with words enough for several anchors in each of them"
+    # In order, in one partition: a batch with many copies, then a batch with a single one.
+    filler = [(k, " ".join(f"{k * j * 7919 % 100_003}" for k in range(1, 420)), "en") for j, k in ((3, 100), (5, 101))]
+    table = [(7, copy)] * 12 + [(None, copy)] * 4 + [filler[0][:2], (7, copy), filler[1][:2], (None, copy)]
+    docs = spark.createDataFrame(table, "doc_id long, text string").coalesce(1)
+    assert ordered(rows(suffixes.dedup(docs).drop("spans"))) == brute.repeated_bytes(table)
+
+
 def test_suffixes_of_nothing(none):
     assert rows(suffixes.dedup(none)) == []
 
