@@ -8,7 +8,9 @@ Fuzzy: a document's words are joined by single spaces. A notice that may have
 one of the pieces unchanged (pigeonhole), so each exact place of a piece gives a
 window around it that could hold the notice; windows of a notice that meet are
 joined. The ``regex`` library then looks for the notice with at most ``e`` errors
-inside the windows only, and reports spans and edits. Pieces are found by byte
+inside the windows only, and reports spans and edits: the best match of a window,
+then the best ones of what is left before and after it, so that of places that
+overlap the better one stands and no other place is lost. Pieces are found by byte
 search over the whole block, so a text without a piece costs no Python step.
 
 Cases: a null or empty text, or one without a word, has zero figures, null places,
@@ -102,6 +104,17 @@ def _places(text: bytes, piece: bytes):
         at = text.find(piece, at + 1)
 
 
+def _matches(pattern, text: bytes, low: int, high: int, least: int):
+    """The best match, then those of the parts before and after it that can hold ``least`` bytes."""
+    parts = [(low, high)]
+    while parts:
+        low, high = parts.pop()
+        match = pattern.search(text, low, high) if high - low >= least else None
+        if match:
+            yield match
+            parts += [(match.end(), high), (low, match.start())]
+
+
 def fuzzy(text: bytes, bounds: np.ndarray, all_notices: list[Notice]) -> list[tuple[int, int, int, str, int, float]]:
     """(document, from, to, label, edits, similarity) of the matches in one block."""
     hits = []
@@ -123,7 +136,7 @@ def fuzzy(text: bytes, bounds: np.ndarray, all_notices: list[Notice]) -> list[tu
                 merged.append([low, high, doc])
         pattern = notice.pattern if merged else None
         for low, high, doc in merged:
-            for match in pattern.finditer(text, low, high):
+            for match in _matches(pattern, text, low, high, size - e):
                 edits = sum(match.fuzzy_counts)
                 hits.append((doc, match.start(), match.end(), notice.label, edits, 1 - edits / size))
     return hits

@@ -222,6 +222,14 @@ def test_licenses(spark, none):
     assert rows(licenses.scan(none)) == []
 
 
+def test_close_notices_with_different_edits(spark):
+    text = "mozilla pub1ic license xx mozilla public license, mozila public licens"
+    row = licenses.scan(frame(spark, [(1, text, None)])).first()
+    assert [(s["label"], s["first_word"], s["last_word"], s["edits"]) for s in row["spans"]] == [
+        ("mpl", 0, 2, 1), ("mpl", 4, 6, 0), ("mpl", 7, 9, 2)
+    ]
+
+
 def test_base_places_equal_word_search(docs, pairs):
     def places(text):
         w, at = brute.alnum_words(text), []
