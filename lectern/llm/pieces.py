@@ -1,17 +1,23 @@
-"""SentencePiece encoding and decoding: Viterbi driven by an Aho-Corasick automaton.
-
-The automaton holds all pieces. One pass over a unit's characters yields, for each
-position, every piece that ends there, longest first: the automaton's output
-links. Each of them relaxes the best score of the position; where no single
-character piece ends, the unknown piece does, at the lowest score less ten, and is
-written as byte pieces. The earliest start wins a tie, as in the library. Scores
-are the model's own; sums are double, so that a text's length does not blur them.
-The encoding has the highest sum of scores: that of the library for a unigram
-model with these pieces. (Merging in rank order, which the library does for a
-file that names BPE, is counted by ``budgets``.)
-
-Units (``units``) are encoded once each; pieces never cross them, so the best
-path of a text is that of its units. Decoding joins pieces, turns byte pieces into
+"""SentencePiece encoding and decoding: pieces from an Aho-Corasick automaton, merged in rank order.
+
+The automaton holds all pieces. How they make an encoding is the model file's own
+choice (``trainer_spec.model_type``):
+
+* BPE: a score is a rank. A unit starts as single characters; of all neighbours
+  that join to a piece of the automaton those with the highest score are joined
+  first, the leftmost of equals, until none is left. A heap keeps the neighbours, so
+  a unit of n characters takes n log n steps.
+* unigram: the highest sum of scores (Viterbi). One pass over the characters
+  yields, for each position, every piece that ends there: the automaton's output
+  links. Each of them relaxes the best score of the position; the earliest start
+  wins a tie, as in the library. Sums are double, so that a text's length does not
+  blur them.
+
+The ids are the library's. A character that is no piece is written as byte pieces
+and counts in the score as the lowest score less ten.
+
+Units (``units``) are encoded once each; pieces never cross them, so the encoding
+of a text is that of its units. Decoding joins pieces, turns byte pieces into
 UTF-8 and drops the space put before the text.
 
 Cases: a null or empty text has no ids, score 0.0 and decodes to an empty text.
@@ -23,6 +29,7 @@ Repeated rows are encoded row by row; an empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -34,7 +41,8 @@ from sentencepiece import sentencepiece_model_pb2
 from lectern.llm import blocks as B
 from lectern.llm import units as U
 
-NORMAL, CONTROL, BYTE = 1, 3, 6
+NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
+UNIGRAM, BPE = 1, 2
 UNKNOWN_PENALTY = 10.0
 _encoders: dict[str, "Encoder"] = {}
 
@@ -49,6 +57,11 @@ class Encoder:
         spec = model.normalizer_spec
         if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix:
             raise ValueError("only models that leave the text as it is and put a space before it")
+        if model.trainer_spec.model_type not in (UNIGRAM, BPE):
+            raise ValueError("only BPE and unigram models")
+        if any(p.type not in (NORMAL, UNKNOWN, CONTROL, BYTE) for p in model.pieces):
+            raise ValueError("only models without pieces that users have set or left unused")
+        self.best_path = self.viterbi if model.trainer_spec.model_type == UNIGRAM else self.ranked
         self.automaton = ahocorasick.Automaton()
         self.scores = np.zeros(len(model.pieces))
         self.byte_ids = [0] * 256
@@ -108,8 +121,55 @@ class Encoder:
             at = low
         return ids[::-1], best[n]
 
+    def merge(self, text: str) -> list[int]:
+        """Where each part of a text begins, and its end, when neighbours are joined in rank order."""
+        n = len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))  # first place of the next and of the last part
+        known = self.automaton.get
+        agenda = []
+        for at in range(n - 1):
+            piece = known(text[at : at + 2], None)
+            if piece:
+                agenda.append((-piece[2], at, at + 1, at + 2))
+        heapify(agenda)
+        while agenda:
+            _, low, middle, high = heappop(agenda)
+            # Parts that have changed since are not as the entry has them.
+            if after[low] != middle or middle >= n or after[middle] != high:
+                continue
+            after[low], after[middle] = high, -1
+            if high < n:
+                before[high] = low
+                piece = known(text[low : after[high]], None)
+                if piece:
+                    heappush(agenda, (-piece[2], low, high, after[high]))
+            last = before[low]
+            if last >= 0:
+                piece = known(text[last:high], None)
+                if piece:
+                    heappush(agenda, (-piece[2], last, low, high))
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(after[cuts[-1]])
+        return cuts
+
+    def ranked(self, text: str) -> tuple[list[int], float]:
+        """Ids and score by merging, of a text that already has its space marks."""
+        ids: list[int] = []
+        total = 0.0
+        cuts = self.merge(text)
+        for low, high in zip(cuts, cuts[1:]):
+            piece = self.automaton.get(text[low:high], None)
+            if piece:
+                ids.append(piece[1])
+                total += piece[2]
+            else:
+                ids += [self.byte_ids[b] for b in text[low:high].encode()]
+                total += self.unknown
+        return ids, total
+
     def _encode(self, texts: list[str]) -> None:
-        found = [self.viterbi(U.MARK + t.replace(" ", U.MARK)) for t in texts]
+        found = [self.best_path(U.MARK + t.replace(" ", U.MARK)) for t in texts]
         lengths = np.array([len(ids) for ids, _ in found], np.int64)
         self.pool = np.concatenate([self.pool, np.fromiter((x for ids, _ in found for x in ids), np.int32, int(lengths.sum()))])
         self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(lengths)])

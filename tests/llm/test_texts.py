@@ -194,6 +194,20 @@ def test_viterbi_equals_all_paths(text):
     assert own.decode(ids) == text
 
 
+def test_ids_are_the_librarys(docs, pairs):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    found = [(r["doc_id"], r["text"], tuple(r["ids"])) for r in pieces.encode(docs, MODEL).collect()]
+    assert ordered(found) == ordered([(d, t, tuple(library.encode(t or ""))) for d, t in pairs])
+
+
+@settings(max_examples=80, deadline=None)
+@cases(st.text(alphabet="the inra😀中\n", max_size=60))
+def test_merging_equals_the_library(text):
+    own = pieces.encoder(MODEL)
+    library = budgets.counter(MODEL).library
+    assert own.ranked("▁" + text.replace(" ", "▁"))[0] == (library.encode(text) if text else own.ranked("▁")[0])
+
+
 def test_round_trips(docs, pairs):
     found = rows(pieces.round_trips(docs, MODEL).select("doc_id", "n_bytes", "round_trip"))
     assert ordered(found) == ordered([(d, len((t or "").encode()), True) for d, t in pairs])
