@@ -164,6 +164,30 @@ def test_prefix_table_and_fit(spark):
     assert row["over_limit"] and len(library.encode(fit)) <= 10 < len(library.encode(("ab cd " * 400)[: row["fit_bytes"] + 3]))
 
 
+def test_fit_inside_a_unit(spark):
+    import random
+
+    pick = random.Random(3)
+    texts = [
+        "".join(chr(0x4E00 + pick.randrange(3000)) for _ in range(900)), "a few words, then " + "".join(pick.choices("abcdefghi=+/ABC012", k=900)),
+        "x" * 3000, "word and   " * 90, "mark ▁ mark " * 80 + "😀" * 60, " " * 200 + "end", "under the limit ▁", "", None,
+    ]
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    for limit in (1, 60, 130):
+        found = budgets.count_tokens(frame(spark, [(k, t, None) for k, t in enumerate(texts)]), MODEL, limit).collect()
+        for r in found:
+            t = texts[r["doc_id"]] or ""
+            want = max(p for p in range(min(len(t), 20 * limit) + 1) if len(library.encode(t[:p])) <= limit)
+            assert r["fit_bytes"] == len(t[:want].encode()), (limit, r)
+
+
+def test_prefixes_of_a_long_unit():
+    own = budgets.counter(MODEL)
+    text = "".join("abcde="[k * k * 7919 % 6] for k in range(60_000))
+    counts = own.prefix_counts(text)
+    assert [counts[p] for p in (17, 999, 60_000)] == [len(own.library.encode(text[:p])) for p in (17, 999, 60_000)]
+
+
 def _unigram():
     model = sentencepiece_model_pb2.ModelProto()
     model.ParseFromString(open(MODEL, "rb").read())
