@@ -8,6 +8,7 @@ part of a word, so byte positions split words exactly as code points would.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,17 +25,20 @@ SPACES = (0x20, *range(0x09, 0x0E))
 
 
 ROWS_AT_ONCE = 1000
+BYTES_AT_ONCE = 4 << 20
 
 
 def modest(df):
-    """The same table; its session passes texts to Python at most ``ROWS_AT_ONCE`` rows at a time.
+    """The same table; its session passes texts to Python at most ``ROWS_AT_ONCE`` rows or about ``BYTES_AT_ONCE`` bytes at a time.
 
     Ten thousand texts, the usual number, are copied several times between the JVM
     and Python, and are most of a task's memory. Results do not depend on it.
     """
-    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(name)) <= ROWS_AT_ONCE:
-        conf.set(name, str(ROWS_AT_ONCE))
+    conf = df.sparkSession.conf
+    for name, most in (("maxRecordsPerBatch", ROWS_AT_ONCE), ("maxBytesPerBatch", BYTES_AT_ONCE)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(re.sub(r"\D", "", conf.get(name)) or 0) <= most:
+            conf.set(name, str(most))
     return df
 
 

@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.utils import AnalysisException
 
-from lectern.llm import budgets, contamination, jaccard, language, licenses, lm, pieces, quality, shards, sqlchecks, suffixes
+from lectern.llm import budgets, codes, contamination, jaccard, language, licenses, lm, pieces, quality, rans, shards, sqlchecks, suffixes, whitening
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +103,25 @@ def op10_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 ORACLES["op10_sharding"] = sqlchecks.sharding(16, 20)
+
+
+@query
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Product code and error of every vector."""
+    found = codes.compress(read(spark, folder, "embeddings"))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+ORACLES["op11_vector_codes"] = sqlchecks.vector_codes(4, 256, 4)
+
+
+@query
+def op12_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Place, count and checksum of every document's ids, from files written and read back."""
+    return rans.round_trip(read(spark, folder, "documents"), public_tokenizers.path(BYTE_MODEL))
+
+
+@query
+def op13_embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    """Four whitened components of every vector."""
+    return whitening.whiten(read(spark, folder, "embeddings"))

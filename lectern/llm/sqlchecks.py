@@ -76,3 +76,38 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
   sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM docs LEFT JOIN hit_words USING (row_no) LEFT JOIN named USING (row_no)
 """
+
+
+def vector_codes(parts: int, entries: int, rounds: int) -> str:
+    """Every distance of every part to every entry, round after round; codebooks as one row a part and entry."""
+    steps = [f"""points AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, x) AS row_no, vec_id, label, x FROM (
+    SELECT vec_id, label, list_transform(embedding, lambda c: floor(1024 * c::DOUBLE)::BIGINT) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0)
+), cut AS MATERIALIZED (
+  SELECT row_no, p, list_slice(x, p * (len(x) // {parts}) + 1, (p + 1) * (len(x) // {parts})) AS v
+  FROM points, (SELECT unnest(range({parts})) AS p)
+), book0 AS MATERIALIZED (
+  SELECT p, row_no - 1 AS entry, v AS c FROM cut WHERE row_no <= {entries}
+)"""]
+    for k in range(rounds + 1):
+        steps.append(f"""near{k} AS MATERIALIZED (
+  SELECT row_no, p, any_value(v) AS v, min({{'d': list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT, 'e': entry}}) AS best
+  FROM cut JOIN book{k} USING (p) GROUP BY row_no, p
+)""")
+        if k < rounds:
+            steps.append(f"""book{k + 1} AS MATERIALIZED (
+  SELECT p, entry, coalesce(moved, c) AS c FROM book{k} LEFT JOIN (
+    SELECT p, entry, list(mean ORDER BY i) AS moved FROM (
+      SELECT p, entry, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS mean FROM (
+        SELECT p, best.e AS entry, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM near{k}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM cut))) AS i)
+        GROUP BY p, best.e, i))
+    GROUP BY p, entry) USING (p, entry)
+)""")
+    return "WITH " + ", ".join(steps) + f""", coded AS (
+  SELECT row_no, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near{rounds} GROUP BY row_no
+)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM points JOIN coded USING (row_no)
+"""
