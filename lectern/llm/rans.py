@@ -1,11 +1,11 @@
 """Token-ID files: static range asymmetric numeral system over one shared frequency table.
 
 **Layout.** A folder with ``table`` (one row: the vocabulary's quantised frequencies),
-``blocks`` (one Parquet file a range of documents; a row is a block) and ``files``
-(tokens of each file and of all files before it). A block holds whole documents, in
-ascending doc_id order, ``BLOCK`` tokens or one longer document, and is decoded from
-its own row and the table alone. Spark's commit protocol writes the rows, so a lost
-executor leaves no half file, in any store that Spark reaches.
+``blocks`` (a folder a range of doc_ids; a row is a block) and ``files`` (tokens of
+each range and of all ranges before it). A block holds whole documents, in ascending
+doc_id order, ``BLOCK`` tokens or one longer document, and is decoded from its own
+row and the table alone. Spark's Parquet writer and commit protocol put the rows
+down, so a lost executor leaves no half file, in any store that Spark reaches.
 
 **Coding.** ``LANES`` interleaved states of 64 bits take the tokens in turn: token i
 goes to lane i modulo ``LANES``. A state x takes a token with frequency f of 2^20 as
@@ -18,26 +18,30 @@ place in the stream. Segments are decoded side by side, as lanes of one array, a
 so are all blocks that a task holds at once. Each segment has a checksum (crc32 of
 its ids); one that does not match raises an error that names the block.
 
-**As a job.** Texts are tokenized once, and ids are kept in the shared folder. Ids
-are counted per task and summed by Spark; only the table, one number for each id of
-the vocabulary, meets the driver and is broadcast. Documents are range-partitioned
-by doc_id and then a random salt, so rows that share an id are spread. The running
-sum over files is one row a file.
+**As a job.** Documents are range-partitioned by doc_id and then a random salt, so
+rows that share an id are spread. Each range is tokenized in order, once, and its
+plain blocks are kept in the shared folder. Ids are counted per task and summed by
+Spark; only the table, one number for each id of the vocabulary, meets the driver
+and is broadcast. Plain blocks are coded row by row, and then dropped. The running
+sum over ranges is one row a range.
 
-A text is cut before a space that ASCII letters, digits, signs or most other letters
-follow: the byte-level splitter never joins what stands on both sides, so ids of the
-distinct pieces, worked out once, are the ids of the text. Vocabularies with another
-splitter are encoded whole.
+A text is cut where the byte-level splitter never joins (``pieces``), so the ids of
+its distinct pieces, worked out once by the library and remembered (at most
+``MEMORY_PIECES`` a worker; then anew), are the ids of the text. Texts with the
+string of a special token, and vocabularies with another splitter, are given to the
+library whole.
 
 Cases: a null or empty text has the end id alone. A null doc_id sorts first. Rows
-that share a doc_id are ordered by a hash of their text; rows equal in both by
-chance, which the result cannot tell. Very long texts are one block. An empty table
-writes no block and gives an empty result. Other columns are not read.
+that share a doc_id follow each other in no fixed order. Very long texts are one
+block. An empty table writes no block and gives an empty result. Other columns are
+not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 
 import numpy as np
@@ -47,7 +51,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.llm import blocks as B
-from lectern.session import dropped, kept, scratch_path
+from lectern.session import dropped, scratch_path
 
 SCALE = 20
 LANES = 32
@@ -56,7 +60,7 @@ SEGMENT = LANES * STEPS
 BLOCK = 4 * SEGMENT
 LOW = 1 << 31
 AT_ONCE = 24
-MEMORY_PIECES = 300_000
+MEMORY_PIECES = 1_000_000
 _MASK = np.uint64((1 << SCALE) - 1)
 _32 = np.uint64(32)
 _S = np.uint64(SCALE)
@@ -188,11 +192,76 @@ class Coder:
 
 
 # ---- tokens -------------------------------------------------------------------
-_FOLLOWS = np.zeros(256, bool)
-_FOLLOWS[0x21:0x7F] = True
-_FOLLOWS[0xC3:0xF5] = True
-#: Lead bytes of white space beyond ASCII.
-_FOLLOWS[[0xE1, 0xE2, 0xE3]] = False
+def _kinds() -> np.ndarray:
+    """1 letter, 2 sign, 3 white space (ASCII), 4 lead byte of a character that is not white space, 0 other."""
+    kinds = np.zeros(256, np.uint8)
+    kinds[0x21:0x7F] = 2
+    for low, high in ((0x41, 0x5B), (0x61, 0x7B)):
+        kinds[low:high] = 1
+    kinds[0x30:0x3A] = 5  # a digit
+    kinds[list(B.SPACES)] = 3
+    kinds[0xC3:0xF5] = 4
+    kinds[[0xE1, 0xE2, 0xE3]] = 0  # lead bytes of white space beyond ASCII
+    return kinds
+
+
+_KIND = _kinds()
+
+
+def pieces(block: B.Block) -> np.ndarray:
+    """Starts of pieces that the byte-level splitter never joins.
+
+    A piece begins with a document; with a space that a character other than white
+    space follows; with ASCII white space behind an ASCII letter, digit or sign; with
+    a sign behind an ASCII letter; and with an ASCII letter behind a lone line end.
+    """
+    data, n = block.data, len(block.data)
+    kind = _KIND[data]
+    solid = (kind == 1) | (kind == 2) | (kind == 5)
+    begins = np.zeros(n, bool)
+    begins[:-1] = (data[:-1] == 0x20) & (solid | (kind == 4))[1:]
+    begins[1:] |= ((kind[1:] == 3) & solid[:-1]) | ((kind[1:] == 2) & (kind[:-1] == 1))
+    begins[2:] |= (kind[2:] == 1) & (data[1:-1] == 0x0A) & solid[:-2]
+    begins[block.offsets[:-1][np.diff(block.offsets) > 0]] = True
+    return np.flatnonzero(begins)
+
+
+class Known:
+    """Numbers of 64-bit keys in two sorted arrays, a large one and a small one that is merged into it when it grows."""
+
+    SMALL = 1 << 16
+
+    def __init__(self):
+        self.arrays = [(np.empty(0, np.uint64), np.empty(0, np.int64)) for _ in range(2)]
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.arrays)
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """-1 for a key that is not known."""
+        out = np.full(len(keys), -1, np.int64)
+        for known, numbers in self.arrays:
+            if len(known):
+                at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                hit = known[at] == keys
+                out[hit] = numbers[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        self._merge(1, keys, numbers)
+        if len(self.arrays[1][0]) > self.SMALL:
+            self._merge(0, *self.arrays[1])
+            self.arrays[1] = (keys[:0], numbers[:0])
+
+    def _merge(self, k: int, keys: np.ndarray, numbers: np.ndarray) -> None:
+        keys, numbers = np.concatenate([self.arrays[k][0], keys]), np.concatenate([self.arrays[k][1], numbers])
+        order = np.argsort(keys, kind="stable")
+        self.arrays[k] = (keys[order], numbers[order])
+
+
+def _room(array: np.ndarray, n: int) -> np.ndarray:
+    """The array, or a copy with room for ``n`` entries."""
+    return array if n <= len(array) else np.concatenate([array, np.empty(max(n, 2 * len(array)) - len(array), array.dtype)])
 
 
 class Tokens:
@@ -202,62 +271,74 @@ class Tokens:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        import json
-
         with open(file, encoding="utf-8") as source:
             given = json.load(source)
         self.library = Tokenizer.from_file(file)
-        splitter = given.get("pre_tokenizer") or {}
-        self.pieces = (
+        splitter, added = given.get("pre_tokenizer") or {}, given["added_tokens"]
+        self.cut = (
             splitter.get("type") == "ByteLevel" and not splitter.get("add_prefix_space") and splitter.get("use_regex", True)
             and given.get("normalizer") is None and given["model"].get("type", "BPE") == "BPE"
-            and not any(" " in t["content"] or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in given["added_tokens"])
+            and not any(re.search(r"\s", t["content"]) or t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added)
         )
+        # Pieces are given to the library in one text, with a special token between them; pieces that may hold a part of one go alone.
+        # Pieces are given to the library in one text, with a special token between them.
+        self.mark = next((t for t in added if t["special"]), None) if self.cut else None
+        # Signs part from letters, which would cut a special token in two, so texts that hold one are encoded whole.
+        self.special = [t["content"].encode() for t in added]
         self.size = self.library.get_vocab_size()
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.used = np.empty(1 << 16, np.uint32), 0
-        self.starts, self.counts = np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
-
-    def _learn(self, texts: list[str], hashes: list[int]) -> None:
-        for low in range(0, len(texts), 1000):
-            for h, ids in zip(hashes[low:], (e.ids for e in self.library.encode_batch(texts[low : low + 1000], add_special_tokens=False))):
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-                k = len(self.known)
-                if k == len(self.starts):
-                    self.starts, self.counts = (np.concatenate([a, np.empty_like(a)]) for a in (self.starts, self.counts))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.starts[k], self.counts[k] = self.used, len(ids)
-                self.used += len(ids)
-                self.known[h] = k
+        self.known, self.n, self.used = Known(), 0, 0
+        self.flat, self.starts, self.counts = np.empty(1 << 16, np.uint32), np.empty(1 << 12, np.int64), np.empty(1 << 12, np.int64)
+
+    def _alone(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and each one's count."""
+        if self.mark is None:
+            found = self._alone(texts)
+            return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        ids = np.array(self._alone([self.mark["content"].join(texts)])[0], np.uint32)
+        ends = np.append(np.flatnonzero(ids == self.mark["id"]), len(ids))
+        return ids[ids != self.mark["id"]], np.diff(np.append(-1, ends)) - 1
+
+    def _learn(self, texts: list[str]) -> np.ndarray:
+        first = self.n
+        for low in range(0, len(texts), 500):
+            ids, counts = self._ids(texts[low : low + 500])
+            self.flat = _room(self.flat, self.used + len(ids))
+            self.starts, self.counts = _room(self.starts, self.n + len(counts)), _room(self.counts, self.n + len(counts))
+            self.flat[self.used : self.used + len(ids)] = ids
+            self.starts[self.n : self.n + len(counts)] = self.used + np.cumsum(counts) - counts
+            self.counts[self.n : self.n + len(counts)] = counts
+            self.n, self.used = self.n + len(counts), self.used + len(ids)
+        return np.arange(first, self.n)
 
     def of(self, block: B.Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the documents of a block one after the other, and each document's count."""
         data, n = block.data, len(block.data)
         if not n:
             return np.empty(0, np.uint32), np.zeros(block.n, np.int64)
-        begins = np.zeros(n, bool)
-        if self.pieces:
-            begins[:-1] = (data[:-1] == 0x20) & _FOLLOWS[data[1:]]
-        begins[block.offsets[:-1][np.diff(block.offsets) > 0]] = True
-        start = np.flatnonzero(begins)
+        raw = data.tobytes()
+        if not self.cut or any(s in raw for s in self.special):
+            found = self._alone([raw[a:b].decode() for a, b in zip(block.offsets.tolist(), block.offsets[1:].tolist())])
+            return np.array([x for ids in found for x in ids], np.uint32), np.array([len(ids) for ids in found], np.int64)
+        start = pieces(block)
         end = np.append(start[1:], n)
-        hashes = B.span_hashes(data, start, end)
-        distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.known) > MEMORY_PIECES or self.used > 16 * MEMORY_PIECES:
+        distinct, at, which = np.unique(B.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        if self.n > MEMORY_PIECES or self.used > 8 * MEMORY_PIECES:
             self._forget()
-        keys = distinct.tolist()
-        fresh = [k for k, h in enumerate(keys) if h not in self.known]
-        if fresh:
-            raw = data.tobytes()
-            self._learn([raw[start[k] : end[k]].decode() for k in at[fresh].tolist()], [keys[k] for k in fresh])
-        numbers = np.array([self.known[h] for h in keys], np.int64)[which]
+        numbers = self.known.numbers(distinct)
+        fresh = np.flatnonzero(numbers < 0)
+        if len(fresh):
+            first = at[fresh]
+            numbers[fresh] = self._learn([raw[a:b].decode() for a, b in zip(start[first].tolist(), end[first].tolist())])
+            self.known.add(distinct[fresh], numbers[fresh])
+        numbers = numbers[which]
         counts = self.counts[numbers]
-        ids = self.flat[B.gather(self.starts[numbers], counts)]
-        return ids, B.segment_sums(counts, np.searchsorted(start, block.offsets))
+        return self.flat[B.gather(self.starts[numbers], counts)], B.segment_sums(counts, np.searchsorted(start, block.offsets))
 
 
 _tokens: dict[str, Tokens] = {}
@@ -270,114 +351,122 @@ def tokens(file: str) -> Tokens:
 
 
 def _split(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
-    offsets = np.append(0, ends) * 4
+    offsets = np.append(0, ends) * ids.itemsize
     return pa.Array.from_buffers(
-        pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(ids, "<u4").tobytes())]
+        pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(np.ascontiguousarray(ids).tobytes())]
     ).cast(pa.binary())
 
 
-def tokenized(docs: DataFrame, file: str, end_id: int = 0) -> DataFrame:
-    """doc_id, a hash of the text, and its ids with the end id as little-endian 32-bit numbers."""
+#: A block before it is coded: its file, number, tokens of the file's earlier blocks, and ids in the least width that holds the vocabulary.
+RAW = "part int, block int, before long, n long, doc_ids array<long>, sizes array<long>, ids binary"
+_RAW = pa.schema([
+    ("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64()),
+    ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("ids", pa.binary()),
+])
+
+
+def _width(size: int) -> str:
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
+def raw_blocks(docs: DataFrame, file: str, end_id: int) -> DataFrame:
+    """The documents' ids with the end id, in blocks, in ascending doc_id order."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches):
-        own = tokens(file)
+        own, part = tokens(file), TaskContext.get().partitionId()
+        kind = _width(max(own.size, end_id + 1))
+        names, held, n, number, before = [], [], 0, 0, 0
+
+        def block():
+            return pa.RecordBatch.from_pylist(
+                [{
+                    "part": part, "block": number, "before": before, "n": n, "doc_ids": names, "sizes": [len(x) for x in held],
+                    "ids": np.concatenate(held).tobytes(),
+                }],
+                schema=_RAW,
+            )
+
         for batch in batches:
-            for block in B.blocks(batch.column("text")):
-                ids, counts = own.of(block)
-                ends = np.cumsum(counts + 1)
-                out = np.full(len(ids) + len(counts), end_id, np.uint32)
-                inner = np.ones(len(out), bool)
-                inner[ends - 1] = False
-                out[inner] = ids
-                part = batch.slice(block.row, block.n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(pa.int64()), part.column("tie").cast(pa.int64()), _split(out, ends)], ["doc_id", "tie", "ids"])
+            doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            for some in B.blocks(batch.column("text")):
+                ids, counts = own.of(some)
+                ends = np.cumsum(counts)
+                for d, (low, high) in enumerate(zip((ends - counts).tolist(), ends.tolist())):
+                    names.append(doc_ids[some.row + d])
+                    held.append(np.append(ids[low:high], end_id).astype(kind))
+                    n += high - low + 1
+                    if n >= BLOCK:
+                        yield block()
+                        names, held, n, number, before = [], [], 0, number + 1, before + n
+        if names:
+            yield block()
 
-    given = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("tie"), "text")
-    return B.modest(given).mapInArrow(run, "doc_id long, tie long, ids binary")
+    # A salt below the id: rows that share an id are spread over ranges.
+    ranged = docs.select("doc_id", "text", F.rand(7).alias("salt")).repartitionByRange(parts, "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
+    return B.modest(ranged.select("doc_id", "text")).mapInArrow(run, RAW)
 
 
-def frequencies(ids: DataFrame, size: int) -> np.ndarray:
+def frequencies(raw: DataFrame, size: int) -> np.ndarray:
     """Quantised frequencies of all ids; each task gives one row an id at most."""
 
     def run(batches):
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for raw in batch.column("ids"):
-                total += np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=size)
+            for ids in batch.column("ids"):
+                total += np.bincount(np.frombuffer(ids.as_buffer(), _width(size)), minlength=size)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["id", "n"])
 
-    counted = ids.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counted = raw.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(size, np.int64)
     counts[counted.column("id").to_numpy()] = counted.column("n").to_numpy()
     return quantised(counts)
 
 
 # ---- files --------------------------------------------------------------------
-BLOCKS = "part int, block int, before long, n long, doc_ids array<long>, sizes array<long>, states binary, places binary, sums array<long>, stream binary"
+BLOCKS = "block int, before long, n long, doc_ids array<long>, sizes array<long>, states binary, places binary, sums array<long>, stream binary, part int"
 _BLOCKS = pa.schema([
-    ("part", pa.int32()), ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
-    ("states", pa.binary()), ("places", pa.binary()), ("sums", pa.list_(pa.int64())), ("stream", pa.binary()),
+    ("block", pa.int32()), ("before", pa.int64()), ("n", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())),
+    ("states", pa.binary()), ("places", pa.binary()), ("sums", pa.list_(pa.int64())), ("stream", pa.binary()), ("part", pa.int32()),
 ])
 
 
-def _written(own: list[tuple[list, list]], part: int, number: int, before: int, coder: Coder) -> pa.RecordBatch:
-    """Rows of blocks; ``before`` is the number of tokens of the file's earlier blocks."""
-    made = coder.encode([np.concatenate(ids) for _, ids in own])
-    sizes = np.cumsum([before, *(block["n"] for block in made)]).tolist()
-    return pa.RecordBatch.from_pylist(
-        [
-            {
-                "part": part, "block": number + k, "before": sizes[k], "n": block["n"], "doc_ids": names, "sizes": [len(x) for x in ids],
-                "states": np.stack(block["states"]).astype("<u8").tobytes(), "places": block["places"].astype("<u4").tobytes(),
-                "sums": block["sums"], "stream": np.concatenate(block["words"]).astype("<u4").tobytes(),
-            }
-            for k, ((names, ids), block) in enumerate(zip(own, made))
-        ],
-        schema=_BLOCKS,
-    )
-
-
 def write(docs: DataFrame, folder: str, file: str, end_id: int = 0) -> None:
     """Write the ids of all documents as files into a folder."""
     spark = docs.sparkSession
-    ids = kept(tokenized(docs, file, end_id), "token-ids")
-    table = frequencies(ids, max(tokens(file).size, end_id + 1))
+    path = scratch_path(spark, "token-blocks")
+    raw_blocks(docs, file, end_id).write.option("compression", "zstd").parquet(path)
+    raw = B.modest(spark.read.schema(RAW).parquet(path))
+    size = max(tokens(file).size, end_id + 1)
+    table = frequencies(raw, size)
     shared = spark.sparkContext.broadcast(table)
 
     def run(batches):
-        coder, part = Coder(shared.value), TaskContext.get().partitionId()
-        done, before, ready, names, own, held = 0, 0, [], [], [], 0
-        for batch in batches:
-            for doc, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids")):
-                names.append(doc)
-                own.append(np.frombuffer(raw.as_buffer(), "<u4").copy())
-                held += len(own[-1])
-                if held >= BLOCK:
-                    ready.append((names, own))
-                    names, own, held = [], [], 0
-                    if len(ready) >= AT_ONCE or len(ready[-1][1]) == 1:
-                        yield _written(ready, part, done, before, coder)
-                        before += sum(len(x) for _, ids in ready for x in ids)
-                        done, ready = done + len(ready), []
-        if names:
-            ready.append((names, own))
-        if ready:
-            yield _written(ready, part, done, before, coder)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # A text hash and a salt below the id: rows that share an id are spread over ranges.
-    ranged = ids.withColumn("salt", F.rand(7)).repartitionByRange(parts, "doc_id", "tie", "salt").sortWithinPartitions("doc_id", "tie", "salt")
-    ranged.select("doc_id", "ids").mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{folder}/blocks")
-    dropped(ids)
+        coder = Coder(shared.value)
+        for whole in batches:
+            for low in range(0, whole.num_rows, AT_ONCE):
+                batch = whole.slice(low, AT_ONCE)
+                made = coder.encode([np.frombuffer(ids.as_buffer(), _width(size)) for ids in batch.column("ids")])
+                coded = {
+                    "states": [np.stack(m["states"]).astype("<u8").tobytes() for m in made],
+                    "places": [m["places"].astype("<u4").tobytes() for m in made],
+                    "sums": [m["sums"] for m in made],
+                    "stream": [np.concatenate(m["words"]).astype("<u4").tobytes() for m in made],
+                }
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(coded[f.name], f.type) if f.name in coded else batch.column(f.name) for f in _BLOCKS], schema=_BLOCKS
+                )
+
+    raw.mapInArrow(run, BLOCKS).write.option("compression", "none").partitionBy("part").parquet(f"{folder}/blocks")
     spark.createDataFrame([(SCALE, end_id, table.tolist())], "scale int, end_id long, frequencies array<long>").coalesce(1).write.parquet(f"{folder}/table")
-    sizes = spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n").alias("tokens"))
-    running = sizes.select("part", "tokens", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("start"))
-    running.write.parquet(f"{folder}/files")
+    sizes = raw.groupBy("part").agg(F.sum("n").alias("tokens"))
+    sizes.select("part", "tokens", (F.sum("tokens").over(Window.orderBy("part")) - F.col("tokens")).alias("start")).write.parquet(f"{folder}/files")
+    dropped(raw)
 
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids (little-endian 32-bit) of every document of a folder, from its files."""
+def _decoded(spark: SparkSession, folder: str, column: str, of) -> DataFrame:
+    """doc_id, start, n_tokens of every document, and ``of(ids, ends)`` of each block as a column."""
     scale, _, table = spark.read.parquet(f"{folder}/table").first()
     if scale != SCALE:
         raise ValueError(f"frequencies of 2^{scale}, not of 2^{SCALE}")
@@ -387,8 +476,7 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
         coder = Coder(shared.value)
         for whole in batches:
             for low in range(0, whole.num_rows, AT_ONCE):
-                batch = whole.slice(low, AT_ONCE)
-                rows = batch.to_pylist()
+                rows = whole.slice(low, AT_ONCE).to_pylist()
                 found = coder.decode([
                     {
                         "n": r["n"], "states": np.frombuffer(r["states"], "<u8").reshape(-1, LANES), "places": np.frombuffer(r["places"], "<u4"),
@@ -398,20 +486,35 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 ])
                 for r, ids in zip(rows, found):
                     ends = np.cumsum(r["sizes"])
-                    n = len(ends)
+                    inner = r["before"] + np.append(0, ends)[:-1].astype(np.int64)
+                    part = pa.array(np.full(len(ends), r["part"], np.int32))
                     yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([r["part"]] * n, pa.int32()), pa.array(r["doc_ids"], pa.int64()),
-                            pa.array(r["before"] + np.append(0, ends)[:-1].astype(np.int64)), pa.array(np.array(r["sizes"], np.int64)), _split(ids, ends),
-                        ],
-                        ["part", "doc_id", "inner", "n_tokens", "ids"],
+                        [part, pa.array(r["doc_ids"], pa.int64()), pa.array(inner), pa.array(r["sizes"], pa.int64()), of(ids, ends)],
+                        ["part", "doc_id", "inner", "n_tokens", "own"],
                     )
 
+    kind = "binary" if column == "ids" else "long"
     stored = B.modest(spark.read.schema(BLOCKS).parquet(f"{folder}/blocks"))
-    docs = stored.mapInArrow(run, "part int, doc_id long, inner long, n_tokens long, ids binary")
+    docs = stored.mapInArrow(run, f"part int, doc_id long, inner long, n_tokens long, own {kind}")
     # One row a file, as many as the writer had ranges.
     files = F.broadcast(spark.read.schema("part int, tokens long, start long").parquet(f"{folder}/files"))
-    return docs.join(files, "part").select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", "ids")
+    return docs.join(files, "part").select("doc_id", (F.col("start") + F.col("inner")).alias("start"), "n_tokens", F.col("own").alias(column))
+
+
+def read(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids (little-endian 32-bit) of every document of a folder, from its files."""
+    return _decoded(spark, folder, "ids", _split)
+
+
+def checksums(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every document of a folder, from its files."""
+
+    def of(ids, ends):
+        raw = memoryview(ids).cast("B")
+        edges = [0, *(4 * ends).tolist()]
+        return pa.array([zlib.crc32(raw[a:b]) for a, b in zip(edges, edges[1:])], pa.int64())
+
+    return _decoded(spark, folder, "ids_crc32", of)
 
 
 def round_trip(docs: DataFrame, file: str, end_id: int = 0) -> DataFrame:
@@ -419,4 +522,4 @@ def round_trip(docs: DataFrame, file: str, end_id: int = 0) -> DataFrame:
     spark = docs.sparkSession
     folder = scratch_path(spark, "rans")
     write(docs, folder, file, end_id)
-    return read(spark, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return checksums(spark, folder)

@@ -18,6 +18,7 @@ from tokenizers import Tokenizer
 from lectern.llm import blocks, codes, qd, rans, whitening
 
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
+LIBRARY = Tokenizer.from_file(BYTES)
 NAMES = "vec_id long, embedding array<float>, label int, x string, code string, n string, at string, salt string, part string"
 
 
@@ -182,7 +183,7 @@ def test_qd_with_near_values(gap):
 
 # ---- token-ID files -----------------------------------------------------------
 def library(texts):
-    return [np.array([*e.ids, 0], "<u4") for e in Tokenizer.from_file(BYTES).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [np.array([*e.ids, 0], "<u4") for e in LIBRARY.encode_batch([t or "" for t in texts], add_special_tokens=False)]
 
 
 def placed(pairs):
@@ -271,6 +272,6 @@ def test_pieces_have_the_library_s_ids(texts):
     raw = [t.encode() for t in texts]
     block = blocks.Block(0, np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
     ids, counts = rans.tokens(BYTES).of(block)
-    expected = [e.ids for e in Tokenizer.from_file(BYTES).encode_batch(texts, add_special_tokens=False)] if texts else []
+    expected = [e.ids for e in LIBRARY.encode_batch(texts, add_special_tokens=False)] if texts else []
     assert counts.tolist() == [len(e) for e in expected]
     assert ids.tolist() == [x for e in expected for x in e]
