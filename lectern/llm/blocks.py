@@ -85,14 +85,17 @@ _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse modulo 2^64, at least ``n`` of each."""
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[0], _powers[1]
+    """Powers of the hash base and of its inverse modulo 2^64, at least ``n`` of each; few enough to keep are kept."""
+    if len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    found = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(1 << (n - 1).bit_length(), base, np.uint64)
+        steps[0] = 1
+        found.append(np.cumprod(steps, dtype=np.uint64))
+    if n <= 2 * _PIECE:
+        _powers[:] = found
+    return found[0], found[1]
 
 
 @dataclass
