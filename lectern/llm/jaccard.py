@@ -140,44 +140,75 @@ def candidate_groups(classes: DataFrame) -> DataFrame:
     return components(edges)
 
 
-VERIFIED = "node long, root long, links long"
-
+def linked_sets(sets: list[np.ndarray], part: np.ndarray | None, needed: int, scale: int, columns: int = 2048, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Smallest index of each set's component, and its number of links.
 
-def common_shingles(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Size of the intersection of each two sets."""
+    Links are pairs whose intersection over union is ``needed / scale`` or more, and of different
+    parts where parts are given. Pairs are counted in tiles, so memory is that of a tile whatever
+    the number of sets.
+    """
     m = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
     values = np.concatenate(sets)
-    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    owner = np.repeat(np.arange(m), sizes)
     order = np.argsort(values)
     ranked, owner = values[order], owner[order]
     start = np.flatnonzero(np.append(True, ranked[1:] != ranked[:-1])) if len(ranked) else np.empty(0, np.int64)
     length = np.diff(np.append(start, len(ranked)))
     shared = length > 1
-    keep = np.repeat(shared, length)
-    owner = owner[keep]
+    owner = owner[np.repeat(shared, length)]
     column = np.repeat(np.arange(int(shared.sum())), length[shared])
-    total = np.zeros((m, m), np.float32)
-    edges = np.searchsorted(column, np.arange(0, int(shared.sum()) + columns, columns))
-    for low, high in zip(edges, edges[1:]):
-        part = np.zeros((m, columns), np.float32)
-        part[owner[low:high], column[low:high] - column[low]] = 1
-        total += part @ part.T
-    return total
-
-
-def local_roots(linked: np.ndarray) -> np.ndarray:
-    """Smallest index of each component of a symmetric matrix."""
-    root = np.full(len(linked), -1)
-    for k in range(len(linked)):
-        if root[k] < 0:
-            root[k], todo = k, [k]
-            while todo:
-                fresh = np.flatnonzero(linked[todo.pop()] & (root < 0))
-                root[fresh] = k
-                todo += fresh.tolist()
+    by_owner = np.argsort(owner, kind="stable")
+    owner, column = owner[by_owner], column[by_owner]
+    n_columns, edges = int(shared.sum()), np.searchsorted(owner, np.arange(0, m + tile, tile))
+
+    def dense(k: int, low: int) -> np.ndarray:
+        """Rows of tile ``k`` over columns from ``low``."""
+        mine, at = owner[edges[k] : edges[k + 1]], column[edges[k] : edges[k + 1]]
+        inside = (at >= low) & (at < low + columns)
+        out = np.zeros((min(tile, m - k * tile), columns), np.float32)
+        out[mine[inside] - k * tile, at[inside] - low] = 1
+        return out
+
+    links, root = np.zeros(m, np.int64), np.arange(m)
+    for a in range(-(-m // tile)):
+        for b in range(a, -(-m // tile)):
+            total = np.zeros((min(tile, m - a * tile), min(tile, m - b * tile)), np.float32)
+            for low in range(0, n_columns, columns):
+                left = dense(a, low)
+                if left.any():
+                    total += left @ (left if a == b else dense(b, low)).T
+            x, y = np.nonzero(total)
+            common = total[x, y].astype(np.int64)
+            x, y = x + a * tile, y + b * tile
+            hit = (common * scale >= needed * (sizes[x] + sizes[y] - common)) & (x < y)
+            if part is not None:
+                hit &= part[x] != part[y]
+            x, y = x[hit], y[hit]
+            links += np.bincount(x, minlength=m) + np.bincount(y, minlength=m)
+            root = united(root, np.stack([x, y], axis=1))
+    return root, links
+
+
+def united(root: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The smallest index of each component once the pairs are joined too."""
+    while len(pairs):
+        x, y = root[pairs[:, 0]], root[pairs[:, 1]]
+        apart = x != y
+        if not apart.any():
+            break
+        pairs, low, high = pairs[apart], np.minimum(x, y)[apart], np.maximum(x, y)[apart]
+        link = np.arange(len(root))
+        np.minimum.at(link, high, low)
+        while (link[link] != link).any():
+            link = link[link]
+        root = link[root]
     return root
 
 
+VERIFIED = "node long, root long, links long"
+
+
 def verify(groups: DataFrame, threshold: float) -> DataFrame:
     """Links of each class within its group of sets (part ``x`` against part ``y``) and a tree that spans them."""
     scale = 10_000
@@ -186,15 +217,10 @@ def verify(groups: DataFrame, threshold: float) -> DataFrame:
     def run(table):
         nodes = np.array(table.column("node").to_pylist(), np.int64)
         sets = [np.frombuffer(s, np.uint64) for s in table.column("shingles").to_pylist()]
-        sizes = np.array([len(s) for s in sets], np.int64)
-        part = np.array(table.column("part").to_pylist())
-        common = common_shingles(sets).astype(np.int64)
-        linked = common * scale >= needed * (sizes[:, None] + sizes[None, :] - common)
-        np.fill_diagonal(linked, False)
         x, y = table.column("x")[0].as_py(), table.column("y")[0].as_py()
-        if x != y:
-            linked &= part[:, None] != part[None, :]
-        return pa.table({"node": nodes, "root": nodes[local_roots(linked)], "links": linked.sum(axis=1)})
+        part = np.array(table.column("part").to_pylist()) if x != y else None
+        root, links = linked_sets(sets, part, needed, scale)
+        return pa.table({"node": nodes, "root": nodes[root], "links": links})
 
     return groups.groupBy("group", "x", "y").applyInArrow(run, VERIFIED)
 
