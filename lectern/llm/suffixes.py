@@ -11,11 +11,12 @@ same anchors, and every string holds one: about one place in fifteen is kept and
 no match is lost. A suffix is known by the fingerprint of its seed and that of its
 *surroundings* (all bytes that any string through the seed can reach).
 
-**Logarithmic index family.** Suffixes are dealt out by seed fingerprint. A bucket
-takes the batches of its documents one after the other: each becomes a sorted
-suffix array; arrays of equal size are merged, so there are at most log n levels
-and a suffix is merged log n times. Levels keep the smallest doc_id of each
-(seed, surroundings). Each batch is then merge-scanned against the merged levels:
+**Logarithmic index family.** Suffixes are dealt out by mixed seed fingerprint, so
+buckets are even. A bucket takes its suffixes in batches of ascending doc_id. A
+batch becomes a sorted suffix array and is merge-scanned against itself and the
+levels that stand: a suffix found with a smaller doc_id is a long match. What is new
+in it becomes a level; levels of about equal size are merged, so there are at most
+log n of them and a suffix is merged log n times. A suffix ends up as one of
 
 * surroundings seen in a smaller doc_id: every string through the anchor is one;
 * a seed with one surroundings only: no string of which it is the least seed is;
@@ -25,8 +26,9 @@ and a suffix is merged log n times. Levels keep the smallest doc_id of each
 as they are; the bucket finds the smallest doc_id of each string of which the seed
 is the least one, and answers with a bit for each string.
 
-A seed that stands in ``HOT`` documents of one batch or more is *hot*. Its places are
-not dealt out by seed: its bucket gets one entry a batch, and all its places are open.
+A seed that stands in ``HOT`` documents of one block of texts or more is *hot*. Its
+places are not dealt out by seed: its bucket gets one entry a dealing, and all its
+places are open.
 Their strings are hashed, combined inside the batch, and dealt out by hash. So a
 passage in a third of all documents costs a batch one hash for each of its strings,
 and the strings over its edge, which all differ, are spread over all buckets.
@@ -39,14 +41,15 @@ are hot depends on the batch, so two rows of a key could get two answers.
 Cases: a null or empty text has 0 bytes, nothing removed, and the hash of nothing.
 Texts under ``LENGTH`` bytes are never cut. Rows that share a doc_id do not count
 against each other; repeated rows get equal results. A null doc_id counts as the
-largest. Very long texts are one piece of work. An empty table gives an empty
-result. Equality is that of 64-bit fingerprints or more (80 bits for a suffix).
+largest. Very long texts are one piece of work. ``cut`` keeps all columns, whatever
+their names. An empty table gives an empty result. Equality is that of 64-bit fingerprints or more (80 bits for a suffix).
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +61,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.llm import blocks as B
-from lectern.session import kept, scratch_path
+from lectern.session import dropped, kept, scratch_path
 
 LENGTH = 50
 SEED = 22
@@ -67,6 +70,12 @@ RIM = LENGTH - SEED
 BATCH_BYTES = 512 << 10
 HOT = 8
 BUCKET_ENTRIES = 500_000
+#: Suffixes that a task deals out at once: a bucket gets one row of them.
+DEAL_ENTRIES = 1 << 20
+#: Buckets are dealt out in rounds of so many bits.
+DEAL_BITS = 12
+#: Suffixes of a batch that meets the levels.
+SCAN_ENTRIES = 1 << 16
 OPEN_ENTRIES = 60_000
 NO_ID = np.iinfo(np.int64).max
 FULL, OPEN, OPEN_HOT = 1, 2, 3
@@ -139,11 +148,10 @@ def _known(keys: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 class Levels:
-    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, smallest doc_id)."""
+    """Sorted suffix arrays of geometrically growing sizes: (suffix, seed, smallest doc_id). No suffix stands in two."""
 
     def __init__(self):
         self.arrays: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.several: np.ndarray | None = None
 
     @staticmethod
     def _sorted(suffix, seed, doc):
@@ -155,7 +163,7 @@ class Levels:
     def add(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> None:
         if not len(suffix):
             return
-        new, self.several = self._sorted(suffix, seed, doc), None
+        new = self._sorted(suffix, seed, doc)
         while self.arrays and len(self.arrays[-1][0]) <= 2 * len(new[0]):
             new = self._sorted(*(np.concatenate(pair) for pair in zip(self.arrays.pop(), new)))
         self.arrays.append(new)
@@ -166,16 +174,28 @@ class Levels:
             self.arrays.append(self._sorted(*(np.concatenate(pair) for pair in zip(a, b))))
         return self.arrays[0]
 
-    def scan(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray, hot: np.ndarray) -> np.ndarray:
-        """FULL: in a smaller doc_id too, OPEN: undecided, OPEN_HOT: undecided and hot, 0: neither."""
-        known, seeds, least = self.merged()
-        if self.several is None:
-            ranked = np.sort(seeds)
-            self.several = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-        codes = np.where(_among(seed, self.several), OPEN, 0).astype(np.uint8)
-        codes[_among(seed, hot)] = OPEN_HOT
-        codes[least[np.searchsorted(known, suffix)] < doc] = FULL
-        return codes
+    def meet(self, suffix: np.ndarray, seed: np.ndarray, doc: np.ndarray) -> np.ndarray:
+        """Which suffixes of a batch stand with a smaller doc_id in a level or in the batch; its new ones become a level.
+
+        Batches come in ascending order of doc_id, so what stands is never replaced.
+        """
+        own, own_seed, least = self._sorted(suffix, seed, doc)
+        fresh = np.ones(len(own), bool)
+        for known, _, before in self.arrays:
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            hit = known[at] == own
+            least[hit] = np.minimum(least[hit], before[at[hit]])
+            fresh &= ~hit
+        found = least[np.searchsorted(own, suffix)] < doc
+        self.add(own[fresh], own_seed[fresh], least[fresh])
+        return found
+
+    def several(self) -> np.ndarray:
+        """Seeds with two surroundings or more."""
+        if not self.arrays:
+            return np.empty(0, np.uint64)
+        ranked = np.sort(np.concatenate([seeds for _, seeds, _ in self.arrays]))
+        return np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
 
 
 def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -223,16 +243,66 @@ def marked(keyed: DataFrame, key: str, mark: str) -> DataFrame:
     return B.modest(keyed).mapInArrow(run, T.StructType([*keyed.schema.fields, T.StructField(mark, T.BooleanType())]))
 
 
-def deal(docs: DataFrame, bits: int) -> DataFrame:
-    """The suffixes of each batch of documents (doc_id, text, key), for each bucket in the order of documents and places."""
-    size = 1 << bits
+_DEALT = pa.schema([("bucket", pa.int32()), ("batch", pa.int64()), *((c, pa.binary()) for c in ("keys", "ids", "counts", "seeds", "around"))])
+
+
+class _Dealer:
+    """Suffixes of several blocks of texts, given out as one row a bucket."""
+
+    def __init__(self, bits: int, number: int):
+        self.bits, self.number = bits, number
+        self._empty()
+
+    def _empty(self) -> None:
+        self.plain, self.hot, self.marks, self.docs, self.n = [], [], [], 0, 0
 
-    def row(bucket, number, keys, ids, doc, seeds, around):
+    def take(self, keys, ids, doc, seeds, around) -> None:
+        self.plain.append((keys, ids, doc + self.docs, seeds, around))
+        self.docs += len(keys)
+        self.n += len(seeds)
+
+    @staticmethod
+    def _documents(keys, ids, doc):
         own, counts = np.unique(doc, return_counts=True)
-        return (bucket, number, keys[own].tobytes(), ids[own].tobytes(), counts.astype(np.int32).tobytes(), seeds, around.tobytes())
+        return keys[own].tobytes(), ids[own].tobytes(), counts.astype(np.int32).tobytes()
+
+    def rows(self) -> pa.RecordBatch:
+        out = [(-1 - self.number % 1021, self.number, *self._documents(keys, ids, doc), ordinal.astype(np.int32).tobytes(), b"") for keys, ids, doc, ordinal in self.hot]
+        if self.plain:
+            keys, ids, doc, seeds, around = (np.concatenate(c) for c in zip(*self.plain))
+            for b, mine in self._buckets(seeds):
+                out.append((b, self.number, *self._documents(keys, ids, doc[mine]), _short(seeds[mine], self.bits), around[mine].tobytes()))
+        if self.marks:
+            # One entry for each hot seed, with nobody to answer to.
+            marks = np.unique(np.concatenate(self.marks))
+            out += [(b, -1, b"", b"", b"", _short(marks[mine], self.bits), b"") for b, mine in self._buckets(marks)]
+        self.number += 1
+        self._empty()
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], f.type) for k, f in enumerate(_DEALT)], schema=_DEALT)
+
+    def _buckets(self, seeds: np.ndarray):
+        """Each bucket with the places of its seeds, in order."""
+        bucket = _leading(seeds, self.bits)
+        order = np.argsort(bucket, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.empty(0, np.int64)
+        for low, high in zip(first, np.append(first[1:], len(order))):
+            yield int(bucket[order[low]]), order[low:high]
+
+
+def _leading(seeds: np.ndarray, bits: int) -> np.ndarray:
+    return (seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(seeds), np.int64)
+
+
+def deal(docs: DataFrame, bits: int) -> DataFrame:
+    """The suffixes of the documents (doc_id, text, key), for each bucket in the order of documents and places.
+
+    The seeds that decide are mixed once more: an anchor is the least seed of a
+    window, so nearly all anchors would share their leading bits.
+    """
+    level = min(bits, DEAL_BITS)
 
     def run(batches):
-        number = TaskContext.get().partitionId() << 32
+        dealer = _Dealer(level, TaskContext.get().partitionId() << 32)
         for batch in batches:
             all_ids, all_keys = _ids(batch.column("doc_id")), batch.column("key").to_numpy()
             for block in B.blocks(batch.column("text"), BATCH_BYTES):
@@ -240,36 +310,45 @@ def deal(docs: DataFrame, bits: int) -> DataFrame:
                 text = Text(block)
                 place, doc, seeds, _ = anchors(text)
                 around = surroundings(text, place, doc)
-                ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
                 hot = _hot(seeds, doc)
-                rows = []
+                seeds = B.mixed(seeds)
                 if hot.any():
-                    rows.append(row(-1 - number % 1021, number, keys, ids, doc[hot], ordinal[hot].astype(np.int32).tobytes(), around[:0]))
-                bucket = (seeds >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.int64) if bits else np.zeros(len(seeds), np.uint16)
-                plain = np.flatnonzero(~hot)
-                plain = plain[np.argsort(bucket[plain], kind="stable")]
-                marked = np.unique(seeds[hot])
-                cuts = np.searchsorted(bucket[plain], np.arange(size + 1))
-                marked_cuts = np.searchsorted((marked >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(marked), np.int64), np.arange(size + 1))
-                for b in range(size):
-                    mine = plain[cuts[b] : cuts[b + 1]]
-                    if len(mine):
-                        rows.append(row(b, number, keys, ids, doc[mine], _short(seeds[mine], bits), around[mine]))
-                    low, high = marked_cuts[b], marked_cuts[b + 1]
-                    if high > low:
-                        # One entry for each hot seed, with nobody to answer to.
-                        rows.append((b, -1, b"", b"", b"", _short(marked[low:high], bits), b""))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r[0] for r in rows], pa.int32()),
-                        pa.array([r[1] for r in rows], pa.int64()),
-                        *(pa.array([r[k] for r in rows], pa.binary()) for k in range(2, 7)),
-                    ],
-                    ["bucket", "batch", "keys", "ids", "counts", "seeds", "around"],
-                )
-                number += 1
+                    ordinal = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                    dealer.hot.append((keys, ids, doc[hot], ordinal[hot]))
+                    dealer.marks.append(np.unique(seeds[hot]))
+                dealer.take(keys, ids, doc[~hot], seeds[~hot], around[~hot])
+                if dealer.n >= DEAL_ENTRIES:
+                    yield dealer.rows()
+        yield dealer.rows()
+
+    dealt = B.modest(docs).select("doc_id", "text", "key").mapInArrow(run, DEALT)
+    while level < bits:
+        dealt, level = _dealt_again(dealt, level, min(bits, level + DEAL_BITS)), min(bits, level + DEAL_BITS)
+    return dealt
+
 
-    return B.modest(docs).select("doc_id", "text", "key").mapInArrow(run, DEALT)
+def _dealt_again(dealt: DataFrame, bits: int, more: int) -> DataFrame:
+    """Buckets named by more bits, for corpora where a task cannot write to all of them at once."""
+
+    def run(batches):
+        dealer = _Dealer(more, TaskContext.get().partitionId() << 32)
+        for batch in batches:
+            whole = batch.filter(pa.compute.less(batch.column("bucket"), 0))
+            if whole.num_rows:
+                yield whole
+            for row in batch.filter(pa.compute.greater_equal(batch.column("bucket"), 0)).to_pylist():
+                # The 48 bits below those of the bucket; what lay under them is gone.
+                seeds = (np.uint64(row["bucket"]) << np.uint64(64 - bits)) | (_long(row["seeds"]) << np.uint64(16)) >> np.uint64(bits)
+                if row["batch"] < 0:
+                    dealer.marks.append(seeds)
+                    continue
+                keys, ids, counts = (_array(row, c, t) for c, t in (("keys", np.int64), ("ids", np.int64), ("counts", np.int32)))
+                dealer.take(keys, ids, np.repeat(np.arange(len(keys)), counts), seeds, _array(row, "around", np.uint32))
+                if dealer.n >= DEAL_ENTRIES:
+                    yield dealer.rows()
+        yield dealer.rows()
+
+    return dealt.repartition("bucket").mapInArrow(run, DEALT)
 
 
 def _hot(seeds: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -305,31 +384,40 @@ def _array(row: dict, name: str, kind) -> np.ndarray:
     return np.frombuffer(row[name], kind)
 
 
+def _bytes(table: pa.Table, name: str) -> bytes:
+    return b"".join(v.as_buffer() for chunk in table.column(name).chunks for v in chunk)
+
+
+def _joined(table: pa.Table, name: str, kind) -> np.ndarray:
+    return np.frombuffer(_bytes(table, name), kind)
+
+
 def judge(dealt: DataFrame) -> DataFrame:
     """For each row and bucket with anything but zeros, the codes of its suffixes there; places of hot seeds."""
 
     def run(key, table):
         bucket = key[0].as_py()
-        rows = table.to_pylist()
+        of = table.column("batch")
+        marked, table = table.filter(pa.compute.less(of, 0)), table.filter(pa.compute.greater_equal(of, 0))
+        keys, counts = _joined(table, "keys", np.int64), _joined(table, "counts", np.int32).astype(np.int64)
         if bucket < 0:
-            return _answers(HOT_AT, -1, *(np.concatenate([_array(r, c, t) for r in rows]) for c, t in (("keys", np.int64), ("counts", np.int32), ("seeds", np.int32))))
-        hot = np.unique(np.concatenate([np.empty(0, np.uint64), *(_long(r["seeds"]) for r in rows if r["batch"] < 0)]))
-        rows = [r for r in rows if r["batch"] >= 0]
-        levels = Levels()
-        entries = []
-        for r in rows:
-            counts = _array(r, "counts", np.int32).astype(np.int64)
-            seeds = _long(r["seeds"])
-            entry = (_known(seeds, _array(r, "around", np.uint32)), seeds, np.repeat(_array(r, "ids", np.int64), counts))
-            levels.add(*entry)
-            entries.append((entry, counts))
-        if not rows:
+            return _answers(HOT_AT, -1, keys, counts, _joined(table, "seeds", np.int32))
+        if not len(keys):
             return _ANSWER.empty_table()
-        codes = np.concatenate([levels.scan(*entry, hot) for entry, _ in entries])
-        counts = np.concatenate([c for _, c in entries])
+        hot, seeds = np.unique(_long(_bytes(marked, "seeds"))), _long(_bytes(table, "seeds"))
+        suffix = _known(seeds, _joined(table, "around", np.uint32))
+        doc = np.repeat(_joined(table, "ids", np.int64), counts)
+        order = np.argsort(doc, kind="stable")
+        levels, full = Levels(), np.zeros(len(doc), bool)
+        for low in range(0, len(order), SCAN_ENTRIES):
+            mine = order[low : low + SCAN_ENTRIES]
+            full[mine] = levels.meet(suffix[mine], seeds[mine], doc[mine])
+        codes = np.where(_among(seeds, levels.several()), OPEN, 0).astype(np.uint8)
+        codes[_among(seeds, hot)] = OPEN_HOT
+        codes[full] = FULL
         first = np.cumsum(counts) - counts
         n_open = np.add.reduceat((codes == OPEN).astype(np.int64), first)
-        whole = _answers(CODE, bucket, np.concatenate([_array(r, "keys", np.int64) for r in rows]), counts, codes, n_open)
+        whole = _answers(CODE, bucket, keys, counts, codes, n_open)
         return whole.filter(pa.array(np.maximum.reduceat(codes, first) > 0))
 
     return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
@@ -343,7 +431,7 @@ class Answered:
         self.block, self.text, self.given = block, Text(block), given
         self.place, self.doc, self.seeds, self.least = anchors(self.text)
         self.first = np.searchsorted(self.doc, np.arange(block.n + 1))
-        self.bucket = (self.seeds >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(self.seeds), np.int64)
+        self.bucket = _leading(B.mixed(self.seeds), bits)
         self.code = np.zeros(len(self.place), np.uint8)
         for d, parts in enumerate(given):
             if not parts:
@@ -442,8 +530,7 @@ def deal_rims(texts: DataFrame, codes: DataFrame, bits: int, open_bits: int) ->
 
 
 def _bucket(values: np.ndarray, bits: int) -> np.ndarray:
-    # Not the leading bits, which the first dealing has used.
-    return (B.mixed(values) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(values), np.int64)
+    return _leading(B.mixed(values), bits)
 
 
 def strings_of(seed: np.ndarray, around: np.ndarray) -> np.ndarray:
@@ -528,8 +615,11 @@ def _spans(own: Answered, open_bits: int) -> list[np.ndarray]:
     return [ranges[runs.first[d] : runs.first[d + 1]] - own.block.offsets[d] for d in range(own.block.n)]
 
 
-def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
-    """``finish(batch part, block, spans of each document)`` over all rows, with all columns of ``docs`` at hand."""
+def with_spans(docs: DataFrame, finish, schema) -> tuple[DataFrame, Callable[[], None]]:
+    """``finish(batch part, block, spans of each document)`` over all rows, with all columns of ``docs`` at hand.
+
+    Also a function that drops the tables, to be called when the result is written.
+    """
     spark = docs.sparkSession
     key, mark = B.unused(docs.columns, "__key", "__judged")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0))).first()[0]
@@ -546,7 +636,8 @@ def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
     n_open = codes.agg(F.coalesce(F.sum("n_open"), F.lit(0))).first()[0]
     open_bits = _bits(n_open, OPEN_ENTRIES)
     rims = settle_rims(deal_rims(plain, codes, bits, open_bits), open_bits)
-    answers = _groups(codes.unionAll(kept(rims, "suffix-rims")))
+    rims = kept(rims, "suffix-rims")
+    answers = _groups(codes.unionAll(rims))
     (given,) = B.unused(docs.columns, "answers")
     joined = texts.join(answers.select(F.col("key").alias(key), F.col("answers").alias(given)), key, "left").drop(key, mark)
 
@@ -557,11 +648,16 @@ def with_spans(docs: DataFrame, finish, schema) -> DataFrame:
                 own = Answered(block, part.column(given).to_pylist(), bits)
                 yield finish(part.drop_columns([given]), block, _spans(own, open_bits))
 
-    return joined.mapInArrow(run, schema)
+    def drop():
+        for table in (codes, rims, texts):
+            dropped(table)
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+    return joined.mapInArrow(run, schema), drop
 
 
 def _bits(entries: float, size: int) -> int:
-    return min(16, max(0, math.ceil(math.log2(max(1.0, entries) / size))))
+    return min(30, max(0, math.ceil(math.log2(max(1.0, entries) / size))))
 
 
 def _rest(data: np.ndarray, spans: np.ndarray) -> np.ndarray:
@@ -591,7 +687,10 @@ def dedup(docs: DataFrame) -> DataFrame:
         )
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<low:bigint,high:bigint>>"
-    return with_spans(docs.select("doc_id", "text"), finish, schema)
+    found, drop = with_spans(docs.select("doc_id", "text"), finish, schema)
+    found = kept(found, "suffix-spans")
+    drop()
+    return found
 
 
 _RANGES = pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))
@@ -615,7 +714,7 @@ def cut(docs: DataFrame) -> DataFrame:
             out = out.set_column(at, out.schema.field(at), pa.compute.coalesce(changed, out.column(at)))
         return out.filter(pa.array(keep, pa.bool_()))
 
-    return with_spans(docs, finish, docs.schema)
+    return with_spans(docs, finish, docs.schema)[0]
 
 
 def without(text: str, spans: np.ndarray) -> str:

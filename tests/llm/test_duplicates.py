@@ -77,6 +77,34 @@ def test_suffixes_with_hot_seeds_and_many_buckets(docs, pairs, monkeypatch):
     assert ordered(rows(suffixes.dedup(docs).drop("spans"))) == brute.repeated_bytes(pairs)
 
 
+def test_suffixes_dealt_out_in_rounds(docs, pairs, monkeypatch):
+    monkeypatch.setattr(suffixes, "DEAL_BITS", 3)
+    monkeypatch.setattr(suffixes, "DEAL_ENTRIES", 5_000)
+    monkeypatch.setattr(suffixes, "SCAN_ENTRIES", 70)
+    monkeypatch.setattr(suffixes, "BUCKET_ENTRIES", 500)
+    assert ordered(rows(suffixes.dedup(docs).drop("spans"))) == brute.repeated_bytes(pairs)
+
+
+def test_buckets_are_even(spark):
+    texts = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("key", suffixes.row_key())
+    dealt = suffixes.deal(texts, 6).where("bucket >= 0").selectExpr("bucket", "length(seeds) AS n").groupBy("bucket").sum("n").collect()
+    sizes = sorted(r[1] for r in dealt)
+    assert len(sizes) == 64 and sizes[-1] < 2 * sizes[32]
+
+
+def test_sets_link_alike_in_any_tile():
+    pick = np.random.default_rng(2)
+    base = np.unique(pick.integers(0, 1 << 62, 300).astype(np.uint64))
+    sets = [np.unique(np.where(pick.random(len(base)) < 0.06 * (k % 5), pick.integers(0, 1 << 62, len(base)).astype(np.uint64), base)) for k in range(40)]
+    sets += [pick.integers(0, 1 << 62, 20).astype(np.uint64) for _ in range(4)]
+    plain = [[10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)) for b in sets] for a in sets]
+    for tile, columns in ((512, 2048), (7, 11)):
+        root, links = jaccard.linked_sets(sets, None, 8, 10, columns, tile)
+        assert links.tolist() == [sum(row) - 1 for row in plain]
+        assert all(root[a] == root[b] for a in range(len(sets)) for b in range(len(sets)) if plain[a][b])
+        assert root[40:].tolist() == list(range(40, 44)) and (root <= np.arange(44)).all()
+
+
 def test_suffixes_of_repeated_rows_over_batches(spark, monkeypatch):
     monkeypatch.setattr(suffixes, "HOT", 3)
     monkeypatch.setattr(suffixes, "BATCH_BYTES", 3_000)
