@@ -8,7 +8,9 @@ part of a word, so byte positions split words exactly as code points would.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,6 +44,20 @@ def modest(df):
     return df
 
 
+def remembered(file: str, make):
+    """``make(file)``, once a worker process and state of the file.
+
+    The package reaches workers by value, with new globals for each task; what is
+    kept in ``sys`` stays as long as the process.
+    """
+    store = vars(sys).setdefault("_lectern_files", {})
+    state = os.stat(file)
+    key = (make.__name__, file, state.st_mtime_ns, state.st_size)
+    if key not in store:
+        store[key] = make(file)
+    return store[key]
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """The names, longer where a table has a column of that name."""
     taken = {c.lower() for c in columns}

@@ -341,13 +341,8 @@ class Tokens:
         return self.flat[B.gather(self.starts[numbers], counts)], B.segment_sums(counts, np.searchsorted(start, block.offsets))
 
 
-_tokens: dict[str, Tokens] = {}
-
-
 def tokens(file: str) -> Tokens:
-    if file not in _tokens:
-        _tokens[file] = Tokens(file)
-    return _tokens[file]
+    return B.remembered(file, Tokens)
 
 
 def _split(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
