@@ -119,9 +119,11 @@ def _kept_best(scores: np.ndarray, ids: np.ndarray, more: np.ndarray, names: np.
 def _top(scores: np.ndarray, names: np.ndarray, k: int) -> np.ndarray:
     """Columns of the best ``k`` of each row, with the smallest ids among those equal to the k-th."""
     cut = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
-    # Everything over the cut goes first, then the cut's equals by id; the rest never.
-    rank = np.where(scores > cut, -1.0, np.where(scores == cut, names.astype(np.float64), np.inf))
-    return np.argpartition(rank, k - 1, axis=1)[:, :k]
+    # Everything over the cut goes first, then the cut's equals by id; the rest never. Ids stay whole numbers.
+    kind = np.where(scores > cut, 0, np.where(scores == cut, 1, 2))
+    place = np.empty(len(names), np.int64)
+    place[np.argsort(names, kind="stable")] = np.arange(len(names))
+    return np.argpartition(kind * len(names) + place, k - 1, axis=1)[:, :k]
 
 
 def _scan_search(queries: DataFrame, items: DataFrame, k: int | None, floor: float | None, rows) -> DataFrame:

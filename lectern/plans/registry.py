@@ -38,3 +38,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{folder}/{name}.parquet")
     wanted = spark.conf.get(PARTITIONS, None)
     return df.repartition(int(wanted)) if wanted and name in ("documents", "pages") else df
+
+
+_STORED: dict[tuple[str, str, str], object] = {}
+
+
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], object]):
+    """What ``build`` writes for a folder of given tables, once a Spark application.
+
+    An index outlives the searches that read it; the tables it was built from do not change.
+    """
+    key = (spark.sparkContext.applicationId, folder, name)
+    if key not in _STORED:
+        _STORED[key] = build()
+    return _STORED[key]

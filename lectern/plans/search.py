@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators import lexical as L
+from lectern.operators import postings as P
 from lectern.operators import vectors as V
 from lectern.operators.ranking import top_per_group
 from lectern.plans import derived as D
 from lectern.plans import sqltext as S
-from lectern.plans.registry import query, table
+from lectern.plans.registry import query, stored, table
 
 
 # ---- shared inputs ----------------------------------------------------------
@@ -33,6 +34,11 @@ def document_chunks(spark, folder):
     return table(spark, folder, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
 
 
+def document_index(spark, folder) -> P.Index:
+    """The stored index of all documents, built by the first search."""
+    return stored(spark, folder, "documents", lambda: P.build_index(document_chunks(spark, folder)))
+
+
 QV = "(SELECT b.item_id AS query_id, e.embedding AS vector, e.label FROM benchmark b JOIN embeddings e ON e.vec_id = b.item_id)"
 SIM = f"(SELECT q.query_id, e.vec_id AS item_id, q.label AS q_label, e.label, round({S.cosine('q.vector', 'e.embedding')}, 12) AS score FROM {QV} q, embeddings e)"
 
@@ -201,6 +207,40 @@ def lexical_search(spark, folder):
     return out.withColumn("rank", F.col("rank").cast("bigint"))
 
 
+# Web-style queries from the benchmark's words: a phrase without a word, or two words.
+def web_queries(spark, folder):
+    w = lambda n: F.coalesce(F.get("w", F.lit(n - 1)), F.lit(""))
+    text = F.concat(F.lit('"'), w(1), F.lit(" "), w(2), F.lit(" "), w(3), F.lit('" -'), w(9), F.lit(" or "), w(5), F.lit(" "), w(6))
+    return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), T.tokens(F.col("text")).alias("w")).select("query_id", text.alias("query"))
+
+
+def _sql_stems(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in fixed.STOPWORDS)
+    return f"list_transform({S.tokens(x)}, lambda st: CASE WHEN st IN ({stop}) THEN '' ELSE {S.scope_stem('st')} END)"
+
+
+WEB_WORDS = f"(SELECT item_id AS query_id, list_transform(range(1, 10), lambda i: coalesce(w[i], '')) AS w FROM (SELECT item_id, {S.tokens('text')} AS w FROM benchmark))"
+WEB_ALTS = f"""(SELECT query_id, alt, list_distinct(terms) AS terms, phrase, excluded FROM (
+    SELECT query_id, 1 AS alt, {_terms("w[1] || ' ' || w[2] || ' ' || w[3]")} AS terms, ' ' || array_to_string({_sql_stems("w[1] || ' ' || w[2] || ' ' || w[3]")}, ' ') || ' ' AS phrase,
+      {_terms("w[9]")} AS excluded FROM {WEB_WORDS}
+    UNION ALL SELECT query_id, 2, {_terms("w[5] || ' ' || w[6]")}, '', [] FROM {WEB_WORDS}) WHERE len(terms) > 0)"""
+WEB_PAIRS = f"""(SELECT p.* FROM {AND_PAIRS.replace(ALTS, WEB_ALTS)} p JOIN {WEB_ALTS} a USING (query_id, alt)
+    JOIN (SELECT doc_id AS chunk_id, {_sql_stems('text')} AS stems FROM documents) s USING (chunk_id)
+    WHERE contains(' ' || array_to_string(stems, ' ') || ' ', a.phrase) AND len(list_intersect(stems, a.excluded)) = 0)"""
+WEB_HITS = AND_HITS.replace(AND_PAIRS, WEB_PAIRS).replace(ALTS, WEB_ALTS)
+WEB_OR_HITS = OR_HITS.replace(
+    f"(SELECT item_id AS query_id, {S.content_terms('text')} AS terms FROM benchmark)",
+    f"(SELECT query_id, {S.content_terms("array_to_string([w[1], w[2], w[3], w[9], 'or', w[5], w[6]], ' ')")} AS terms FROM {WEB_WORDS})",
+)
+
+
+@query("indexed_search", "RET-1 RET-2 RET-3 TOP-2", f"SELECT * FROM {sql_search(50).replace(AND_HITS, WEB_HITS).replace(OR_HITS, WEB_OR_HITS)}")
+def indexed_search(spark, folder):
+    """Phrases, excluded words and alternatives over the stored index."""
+    out = P.search(web_queries(spark, folder), document_index(spark, folder), 50)
+    return out.withColumn("rank", F.col("rank").cast("bigint"))
+
+
 @query(
     "substring_scores", "RET-6 TOP-2",
     f"""WITH words AS (SELECT doc_id, word, count(*) AS tf FROM (SELECT doc_id, unnest({S.tokens(S.searchable('text'))}) AS word FROM documents) GROUP BY ALL),

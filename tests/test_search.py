@@ -209,3 +209,19 @@ def test_grounding(spark):
     proof = spark.createDataFrame([(i, 1, "Hotel booking records include reservation dates and room types.") for i in (1, 2, 3)], "answer_id bigint, evidence_id bigint, text string")
     got = {r["answer_id"]: r["grounded"] for r in answer_verdicts(answers, proof, embedder(hashing_model(2048))).collect()}
     assert got == {1: True, 2: False, 3: True, 4: False}
+
+
+def test_ties_at_the_cut_with_ids_of_any_sign():
+    rng = np.random.default_rng(9)
+    for trial in range(300):
+        n, k = int(rng.integers(5, 60)), int(rng.integers(1, 5))
+        scores = rng.integers(0, 4, (3, n)) / 4.0
+        ids = rng.choice(np.concatenate([rng.integers(-(2**62), 2**62, 100), 2**53 + np.arange(50), -(2**53) - np.arange(50)]), n, replace=False)
+        empty = (np.empty((3, 0)), np.empty((3, 0), np.int64))
+        found, names = V._kept_best(*empty, scores, ids, k)
+        for row in range(3):
+            best = sorted(zip(-scores[row], ids.tolist()))[:k]
+            assert list(zip(-found[row], names[row].tolist())) == best
+    scores = np.array([[0.9] + [0.5] * 20])
+    found, names = V._kept_best(np.empty((1, 0)), np.empty((1, 0), np.int64), scores, np.array([7, *range(-100, -80)]), 2)
+    assert found.tolist() == [[0.9, 0.5]] and names.tolist() == [[7, -100]]
