@@ -60,8 +60,9 @@ ORACLES["op3_decontamination"] = sqlchecks.decontamination(10)
 @query
 def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base figures and the likelihood-ratio verdict of every document."""
-    docs = read(spark, folder, "documents")
-    return quality.judge(docs, quality.fit(docs, labels_or_none(spark, folder)))
+    docs, labels = read(spark, folder, "documents"), labels_or_none(spark, folder)
+    ratios = quality.fit(docs, labels)
+    return quality.judge(docs, ratios, quality.calibrated(docs, labels, ratios))
 
 
 @query

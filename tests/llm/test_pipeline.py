@@ -17,8 +17,10 @@ def test_stages_one_after_the_other(spark, sf):
     assert all(s.columns == columns for s in steps[:-1])
     texts = [{r["doc_id"]: r["text"] for r in s.collect()} for s in steps[:-1]]
     source = spark.read.parquet(f"{sf}/documents.parquet")
-    ratios = quality.fit(source, spark.read.parquet(f"{sf}/labels.parquet"))
-    assert set(texts[0]) == {r["doc_id"] for r in quality.judge(source, ratios).where("kept").collect()}
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    ratios = quality.fit(source, labels)
+    rules = quality.calibrated(source, labels, ratios)
+    assert set(texts[0]) == {r["doc_id"] for r in quality.judge(source, ratios, rules).where("kept").collect()}
     classes = brute.near_duplicates(list(texts[0].items()))
     assert set(texts[1]) == {r[1] for r in classes}
     cut = {r[0]: r for r in brute.repeated_bytes(list(texts[1].items()))}

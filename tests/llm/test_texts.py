@@ -59,7 +59,9 @@ def test_ratio_equals_counting(spark, docs, pairs):
     labels = spark.createDataFrame([(100 + k, int(k % 3 > 0), int(k % 7 == 0)) for k in range(200)] + [(None, 1, 0)], "doc_id long, quality int, toxic int")
     rules = quality.Rules(bits=8)
     ratios = quality.fit(docs, labels, rules)
-    trusted = {100 + k for k in range(200) if k % 3 and k % 7}
+    given = {r["doc_id"]: r["held"] for r in quality.trusted(labels, rules).collect()}
+    assert set(given) == {100 + k for k in range(200) if k % 3 and k % 7}
+    trusted = {d for d, held in given.items() if not held}
     raw, good = np.zeros(256), np.zeros(256)
     grams = []
     for d, text in pairs:
@@ -69,7 +71,8 @@ def test_ratio_equals_counting(spark, docs, pairs):
         for x in mine:
             raw[x] += 1
             good[x] += d in trusted
-    expected = np.round((np.log((good + 1) / (good.sum() + 256)) - np.log((raw + 1) / (raw.sum() + 256))) * 1e6)
+    share = (raw + 1) / (raw.sum() + 256)
+    expected = np.round(np.log((good + rules.smoothing * share) / (good.sum() + rules.smoothing) / share) * 1e6)
     assert np.abs(expected - ratios).max() <= 1
     scores = sorted((round(sum(ratios[x] for x in g) / max(1, len(g)) / 1e6, 9), d or -1) for (d, _), g in zip(pairs, grams))
     assert scores == sorted((round(r["score"], 9), r["doc_id"] or -1) for r in quality.judge(docs, ratios, rules).collect())
@@ -78,6 +81,19 @@ def test_ratio_equals_counting(spark, docs, pairs):
     assert kept.count() == quality.judge(docs, ratios, rules).where("kept").count()
 
 
+def test_threshold_loses_a_share_of_held_out_good_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    ratios = quality.fit(docs, labels)
+    rules = quality.calibrated(docs, labels, ratios)
+    held = quality.trusted(labels, rules).where("held")
+    judged = quality.judge(docs, ratios, rules).where("not base_failed")
+    own = judged.join(held, "doc_id")
+    assert own.where("not kept").count() <= rules.lost * own.count()
+    bad = judged.join(labels.where("quality = 0").select("doc_id"), "doc_id", "left_semi")
+    assert bad.where("not kept").count() > 0.9 * bad.count()
+    assert quality.calibrated(docs, None, ratios) == quality.calibrated(docs.limit(0), labels, ratios) == quality.Rules()
+
+
 def test_quality_of_nothing(none):
     assert rows(quality.judge(none, quality.fit(none, None))) == []
 
