@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, written as Parquet
 and read again as the next stage's docs. The first four return the columns of
 documents; the last returns doc_id, n_tokens, ids, score and round_trip.
+
+Cases: a null or empty text, or one without a word, fails the first stage's base
+rules. Columns beyond those of documents are left out. Rows that share a doc_id are
+documents of their own until the second stage, which keeps one row of each group of
+copies. Every stage gives an empty table for an empty one, and each module's
+docstring says what it does with long texts and ties.
 """
 
 from __future__ import annotations
@@ -20,8 +26,9 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio."""
-    own = docs.select(*COLUMNS)
-    return quality.keep(own, quality.fit(own, labels_or_none(spark, sf_dir)))
+    own, labels = docs.select(*COLUMNS), labels_or_none(spark, sf_dir)
+    ratios = quality.fit(own, labels)
+    return quality.keep(own, ratios, quality.calibrated(own, labels, ratios))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
