@@ -214,45 +214,3 @@ def similar_pairs(
 ) -> DataFrame:
     """Every (query_id, item_id, score) with a score of ``floor`` or more."""
     return _search(queries, items, None, floor, group, broadcast_bytes)
-
-
-# ---- approximate index ------------------------------------------------------
-def build_lists(items: DataFrame, seed: int = 7):
-    """Cluster vectors into ⌊√n⌋ lists. Returns items with ``list_id`` and the centres."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    lists = max(1, int(items.count() ** 0.5))
-    features = items.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
-    model = KMeans(k=lists, seed=seed, maxIter=10, featuresCol="features", predictionCol="list_id").fit(features)
-    return model.transform(features).drop("features"), np.stack(model.clusterCenters())
-
-
-def probe_lists(queries: DataFrame, centres: np.ndarray, sizes: np.ndarray, k: int, probes: int = 1) -> DataFrame:
-    """One row per query and probed list: the nearest ``probes``, and on until they hold ``k`` items.
-
-    The centres and the list sizes are √n rows.
-    """
-    centre_norms = (centres * centres).sum(axis=1)
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            m = np.stack([np.asarray(v, dtype=np.float64) for v in batch["vector"]])
-            distance = centre_norms[None, :] - 2.0 * (m @ centres.T)
-            near = np.argsort(distance, axis=1, kind="stable")
-            before = np.cumsum(sizes[near], axis=1) - sizes[near]
-            probed = (np.arange(near.shape[1]) < probes) | (before < k)
-            out = batch.loc[batch.index.repeat(probed.sum(axis=1))].copy()
-            out["list_id"] = near[probed].astype("int32")
-            yield out
-
-    return queries.select("query_id", "vector").mapInPandas(nearest, "query_id bigint, vector array<float>, list_id int")
-
-
-def top_similar_in_lists(queries: DataFrame, listed: DataFrame, centres: np.ndarray, k: int, probes: int = 1) -> DataFrame:
-    """Approximate top ``k``: exact ranking inside the probed lists only."""
-    sizes = np.zeros(len(centres), np.int64)
-    for row in listed.groupBy("list_id").count().toLocalIterator():
-        sizes[row["list_id"]] = row["count"]
-    partial = _block_search(probe_lists(queries, centres, sizes, k, probes), listed, k, None, "list_id")
-    return top_per_group(partial, ["query_id"], [F.desc("score"), F.col("item_id")], k)

@@ -9,6 +9,7 @@ from lectern.functions import text as T
 from lectern.operators import lexical as L
 from lectern.operators import postings as P
 from lectern.operators import vectors as V
+from lectern.operators import vectorlists as VL
 from lectern.operators.ranking import top_per_group
 from lectern.plans import derived as D
 from lectern.plans import sqltext as S
@@ -70,10 +71,17 @@ def similar_pairs(spark, folder):
     )
 
 
+def vector_lists(spark, folder) -> VL.Lists:
+    """The stored lists of all vectors, built by the first search."""
+    return stored(spark, folder, "lists", lambda: VL.build_lists(item_vectors(spark, folder)))
+
+
 @query("vector_list_search", "RET-16")
 def vector_list_search(spark, folder):
-    listed, centres = V.build_lists(item_vectors(spark, folder))
-    return V.top_similar_in_lists(query_vectors(spark, folder), listed, centres, 10)
+    """As many lists as the recall of stored vectors asks for."""
+    index = vector_lists(spark, folder)
+    wanted = stored(spark, folder, "lists probed", lambda: VL.lists_for(index, 10))
+    return VL.top_in_lists(index, query_vectors(spark, folder), 10, wanted)
 
 
 @query(
@@ -82,8 +90,8 @@ def vector_list_search(spark, folder):
 )
 def vector_all_lists(spark, folder):
     """Every list probed: the index must then give the exact result."""
-    listed, centres = V.build_lists(item_vectors(spark, folder))
-    out = V.top_similar_in_lists(query_vectors(spark, folder), listed, centres, 10, probes=len(centres))
+    index = vector_lists(spark, folder)
+    out = VL.top_in_lists(index, query_vectors(spark, folder), 10, index.centres.count())
     return out.withColumns({"rank": F.col("rank").cast("bigint"), "score": F.round("score", 6)})
 
 

@@ -6,6 +6,7 @@ from lectern.operators import evidence as E
 from lectern.operators import lexical as L
 from lectern.operators import retrieval as R
 from lectern.operators import vectors as V
+from lectern.operators import vectorlists as VL
 
 
 @pytest.fixture(scope="module")
@@ -56,16 +57,43 @@ def test_hot_group_is_split(vectors, monkeypatch):
     assert ranked(V.top_similar(q_df, i_df, 4, group="label")) == brute(items, queries, 4, lambda q, i: q % 3 == i % 3)
 
 
-def test_list_search_recall(vectors):
+def test_stored_lists_are_exact_when_all_are_probed(spark, vectors):
     items, queries, i_df, q_df = vectors
-    listed, centres = V.build_lists(i_df)
-    assert len(centres) == int(300**0.5)
+    index = VL.build_lists(i_df)
+    assert 10 <= index.centres.count() <= 2 * int(300**0.5)
+    assert index.vectors.count() == 300
     exact = brute(items, queries, 5)
-    few = ranked(V.top_similar_in_lists(q_df, listed, centres, 5, probes=1))
-    every = ranked(V.top_similar_in_lists(q_df, listed, centres, 5, probes=len(centres)))
-    assert every == exact
-    hits = sum(len(set(few.get(q, [])) & set(exact[q])) for q in exact)
-    assert hits / 100 > 0.2
+    assert ranked(VL.top_in_lists(index, q_df, 5, index.centres.count())) == exact
+    wanted = VL.lists_for(index, 5, 0.95)
+    few = ranked(VL.top_in_lists(index, q_df, 5, wanted))
+    assert all(len(few[q]) == 5 for q in exact)
+    assert sum(len(set(few[q]) & set(exact[q])) for q in exact) / 100 >= 0.85
+    # Equal vectors share a list.
+    homes = {r["item_id"]: r["list_id"] for r in index.vectors.select("item_id", "list_id").collect()}
+    assert homes[7] == homes[11]
+
+
+def test_stored_lists_take_new_items_without_a_new_fit(spark, vectors, monkeypatch):
+    items, queries, i_df, q_df = vectors
+    monkeypatch.setattr(VL, "BLOCK", 40)
+    index = VL.build_lists(i_df.filter("item_id < 250"))
+    centres = index.centres.orderBy("list_id").collect()
+    late = i_df.filter("item_id >= 240")
+    index = VL.add_items(index, late)
+    index = VL.add_items(index, late)
+    assert index.vectors.count() == 300 and index.vectors.select("item_id").distinct().count() == 300
+    assert index.centres.orderBy("list_id").collect() == centres
+    assert ranked(VL.top_in_lists(VL.open_lists(spark, index.folder), q_df, 5, len(centres))) == brute(items, queries, 5)
+
+
+def test_stored_lists_of_hot_empty_and_missing_vectors(spark):
+    schema = "item_id bigint, vector array<float>"
+    rows = [(i, [1.0, 0.0]) for i in range(60)] + [(60 + i, [float(i), 1.0]) for i in range(30)] + [(99, None)]
+    index = VL.build_lists(spark.createDataFrame(rows, schema))
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, vector array<float>")
+    assert ranked(VL.top_in_lists(index, asked, 3, 1)) == {1: [0, 1, 2]}
+    none = VL.build_lists(spark.createDataFrame([], schema))
+    assert VL.top_in_lists(none, asked, 3).count() == 0
 
 
 def test_cosine_column_handles_zero(spark):
