@@ -673,17 +673,24 @@ def file_bytes(spark, folder):
 
 @query(
     "file_scan", "SRC-1",
-    """SELECT name, size FROM (SELECT concat('note ', doc_id, '.txt') AS name, strlen(text) AS size FROM documents
-       UNION ALL SELECT concat('page ', page_id, '.html'), strlen(html) FROM pages)""",
+    """SELECT source, CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(replace(text, chr(10), ' ')) + 1) AS BIGINT) AS size FROM documents GROUP BY source""",
 )
 def file_scan(spark, folder):
-    """Text and page files as one row each, with their size in bytes."""
-    rows = file_bytes(spark, folder).filter(~F.col("doc_id").startswith("e"))
-    return rows.select("name", F.octet_length("bytes").cast("bigint").alias("size"))
+    """The documents as text files, a folder for each source, found again and read by the scan."""
+    from lectern.session import scratch_path
+    from lectern.sources.files import scan_files
+
+    path = scratch_path(spark, "corpus")
+    lines = table(spark, folder, "documents").select("source", F.translate("text", "\n", " ").alias("line"))
+    # A file ends after so many rows: a source with a third of all rows is many files.
+    lines.write.option("maxRecordsPerFile", 2000).partitionBy("source").text(path)
+    files = scan_files(spark, path, "*.txt").withColumn("source", F.regexp_extract("path", "/source=([^/]+)/", 1))
+    newlines = F.octet_length("bytes") - F.octet_length(F.translate(F.decode("bytes", "UTF-8"), "\n", ""))
+    return files.groupBy("source").agg(F.sum(newlines).alias("lines"), F.sum("size").alias("size"))
 
 
 @query(
-    "ingested_files", "SRC-1 SRC-2 SRC-4 STR-1",
+    "ingested_files", "SRC-2 SRC-4",
     """SELECT name, CASE WHEN name LIKE '%.docx' THEN 'FAILED' ELSE 'READY' END AS status FROM (
        SELECT concat('note ', doc_id, '.txt') AS name FROM documents
        UNION ALL SELECT concat('page ', page_id, '.html') FROM pages
@@ -698,6 +705,67 @@ def ingested_files(spark, folder):
     return files.select("doc_id", "name").join(read, "doc_id", "left").select("name", F.coalesce("status", F.lit("FAILED")).alias("status"))
 
 
+def upload_bytes(spark, folder):
+    """Uploads of every outcome from the given tables: texts, pages, JSON, word-processor files, damaged ones, programs."""
+    import io
+    import zipfile
+
+    files = file_bytes(spark, folder).filter(~F.col("doc_id").startswith("e")).select("name", "bytes")
+    at = F.col("event_id") % 10
+    kinds = F.when(at == 0, "docx").when(at == 5, "broken.docx").when(at == 7, "exe").otherwise("json")
+    props = table(spark, folder, "events").select(F.concat(F.lit("event "), "event_id", F.lit("."), kinds).alias("name"), "props", kinds.alias("kind"))
+    plain = props.filter("kind <> 'docx'").select(
+        "name", F.encode(F.when(F.col("kind") == "broken.docx", F.concat(F.lit("no package: "), "props")).otherwise(F.col("props")), "UTF-8").alias("bytes")
+    )
+
+    def packed(batches):
+        for batch in batches:
+            out = []
+            for text in batch["props"]:
+                data = io.BytesIO()
+                with zipfile.ZipFile(data, "w") as package:
+                    # A fixed date: equal texts are equal files.
+                    package.writestr(zipfile.ZipInfo("word/document.xml"), f"<w:document><w:p><w:r><w:t>{text}</w:t></w:r></w:p></w:document>")
+                out.append(data.getvalue())
+            yield batch[["name"]].assign(bytes=out)
+
+    words = props.filter("kind = 'docx'").select("name", "props").mapInPandas(packed, "name string, bytes binary")
+    return files.unionByName(plain).unionByName(words)
+
+
+@query(
+    "streamed_ingest", "STR-1 SRC-7 SRC-18",
+    """WITH f AS (SELECT 'txt' AS kind, text AS raw, 'READY' AS status FROM documents
+                  UNION ALL SELECT 'html', html, 'READY' FROM pages
+                  UNION ALL SELECT CASE event_id % 10 WHEN 0 THEN 'docx' WHEN 5 THEN 'docx' ELSE 'json' END, concat(CASE WHEN event_id % 10 = 5 THEN 'no package: ' ELSE '' END, props),
+                                   CASE event_id % 10 WHEN 5 THEN 'FAILED' ELSE 'READY' END FROM events WHERE event_id % 10 <> 7)
+       SELECT kind, status, count(DISTINCT raw) AS files, CAST(0 AS BIGINT) AS unfinished FROM f GROUP BY kind, status
+       UNION ALL SELECT 'exe', 'REJECTED', count(*), CAST(0 AS BIGINT) FROM events WHERE event_id % 10 = 7""",
+)
+def streamed_ingest(spark, folder):
+    """Uploads taken in by a stream of several batches; ``unfinished`` counts READY documents without a chunk, and chunks without a vector."""
+    from lectern.operators.embed import embedder, hashing_model
+    from lectern.session import scratch_path
+    from lectern.sources import ledger
+    from lectern.streaming.ingest import start_ingest
+
+    uploads, store = scratch_path(spark, "uploads"), scratch_path(spark, "store")
+    rows = upload_bytes(spark, folder).select(F.col("name").alias("path"), F.octet_length("bytes").cast("bigint").alias("length"), F.col("bytes").alias("content"))
+    rows.repartition("path").write.parquet(uploads)
+    files = len(spark.read.parquet(uploads).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // 3))).parquet(uploads)
+    start_ingest(stream, store, f"{store}-state", "org", embedder(hashing_model(64))).awaitTermination()
+    docs, chunks, vectors, refused = (ledger.stored_rows(spark, store, name) for name in ("documents", "chunks", "embeddings", "rejected"))
+    bare = chunks.join(vectors.select("chunk_id"), "chunk_id", "left_anti").select("doc_id")
+    missing = docs.filter("status = 'READY'").select(F.col("id").alias("doc_id")).join(chunks.select("doc_id"), "doc_id", "left_anti")
+    unfinished = bare.unionByName(missing).groupBy(F.col("doc_id").alias("id")).agg(F.count(F.lit(1)).alias("bad"))
+    taken = docs.join(unfinished, "id", "left").groupBy(F.col("extension").alias("kind"), "status").agg(
+        F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("bad"), F.lit(0)).alias("unfinished")
+    )
+    out = refused.groupBy(F.lit("exe").alias("kind"), F.lit("REJECTED").alias("status")).agg(F.count(F.lit(1)).alias("files"))
+    return taken.unionByName(out.withColumn("unfinished", F.lit(0).cast("bigint")))
+
+
 @query(
     "file_checks", "SRC-18",
     """SELECT doc_id, strlen(text) > 0 AS filled, regexp_matches(text, '^(%PDF|PK|<svg)') AS signed, sha256(text) AS digest FROM documents""",

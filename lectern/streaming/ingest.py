@@ -9,8 +9,8 @@ from lectern.operators import catalog as C
 from lectern.operators.chunking import chunk_documents
 from lectern.operators.embed import embed_pending
 from lectern.session import kept
+from lectern.sources import ledger
 from lectern.sources.files import extracted_texts
-from lectern.sources.tables import append_absent
 
 MODEL, VERSION = "word-hash", "1"
 
@@ -24,15 +24,20 @@ def file_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFr
     )
 
 
-def ingest_batch(files: DataFrame, store: str, org: str, embed) -> None:
+def ingest_batch(files: DataFrame, store: str, org: str, embed, batch: int, buckets: int = ledger.BUCKETS) -> bool:
     """Validate, deduplicate, extract by type, chunk, embed and append one batch of files.
 
     A document is READY with at least one chunk, else FAILED; a damaged file is a
-    FAILED row and stops nothing.
-    The document row is written last and marks a file as done. A batch that
-    broke off is run again and completes: each append skips the keys it finds.
+    FAILED row and stops nothing. The batch's ledger row is written last: a batch that
+    broke off counts for nothing until it is run again under its number.
     """
-    spark = files.sparkSession
+    return ledger.run_batch(files.sparkSession, store, batch, lambda: _write_batch(files, store, org, embed, batch, buckets))
+
+
+def _write_batch(files: DataFrame, store: str, org: str, embed, batch: int, buckets: int) -> DataFrame:
+    def write(rows: DataFrame, table: str, key: str) -> None:
+        ledger.write_rows(rows, store, table, key, batch, buckets)
+
     named = files.select(
         F.col("path").alias("raw_name"), "path", F.col("content").alias("bytes"), F.col("length").alias("size_bytes"),
         F.sha2("content", 256).alias("sha256"), F.lit(org).alias("org_id"), F.lit(None).cast("string").alias("declared_mime"),
@@ -41,32 +46,29 @@ def ingest_batch(files: DataFrame, store: str, org: str, embed) -> None:
     rejected = checked.filter("not accepted").select("path", "name", F.array_join("errors", "; ").alias("reason"))
     accepted = checked.filter("accepted")
     first = accepted.groupBy("org_id", "sha256").agg(F.min("path").alias("path"))
-    fresh = accepted.join(first, ["org_id", "sha256", "path"], "left_semi")
-    if _exists(spark, f"{store}/documents"):
-        fresh = fresh.join(spark.read.parquet(f"{store}/documents").select("org_id", "sha256"), ["org_id", "sha256"], "left_anti")
+    # A tenant and a content make the id, so known contents are known ids.
+    first = first.withColumn("id", C.document_id(F.col("org_id"), F.col("sha256")))
+    first = ledger.unknown_rows(first, store, "documents", "id", buckets)
     # Read four times below; the bytes are fetched and hashed once.
-    fresh = kept(fresh, "fresh")
+    fresh = kept(accepted.join(first.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi").dropDuplicates(["path"]), "fresh")
     rows = C.document_rows(fresh)
     texts = extracted_texts(fresh.select("name", "bytes", C.document_id(F.col("org_id"), F.col("sha256")).alias("doc_id")))
     chunks = kept(chunk_documents(texts), "chunks")
-    append_absent(spark, f"{store}/chunks", chunks, ["chunk_id"])
+    write(chunks, "chunks", "doc_id")
     # A file without a chunk was not read: its status says so.
     read = chunks.select(F.col("doc_id").alias("id")).distinct().withColumn("status", F.lit("READY"))
     done = rows.drop("status").join(read, "id", "left").withColumn("status", F.coalesce("status", F.lit("FAILED")))
-    append_absent(spark, f"{store}/embeddings", embed_pending(chunks, None, MODEL, VERSION, embed), ["id"])
-    append_absent(spark, f"{store}/rejected", rejected, ["path"])
-    append_absent(spark, f"{store}/documents", done.select(*rows.columns), ["id"])
+    write(embed_pending(chunks, None, MODEL, VERSION, embed), "embeddings", "chunk_id")
+    write(ledger.unknown_rows(rejected.dropDuplicates(["path"]), store, "rejected", "path", buckets), "rejected", "path")
+    write(done.select(*rows.columns), "documents", "id")
+    # Counted by a plan without groups, so that an empty batch has a row, too.
+    row = fresh.agg(F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum("size_bytes"), F.lit(0)).alias("bytes"))
+    return row.withColumn("chunks", F.lit(chunks.count()))
 
 
-def start_ingest(files: DataFrame, store: str, checkpoint: str, org: str, embed):
+def start_ingest(files: DataFrame, store: str, checkpoint: str, org: str, embed, buckets: int = ledger.BUCKETS):
     """Run the ingest on a stream of files until what is there has been read."""
     return (
-        files.writeStream.foreachBatch(lambda batch, _: ingest_batch(batch, store, org, embed))
+        files.writeStream.foreachBatch(lambda batch, number: ingest_batch(batch, store, org, embed, number, buckets) and None)
         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     )
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    from lectern.sources.tables import _has_data
-
-    return _has_data(spark, path)

@@ -1,8 +1,10 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators.embed import embedder, generator, hashing_model
+from lectern.sources import ledger
 from lectern.streaming import ingest, status
 
 
@@ -35,6 +37,47 @@ def test_two_loads_equal_one(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s1" / "documents")).count() == 2
 
 
+def test_broken_batch_counts_only_after_its_second_run(spark, tmp_path, monkeypatch):
+    store = str(tmp_path / "store")
+    rows = lambda names: spark.createDataFrame(
+        [(n, len(t), t.encode()) for n, t in names.items()], "path string, length bigint, content binary"
+    )
+    take = lambda names, n: ingest.ingest_batch(rows(names), store, "org", embedder(hashing_model(8)), n, buckets=4)
+    read = lambda name: ledger.stored_rows(spark, store, name)
+    assert take({"a.txt": "the first text, long enough", "b.txt": "the second text, long enough"}, 0)
+    before = sorted(read("chunks").collect())
+    real = ledger.write_rows
+
+    def breaks(rows, store, table, *rest):
+        if table == "documents":
+            raise RuntimeError("executor lost")
+        real(rows, store, table, *rest)
+
+    late = {"c.txt": "the third text, long enough", "copy.txt": "the first text, long enough"}
+    monkeypatch.setattr(ledger, "write_rows", breaks)
+    with pytest.raises(RuntimeError):
+        take(late, 1)
+    # Its chunks are there, but do not count.
+    assert sorted(read("chunks").collect()) == before and read("documents").count() == 2
+    monkeypatch.setattr(ledger, "write_rows", real)
+    assert take(late, 1)
+    assert read("documents").count() == 3 and read("chunks").count() == 3 and read("embeddings").count() == 3
+    # A batch that counts is not run again; a later copy of known contents adds nothing.
+    assert not take(late, 1)
+    assert take({"again.txt": "the third text, long enough"}, 2)
+    assert read("documents").count() == 3
+    assert sorted(map(tuple, ledger.ledger(spark, store).select("batch", "documents", "chunks").collect())) == [(0, 2, 2), (1, 1, 1), (2, 0, 0)]
+
+
+def test_append_reads_touched_buckets_only(spark, tmp_path):
+    store = str(tmp_path / "store")
+    rows = spark.range(400).select(F.col("id"))
+    assert ledger.run_batch(spark, store, 0, lambda: (ledger.write_rows(rows, store, "t", "id", 0, 16), spark.range(1))[1])
+    fresh = ledger.unknown_rows(spark.createDataFrame([(5,), (1000,)], "id bigint"), store, "t", "id", 16)
+    assert [r["id"] for r in fresh.collect()] == [1000]
+    assert len({f.rsplit("/", 3)[1] for f in ledger.stored_rows(spark, store, "t", [3, 7]).inputFiles() if "/t/" in f}) == 2
+
+
 def test_summary_triggers_across_batches(spark, tmp_path):
     src = tmp_path / "in"
     for n, rows in enumerate([[(1,)] * 7 + [(2,)] * 3, [(1,)] * 10]):
