@@ -174,11 +174,51 @@ def structured_docs(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shaped), "\n\n").alias("text"))
 
 
-@query("document_chunks", "CHK-4 CHK-5 CHK-6 UDF-4")
+@query("document_chunks", "CHK-4 CHK-5 CHK-6")
 def document_chunks(spark, folder):
     return K.chunk_documents(structured_docs(spark, folder)).select("doc_id", "chunk_id", "chunk_index", "content_hash", "metadata.*")
 
 
+#: The lines of ``structured_docs`` and what each is: 1 and 2 a heading, 3 a page marker, 0 text.
+SHAPED = f"""(SELECT *, CASE WHEN b LIKE '# %' THEN 1 WHEN b LIKE '## %' THEN 2 WHEN regexp_full_match(b, '<!-- PAGE [0-9]+ -->') THEN 3 ELSE 0 END AS kind FROM
+  (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', content) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', content) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}) WHERE b <> '')"""
+#: Chunks by a fold over the pieces of each document: a row keeps the text so far (body) and what the step gave out (done).
+CHUNKS = f"""WITH RECURSIVE s AS (
+    SELECT *, sum(CASE WHEN kind > 0 THEN 1 ELSE 0 END) OVER w AS section, max(CASE WHEN kind = 1 THEN i END) OVER w AS p1, max(CASE WHEN kind = 2 THEN i END) OVER w AS p2
+    FROM {SHAPED} WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+  v AS (SELECT doc_id, i, section, p1, p2, length(b) > {fixed.CHUNK_SIZE} AS long,
+        CASE WHEN length(b) > {fixed.CHUNK_SIZE} THEN string_split(regexp_replace(b, '([.!?])\\s+', concat('\\1', chr(1)), 'g'), chr(1)) ELSE [b] END AS pieces FROM s WHERE kind = 0),
+  u AS (SELECT doc_id, i, section, p1, p2, long, unnest(range(1, len(pieces) + 1)) AS j, pieces FROM v),
+  n AS (SELECT doc_id, section, p1, p2, piece, CASE WHEN long THEN 1 ELSE 2 END AS gap, CASE WHEN long THEN {fixed.CHUNK_OVERLAP} ELSE 0 END AS carried,
+        row_number() OVER (PARTITION BY doc_id ORDER BY i, j) AS n FROM (SELECT *, {S.trim_all("pieces[j]")} AS piece FROM u) WHERE piece <> ''),
+  r AS (SELECT doc_id, n, section, p1, p2, piece AS body, CAST(NULL AS VARCHAR) AS done, p1 AS d1, p2 AS d2 FROM n WHERE n = 1
+    UNION ALL
+    SELECT x.doc_id, x.n, x.section, x.p1, x.p2,
+      CASE WHEN x.section <> x.was OR (x.full AND x.tail = '') THEN x.piece WHEN x.full THEN concat(x.tail, chr(10), chr(10), x.piece) ELSE concat(x.body, chr(10), chr(10), x.piece) END,
+      CASE WHEN x.section <> x.was OR x.full THEN x.body END, x.o1, x.o2
+    FROM (SELECT n.*, r.section AS was, r.body, r.p1 AS o1, r.p2 AS o2, length(r.body) + length(n.piece) + n.gap > {fixed.CHUNK_SIZE} AS full,
+            CASE WHEN n.carried = 0 THEN '' ELSE {S.trim_all("right(r.body, n.carried)")} END AS tail
+          FROM r JOIN n ON n.doc_id = r.doc_id AND n.n = r.n + 1) x),
+  g AS (SELECT doc_id, n, done AS body, d1 AS p1, d2 AS p2 FROM r WHERE done IS NOT NULL
+    UNION ALL SELECT doc_id, n + 1, body, p1, p2 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1),
+  c AS (SELECT g.doc_id, g.n, concat(CASE WHEN a.b IS NULL THEN '' ELSE concat(regexp_replace(a.b, '^#\\s+', '# '), chr(10), chr(10)) END,
+          CASE WHEN g.p2 > g.p1 THEN concat(regexp_replace(h.b, '^##\\s+', '## '), chr(10), chr(10)) ELSE '' END, {S.trim_all("g.body")}) AS content
+        FROM g LEFT JOIN s a ON a.doc_id = g.doc_id AND a.i = g.p1 LEFT JOIN s h ON h.doc_id = g.doc_id AND h.i = g.p2
+        WHERE length({S.trim_all("g.body")}) >= {fixed.MIN_CHUNK_CHARS}),
+  o AS (SELECT doc_id, content, min(n) AS n FROM c GROUP BY doc_id, content)
+  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS chunk_index, sha256(content) AS content_hash FROM o"""
+
+
+@query("chunk_table_function", "UDF-4 CHK-4 CHK-5", CHUNKS)
+def chunk_table_function(spark, folder):
+    """Chunks of all documents by SQL, through the table function."""
+    from lectern.operators.tablefunctions import parsed_view, register
+
+    register(spark)
+    parsed_view(structured_docs(spark, folder), "structured_documents")
+    return spark.sql("SELECT doc_id, chunk_index, sha2(content, 256) AS content_hash FROM chunk_text(TABLE(SELECT doc_id, parsed FROM structured_documents))")
+
+
 @query("chunk_sections", "AGG-4")
 def chunk_sections(spark, folder):
     from lectern.operators.reports import section_counts
@@ -677,7 +717,6 @@ def file_bytes(spark, folder):
 )
 def file_scan(spark, folder):
     """The documents as text files, a folder for each source, found again and read by the scan."""
-    from lectern.session import scratch_path
     from lectern.sources.files import scan_files
 
     path = scratch_path(spark, "corpus")
@@ -745,7 +784,6 @@ def upload_bytes(spark, folder):
 def streamed_ingest(spark, folder):
     """Uploads taken in by a stream of several batches; ``unfinished`` counts READY documents without a chunk, and chunks without a vector."""
     from lectern.operators.embed import embedder, hashing_model
-    from lectern.session import scratch_path
     from lectern.sources import ledger
     from lectern.streaming.ingest import start_ingest
 
