@@ -174,14 +174,10 @@ def structured_docs(spark, folder):
     return table(spark, folder, "documents").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), shaped), "\n\n").alias("text"))
 
 
-@query("document_chunks", "CHK-4 CHK-5 CHK-6")
-def document_chunks(spark, folder):
-    return K.chunk_documents(structured_docs(spark, folder)).select("doc_id", "chunk_id", "chunk_index", "content_hash", "metadata.*")
-
-
 #: The lines of ``structured_docs`` and what each is: 1 and 2 a heading, 3 a page marker, 0 text.
 SHAPED = f"""(SELECT *, CASE WHEN b LIKE '# %' THEN 1 WHEN b LIKE '## %' THEN 2 WHEN regexp_full_match(b, '<!-- PAGE [0-9]+ -->') THEN 3 ELSE 0 END AS kind FROM
   (SELECT doc_id, chunk_index AS i, {S.trim_all("CASE WHEN chunk_index % 11 = 0 THEN concat('# ', chunk_index // 11 + 1, '. ', content) WHEN chunk_index % 11 = 4 THEN concat('## ', chunk_index // 11 + 1, '.1 ', content) WHEN chunk_index % 11 = 8 THEN concat('<!-- PAGE ', chunk_index // 11 + 1, ' -->') ELSE content END")} AS b FROM {S.PARAGRAPHS}) WHERE b <> '')"""
+_NUMBERED = r"'^([0-9]+(?:\.[0-9]+)*)[.)]?\s+(.+)$'"
 #: Chunks by a fold over the pieces of each document: a row keeps the text so far (body) and what the step gave out (done).
 CHUNKS = f"""WITH RECURSIVE s AS (
     SELECT *, sum(CASE WHEN kind > 0 THEN 1 ELSE 0 END) OVER w AS section, max(CASE WHEN kind = 1 THEN i END) OVER w AS p1, max(CASE WHEN kind = 2 THEN i END) OVER w AS p2
@@ -201,15 +197,16 @@ CHUNKS = f"""WITH RECURSIVE s AS (
           FROM r JOIN n ON n.doc_id = r.doc_id AND n.n = r.n + 1) x),
   g AS (SELECT doc_id, n, done AS body, d1 AS p1, d2 AS p2 FROM r WHERE done IS NOT NULL
     UNION ALL SELECT doc_id, n + 1, body, p1, p2 FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC) = 1),
-  c AS (SELECT g.doc_id, g.n, concat(CASE WHEN a.b IS NULL THEN '' ELSE concat(regexp_replace(a.b, '^#\\s+', '# '), chr(10), chr(10)) END,
-          CASE WHEN g.p2 > g.p1 THEN concat(regexp_replace(h.b, '^##\\s+', '## '), chr(10), chr(10)) ELSE '' END, {S.trim_all("g.body")}) AS content
-        FROM g LEFT JOIN s a ON a.doc_id = g.doc_id AND a.i = g.p1 LEFT JOIN s h ON h.doc_id = g.doc_id AND h.i = g.p2
-        WHERE length({S.trim_all("g.body")}) >= {fixed.MIN_CHUNK_CHARS}),
-  o AS (SELECT doc_id, content, min(n) AS n FROM c GROUP BY doc_id, content)
-  SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS chunk_index, sha256(content) AS content_hash FROM o"""
+  t AS (SELECT g.doc_id, g.n, {S.trim_all("g.body")} AS body, {S.trim_all("regexp_replace(a.b, '^#', '')")} AS t1, CASE WHEN g.p2 > coalesce(g.p1, -1) THEN {S.trim_all("regexp_replace(h.b, '^##', '')")} END AS t2
+        FROM g LEFT JOIN s a ON a.doc_id = g.doc_id AND a.i = g.p1 LEFT JOIN s h ON h.doc_id = g.doc_id AND h.i = g.p2),
+  c AS (SELECT *, concat(CASE WHEN t1 IS NULL THEN '' ELSE concat('# ', t1, chr(10), chr(10)) END, CASE WHEN t2 IS NULL THEN '' ELSE concat('## ', t2, chr(10), chr(10)) END, body) AS content
+        FROM t WHERE length(body) >= {fixed.MIN_CHUNK_CHARS}),
+  o AS (SELECT doc_id, content, min(n) AS n, any_value(body) AS body, arg_min(t1, n) AS t1, arg_min(t2, n) AS t2 FROM c GROUP BY doc_id, content),
+  m AS (SELECT *, CASE WHEN regexp_matches(t2, {_NUMBERED}) THEN t2 WHEN regexp_matches(t1, {_NUMBERED}) THEN t1 END AS numbered, coalesce(t2, t1) AS deepest,
+          CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1 AS INTEGER) AS chunk_index FROM o)"""
 
 
-@query("chunk_table_function", "UDF-4 CHK-4 CHK-5", CHUNKS)
+@query("chunk_table_function", "UDF-4 CHK-4 CHK-5", f"{CHUNKS} SELECT doc_id, chunk_index, sha256(content) AS content_hash FROM m")
 def chunk_table_function(spark, folder):
     """Chunks of all documents by SQL, through the table function."""
     from lectern.operators.tablefunctions import parsed_view, register
@@ -219,7 +216,24 @@ def chunk_table_function(spark, folder):
     return spark.sql("SELECT doc_id, chunk_index, sha2(content, 256) AS content_hash FROM chunk_text(TABLE(SELECT doc_id, parsed FROM structured_documents))")
 
 
-@query("chunk_sections", "AGG-4")
+@query(
+    "document_chunks", "CHK-4 CHK-5 CHK-6",
+    f"""{CHUNKS} SELECT doc_id, concat(doc_id, '_v1_chunk_', chunk_index) AS chunk_id, chunk_index, sha256(content) AS content_hash,
+        concat_ws(' > ', t1, t2) AS heading_path, CASE WHEN t2 IS NOT NULL THEN coalesce(t1, '') ELSE '' END AS parent_headings,
+        regexp_extract(numbered, {_NUMBERED}, 1) AS section_number, coalesce(regexp_extract(numbered, {_NUMBERED}, 2), deepest) AS section_title,
+        CASE WHEN t2 IS NOT NULL THEN 2 WHEN t1 IS NOT NULL THEN 1 END AS heading_level,
+        CASE WHEN len(list_filter(string_split(body, chr(10)), lambda x: {S.trim_all("x")} <> '' AND NOT regexp_matches({S.trim_all("x")}, '^[-*•◦▪–—]\\s+'))) = 0 THEN 'bullet_list'
+             WHEN contains(body, '|') THEN 'table' ELSE 'text' END AS content_type FROM m""",
+)
+def document_chunks(spark, folder):
+    chunks = K.chunk_documents(structured_docs(spark, folder)).select("doc_id", "chunk_id", "chunk_index", "content_hash", "metadata.*")
+    return chunks.withColumns({c: F.array_join(c, " > ") for c in ("heading_path", "parent_headings")})
+
+
+@query(
+    "chunk_sections", "AGG-4",
+    f"""{CHUNKS} SELECT doc_id, coalesce(regexp_extract(numbered, {_NUMBERED}, 1), deepest, '(unsectioned)') AS section, count(*) AS chunks FROM m GROUP BY ALL""",
+)
 def chunk_sections(spark, folder):
     from lectern.operators.reports import section_counts
 
