@@ -787,7 +787,7 @@ def upload_bytes(spark, folder):
 
 
 @query(
-    "streamed_ingest", "STR-1 SRC-7 SRC-18",
+    "streamed_ingest", "STR-1 SRC-7",
     """WITH f AS (SELECT 'txt' AS kind, text AS raw, 'READY' AS status FROM documents
                   UNION ALL SELECT 'html', html, 'READY' FROM pages
                   UNION ALL SELECT CASE event_id % 10 WHEN 0 THEN 'docx' WHEN 5 THEN 'docx' ELSE 'json' END, concat(CASE WHEN event_id % 10 = 5 THEN 'no package: ' ELSE '' END, props),
