@@ -286,13 +286,21 @@ def count_in_words(terms: Column, words: Column) -> Column:
 
 
 # ---- names ------------------------------------------------------------------
-def title_matches(queries: DataFrame, documents: DataFrame, group: str | None = None) -> DataFrame:
+def title_matches(
+    queries: DataFrame, documents: DataFrame, group: str | None = None, among: DataFrame | None = None
+) -> DataFrame:
     """(query_id, doc_id) where two to four adjacent query words stand in the file name.
 
     Phrases of two words decide: a name that holds a longer phrase holds its first
-    two words as well, so longer ones could only repeat the match.
+    two words as well, so longer ones could only repeat the match. With ``among``
+    (query_id, doc_id) only those pairs are tested, each in its own row.
     """
     own = [group] if group else []
+    if among is not None:
+        asked = queries.select("query_id", *own, T.word_phrases(T.content_terms(F.col("query")), 2, 2).alias("phrases"))
+        titled = documents.select("doc_id", *own, T.word_phrases(T.tokens(F.col("doc_name")), 2, 2).alias("title"))
+        met = among.select("query_id", "doc_id").distinct().join(asked, "query_id").join(titled, ["doc_id", *own])
+        return met.filter(F.arrays_overlap("phrases", "title")).select("query_id", "doc_id").distinct()
     asked = queries.select(
         "query_id", *own, F.explode(T.word_phrases(T.content_terms(F.col("query")), 2, 2)).alias("phrase")
     )
@@ -308,23 +316,55 @@ def _grams(text: Column, sizes) -> Column:
     return F.array_distinct(cut)
 
 
+def _placed_grams(text: Column, n: int) -> Column:
+    """All pieces of ``n`` letters with their places."""
+    places = F.filter(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: i + (n - 1) <= F.length(text))
+    return F.transform(places, lambda i: F.struct(i.alias("pos"), F.substring(text, i, F.lit(n)).alias("gram")))
+
+
 def names_containing(fragments: DataFrame, documents: DataFrame) -> DataFrame:
     """(fragment, doc_id) where the file name contains the fragment, case aside.
 
-    A fragment meets names by the rarest of its three-letter pieces, so beginnings
-    that all names share select nothing; the full test follows on those rows only.
+    A fragment meets names by two of its three-letter pieces and their distance:
+    the rarest, and the rarest that does not overlap it (or, in a short fragment,
+    the rarest other one). Names give such pairs for pieces that some fragment
+    starts from only, so their rows grow with the names, not with the fragments.
+    The full test follows. Fragments under three letters meet by themselves.
+    A null or empty fragment meets nothing.
     """
     name, low = F.lower("doc_name"), F.lower("fragment")
-    keyed = documents.select("doc_id", name.alias("low_name"), F.explode(_grams(name, (1, 2, 3))).alias("gram"))
-    whole = F.filter(_grams(low, (3,)), lambda g: F.length(g) == 3)
-    pieces = fragments.select("fragment").distinct().filter(F.length("fragment") > 0).select(
-        "fragment", F.explode(F.when(F.length(low) < 3, F.array(low)).otherwise(whole)).alias("gram")
+    names = documents.select("doc_id", name.alias("low_name")).filter(F.length("low_name") > 0)
+    asked = fragments.select("fragment", low.alias("low")).distinct().filter(F.length("low") > 0)
+
+    pieces = asked.filter(F.length("low") >= 3).select("fragment", "low", F.inline(_placed_grams(F.col("low"), 3)))
+    counts = (
+        names.select("doc_id", F.explode(_grams(F.col("low_name"), (3,))).alias("gram"))
+        .join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     )
-    counts = keyed.join(pieces.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    rarest = pieces.join(counts, "gram", "left").groupBy("fragment").agg(
-        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram")
+    # A piece that no name holds ends its fragment here.
+    listed = pieces.join(counts, "gram", "left").groupBy("fragment", "low").agg(
+        F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "pos", "gram")).alias("all")
+    ).filter(~F.exists("all", lambda p: p["n"] == 0))
+    first = listed.withColumn("one", F.array_min("all"))
+    others = F.transform(
+        F.filter("all", lambda p: p["pos"] != F.col("one.pos")),
+        lambda p: F.struct((F.abs(p["pos"] - F.col("one.pos")) < 3).alias("overlaps"), p["n"].alias("n"), p["pos"].alias("pos"), p["gram"].alias("gram")),
     )
-    return keyed.join(rarest, "gram").filter(F.col("low_name").contains(low)).select("fragment", "doc_id").distinct()
+    long_keys = first.withColumn("two", F.array_min(others)).select(
+        "fragment", "low", F.col("one.gram").alias("gram"), F.coalesce("two.gram", "one.gram").alias("second"),
+        F.coalesce(F.col("two.pos") - F.col("one.pos"), F.lit(0)).alias("apart"),
+    )
+    starts = names.select("doc_id", "low_name", F.inline(_placed_grams(F.col("low_name"), 3))).join(
+        long_keys.select("gram").distinct(), "gram", "left_semi"
+    )
+    pairs = starts.select("doc_id", "low_name", "gram", "pos", F.explode(_placed_grams(F.col("low_name"), 3)).alias("other")).select(
+        "doc_id", "low_name", "gram", F.col("other.gram").alias("second"), (F.col("other.pos") - F.col("pos")).alias("apart")
+    )
+    found = pairs.join(long_keys, ["gram", "second", "apart"]).filter(F.col("low_name").contains(F.col("low")))
+
+    short = asked.filter(F.length("low") < 3).select("fragment", F.col("low").alias("gram"))
+    brief = names.select("doc_id", F.explode(_grams(F.col("low_name"), (1, 2))).alias("gram")).join(short, "gram")
+    return found.select("fragment", "doc_id").unionByName(brief.select("fragment", "doc_id")).distinct()
 
 
 def name_scope(queries: DataFrame, documents: DataFrame) -> DataFrame:

@@ -34,35 +34,51 @@ def fuse(vector_hits: DataFrame, lexical_hits: DataFrame, keep: int) -> DataFram
 
 
 # ---- documents named in the query -------------------------------------------
-def named_document_rows(
-    queries: DataFrame, chunks: DataFrame, per_document: int = 5, hits: DataFrame | None = None, group: str | None = None
+def named_scores(
+    queries: DataFrame, chunks: DataFrame, group: str | None = None, among: DataFrame | None = None
 ) -> DataFrame:
-    """Best few chunks of every document that a query names.
+    """(query_id, doc_id, chunk_id, score, n) of every chunk of every document that a query names.
 
-    ``chunks`` has chunk_id, doc_id, doc_name and content. Longer text first among equal scores.
-    With ``hits`` (query_id, chunk_id) a query chooses among its own hits only, so its
-    rows do not depend on the other queries. With ``group`` both sides must agree in it.
+    ``chunks`` has chunk_id, doc_id, doc_name and content; ``n`` is the length of the
+    searchable text. With ``group`` both sides must agree in it. With ``among``
+    (query_id, doc_id) only those pairs are looked at.
     """
     documents = chunks.select("doc_id", "doc_name", *([group] if group else [])).distinct()
-    named = L.title_matches(queries, documents, group)
+    named = L.title_matches(queries, documents, group, among)
     asked = queries.select("query_id", T.content_terms(F.col("query")).alias("terms"))
-    clean = chunks.withColumn("clean", T.searchable_text(F.col("content"))).filter(
-        F.length("clean") >= fixed.MIN_SEARCHABLE_CHARS
+    # Only chunks of a named document are cleaned.
+    clean = (
+        chunks.join(named.select("doc_id").distinct(), "doc_id", "left_semi")
+        .withColumn("clean", T.searchable_text(F.col("content")))
+        .filter(F.length("clean") >= fixed.MIN_SEARCHABLE_CHARS)
     )
-    pairs = clean.join(named, "doc_id")
-    if hits is not None:
-        pairs = pairs.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
-    scored = (
-        pairs.join(asked, "query_id")
-        .select(
-            "query_id", "doc_id", "chunk_id",
-            L.count_in_words(F.col("terms"), T.tokens(F.col("clean"))).cast("bigint").alias("score"),
-            F.length("clean").alias("n"),
-        )
+    return clean.join(named, "doc_id").join(asked, "query_id").select(
+        "query_id", "doc_id", "chunk_id",
+        L.count_in_words(F.col("terms"), T.tokens(F.col("clean"))).cast("bigint").alias("score"),
+        F.length("clean").alias("n"),
     )
+
+
+def best_named(scored: DataFrame, per_document: int = 5, hits: DataFrame | None = None) -> DataFrame:
+    """Best few scored chunks of each query and document; with ``hits`` (query_id, chunk_id) among those only."""
+    if hits is not None:
+        scored = scored.join(hits.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     return top_per_group(scored, ["query_id", "doc_id"], [F.desc("score"), F.desc("n"), F.col("chunk_id")], per_document)
 
 
+def named_document_rows(
+    queries: DataFrame, chunks: DataFrame, per_document: int = 5, hits: DataFrame | None = None, group: str | None = None,
+    among: DataFrame | None = None,
+) -> DataFrame:
+    """Best few chunks of every document that a query names.
+
+    Longer text first among equal scores. With ``hits`` (query_id, chunk_id) a query
+    chooses among its own hits only, so its rows do not depend on the other queries.
+    ``group`` and ``among`` as in ``named_scores``.
+    """
+    return best_named(named_scores(queries, chunks, group, among), per_document, hits)
+
+
 def with_named_rows(selected: DataFrame, named: DataFrame, after: int | None = None) -> DataFrame:
     """Selected (query_id, chunk_id, rank, ...) plus named rows that are not in it yet.
 
@@ -254,8 +270,8 @@ def hybrid_search(
         lexical = kept(scoped_search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
     else:
         lexical = kept(L.search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
-    pool = chunks.join(lexical.select("chunk_id").distinct(), "chunk_id", "left_semi")
-    named_in_text = named_document_rows(queries, pool, hits=lexical, group=tenant)
+    named = kept(named_scores(queries, chunks, tenant), "named")
+    named_in_text = best_named(named, hits=lexical)
     ranked = lexical.select("query_id", "chunk_id", "rank")
     if item_vectors.isEmpty():
         # Named rows are added after the cut, as a reader asked for their documents.
@@ -265,7 +281,7 @@ def hybrid_search(
     else:
         text_leg = with_named_rows(ranked.filter(F.col("rank") <= inner), named_in_text, inner)
         vector_leg = _vector_leg(queries, query_vectors, item_vectors, places, scope, tenant, 2 * k)
-        out = with_named_rows(fuse(vector_leg, text_leg, max(k, 25)), named_document_rows(queries, chunks, group=tenant))
+        out = with_named_rows(fuse(vector_leg, text_leg, max(k, 25)), best_named(named))
     if "parent_headings" not in chunks.columns or not {"topic", "target_document"} <= set(queries.columns):
         return out
     facts = chunks.select("chunk_id", "doc_id", "parent_headings")

@@ -194,6 +194,10 @@ def _search(queries: DataFrame, items: DataFrame, k: int | None, floor: float |
         rows = queries.select("query_id", "vector").limit(fits + 1).collect()
         if len(rows) <= fits:
             return _scan_search(queries, items, k, floor, rows)
+        if k is None and floor > 0:
+            from lectern.operators.pivots import near_pairs
+
+            return near_pairs(queries, items, floor)
     return _block_search(queries, items, k, floor, group)
 
 

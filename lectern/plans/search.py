@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators import lexical as L
+from lectern.operators import pivots as PV
 from lectern.operators import postings as P
 from lectern.operators import vectors as V
 from lectern.operators import vectorlists as VL
@@ -44,6 +45,9 @@ QV = "(SELECT b.item_id AS query_id, e.embedding AS vector, e.label FROM benchma
 SIM = f"(SELECT q.query_id, e.vec_id AS item_id, q.label AS q_label, e.label, round({S.cosine('q.vector', 'e.embedding')}, 12) AS score FROM {QV} q, embeddings e)"
 
 
+ALL_SIM = f"(SELECT q.vec_id AS query_id, e.vec_id AS item_id, round({S.cosine('q.embedding', 'e.embedding')}, 12) AS score FROM embeddings q, embeddings e)"
+
+
 # ---- vectors ----------------------------------------------------------------
 @query(
     "vector_topk", "RET-15 TOP-1 WIN-7 JOIN-6",
@@ -71,6 +75,14 @@ def similar_pairs(spark, folder):
     )
 
 
+@query("near_vectors", "JOIN-7", f"SELECT query_id, item_id, round(score, 6) AS score FROM {ALL_SIM} WHERE score >= 0.4")
+def near_vectors(spark, folder):
+    """Every vector against every vector, by cells around pivots."""
+    items = item_vectors(spark, folder)
+    asked = items.select(F.col("item_id").alias("query_id"), "vector")
+    return PV.near_pairs(asked, items, 0.4).withColumn("score", F.round("score", 6))
+
+
 def vector_lists(spark, folder) -> VL.Lists:
     """The stored lists of all vectors, built by the first search."""
     return stored(spark, folder, "lists", lambda: VL.build_lists(item_vectors(spark, folder)))
@@ -385,7 +397,8 @@ def named_document_chunks(spark, folder):
     # Each query names its own document; a name of its own makes the match one to one.
     own = D.docs(spark, folder).select("doc_id", "doc_name")
     chunks = D.paragraphs(spark, folder).join(own, "doc_id")
-    rows = named_document_rows(asked, chunks).filter("query_id = doc_id")
+    pairs = asked.select("query_id", F.col("query_id").alias("doc_id"))
+    rows = named_document_rows(asked, chunks, among=pairs)
     return rows.select("query_id", "doc_id", "chunk_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
