@@ -149,16 +149,20 @@ def scoped_documents(queries: DataFrame, documents: DataFrame, group: str | None
     return owned.join(queries.select("query_id", group), ["query_id", group], "left_semi").select("query_id", "doc_id")
 
 
-def scoped_search(queries: DataFrame, chunks: DataFrame, limit: int, group: str | None = None) -> DataFrame:
+def scoped_search(
+    queries: DataFrame, chunks: DataFrame, limit: int, group: str | None = None, scope: DataFrame | None = None
+) -> DataFrame:
     """Text search with scopes (query_id, chunk_id, score, rank, leg).
 
     Scoped AND search; without a hit the whole scoped document in order; queries
     without a scope, or whose scope is empty, search everything. ``chunks`` has
-    chunk_id, doc_id, doc_name, chunk_index and content.
+    chunk_id, doc_id, doc_name, chunk_index and content. ``scope`` (query_id, doc_id) may be given
+    where it is stored already.
     """
     worded = queries.filter(F.size(T.content_terms(F.col("query"))) > 0)
-    documents = chunks.select("doc_id", "doc_name", *([group] if group else [])).distinct()
-    scope = kept(scoped_documents(worded, documents, group), "scope")
+    if scope is None:
+        documents = chunks.select("doc_id", "doc_name", *([group] if group else [])).distinct()
+        scope = kept(scoped_documents(worded, documents, group), "scope")
     order = [F.desc("score"), F.col("chunk_index"), F.col("chunk_id")]
 
     # The name of the document need not stand in its chunks.
@@ -267,7 +271,7 @@ def hybrid_search(
     if scoped:
         documents = chunks.select("doc_id", "doc_name", *own).distinct()
         scope = kept(scoped_documents(queries, documents, tenant), "scope")
-        lexical = kept(scoped_search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
+        lexical = kept(scoped_search(queries, chunks, max(2 * inner, 50), tenant, scope), "lexical")
     else:
         lexical = kept(L.search(queries, chunks, max(2 * inner, 50), tenant), "lexical")
     named = kept(named_scores(queries, chunks, tenant), "named")
