@@ -60,6 +60,23 @@ def _angles(vectors, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip(V._unit_rows(vectors) @ pivots.T, -1.0, 1.0))
 
 
+def classes(items: DataFrame) -> DataFrame:
+    """One row for each distinct vector: (item_id: the smallest, vector, copies).
+
+    A join of a table with itself runs over these, so a vector with many copies
+    makes no pair for each two of them. ``members`` says who belongs to whom.
+    """
+    return items.filter(F.col("vector").isNotNull()).groupBy("vector").agg(
+        F.min("item_id").alias("item_id"), F.count(F.lit(1)).alias("copies")
+    ).select("item_id", "vector", "copies")
+
+
+def members(items: DataFrame) -> DataFrame:
+    """(item_id, class_id, copies) of every row; a null vector has no class."""
+    found = classes(items).select(F.col("item_id").alias("class_id"), "vector", "copies")
+    return items.select("item_id", "vector").join(found, "vector", "left").select("item_id", "class_id", "copies")
+
+
 def _chain(centres: np.ndarray) -> np.ndarray:
     """Place of each pivot on a walk that always goes on to the nearest one left."""
     near, place = centres @ centres.T, np.empty(len(centres), np.int64)

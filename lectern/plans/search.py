@@ -45,9 +45,6 @@ QV = "(SELECT b.item_id AS query_id, e.embedding AS vector, e.label FROM benchma
 SIM = f"(SELECT q.query_id, e.vec_id AS item_id, q.label AS q_label, e.label, round({S.cosine('q.vector', 'e.embedding')}, 12) AS score FROM {QV} q, embeddings e)"
 
 
-ALL_SIM = f"(SELECT q.vec_id AS query_id, e.vec_id AS item_id, round({S.cosine('q.embedding', 'e.embedding')}, 12) AS score FROM embeddings q, embeddings e)"
-
-
 # ---- vectors ----------------------------------------------------------------
 @query(
     "vector_topk", "RET-15 TOP-1 WIN-7 JOIN-6",
@@ -75,12 +72,28 @@ def similar_pairs(spark, folder):
     )
 
 
-@query("near_vectors", "JOIN-7", f"SELECT query_id, item_id, round(score, 6) AS score FROM {ALL_SIM} WHERE score >= 0.4")
+@query(
+    "near_vectors", "JOIN-7",
+    f"""WITH c AS (SELECT min(vec_id) AS vec_id, embedding, count(*) AS copies FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)
+        SELECT query_id, item_id, copies, round(score, 6) AS score FROM (
+          SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.copies, round({S.cosine('q.embedding', 'e.embedding')}, 12) AS score FROM c q, c e) WHERE score >= 0.4""",
+)
 def near_vectors(spark, folder):
-    """Every vector against every vector, by cells around pivots."""
-    items = item_vectors(spark, folder)
-    asked = items.select(F.col("item_id").alias("query_id"), "vector")
-    return PV.near_pairs(asked, items, 0.4).withColumn("score", F.round("score", 6))
+    """Every distinct vector against every other and itself, by cells around pivots."""
+    found = PV.classes(item_vectors(spark, folder))
+    asked = found.select(F.col("item_id").alias("query_id"), "vector")
+    pairs = PV.near_pairs(asked, found.select("item_id", "vector"), 0.4)
+    return pairs.join(found.select("item_id", "copies"), "item_id").select("query_id", "item_id", "copies", F.round("score", 6).alias("score"))
+
+
+@query(
+    "vector_classes", "JOIN-7",
+    """SELECT vec_id AS item_id, CASE WHEN embedding IS NOT NULL THEN min(vec_id) OVER (PARTITION BY embedding) END AS class_id,
+       CASE WHEN embedding IS NOT NULL THEN count(*) OVER (PARTITION BY embedding) END AS copies FROM embeddings""",
+)
+def vector_classes(spark, folder):
+    """The distinct vector that every row belongs to."""
+    return PV.members(item_vectors(spark, folder))
 
 
 def vector_lists(spark, folder) -> VL.Lists:

@@ -99,3 +99,11 @@ def test_title_matches_among_given_pairs(spark):
     rows = lambda df: sorted((r["query_id"], r["doc_id"]) for r in df.collect())
     assert rows(L.title_matches(q, d, among=pairs)) == rows(L.title_matches(q, d)) == [(1, 10), (2, 11)]
     assert rows(L.title_matches(q, d, among=pairs.filter("doc_id = 11"))) == [(2, 11)]
+
+
+def test_copies_are_one_class(spark):
+    items = frame(spark, [9, -4, 5, 6, 7], [[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], None, [-0.0, 1.0]], ITEM)
+    assert {(r["item_id"], r["copies"]) for r in PV.classes(items).collect()} == {(-4, 2), (5, 2)}
+    got = {(r["item_id"], r["class_id"], r["copies"]) for r in PV.members(items).collect()}
+    assert got == {(9, -4, 2), (-4, -4, 2), (5, 5, 2), (7, 5, 2), (6, None, None)}
+    assert PV.members(items.limit(0)).collect() == []
