@@ -168,12 +168,36 @@ def near_pairs(queries: DataFrame, items: DataFrame | Cells, floor: float) -> Da
 
     ``items`` may be cells built before.
     """
+
+    def pairs(qids, ids, scores):
+        return V._best(qids, ids, scores, None, floor)
+
+    return _products(queries, items, floor, pairs, V._HITS)
+
+
+def near_links(queries: DataFrame, items: DataFrame | Cells, floor: float) -> DataFrame:
+    """(query_id, links): how many items have a cosine of ``floor`` (over 0) or more.
+
+    Counted where the product is, so a group of near copies makes no row a pair.
+    Queries without such an item are left out; rows that share an id count together.
+    """
+
+    def counts(qids, ids, scores):
+        links = (np.round(scores, V.DIGITS) + 0.0 >= floor).sum(axis=1)
+        return pd.DataFrame({"query_id": qids, "links": links.astype(np.int64)})[links > 0]
+
+    found = _products(queries, items, floor, counts, "query_id bigint, links bigint")
+    return found.groupBy("query_id").agg(F.sum("links").alias("links"))
+
+
+def _products(queries: DataFrame, items: DataFrame | Cells, floor: float, digest, schema: str) -> DataFrame:
+    """What ``digest`` makes of the scores of every block of queries and items that meet."""
     if floor <= 0:
         raise ValueError("a floor of 0 or less reaches every cell; use similar_pairs")
     cells = items if isinstance(items, Cells) else build_cells(items)
     spark = queries.sparkSession
     if cells.table.empty:
-        return spark.createDataFrame([], V._HITS)
+        return spark.createDataFrame([], schema)
     # Rows that share a query_id share the bundles of all of them.
     reached = kept(reached_bundles(queries, cells, floor).distinct(), "reached")
     # One row a bundle: bounded by MAX_PIVOTS * RINGS, whatever the tables hold.
@@ -185,7 +209,7 @@ def near_pairs(queries: DataFrame, items: DataFrame | Cells, floor: float) -> Da
         for c, b in zip(cells.table["cell"], cells.table["bundle"]) if b in asked
     ]
     if not grid:
-        return spark.createDataFrame([], V._HITS)
+        return spark.createDataFrame([], schema)
     by_cell = spark.createDataFrame(grid, "cell int, bundle int, item_blocks int, query_blocks int")
     by_bundle = by_cell.drop("cell").distinct()
     keys = ["bundle", "item_block", "query_block"]
@@ -210,11 +234,11 @@ def near_pairs(queries: DataFrame, items: DataFrame | Cells, floor: float) -> Da
 
     def multiply(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if item_rows.empty or query_rows.empty:
-            return pd.DataFrame({"query_id": [], "item_id": [], "score": []})
+            return digest(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0)))
         scores = V._unit_rows(query_rows["query_vector"]) @ V._unit_rows(item_rows["vector"]).T
-        return V._best(query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy(), scores, None, floor)
+        return digest(query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy(), scores)
 
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, V._HITS)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, schema)
 
 
 def multiplied(queries: DataFrame, cells: Cells, floor: float) -> DataFrame:

@@ -75,15 +75,15 @@ def similar_pairs(spark, folder):
 @query(
     "near_vectors", "JOIN-7",
     f"""WITH c AS (SELECT min(vec_id) AS vec_id, embedding, count(*) AS copies FROM embeddings WHERE embedding IS NOT NULL GROUP BY embedding)
-        SELECT query_id, item_id, copies, round(score, 6) AS score FROM (
-          SELECT q.vec_id AS query_id, e.vec_id AS item_id, e.copies, round({S.cosine('q.embedding', 'e.embedding')}, 12) AS score FROM c q, c e) WHERE score >= 0.4""",
+        SELECT item_id, copies, count(*) AS links FROM (
+          SELECT q.vec_id AS item_id, q.copies, round({S.cosine('q.embedding', 'e.embedding')}, 12) AS score FROM c q, c e) WHERE score >= 0.4 GROUP BY ALL""",
 )
 def near_vectors(spark, folder):
-    """Every distinct vector against every other and itself, by cells around pivots."""
+    """How many distinct vectors are near each one, itself included, by cells around pivots."""
     found = PV.classes(item_vectors(spark, folder))
     asked = found.select(F.col("item_id").alias("query_id"), "vector")
-    pairs = PV.near_pairs(asked, found.select("item_id", "vector"), 0.4)
-    return pairs.join(found.select("item_id", "copies"), "item_id").select("query_id", "item_id", "copies", F.round("score", 6).alias("score"))
+    links = PV.near_links(asked, found.select("item_id", "vector"), 0.4).withColumnRenamed("query_id", "item_id")
+    return links.join(found.select("item_id", "copies"), "item_id").select("item_id", "copies", "links")
 
 
 @query(

@@ -34,6 +34,8 @@ def test_every_pair_over_the_floor(spark, floor):
     got = PV.near_pairs(frame(spark, range(len(q)), q, QUERY), cells, floor).collect()
     want = {(a, b) for a, b in zip(*np.nonzero(brute(q, x, floor)))}
     assert len(got) == len(want) and {(r["query_id"], r["item_id"]) for r in got} == want
+    links = PV.near_links(frame(spark, range(len(q)), q, QUERY), cells, floor).collect()
+    assert {r["query_id"]: r["links"] for r in links} == {a: int(n) for a, n in enumerate(brute(q, x, floor).sum(axis=1)) if n}
 
 
 def test_hot_cells_are_cut_into_blocks(spark, monkeypatch):
