@@ -185,3 +185,15 @@ def test_a_table_of_one_file_or_of_a_folder_streams(spark, tmp_path):
     rows.toPandas().to_parquet(tmp_path / "file" / "conversations.parquet")
     for kind in ("folder", "file"):
         assert sorted(map(tuple, registered(spark, str(tmp_path / kind)).collect())) == [(0, 1, 8), (1, 1, 8), (2, 1, 8)]
+
+
+def test_words_that_cancel_each_other_out_still_have_a_vector():
+    import zlib
+
+    signs = {}
+    for n in range(1000):
+        code = zlib.crc32(f"w{n}".encode())
+        signs.setdefault(code % 4, {})[bool(code & 0x80000000)] = f"w{n}"
+    both = next(pair for pair in signs.values() if len(pair) == 2)
+    found = hashing_model(4)()([" ".join(both.values()), "", "plain"])
+    assert [round(float((v * v).sum()), 9) for v in found] == [1.0, 0.0, 1.0]
