@@ -46,8 +46,9 @@ def upload_errors(ext: Column, size: Column) -> Column:
             ),
             F.when(
                 size > fixed.MAX_FILE_BYTES,
-                F.format_string(
-                    f"File too large: %.1f MB. Maximum: {fixed.MAX_FILE_BYTES // (1024 * 1024)} MB", megabytes
+                F.concat(
+                    F.lit("File too large: "), T.fixed_point(megabytes, 1),
+                    F.lit(f" MB. Maximum: {fixed.MAX_FILE_BYTES // (1024 * 1024)} MB"),
                 ),
             ),
             F.when(size == 0, F.lit("File is empty")),

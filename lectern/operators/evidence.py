@@ -87,7 +87,9 @@ def judged(candidates: DataFrame) -> DataFrame:
         .when(F.col("prefer_named") & ~F.col("named"), "A document named in the query is preferred")
         .when(
             ~((score >= F.col("threshold")) | F.col("parent_scope")),
-            F.format_string("Low embedding similarity (%.3f < %.3f)", score, F.col("threshold")),
+            F.concat(
+                F.lit("Low embedding similarity ("), T.fixed_point(score, 3), F.lit(" < "), T.fixed_point(F.col("threshold"), 3), F.lit(")")
+            ),
         )
         .otherwise(
             F.coalesce(

@@ -104,3 +104,9 @@ def test_scan_pages(spark):
 def test_implicit_headings(spark):
     out = one(spark, "Intro label\n\n- a\n\n1. Next Part\n\n- b\n\nA sentence.\n\n- c", implicit_headings)
     assert out == "# Intro label\n\n- a\n\n## 1. Next Part\n\n- b\n\nA sentence.\n\n- c"
+
+
+def test_fixed_point_rounds_the_exact_value(spark):
+    values = [k / 2000 for k in range(-40, 2400, 7)] + [0.4795, 0.2945, 0.3005, 0.0625, 0.1875, -0.0004, 0.0, 0.9995, 12.3455, 1 / 3]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", T.fixed_point(F.col("x"), 3).alias("s")).collect()
+    assert [r["s"] for r in rows] == ["%.3f" % r["x"] for r in rows]
