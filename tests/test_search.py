@@ -253,3 +253,19 @@ def test_ties_at_the_cut_with_ids_of_any_sign():
     scores = np.array([[0.9] + [0.5] * 20])
     found, names = V._kept_best(np.empty((1, 0)), np.empty((1, 0), np.int64), scores, np.array([7, *range(-100, -80)]), 2)
     assert found.tolist() == [[0.9, 0.5]] and names.tolist() == [[7, -100]]
+
+
+def test_a_common_title_phrase_is_dealt_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(L, "NAME_BLOCK", 4)
+    names = [(k, f"en src {k} rare word.txt" if k % 3 else "lone") for k in range(20)] + [(5, "second name.txt"), (5, "en src 5.txt")]
+    docs = spark.createDataFrame(names, "doc_id long, doc_name string")
+    texts = [(k, "compare en src 7 and rare word" if k % 2 else "second name en src") for k in range(15)] + [(3, "second name"), (40, "src en")]
+    asked = spark.createDataFrame(texts, "query_id long, query string")
+    words = lambda t: t.replace(".", " ").split()
+    runs = lambda w: set(zip(w, w[1:]))
+    wanted = {(q, d) for q, t in texts for d, n in names if runs([w for w in words(t) if w != "and"]) & runs(words(n))}
+    found = L.title_matches(asked, docs)
+    assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    # Pairs are not moved once they are made: nothing but the filter and the columns stands over the join.
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not any("Aggregate" in line for line in plan[:3])
