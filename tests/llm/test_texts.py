@@ -374,3 +374,14 @@ def test_blocks_cut_whole_documents():
 
 def test_sql_names_every_column():
     assert "grown_shard" in sqlchecks.sharding(16, 20) and "items_sha256" in sqlchecks.decontamination(10)
+
+
+def test_all_trusted_rows_count_whichever_way_they_come(spark, docs, monkeypatch):
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    assert quality.trusted(many, quality.Rules()).count() == 60_000
+    labels = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    sent = quality.fit(docs, labels)
+    rules = quality.calibrated(docs, labels, sent, quality.Rules(min_words=3))
+    monkeypatch.setattr(quality, "SENT_IDS", 0)
+    assert (quality.fit(docs, labels) == sent).all() and sent.any()
+    assert quality.calibrated(docs, labels, sent, quality.Rules(min_words=3)) == rules
