@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -269,3 +271,18 @@ def test_a_common_title_phrase_is_dealt_over_blocks(spark, monkeypatch):
     # Pairs are not moved once they are made: nothing but the filter and the columns stands over the join.
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not any("Aggregate" in line for line in plan[:3])
+
+
+def test_words_of_a_chunk_are_counted_where_they_are(spark, monkeypatch):
+    q = spark.createDataFrame([(1, "and anda banana"), (2, "stone one")], "query_id bigint, query string")
+    texts = [(1, "The banana stands: bandana band banana banana"), (2, "a lone stone on one stonework stonestone"), (3, None), (4, "")]
+    c = spark.createDataFrame(texts, "chunk_id bigint, content string")
+    few = L.substring_scores(q, c)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    # Dealt out by chunk once; words and scores are neither moved nor joined by a shuffle.
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    assert moved.count("chunk_id") == 1 and set(moved) == {"chunk_id", "term"} and "SortMergeJoin" not in plan
+    monkeypatch.setattr(L, "FEW_ROWS", 0)
+    many = L.substring_scores(q, c)
+    assert sorted(few.collect()) == sorted(many.collect())
+    assert {(r["query_id"], r["chunk_id"]) for r in few.collect()} == {(1, 1), (2, 2)}
