@@ -37,6 +37,9 @@ MAX_PIVOTS = 1024
 RINGS = 32
 #: Items for each pivot, as long as there are no more than ``MAX_PIVOTS``.
 PER_PIVOT = 8
+#: A side is cut into so many blocks where links are counted, and into more once a block would be larger than that.
+SIDE_BLOCKS = 16
+WIDE_BLOCK = 1 << 14
 #: Bounds (rows by cells) worked out together in a task.
 _BOUNDS = 1 << 21
 
@@ -101,14 +104,22 @@ def _bundled(table: pd.DataFrame, centres: np.ndarray, rows: int) -> pd.DataFram
     return table.assign(bundle=np.array(bundles, np.int32))
 
 
-def build_cells(items: DataFrame, pivots: int | None = None, bundle_rows: int = V.QUERY_BLOCK) -> Cells:
+def _wide(rows: int) -> int:
+    """Rows of a block, so that what is moved grows with the rows and not with their square."""
+    return max(V.QUERY_BLOCK, min(WIDE_BLOCK, -(-rows // SIDE_BLOCKS)))
+
+
+def build_cells(items: DataFrame, pivots: int | None = None, bundle_rows: int | None = V.QUERY_BLOCK) -> Cells:
     """Deal the items (item_id, vector) into cells; written once in the shared folder.
 
     Pivots are the items with the smallest hashes of their ids: one for every
-    ``PER_PIVOT`` items, and at most ``MAX_PIVOTS``.
+    ``PER_PIVOT`` items, and at most ``MAX_PIVOTS``. Without ``bundle_rows`` a
+    bundle holds one part in ``SIDE_BLOCKS`` of the items.
     """
     usable = items.filter(_usable("vector")).select("item_id", "vector")
-    wanted = pivots or -(-usable.count() // PER_PIVOT)
+    count = usable.count() if pivots is None or bundle_rows is None else 0
+    wanted = pivots or -(-count // PER_PIVOT)
+    bundle_rows = bundle_rows or _wide(count)
     rows = usable.orderBy(F.xxhash64("item_id"), "item_id").limit(max(1, min(MAX_PIVOTS, wanted))).collect()
     if not rows:
         empty = pd.DataFrame({"cell": [], "rows": [], "low": [], "high": [], "bundle": []})
@@ -179,6 +190,8 @@ def near_links(queries: DataFrame, items: DataFrame | Cells, floor: float) -> Da
     """(query_id, links): how many items have a cosine of ``floor`` (over 0) or more.
 
     Counted where the product is, so a group of near copies makes no row a pair.
+    A task holds a block of either side and multiplies it in parts, so rows are moved
+    once for each of the other side's few blocks.
     Queries without such an item are left out; rows that share an id count together.
     """
 
@@ -186,12 +199,17 @@ def near_links(queries: DataFrame, items: DataFrame | Cells, floor: float) -> Da
         links = (np.round(scores, V.DIGITS) + 0.0 >= floor).sum(axis=1)
         return pd.DataFrame({"query_id": qids, "links": links.astype(np.int64)})[links > 0]
 
-    found = _products(queries, items, floor, counts, "query_id bigint, links bigint")
+    cells = items if isinstance(items, Cells) else build_cells(items, bundle_rows=None)
+    rows = _wide(queries.count())
+    found = _products(queries, cells, floor, counts, "query_id bigint, links bigint", max(V.ITEM_BLOCK, rows), rows)
     return found.groupBy("query_id").agg(F.sum("links").alias("links"))
 
 
-def _products(queries: DataFrame, items: DataFrame | Cells, floor: float, digest, schema: str) -> DataFrame:
-    """What ``digest`` makes of the scores of every block of queries and items that meet."""
+def _products(
+    queries: DataFrame, items: DataFrame | Cells, floor: float, digest, schema: str,
+    item_rows: int = V.ITEM_BLOCK, query_rows: int = V.QUERY_BLOCK,
+) -> DataFrame:
+    """What ``digest`` makes of the scores of every part of the blocks of queries and items that meet."""
     if floor <= 0:
         raise ValueError("a floor of 0 or less reaches every cell; use similar_pairs")
     cells = items if isinstance(items, Cells) else build_cells(items)
@@ -205,7 +223,7 @@ def _products(queries: DataFrame, items: DataFrame | Cells, floor: float, digest
     asked = dict(reached.join(ids, "query_id").groupBy("bundle").agg(F.count(F.lit(1)).alias("n")).collect())
     sizes = cells.table.groupby("bundle")["rows"].sum()
     grid = [
-        (int(c), int(b), -(-int(sizes[b]) // V.ITEM_BLOCK), -(-asked[b] // V.QUERY_BLOCK))
+        (int(c), int(b), -(-int(sizes[b]) // item_rows), -(-asked[b] // query_rows))
         for c, b in zip(cells.table["cell"], cells.table["bundle"]) if b in asked
     ]
     if not grid:
@@ -235,8 +253,12 @@ def _products(queries: DataFrame, items: DataFrame | Cells, floor: float, digest
     def multiply(item_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         if item_rows.empty or query_rows.empty:
             return digest(np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, 0)))
-        scores = V._unit_rows(query_rows["query_vector"]) @ V._unit_rows(item_rows["vector"]).T
-        return digest(query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy(), scores)
+        asked, given = V._unit_rows(query_rows["query_vector"]), V._unit_rows(item_rows["vector"])
+        qids, ids = query_rows["query_id"].to_numpy(), item_rows["item_id"].to_numpy()
+        return pd.concat([
+            digest(qids[q : q + V.QUERY_BLOCK], ids[i : i + V.ITEM_BLOCK], asked[q : q + V.QUERY_BLOCK] @ given[i : i + V.ITEM_BLOCK].T)
+            for q in range(0, len(qids), V.QUERY_BLOCK) for i in range(0, len(ids), V.ITEM_BLOCK)
+        ])
 
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(multiply, schema)
 

@@ -109,3 +109,15 @@ def test_copies_are_one_class(spark):
     got = {(r["item_id"], r["class_id"], r["copies"]) for r in PV.members(items).collect()}
     assert got == {(9, -4, 2), (-4, -4, 2), (5, 5, 2), (7, 5, 2), (6, None, None)}
     assert PV.members(items.limit(0)).collect() == []
+
+
+def test_links_move_rows_once_a_block_of_the_other_side(spark, monkeypatch):
+    monkeypatch.setattr(V, "ITEM_BLOCK", 8)
+    monkeypatch.setattr(V, "QUERY_BLOCK", 8)
+    x = np.random.default_rng(3).normal(size=(600, 6))
+    items, queries = frame(spark, range(len(x)), x, ITEM), frame(spark, range(len(x)), x, QUERY)
+    cells = PV.build_cells(items, bundle_rows=None)
+    # A bundle in 16 of 600 rows, or a cell: not one for each 8 rows.
+    assert cells.table["bundle"].nunique() <= 2 * PV.SIDE_BLOCKS < 600 // 8
+    links = {r["query_id"]: r["links"] for r in PV.near_links(queries, items, 0.3).collect()}
+    assert links == {a: int(n) for a, n in enumerate(brute(x, x, 0.3).sum(axis=1))}
