@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lectern.functions import text as T
 from lectern.operators.markdown import block_text, sections_of, titles
@@ -15,16 +16,22 @@ def delimited_rows(blocks: DataFrame) -> DataFrame:
 
     The first table of a document as it is; without a table, Type and Content rows.
     """
-    first = blocks.groupBy("doc_id").agg(F.min(F.when(F.col("type") == "table", F.col("pos"))).alias("table_pos"))
-    joined = blocks.join(first, "doc_id")
-    tables = joined.filter(F.col("pos") == F.col("table_pos")).select("doc_id", "pos", F.posexplode("rows").alias("row", "cells"))
-    plain = joined.filter(F.col("table_pos").isNull()).select(
-        "doc_id", "pos", F.lit(0).alias("row"), F.array(F.col("type"), block_text()).alias("cells")
-    )
-    heads = first.filter("table_pos is null").select(
-        "doc_id", F.lit(-1).alias("pos"), F.lit(0).alias("row"), F.array(F.lit("Type"), F.lit("Content")).alias("cells")
+    order = Window.partitionBy("doc_id").orderBy("pos")
+    # The blocks are read once: whether a document has a table is seen from each of its rows.
+    first = F.min(F.when(F.col("type") == "table", F.col("pos"))).over(Window.partitionBy("doc_id"))
+    placed = blocks.withColumns({"table_pos": first, "place": F.row_number().over(order)})
+
+    def line(pos: Column, row: Column, cells: Column) -> Column:
+        return F.struct(pos.cast("int").alias("pos"), row.cast("int").alias("row"), cells.alias("cells"))
+
+    plain = line(F.col("pos"), F.lit(0), F.array(F.col("type"), block_text()))
+    head = line(F.lit(-1), F.lit(0), F.array(F.lit("Type"), F.lit("Content")))
+    lines = (
+        F.when(F.col("pos") == F.col("table_pos"), F.transform("rows", lambda cells, i: line(F.col("pos"), i, cells)))
+        .when(F.col("table_pos").isNull() & (F.col("place") == 1), F.array(head, plain))
+        .when(F.col("table_pos").isNull(), F.array(plain))
     )
-    return tables.unionByName(plain).unionByName(heads)
+    return placed.select("doc_id", F.inline(lines))
 
 
 def csv_line(cells: Column) -> Column:

@@ -156,3 +156,23 @@ def test_file_checks(spark, tmp_path):
     names = spark.createDataFrame([("a.pdf",), ("b.docx",), ("c.json",), ("d.txt",)], "name string")
     got = {r["name"]: r["ok"] for r in export.file_checks(spark, str(tmp_path), names).collect()}
     assert got == {"a.pdf": True, "b.docx": False, "c.json": True, "d.txt": False}
+
+
+def _report(spark):
+    texts = [(1, "# Title\n## One\ntext\n- point"), (2, "# T\n| a | 1 |\n| b | 2 |\nend"), (3, ""), (4, "plain")]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    return M.blocks_of(docs)
+
+
+def _reads(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Generate posexplode(filter(")
+
+
+def test_csv_rows_read_the_blocks_once(spark):
+    rows = export.delimited_rows(_report(spark))
+    assert _reads(rows) == 1
+    got = sorted((r["doc_id"], r["pos"], r["row"], *r["cells"]) for r in rows.collect())
+    assert [(d, *cells) for d, _, _, *cells in got] == [
+        (1, "Type", "Content"), (1, "h1", "Title"), (1, "h2", "One"), (1, "p", "text"), (1, "bullet", "point"),
+        (2, "a", "1"), (2, "b", "2"), (4, "Type", "Content"), (4, "p", "plain"),
+    ]
