@@ -136,7 +136,10 @@ def structured_documents(blocks: DataFrame, sources: DataFrame | None = None) ->
     Headings over ninety characters become text, tables need two rows and 2 to
     32 columns, and an own Sources section goes when source rows exist.
     """
-    rows = blocks.join(titles(blocks), "doc_id", "left").withColumn("title", T.print_text(F.coalesce("title", F.lit("Report"))))
+    # The blocks are read once: a document's title is seen from each of its rows.
+    whole = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    title = F.first(F.when(F.col("type") == "h1", F.col("text")), ignorenulls=True).over(whole)
+    rows = blocks.withColumn("title", title).withColumn("title", T.print_text(F.coalesce("title", F.lit("Report"))))
     rows = rows.withColumn("text", T.print_text(F.col("text")))
     is_head = F.col("type").isin("h1", "h2", "h3")
     rows = rows.filter(~((F.col("type") == "h1") & (F.col("text") == F.col("title"))))
@@ -162,20 +165,16 @@ def structured_documents(blocks: DataFrame, sources: DataFrame | None = None) ->
             "head": F.last(opened, ignorenulls=True).over(so_far),
         }
     )
+    alone = F.col("opens") & F.col("recovered").isNull()
     node = (
-        F.when(F.col("recovered").isNotNull(), "bullet").when(is_head, "paragraph")
+        F.when(alone, "heading").when(F.col("recovered").isNotNull(), "bullet").when(is_head, "paragraph")
         .when(F.col("type") == "p", "paragraph").otherwise(F.col("type"))
     )
     texts = F.when(F.col("recovered").isNotNull(), F.col("recovered.items")).otherwise(F.array("text"))
-    nodes = rows.filter((~F.col("opens") | F.col("recovered").isNotNull()) & ((F.col("type") != "table") | good_table)).select(
+    out = rows.filter(alone | (F.col("type") != "table") | good_table).select(
         "doc_id", "title", "section", F.col("head.heading").alias("heading"), F.col("head.level").alias("level"), "pos",
-        node.alias("node"), F.posexplode(texts).alias("item", "text"), F.col("cells").alias("rows"),
-    )
-    empty = rows.filter(F.col("opens") & F.col("recovered").isNull()).select(
-        "doc_id", "title", "section", F.col("head.heading").alias("heading"), F.col("head.level").alias("level"), "pos",
-        F.lit("heading").alias("node"), F.lit(0).alias("item"), "text", F.lit(None).cast("array<array<string>>").alias("rows"),
-    )
-    out = nodes.unionByName(empty).filter((F.col("node") == "table") | (F.col("text") != ""))
+        node.alias("node"), F.posexplode(texts).alias("item", "text"), F.when(~alone, F.col("cells")).alias("rows"),
+    ).filter((F.col("node") == "table") | (F.col("text") != ""))
     if sources is not None:
         own = F.coalesce(F.col("heading").rlike(r"(?i)\A(?:sources?|references?)\z"), F.lit(False))
         known = sources.select("doc_id").distinct().withColumn("_sourced", F.lit(True))

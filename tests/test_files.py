@@ -176,3 +176,13 @@ def test_csv_rows_read_the_blocks_once(spark):
         (1, "Type", "Content"), (1, "h1", "Title"), (1, "h2", "One"), (1, "p", "text"), (1, "bullet", "point"),
         (2, "a", "1"), (2, "b", "2"), (4, "Type", "Content"), (4, "p", "plain"),
     ]
+
+
+def test_structured_documents_read_the_blocks_once(spark):
+    rows = M.structured_documents(_report(spark))
+    assert _reads(rows) == 1
+    got = sorted((r["doc_id"], r["title"], r["heading"] or "", r["pos"], r["node"], r["text"]) for r in rows.collect() if r["node"] != "table")
+    assert got == [
+        (1, "Title", "One", 1, "heading", "One"), (1, "Title", "One", 2, "paragraph", "text"), (1, "Title", "One", 3, "bullet", "point"),
+        (2, "T", "", 2, "paragraph", "end"), (4, "Report", "", 0, "paragraph", "plain"),
+    ]
