@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.chunking import implicit_headings
+from lectern.session import BYTES_AT_ONCE, ROWS_AT_ONCE, modest
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -93,7 +94,10 @@ def archive_members(files: DataFrame) -> DataFrame:
     """
     wanted = set(fixed.TEXT_EXTENSIONS)
 
+    columns = ["path", "member", "raw", "error"]
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, held = [], 0
         for batch in batches:
             for path, data in zip(batch["path"], batch["bytes"]):
                 try:
@@ -104,11 +108,17 @@ def archive_members(files: DataFrame) -> DataFrame:
                             if info.is_dir() or "__MACOSX" in name or ".git/" in name or ext not in wanted:
                                 continue
                             body = archive.read(info).decode("utf-8", errors="replace")
-                            yield pd.DataFrame({"path": [path], "member": [name], "raw": [body], "error": [None]}, dtype="str")
+                            rows.append((path, name, body, None))
+                            held += len(body)
+                            if held >= BYTES_AT_ONCE or len(rows) >= ROWS_AT_ONCE:
+                                yield pd.DataFrame(rows, columns=columns, dtype="str")
+                                rows, held = [], 0
                 except _DAMAGED as damage:
-                    yield pd.DataFrame({"path": [path], "member": [None], "raw": [None], "error": [str(damage)]}, dtype="str")
+                    rows.append((path, None, None, str(damage)))
+        if rows:
+            yield pd.DataFrame(rows, columns=columns, dtype="str")
 
-    return files.select("path", "bytes").mapInPandas(members, "path string, member string, raw string, error string")
+    return modest(files.select("path", "bytes")).mapInPandas(members, "path string, member string, raw string, error string")
 
 
 def archive_sections(members: DataFrame) -> DataFrame:

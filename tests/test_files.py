@@ -186,3 +186,19 @@ def test_structured_documents_read_the_blocks_once(spark):
         (1, "Title", "One", 1, "heading", "One"), (1, "Title", "One", 2, "paragraph", "text"), (1, "Title", "One", 3, "bullet", "point"),
         (2, "T", "", 2, "paragraph", "end"), (4, "Report", "", 0, "paragraph", "plain"),
     ]
+
+
+def test_archives_reach_python_in_bounded_batches(spark):
+    conf = {f"spark.sql.execution.arrow.{n}": spark.conf.get(f"spark.sql.execution.arrow.{n}") for n in ("maxRecordsPerBatch", "maxBytesPerBatch")}
+    try:
+        for name in conf:
+            spark.conf.set(name, "100000000")
+        rows = [(f"p{i}", zipped({"a.txt": f"text {i}", "b.exe": "x"})) for i in range(2500)] + [("bad", b"no zip")]
+        packed = spark.createDataFrame(rows, "path string, bytes binary").coalesce(1)
+        got = files.archive_members(packed).collect()
+        assert [(r["path"], r["member"], r["raw"]) for r in got[:2500]] == [(f"p{i}", "a.txt", f"text {i}") for i in range(2500)]
+        assert got[2500]["path"] == "bad" and got[2500]["error"] and len(got) == 2501
+        assert all(int(spark.conf.get(n).rstrip("b")) <= 4 << 20 for n in conf)
+    finally:
+        for name, value in conf.items():
+            spark.conf.set(name, value)
