@@ -110,3 +110,14 @@ def test_fixed_point_rounds_the_exact_value(spark):
     values = [k / 2000 for k in range(-40, 2400, 7)] + [0.4795, 0.2945, 0.3005, 0.0625, 0.1875, -0.0004, 0.0, 0.9995, 12.3455, 1 / 3]
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", T.fixed_point(F.col("x"), 3).alias("s")).collect()
     assert [r["s"] for r in rows] == ["%.3f" % r["x"] for r in rows]
+
+
+def test_scopes_move_no_query_phrases_where_names_are_few(spark):
+    from lectern.operators import lexical as L
+
+    docs = spark.createDataFrame([(2, "big red fox 12.txt"), (1, "red fox.txt")], "doc_id bigint, doc_name string")
+    asked = spark.createDataFrame([(1, "the big red fox ran"), (2, "a red fox"), (3, "nothing")], "query_id bigint, query string")
+    scope = L.name_scope(asked, docs)
+    plan = scope._jdf.queryExecution().sparkPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert {r["query_id"]: r["scope"] for r in scope.collect()} == {1: "big red fox", 2: "red fox"}
