@@ -93,8 +93,11 @@ def with_past_scope(turns: DataFrame, documents: DataFrame) -> DataFrame:
         F.filter("history", lambda m: (m["role"] == "assistant") & m["answer_id"].isNotNull() & (F.coalesce(m["topic"], F.lit("")) != ""))
     )
     stem = F.lower(F.regexp_replace("doc_name", F.lit(r"\.[^/.]+$"), F.lit("")))
-    names = documents.select(F.col("doc_id").alias("_doc"), stem.alias("past_document"))
-    df = turns.withColumns({"_doc": F.get(sourced["source_doc_ids"], F.lit(0)), "past_topic": topical["topic"]})
+    # A turn without a document meets none, under a key of its own: a null key would send all such turns to one task.
+    doc = F.get(sourced["source_doc_ids"], F.lit(0))
+    key = F.coalesce(F.concat(F.lit("d"), doc), F.concat(F.lit("m"), F.coalesce("message_id", F.lit(""))))
+    names = documents.select(F.concat(F.lit("d"), "doc_id").alias("_doc"), stem.alias("past_document"))
+    df = turns.withColumns({"_doc": key, "past_topic": topical["topic"]})
     return df.join(names, "_doc", "left").drop("_doc")
 
 

@@ -116,3 +116,25 @@ def test_a_verb_glued_to_a_pointer_opens_a_topic(spark):
     )
     found = {r["id"]: (r["c"]["is_local"], r["c"]["reason"].split()[0]) for r in turns.select("id", R.local_context(F.col("q")).alias("c")).collect()}
     assert found == {1: (False, "Explicit"), 2: (True, "Deictic"), 3: (True, "Deictic"), 4: (False, "Explicit")}
+
+
+def test_turns_without_a_document_are_spread_over_tasks(spark):
+    from lectern.operators import conversation
+
+    schema = "message_id string, history array<struct<role:string,source_doc_ids:array<bigint>,answer_id:string,topic:string>>"
+    rows = [(f"m{i}", []) for i in range(400)] + [("x", [("assistant", [7, 8], "a", "t")]), ("y", [("assistant", [9], "a", None)]), (None, [])]
+    turns = spark.createDataFrame(rows, schema)
+    documents = spark.createDataFrame([(7, "Plan.txt")], "doc_id bigint, doc_name string")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for name, value in zip(names, ("-1", "false")):
+            spark.conf.set(name, value)
+        out = conversation.with_past_scope(turns, documents)
+        got = out.select("message_id", "past_document", "past_topic", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert len(got) == 403 and {(r[0], r[1], r[2]) for r in got if r[1] or r[2]} == {("x", "plan", "t")}
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < 250
