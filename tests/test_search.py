@@ -286,3 +286,11 @@ def test_words_of_a_chunk_are_counted_where_they_are(spark, monkeypatch):
     many = L.substring_scores(q, c)
     assert sorted(few.collect()) == sorted(many.collect())
     assert {(r["query_id"], r["chunk_id"]) for r in few.collect()} == {(1, 1), (2, 2)}
+
+
+def test_terms_of_a_long_query_are_counted_by_the_substrings_of_words():
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abc"), rng.integers(1, 7))) for _ in range(300)]
+    terms, lines = words[:120], [words[100:200], words[200:], [], ["abcabc", "abcabc"]]
+    assert R.counts_in_words(terms, lines) == [sum(t in w for t in terms for w in line) for line in lines]
+    assert R.counts_in_words([], lines) == [0] * 4
