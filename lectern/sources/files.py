@@ -10,11 +10,13 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from lectern.functions import fixed
 from lectern.functions import text as T
 from lectern.operators.chunking import implicit_headings
 from lectern.session import BYTES_AT_ONCE, ROWS_AT_ONCE, modest
+from lectern.sources.markup import yaml_as_json
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -41,6 +43,9 @@ _DAMAGED = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplement
 #: Endings whose text is not the bytes as they stand.
 MARKUP = ["html", "htm", "xml"]
 YAML = ["yaml", "yml"]
+#: Endings whose bytes visit Python, with the parts that are read of a package.
+PARTS = {"docx": r"^word/document\.xml$", "pptx": r"^ppt/slides/slide(\d+)\.xml$"}
+PACKED = ["zip", *PARTS, *YAML]
 
 
 def _ending(name: str = "name") -> Column:
@@ -54,46 +59,103 @@ def extracted_texts(files: DataFrame) -> DataFrame:
     such, other text endings as plain text. A file that cannot be read, or whose
     kind has no text here, gives no row.
     """
-    from lectern.sources.markup import json_lines, svg_labels, yaml_lines
+    return file_texts(files).select("doc_id", "text").filter("text is not null")
 
-    ext = _ending()
+
+def file_texts(files: DataFrame) -> DataFrame:
+    """The same for every file (doc_id, name, text), with a null text where there is none.
+
+    A file is read once and becomes a text in its own row, whatever its kind:
+    nothing is moved, and only archives, packages, YAML and nested JSON visit Python.
+    """
+    from lectern.sources.markup import json_lines, svg_labels
+
+    ext = F.col("ext")
+    as_text = [*fixed.TEXT_EXTENSIONS, *MARKUP, *YAML, "json", "svg"]
+    rows = modest(files).select(
+        "doc_id", "name", _ending().alias("ext"),
+        F.when(_ending().isin(as_text), F.decode("bytes", "UTF-8")).alias("raw"),
+        _unpacked(F.when(_ending().isin(PACKED), _ending()), F.when(_ending().isin(PACKED), F.col("bytes"))).alias("parts"),
+    )
+    first = F.get("parts", F.lit(0))["body"]
+    rows = json_lines(rows.withColumn("json", F.when(ext == "json", F.col("raw")).when(ext.isin(YAML), first)), "json")
+    decks = F.filter(F.transform("parts", lambda p, i: slide_text(p["body"], i + 1)), lambda t: t != "")
+    body = (
+        F.when(ext == "zip", None).when(ext == "svg", None)
+        .when(ext == "docx", F.array_join(word_blocks(F.when(ext == "docx", first)), "\n\n"))
+        .when(ext == "pptx", F.array_join(decks, "\n\n"))
+        .when(ext.isin("json", *YAML), F.col("lines"))
+        .when(ext.isin(MARKUP), T.markup_text(F.col("raw")))
+        .otherwise(F.col("raw"))
+    )
+    rows = rows.select("doc_id", "name", "ext", "raw", "parts", T.structured_clean(body).alias("clean"))
+    text = (
+        F.when(ext == "zip", F.array_join(F.transform("parts", lambda p: _section(p["name"], p["body"])), "\n\n"))
+        .when(ext == "svg", svg_labels(F.col("raw")))
+        .when(ext == "docx", implicit_headings(F.when(ext == "docx", F.col("clean"))))
+        .otherwise(F.col("clean"))
+    )
+    rows = rows.select("doc_id", "name", text.alias("text"))
     head = F.concat(F.lit("[File: "), F.col("name"), F.lit("]\n\n"))
-    raw = files.withColumn("raw", F.decode("bytes", "UTF-8"))
-
-    def shaped(rows: DataFrame, body: Column) -> DataFrame:
-        return rows.select("doc_id", F.when(T.trim_all(body) != "", F.concat(head, body)).alias("text")).filter("text is not null")
-
-    special = [*MARKUP, *YAML, "json"]
-    plain = shaped(raw.filter(ext.isin([e for e in fixed.TEXT_EXTENSIONS if e not in special])), T.structured_clean(F.col("raw")))
-    markup = shaped(raw.filter(ext.isin(MARKUP)), T.structured_clean(T.markup_text(F.col("raw"))))
-    json_text = shaped(json_lines(raw.filter(ext == "json"), "raw"), T.structured_clean(F.col("lines")))
-    yaml_text = shaped(yaml_lines(raw.filter(ext.isin(YAML)), "raw"), T.structured_clean(F.col("lines")))
-    svg = shaped(raw.filter(ext == "svg"), svg_labels(F.col("raw")))
-
-    def packed(ending: str) -> DataFrame:
-        return files.filter(ext == ending).select(F.col("doc_id").alias("path"), "bytes")
-
-    sections = archive_sections(archive_members(packed("zip")))
-    archives = sections.groupBy("path").agg(F.expr("listagg(section, '\\n\\n') WITHIN GROUP (ORDER BY member)").alias("text"))
-    word = word_text(package_parts(packed("docx"), r"^word/document\.xml$"))
-    decks = slide_deck_text(slides(package_parts(packed("pptx"), r"^ppt/slides/slide\d+\.xml$")))
-    named = files.select("doc_id", "name")
-    for other in (archives, word, decks):
-        rows = other.select(F.col("path").alias("doc_id"), F.col("text").alias("body")).join(named, "doc_id")
-        plain = plain.unionByName(shaped(rows, F.col("body")))
-    for other in (markup, json_text, yaml_text, svg):
-        plain = plain.unionByName(other)
-    return plain
+    return rows.withColumn("text", F.when(T.trim_all(F.col("text")) != "", F.concat(head, F.col("text"))))
 
 
 # ---- archives ---------------------------------------------------------------
+def _wanted_members(archive: zipfile.ZipFile) -> Iterator[tuple[str, str]]:
+    """Text members of an open archive (member, raw)."""
+    wanted = set(fixed.TEXT_EXTENSIONS)
+    for info in archive.infolist():
+        name = info.filename
+        ext = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
+        if not (info.is_dir() or "__MACOSX" in name or ".git/" in name or ext not in wanted):
+            yield name, archive.read(info).decode("utf-8", errors="replace")
+
+
+def _parts_of(ext: str, data: bytes) -> list[tuple[str, str]] | None:
+    """Members of an archive by name, parts of a package by number, a YAML text as JSON; None where it cannot be read."""
+    import re
+
+    if ext in YAML:
+        return [("", yaml_as_json(data.decode("utf-8", errors="replace")))]
+    found: list[tuple[str, str]] = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as archive:
+            if ext == "zip":
+                # What stands before a damaged member counts.
+                found.extend(_wanted_members(archive))
+            else:
+                rule = re.compile(PARTS[ext])
+                names = [name for name in dict.fromkeys(archive.namelist()) if rule.search(name)]
+                if ext == "pptx":
+                    names.sort(key=lambda name: int(rule.search(name).group(1)))
+                return [(name, archive.read(name).decode("utf-8", errors="replace")) for name in names]
+    except _DAMAGED:
+        if ext != "zip":
+            return None
+    return sorted(found, key=lambda row: row[0].encode()) or None
+
+
+@F.pandas_udf(ArrayType(StructType([StructField("name", StringType()), StructField("body", StringType())])))
+def _unpacked(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """What Python reads of a file; null for the others. Large contents leave in pieces of a batch."""
+    for kinds, contents in batches:
+        out, held = [], 0
+        for ext, data in zip(kinds, contents):
+            parts = None if ext is None or data is None else _parts_of(ext, data)
+            out.append(parts and [{"name": name, "body": body} for name, body in parts])
+            held += sum(len(body) for _, body in parts or [])
+            if held >= BYTES_AT_ONCE:
+                yield pd.Series(out, dtype=object)
+                out, held = [], 0
+        if out:
+            yield pd.Series(out, dtype=object)
+
+
 def archive_members(files: DataFrame) -> DataFrame:
     """Text members of zip files (path, member, raw, error): one row in, many out.
 
     A damaged archive gives one row with its ``error`` and no member.
     """
-    wanted = set(fixed.TEXT_EXTENSIONS)
-
     columns = ["path", "member", "raw", "error"]
 
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -102,12 +164,7 @@ def archive_members(files: DataFrame) -> DataFrame:
             for path, data in zip(batch["path"], batch["bytes"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(data)) as archive:
-                        for info in archive.infolist():
-                            name = info.filename
-                            ext = name.rsplit("/", 1)[-1].rpartition(".")[2].lower()
-                            if info.is_dir() or "__MACOSX" in name or ".git/" in name or ext not in wanted:
-                                continue
-                            body = archive.read(info).decode("utf-8", errors="replace")
+                        for name, body in _wanted_members(archive):
                             rows.append((path, name, body, None))
                             held += len(body)
                             if held >= BYTES_AT_ONCE or len(rows) >= ROWS_AT_ONCE:
@@ -124,8 +181,11 @@ def archive_members(files: DataFrame) -> DataFrame:
 def archive_sections(members: DataFrame) -> DataFrame:
     """One headed section per archive member."""
     members = members.filter("error is null")
-    section = F.concat(F.lit("# Archive file: "), F.col("member"), F.lit("\n\n"), T.structured_clean(F.col("raw")))
-    return members.select("path", "member", section.alias("section"))
+    return members.select("path", "member", _section(F.col("member"), F.col("raw")).alias("section"))
+
+
+def _section(member: Column, raw: Column) -> Column:
+    return F.concat(F.lit("# Archive file: "), member, F.lit("\n\n"), T.structured_clean(raw))
 
 
 # ---- office XML -------------------------------------------------------------

@@ -81,18 +81,20 @@ def json_lines(df: DataFrame, column: str, out: str = "lines") -> DataFrame:
     )
 
 
-@F.pandas_udf(StringType())
-def _yaml_as_json(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def yaml_as_json(doc: str) -> str:
+    """A YAML text as JSON; one that is no YAML as it is."""
     import yaml
 
-    def one(doc: str) -> str:
-        try:
-            return json.dumps(yaml.safe_load(doc), default=str)
-        except yaml.YAMLError:
-            return doc
+    try:
+        return json.dumps(yaml.safe_load(doc), default=str)
+    except yaml.YAMLError:
+        return doc
 
+
+@F.pandas_udf(StringType())
+def _yaml_as_json(docs: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in docs:
-        yield batch.map(one, na_action="ignore")
+        yield batch.map(yaml_as_json, na_action="ignore")
 
 
 def yaml_lines(df: DataFrame, column: str, out: str = "lines") -> DataFrame:

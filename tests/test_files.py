@@ -202,3 +202,37 @@ def test_archives_reach_python_in_bounded_batches(spark):
     finally:
         for name, value in conf.items():
             spark.conf.set(name, value)
+
+
+def test_a_file_is_read_once_whatever_its_kind(spark, tmp_path):
+    import io
+    import zipfile
+
+    from lectern.sources.files import extracted_texts, file_texts
+
+    def package(parts):
+        data = io.BytesIO()
+        with zipfile.ZipFile(data, "w") as z:
+            for name, body in parts.items():
+                z.writestr(name, body)
+        return data.getvalue()
+
+    slide = "<a:p><a:r><a:t>{}</a:t></a:r></a:p>"
+    files = {
+        "a.txt": b"  plain\n\n\n\ntext ", "b.html": b"<p>first</p>", "c.json": b'{"k": {"n": 1}}', "flat.json": b'{"k": 76}',
+        "d.yaml": b"k: [1, 2]", "e.svg": b"<svg><text>label</text></svg>", "f.bin": b"\xff", "empty.txt": b" ",
+        "z.zip": package({"b.txt": "second", "a.md": "first", "no.exe": "x"}), "bad.docx": b"PK\x03\x04",
+        "s.pptx": package({"ppt/slides/slide10.xml": slide.format("ten"), "ppt/slides/slide2.xml": slide.format("two"), "ppt/slides/slide3.xml": ""}),
+    }
+    rows = [(n, n, bytearray(d)) for n, d in files.items()]
+    spark.createDataFrame(rows, "doc_id string, name string, bytes binary").write.parquet(str(tmp_path / "files"))
+    stored = spark.read.parquet(str(tmp_path / "files"))
+    plan = extracted_texts(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 1 and "Join" not in plan and "Aggregate" not in plan
+    text = {r["doc_id"]: r["text"] for r in file_texts(stored).collect()}
+    assert set(text) == set(files)
+    body = {n: t and t.removeprefix(f"[File: {n}]\n\n") for n, t in text.items()}
+    assert body["a.txt"] == "plain\n\ntext" and body["flat.json"] == "k: 76" and "first" in body["b.html"] and "n: 1" in body["c.json"]
+    assert body["e.svg"] == "label" and body["z.zip"] == "# Archive file: a.md\n\nfirst\n\n# Archive file: b.txt\n\nsecond"
+    assert body["s.pptx"] == "<!-- SLIDE 1 -->\n\n# two\n\n<!-- SLIDE 3 -->\n\n# ten" and "1" in body["d.yaml"]
+    assert {n for n, t in text.items() if t is None} == {"f.bin", "bad.docx", "empty.txt"}
