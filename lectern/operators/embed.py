@@ -26,13 +26,13 @@ def hashing_model(dims: int = 384):
         def run(texts: list[str]) -> np.ndarray:
             out = np.zeros((len(texts), dims), dtype=np.float64)
             for row, text in enumerate(texts):
-                codes = [zlib.crc32(word.encode("utf-8")) for word in re.findall(r"[a-z0-9]+", (text or "").lower())]
-                for code in codes:
-                    out[row, code % dims] += 1.0 if code & 0x80000000 else -1.0
-                if codes and not out[row].any():
+                words = re.findall(r"[a-z0-9]+", (text or "").lower())
+                codes = np.fromiter((zlib.crc32(word.encode("utf-8")) for word in words), np.int64, len(words))
+                signs = np.where(codes & 0x80000000, 1.0, -1.0)
+                out[row] = np.bincount(codes % dims, signs, dims)
+                if words and not out[row].any():
                     # The signs cancel each other out: the words count without them.
-                    for code in codes:
-                        out[row, code % dims] += 1.0
+                    out[row] = np.bincount(codes % dims, minlength=dims)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
 

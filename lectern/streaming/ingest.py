@@ -10,7 +10,7 @@ from lectern.operators.chunking import chunk_documents
 from lectern.operators.embed import embed_pending
 from lectern.session import kept
 from lectern.sources import ledger
-from lectern.sources.files import extracted_texts
+from lectern.sources.files import file_texts
 
 MODEL, VERSION = "word-hash", "1"
 
@@ -52,7 +52,8 @@ def _write_batch(files: DataFrame, store: str, org: str, embed, batch: int, buck
     # Read four times below; the bytes are fetched and hashed once.
     fresh = kept(accepted.join(first.select("path", "sha256").distinct(), ["path", "sha256"], "left_semi").dropDuplicates(["path"]), "fresh")
     rows = C.document_rows(fresh)
-    texts = extracted_texts(fresh.select("name", "bytes", C.document_id(F.col("org_id"), F.col("sha256")).alias("doc_id")))
+    # No filter on texts: it would be pushed into their making and make them twice. A null text has no chunk.
+    texts = file_texts(fresh.select("name", "bytes", C.document_id(F.col("org_id"), F.col("sha256")).alias("doc_id")))
     chunks = kept(chunk_documents(texts), "chunks")
     write(chunks, "chunks", "doc_id")
     # A file without a chunk was not read: its status says so.

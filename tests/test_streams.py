@@ -197,3 +197,13 @@ def test_words_that_cancel_each_other_out_still_have_a_vector():
     both = next(pair for pair in signs.values() if len(pair) == 2)
     found = hashing_model(4)()([" ".join(both.values()), "", "plain"])
     assert [round(float((v * v).sum()), 9) for v in found] == [1.0, 0.0, 1.0]
+
+
+def test_a_batch_makes_each_text_once(spark, tmp_path, monkeypatch):
+    plans = {}
+    real = ingest.kept
+    monkeypatch.setattr(ingest, "kept", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()), real(df, label))[1])
+    files = spark.createDataFrame([("a.txt", 25, b"a text that is long enough")], "path string, length bigint, content binary")
+    assert ingest.ingest_batch(files, str(tmp_path / "store"), "org", embedder(hashing_model(8)), 0, buckets=2)
+    # Cleaned in two places, members of archives and all other texts; a filter on the text had each a second time.
+    assert plans["chunks"].count("{160,}") == 2
