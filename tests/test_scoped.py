@@ -40,3 +40,26 @@ def test_scopes_tenants_names_and_sections(spark):
     assert {10, 11, 12, 13, 14} <= named
     # Without a scope the first 25 of the tenant's equal rows stay.
     assert found[4] == {i for i in range(26) if i != 7}
+
+
+def test_scoped_queries_meet_the_chunks_of_their_documents_only(spark, monkeypatch):
+    from lectern.operators import lexical, retrieval
+
+    stored = []
+    real = lexical.kept
+    monkeypatch.setattr(lexical, "kept", lambda df, label: (stored.append(label), real(df, label))[1])
+    chunks = [(d * 10 + i, d, f"file {d}.txt", i, "apples and pears" if i % 2 else "plums") for d in (1, 2, 3) for i in range(4)]
+    queries = [
+        (1, "file 1 apples pears", None, "file 1"), (2, "file 1 plums", None, "file 1"), (3, "zzz", 2, None), (4, "apples or plums", 3, None),
+    ]
+    rows = retrieval.scoped_search(
+        spark.createDataFrame(queries, "query_id bigint, query string, active_document bigint, target_document string"),
+        spark.createDataFrame(chunks, "chunk_id bigint, doc_id bigint, doc_name string, chunk_index bigint, content string"), 3,
+    ).collect()
+    got = sorted((r["query_id"], r["chunk_id"], r["leg"]) for r in rows)
+    assert got == [
+        (1, 11, "scoped"), (1, 13, "scoped"), (2, 10, "scoped"), (2, 12, "scoped"), (3, 20, "document"), (3, 21, "document"),
+        (3, 22, "document"), (4, 30, "scoped"), (4, 31, "scoped"), (4, 32, "scoped"),
+    ]
+    # The words of all chunks are neither stored nor moved where every query has a scope.
+    assert "words" not in stored
