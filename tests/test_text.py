@@ -121,3 +121,28 @@ def test_scopes_move_no_query_phrases_where_names_are_few(spark):
     plan = scope._jdf.queryExecution().sparkPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert {r["query_id"]: r["scope"] for r in scope.collect()} == {1: "big red fox", 2: "red fox"}
+
+
+def test_word_boundaries_are_one_test_where_the_pattern_has_the_word():
+    import random
+    import re
+
+    from lectern.functions import fixed
+    from lectern.functions.patterns import ASCII_BOUNDARY, jvm
+
+    noise = (*fixed.TOPIC_NOISE, *fixed.RETRIEVAL_NOISE)
+    assert not any(ASCII_BOUNDARY in jvm(p) for p in noise)
+    rng = random.Random(7)
+    for p in (*noise, fixed.DEICTIC_CONVERSION, r"\bfoo?\b", r"\b(?:a|b)?c\b", r"x|\by\b|z\d\b", r"(?:ab|c[de])\b", r"\(a\)\b", r"(the|\ban)\b"):
+        words = re.findall(r"\w+", p) + list(" _.é()") + ["foo", "z1"]
+        plain, fast = re.compile(p.replace(r"\b", ASCII_BOUNDARY), re.I), re.compile(jvm(p), re.I)
+        for _ in range(300):
+            text = "".join(rng.choice(words) + rng.choice(["", " "]) for _ in range(12))
+            assert [m.span() for m in plain.finditer(text)] == [m.span() for m in fast.finditer(text)]
+
+
+def test_a_cleaned_text_is_made_once_where_blanks_become_null(spark):
+    df = spark.createDataFrame([(" a  b ",), (" \t",), (None,)], "x string")
+    made = df.select(T.blank_to_null(T.collapse(F.col("x"))).alias("y"))
+    assert [r["y"] for r in made.collect()] == ["a b", None, None]
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
