@@ -294,3 +294,26 @@ def test_terms_of_a_long_query_are_counted_by_the_substrings_of_words():
     terms, lines = words[:120], [words[100:200], words[200:], [], ["abcabc", "abcabc"]]
     assert R.counts_in_words(terms, lines) == [sum(t in w for t in terms for w in line) for line in lines]
     assert R.counts_in_words([], lines) == [0] * 4
+
+
+def test_or_search_deals_chunks_over_as_many_tasks_as_their_pairs_need(spark, monkeypatch):
+    q = spark.createDataFrame([(i, t, g) for i, t, g in [(1, "wolves and bears", "a"), (2, "bear", "a"), (3, "the of", "a"), (4, "bear wolf", "b")]], "query_id bigint, query string, own string")
+    texts = [(i, "the bear met bears, wolf " + "wolves " * (i % 3), "ab"[i % 2]) for i in range(40)] + [(40, None, "a"), (41, "", "b")]
+    c = spark.createDataFrame(texts, "chunk_id bigint, content string, own string")
+
+    def rows(group):
+        return sorted((r["query_id"], r["chunk_id"], r["score"]) for r in L.or_hits(q, c, 8, group).collect())
+
+    whole, owned = rows(None), rows("own")
+    want = {1: lambda i: 2 + i % 3, 2: lambda i: 2, 4: lambda i: 3}
+    assert whole == sorted((k, i, float(n(i))) for k, n in want.items() for i in range(40))
+    assert owned == [(k, i, n) for k, i, n in whole if (k == 4) == (i % 2 == 1)]
+    monkeypatch.setattr(L, "TASK_PAIRS", 16)
+    hits = L.or_hits(q, c, 8)
+    plan = hits._jdf.queryExecution().executedPlan().toString()
+    # 40 chunks have 319 pairs of an occurrence and a query: 20 tasks, and nothing is moved but by chunk.
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, (\d+)\)", plan)
+    assert moved == [("chunk_id", "20")] and plan.count("Exchange hashpartitioning") == 1
+    assert rows(None) == whole and rows("own") == owned
+    monkeypatch.setattr(L, "FEW_ROWS", 0)
+    assert rows(None) == whole and rows("own") == owned
