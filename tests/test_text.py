@@ -146,3 +146,30 @@ def test_a_cleaned_text_is_made_once_where_blanks_become_null(spark):
     made = df.select(T.blank_to_null(T.collapse(F.col("x"))).alias("y"))
     assert [r["y"] for r in made.collect()] == ["a b", None, None]
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+
+
+def test_report_repairs_are_tried_only_where_their_words_stand(spark):
+    import random
+
+    from lectern.functions import fixed
+
+    # One pattern after the other on every text, without a look at its words first.
+    def plain(c):
+        out = F.coalesce(c, F.lit(""))
+        for pattern, replacement, flags in [*(f[:3] for f in T.REPORT_FIXES), *T.GLUED_HEADINGS, *T.HEADING_FIXES]:
+            if "(?<=[^" in pattern:
+                pattern, replacement = r"([^\n])\s+(#{1,3}\s+(?=[A-Z0-9]))", "$1\n\n$2"
+            out = T.rx(out, pattern, replacement, flags)
+        out = T.trim_all(T.rx(out, r"\n{3,}", "\n\n"))
+        return T.trim_all(T.rx(T.distinct_sections(T.single_title(out)), r"\n{3,}", "\n\n"))
+
+    bits = [
+        "# Explanation of Costs", "R ecommendation 4 use", "recommendation 2 do", "data - driven", "a -b", "\tBUSINESS insight Good", "Business Insight: x",
+        "expected outcome: y", "Conclusion it ends", "## 3. Third", "# Sources - one", "## Discount Intensity = x", "### 2. B", "#### C", " ## D", "word", "é",
+    ]
+    rng = random.Random(3)
+    texts = ["".join(rng.choice(bits) + rng.choice([" ", "\n", "\n\n", "\n\n\n", " \n "]) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "x string")
+    rows = df.select(T.polish_report(F.col("x")).alias("got"), plain(F.col("x")).alias("want")).collect()
+    assert all(r["got"] == r["want"] for r in rows) and len({r["got"] for r in rows}) > 300
+    assert one(spark, "a" + fixed.MOJIBAKE[5][0] + fixed.CUT_QUOTE[0], lambda c: T.repair_punctuation(c, 2)) == "a…”"
