@@ -63,10 +63,11 @@ def extracted_texts(files: DataFrame) -> DataFrame:
 
 
 def file_texts(files: DataFrame) -> DataFrame:
-    """The same for every file (doc_id, name, text), with a null text where there is none.
+    """The same for every file (doc_id, name, text, readable), with a null text where there is none.
 
     A file is read once and becomes a text in its own row, whatever its kind:
     nothing is moved, and only archives, packages, YAML and nested JSON visit Python.
+    A file may be readable and have no text: an empty one, or one with nothing but embedded data.
     """
     from lectern.sources.markup import json_lines, svg_labels
 
@@ -95,7 +96,8 @@ def file_texts(files: DataFrame) -> DataFrame:
         .when(ext == "docx", implicit_headings(F.when(ext == "docx", F.col("clean"))))
         .otherwise(F.col("clean"))
     )
-    rows = rows.select("doc_id", "name", text.alias("text"))
+    readable = F.coalesce(F.when(ext.isin("zip", *PARTS), F.col("parts").isNotNull()).otherwise(F.col("raw").isNotNull()), F.lit(False))
+    rows = rows.select("doc_id", "name", text.alias("text"), readable.alias("readable"))
     head = F.concat(F.lit("[File: "), F.col("name"), F.lit("]\n\n"))
     return rows.withColumn("text", F.when(T.trim_all(F.col("text")) != "", F.concat(head, F.col("text"))))
 
