@@ -16,8 +16,9 @@ inside the segment first and dealt out by hash:
   the first miss, and the level's lower bound is the count. Wrong hits can only
   raise it, and it is capped by the exact counts of both tokens.
 
-Filters are broadcast in rounds of at most ``ROUND_BYTES``; a segment gets its
-levels from each round, so memory stays bounded whatever the corpus.
+A filter never leaves its bucket: the bigrams of all segments, those of held-out
+texts among them, come to it, each is probed once, and the levels go back to the
+segments that asked. So a segment is read as often whatever the corpus.
 
 ``p(w | h) = W * c(h w) / c(h) + (1 - W) * (c(w) + 1) / (N + V + 1)``, the second
 part alone where h was not seen; the first token's h is the text's start.
@@ -45,6 +46,7 @@ from lectern.session import kept
 
 SEGMENT_BYTES = 2 << 20
 BUCKET_ENTRIES = 2_000_000
+#: Bytes of bigrams that meet a filter at once.
 ROUND_BYTES = 64 << 20
 LEVEL_BASE = 1.5
 PROBES = 3
@@ -67,6 +69,16 @@ def _unpack(raw: bytes, kind) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
 
 
+def _pack_keys(keys: np.ndarray) -> bytes:
+    """Ascending hashes: their steps, byte by byte of the steps, as the upper bytes are nearly all zero."""
+    return _pack(np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpack_keys(raw: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(_unpack(raw, np.uint8).reshape(8, -1).T)
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / math.log(LEVEL_BASE) + 1e-9).astype(np.int64)
 
@@ -107,7 +119,7 @@ def segments(docs: DataFrame, held_out: Column) -> DataFrame:
                         pa.ListArray.from_arrays(one, part.column("doc_id").cast(pa.int64())),
                         pa.ListArray.from_arrays(one, pa.array(held)),
                         pa.ListArray.from_arrays(one, pa.array(sizes, pa.int32())),
-                        pa.array([_pack(vocabulary)], pa.binary()),
+                        pa.array([_pack_keys(vocabulary)], pa.binary()),
                         pa.array([_pack(tokens.astype(np.int32))], pa.binary()),
                         pa.array([int(train.sum())]),
                         pa.array([int((~held).sum())]),
@@ -124,7 +136,7 @@ def segments(docs: DataFrame, held_out: Column) -> DataFrame:
 
 def _segment(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     sizes = np.array(row["sizes"], np.int64)
-    return _unpack(row["vocabulary"], np.uint64), _unpack(row["tokens"], np.int32), sizes, np.array(row["held"], bool)
+    return _unpack_keys(row["vocabulary"]), _unpack(row["tokens"], np.int32), sizes, np.array(row["held"], bool)
 
 
 def _cuts(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -154,14 +166,14 @@ def token_payload(found: DataFrame, bits: int) -> DataFrame:
 
 
 def pair_payload(found: DataFrame, bits: int) -> DataFrame:
-    """For each segment and bucket: its training bigrams, counted; 48 bits of hash below the bucket's."""
+    """For each segment and bucket: its bigrams and their training counts; 48 bits of hash below the bucket's."""
 
     def run(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 vocabulary, tokens, sizes, held = _segment(row)
-                keys = pair_keys(vocabulary, tokens, sizes)[~np.repeat(held, sizes)]
-                keys, counts = np.unique(keys, return_counts=True)
+                keys, which = np.unique(pair_keys(vocabulary, tokens, sizes), return_inverse=True)
+                counts = np.bincount(which[~np.repeat(held, sizes)], minlength=len(keys))
                 yield _payload(row["segment"], keys, counts.astype(np.uint32), bits, short=True)
 
     return found.select("segment", "held", "sizes", "vocabulary", "tokens").mapInArrow(run, PAYLOAD)
@@ -173,17 +185,13 @@ def _short(keys: np.ndarray, bits: int) -> np.ndarray:
 
 def _payload(segment: int, keys: np.ndarray, counts: np.ndarray, bits: int, short: bool = False) -> pa.RecordBatch:
     cuts = _cuts(keys, bits)
-    if short:
-        wide = _short(keys, bits).astype("<u8").view(np.uint8).reshape(-1, 8)
-        raw = np.ascontiguousarray(wide[:, :6])
-    else:
-        raw = keys
+    raw = _short(keys, bits) if short else keys
     full = np.flatnonzero(np.diff(cuts))
     return pa.RecordBatch.from_arrays(
         [
             pa.array(full, pa.int32()),
             pa.array(np.full(len(full), segment), pa.int64()),
-            pa.array([raw[cuts[b] : cuts[b + 1]].tobytes() for b in full], pa.binary()),
+            pa.array([_pack_keys(raw[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
             pa.array([_pack(counts[cuts[b] : cuts[b + 1]]) for b in full], pa.binary()),
         ],
         ["bucket", "segment", "keys", "counts"],
@@ -204,7 +212,7 @@ def token_totals(payload: DataFrame) -> DataFrame:
     """Totals sent back to each segment; a row with segment -1 has the bucket's number of known tokens."""
 
     def run(key, table):
-        parts = [np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()]
+        parts = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
         counts = [_unpack(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
         keys, sums = _summed(np.concatenate(parts), np.concatenate(counts))
         back = [_pack(sums[np.searchsorted(keys, p)]) for p in parts]
@@ -255,64 +263,26 @@ def probe(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def filters(payload: DataFrame) -> DataFrame:
-    """One filter for each bucket of bigrams."""
+def levels(payload: DataFrame) -> DataFrame:
+    """Levels sent back to each segment, from the filter of each bucket of bigrams; buckets count from -1 down."""
 
     def run(key, table):
-        parts = []
-        for raw in table.column("keys").to_pylist():
-            wide = np.zeros((len(raw) // 6, 8), np.uint8)
-            wide[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-            parts.append(wide.view("<u8").ravel())
+        parts = [_unpack_keys(x) for x in table.column("keys").to_pylist()]
         counts = [_unpack(x, np.uint32).astype(np.int64) for x in table.column("counts").to_pylist()]
         keys, sums = _summed(np.concatenate(parts), np.concatenate(counts))
         # A whole number of bytes, so that a probe sees the same length.
-        built = build_filter(keys, sums)
-        return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "size": pa.array([len(built)], pa.int64()), "filter": pa.array([built.tobytes()], pa.binary())})
-
-    return payload.groupBy("bucket").applyInArrow(run, "bucket int, size long, filter binary")
-
-
-def rounds(sizes: list[tuple[int, int]]) -> list[list[int]]:
-    """Buckets in rounds of at most ``ROUND_BYTES`` together."""
-    out: list[list[int]] = []
-    used = ROUND_BYTES + 1
-    for bucket, size in sizes:
-        if used + size > ROUND_BYTES:
-            out.append([])
-            used = 0
-        out[-1].append(bucket)
-        used += size
-    return out
-
+        built = build_filter(keys[sums > 0], sums[sums > 0])
+        step = max(1, ROUND_BYTES // 8)
+        found = np.concatenate([probe(built, keys[low : low + step]) for low in range(0, len(keys), step)])
+        return pa.table(
+            {
+                "segment": table.column("segment"),
+                "bucket": pa.array(np.full(len(parts), -1 - key[0].as_py()), pa.int32()),
+                "totals": pa.array([_pack(found[np.searchsorted(keys, p)]) for p in parts], pa.binary()),
+            }
+        )
 
-def levels(found: DataFrame, held: DataFrame, bits: int) -> DataFrame | None:
-    """For each segment and round: the levels of its bigrams, 0 outside the round."""
-    sizes = sorted((r["bucket"], r["size"]) for r in held.select("bucket", "size").collect())
-    parts = None
-    for number, mine in enumerate(rounds(sizes)):
-        tables = {r["bucket"]: np.frombuffer(r["filter"], np.uint8) for r in held.where(F.col("bucket").isin(mine)).select("bucket", "filter").toLocalIterator()}
-        shared = found.sparkSession.sparkContext.broadcast(tables)
-
-        def run(batches, shared=shared, number=number):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    vocabulary, tokens, sizes, _ = _segment(row)
-                    keys = pair_keys(vocabulary, tokens, sizes)
-                    distinct, which = np.unique(keys, return_inverse=True)
-                    cuts = _cuts(distinct, bits)
-                    got = np.zeros(len(distinct), np.uint8)
-                    for bucket, table in shared.value.items():
-                        low, high = cuts[bucket], cuts[bucket + 1]
-                        got[low:high] = probe(table, _short(distinct[low:high], bits))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([row["segment"]]), pa.array([-1 - number], pa.int32()), pa.array([_pack(got[which])], pa.binary())],
-                        ["segment", "bucket", "totals"],
-                    )
-
-        part = found.select("segment", "held", "sizes", "vocabulary", "tokens").mapInArrow(run, "segment long, bucket int, totals binary")
-        parts = part if parts is None else parts.unionAll(part)
-    return parts
+    return payload.groupBy("bucket").applyInArrow(run, "segment long, bucket int, totals binary")
 
 
 SCHEMA = (
@@ -352,21 +322,19 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     totals = kept(token_totals(token_payload(found, token_bits)), "lm-totals")
     n, n_docs = sums["n_train"], sums["n_train_docs"]
     v = totals.where("segment = -1").agg(F.coalesce(F.sum("n_distinct"), F.lit(0))).first()[0]
-    held = kept(filters(pair_payload(found, pair_bits)), "lm-filters")
     answers = totals.where("segment >= 0").select("segment", "bucket", "totals")
-    got = levels(found, held, pair_bits)
-    if got is not None:
-        answers = answers.unionAll(got)
+    # Written, so that the bigrams' shuffle is done with when the segments are moved.
+    answers = answers.unionAll(kept(levels(pair_payload(found, pair_bits)), "lm-levels"))
 
     def run(left, right):
         row = left.to_pylist()[0]
         parts = {b: t for b, t in zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist())}
         exact = np.concatenate([_unpack(parts[b], np.int64) for b in sorted(parts) if b >= 0])
-        merged = np.zeros(sum(row["sizes"]), np.uint8)
-        for b, raw in parts.items():
-            if b < 0:
-                merged = np.maximum(merged, _unpack(raw, np.uint8))
-        return score_segment(row, exact, merged.astype(np.int64), n, v, n_docs)
+        # Bigrams in the order of their hashes, as they were dealt out.
+        found = np.concatenate([_unpack(parts[b], np.uint8) for b in sorted(parts, reverse=True) if b < 0])
+        vocabulary, tokens, sizes, _ = _segment(row)
+        _, which = np.unique(pair_keys(vocabulary, tokens, sizes), return_inverse=True)
+        return score_segment(row, exact, found[which].astype(np.int64), n, v, n_docs)
 
     whole = found.select("segment", "doc_ids", "held", "sizes", "vocabulary", "tokens")
     return whole.groupBy("segment").cogroup(answers.groupBy("segment")).applyInArrow(run, SCHEMA)

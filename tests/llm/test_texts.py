@@ -137,6 +137,20 @@ def test_lm_equals_counting(docs, pairs, monkeypatch, small):
     assert abs(found / exact - 1) < 0.03
 
 
+def test_lm_reads_segments_as_often_whatever_the_filters_need(docs, monkeypatch):
+    monkeypatch.setattr(lm, "BUCKET_ENTRIES", 500)
+    monkeypatch.setattr(lm, "ROUND_BYTES", 2_000)
+    plan = lm.score(docs, language.id_remainder(7) == 2)._jdf.queryExecution().optimizedPlan().toString()
+    # Segments, totals and levels: filters are not carried to the segments in rounds.
+    assert "MapInArrow" not in plan and plan.count("Relation") == 3
+
+
+@cases(st.sets(st.integers(0, 2**64 - 1)))
+def test_packed_keys(values):
+    keys = np.array(sorted(values), np.uint64)
+    assert (lm._unpack_keys(lm._pack_keys(keys)) == keys).all()
+
+
 def test_bloom_levels():
     keys, counts = blocks.constants(9, 5000), np.arange(1, 5001) % 60 + 1
     table = lm.build_filter(keys, counts)
