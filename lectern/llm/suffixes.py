@@ -74,6 +74,8 @@ BUCKET_ENTRIES = 500_000
 DEAL_ENTRIES = 1 << 20
 #: Buckets are dealt out in rounds of so many bits.
 DEAL_BITS = 12
+#: Rims and hot strings that a task deals out at once.
+RIM_ENTRIES = 1 << 18
 #: Suffixes of a batch that meets the levels.
 SCAN_ENTRIES = 1 << 16
 OPEN_ENTRIES = 60_000
@@ -282,11 +284,14 @@ class _Dealer:
 
     def _buckets(self, seeds: np.ndarray):
         """Each bucket with the places of its seeds, in order."""
-        bucket = _leading(seeds, self.bits)
-        order = np.argsort(bucket, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.empty(0, np.int64)
-        for low, high in zip(first, np.append(first[1:], len(order))):
-            yield int(bucket[order[low]]), order[low:high]
+        return _by_bucket(_leading(seeds, self.bits))
+
+
+def _by_bucket(bucket: np.ndarray):
+    order = np.argsort(bucket, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(bucket[order]) != 0)) if len(order) else np.empty(0, np.int64)
+    for low, high in zip(first, np.append(first[1:], len(order))):
+        yield int(bucket[order[low]]), order[low:high]
 
 
 def _leading(seeds: np.ndarray, bits: int) -> np.ndarray:
@@ -424,27 +429,48 @@ def judge(dealt: DataFrame) -> DataFrame:
 
 
 # ---- a document with its answers --------------------------------------------
+class Given:
+    """The answers of a block of documents (a list of kind, bucket and data for each, or null)."""
+
+    def __init__(self, answers: pa.ListArray):
+        self.kind, self.bucket, self.data = answers.flatten().flatten()
+        self.doc = np.repeat(np.arange(len(answers)), pa.compute.fill_null(pa.compute.list_value_length(answers), 0).to_numpy(zero_copy_only=False))
+
+    def of(self, kind: int, dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Document and bucket of each answer of a kind, its number of values, and all values."""
+        mine = np.flatnonzero(self.kind.to_numpy(zero_copy_only=False) == kind)
+        data, bucket = self.data.take(pa.array(mine)), self.bucket.to_numpy(zero_copy_only=False)
+        values = np.frombuffer(b"".join(data.to_pylist()), dtype)
+        sizes = pa.compute.binary_length(data).to_numpy(zero_copy_only=False).astype(np.int64) // values.itemsize
+        return self.doc[mine], bucket[mine].astype(np.int64), sizes, values
+
+    def apply(self, kind: int, doc: np.ndarray, bucket: np.ndarray, out: np.ndarray) -> None:
+        """Puts the values of a kind where their document and bucket are, in order."""
+        own, dealt, sizes, values = self.of(kind, out.dtype)
+        spread = max(bucket.max(initial=0), dealt.max(initial=0)) + 1
+        place = doc * spread + bucket
+        order = np.argsort(place, kind="stable")
+        first, last = (np.searchsorted(place, own * spread + dealt, side, sorter=order) for side in ("left", "right"))
+        if (last - first != sizes).any():
+            raise ValueError("answers of another text")
+        out[order[B.gather(first, sizes)]] = values
+
+
 class Answered:
     """A block of documents, the anchors and their codes."""
 
-    def __init__(self, block: B.Block, given: list[list[dict] | None], bits: int):
-        self.block, self.text, self.given = block, Text(block), given
+    def __init__(self, block: B.Block, answers: pa.ListArray, bits: int):
+        self.block, self.text, self.given = block, Text(block), Given(answers)
         self.place, self.doc, self.seeds, self.least = anchors(self.text)
         self.first = np.searchsorted(self.doc, np.arange(block.n + 1))
         self.bucket = _leading(B.mixed(self.seeds), bits)
         self.code = np.zeros(len(self.place), np.uint8)
-        for d, parts in enumerate(given):
-            if not parts:
-                continue
-            low, high = self.first[d], self.first[d + 1]
-            code, plain = self.code[low:high], np.ones(high - low, bool)
-            for part in parts:
-                if part["kind"] == HOT_AT:
-                    at = np.frombuffer(part["data"], np.int32)
-                    plain[at], code[at] = False, OPEN_HOT
-            for part in parts:
-                if part["kind"] == CODE:
-                    code[plain & (self.bucket[low:high] == part["bucket"])] = np.frombuffer(part["data"], np.uint8)
+        doc, _, sizes, at = self.given.of(HOT_AT, np.int32)
+        self.code[np.repeat(self.first[doc], sizes) + at] = OPEN_HOT
+        plain = np.flatnonzero(self.code == 0)
+        codes = np.zeros(len(plain), np.uint8)
+        self.given.apply(CODE, self.doc[plain], self.bucket[plain], codes)
+        self.code[plain] = codes
 
     def strings(self, which: np.ndarray) -> np.ndarray:
         """For anchors ``which``, a row of flags: may the string that starts l bytes before it be a copy?
@@ -481,49 +507,69 @@ def _groups(rows: DataFrame) -> DataFrame:
 def _answered(batch: pa.RecordBatch, bits: int):
     for block in B.blocks(batch.column("text"), BATCH_BYTES):
         part = batch.slice(block.row, block.n)
-        yield part, Answered(block, part.column("answers").to_pylist(), bits)
+        yield part, Answered(block, part.column("answers"), bits)
 
 
 RIMS = "bucket int, keys binary, ids binary, counts binary, body binary, which binary"
 
 
+class _RimDealer:
+    """Open anchors and hot strings of several blocks of texts, given out as one row a bucket."""
+
+    def __init__(self, open_bits: int):
+        self.open_bits = open_bits
+        self.pack = zstandard.ZstdCompressor(level=1).compress
+        self._empty()
+
+    def _empty(self) -> None:
+        self.parts, self.docs, self.n = [], 0, 0
+
+    def take(self, own: Answered, keys: np.ndarray, ids: np.ndarray) -> None:
+        data = own.block.data
+        which, flags = own.open_anchors()
+        at = own.place[which]
+        reach = np.concatenate([np.arange(-RIM, 0), np.arange(SEED, LENGTH)])
+        around = data[np.clip(at[:, None] + reach, 0, max(0, len(data) - 1))] if len(at) else np.zeros((0, 2 * RIM), np.uint8)
+        mask = (flags.astype(np.uint32) << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
+        start, hashes = own.hot_strings()
+        doc = np.searchsorted(own.block.offsets, start, "right") - 1
+        self.parts.append((keys, ids, own.doc[which] + self.docs, own.seeds[which], mask, around, doc + self.docs, hashes))
+        self.docs += len(keys)
+        self.n += len(which) + len(start)
+
+    def rows(self) -> pa.RecordBatch:
+        rows = []
+        if self.parts:
+            keys, ids, doc, seed, mask, around, hot_doc, hashes = (np.concatenate(c) for c in zip(*self.parts))
+            documents = _Dealer._documents
+            for b, mine in _by_bucket(_bucket(seed, self.open_bits)):
+                body = seed[mine].tobytes() + mask[mine].tobytes() + around[mine].tobytes()
+                rows.append((b, *documents(keys, ids, doc[mine]), self.pack(body), b""))
+            for b, mine in _by_bucket(_bucket(hashes, self.open_bits)):
+                once, again = np.unique(hashes[mine], return_inverse=True)
+                rows.append((b + (1 << self.open_bits), *documents(keys, ids, hot_doc[mine]), once.tobytes(), self.pack(again.astype(np.int32).tobytes())))
+        self._empty()
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
+            ["bucket", "keys", "ids", "counts", "body", "which"],
+        )
+
+
 def deal_rims(texts: DataFrame, codes: DataFrame, bits: int, open_bits: int) -> DataFrame:
-    """Open anchors by seed, with their surroundings; hot strings by hash, each once a batch.
+    """Open anchors by seed, with their surroundings; hot strings by hash, each once a dealing.
 
-    Buckets of hot strings are numbered from ``2 ** open_bits``.
+    Buckets of hot strings are numbered from ``2 ** open_bits``. A task deals out
+    ``RIM_ENTRIES`` at once: a row for each block and bucket would be rows that grow
+    with the square of the input.
     """
     def run(batches):
-        pack = zstandard.ZstdCompressor(level=1).compress
+        dealer = _RimDealer(open_bits)
         for batch in batches:
             for part, own in _answered(batch, bits):
-                keys, ids = part.column("key").to_numpy(), _ids(part.column("doc_id"))
-                data = own.block.data
-                rows = []
-                which, flags = own.open_anchors()
-                at = own.place[which]
-                reach = np.concatenate([np.arange(-RIM, 0), np.arange(SEED, LENGTH)])
-                around = data[np.clip(at[:, None] + reach, 0, max(0, len(data) - 1))] if len(at) else np.zeros((0, 2 * RIM), np.uint8)
-                mask = (flags.astype(np.uint32) << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32)
-                seed = own.seeds[which]
-                bucket = _bucket(seed, open_bits)
-                doc = own.doc[which]
-                for b in np.unique(bucket).tolist():
-                    mine = np.flatnonzero(bucket == b)
-                    docs, counts = np.unique(doc[mine], return_counts=True)
-                    body = seed[mine].tobytes() + mask[mine].tobytes() + around[mine].tobytes()
-                    rows.append((b, keys[docs].tobytes(), ids[docs].tobytes(), counts.astype(np.int32).tobytes(), pack(body), b""))
-                start, hashes = own.hot_strings()
-                doc = np.searchsorted(own.block.offsets, start, "right") - 1
-                bucket = _bucket(hashes, open_bits)
-                for b in np.unique(bucket).tolist():
-                    mine = np.flatnonzero(bucket == b)
-                    docs, counts = np.unique(doc[mine], return_counts=True)
-                    once, again = np.unique(hashes[mine], return_inverse=True)
-                    rows.append((b + (1 << open_bits), keys[docs].tobytes(), ids[docs].tobytes(), counts.astype(np.int32).tobytes(), once.tobytes(), pack(again.astype(np.int32).tobytes())))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[k] for r in rows], pa.binary()) for k in range(1, 6))],
-                    ["bucket", "keys", "ids", "counts", "body", "which"],
-                )
+                dealer.take(own, part.column("key").to_numpy(), _ids(part.column("doc_id")))
+                if dealer.n >= RIM_ENTRIES:
+                    yield dealer.rows()
+        yield dealer.rows()
 
     joined = texts.join(_groups(codes), "key")
     return joined.mapInArrow(run, RIMS)
@@ -593,20 +639,11 @@ def _spans(own: Answered, open_bits: int) -> list[np.ndarray]:
     np.add.at(cover, np.minimum(own.place[full] + LENGTH, own.block.offsets[own.doc[full] + 1]), -1)
     which = np.flatnonzero(own.code == OPEN)
     start, hashes = own.hot_strings()
-    bits, flags = np.zeros(len(which), np.uint32), np.zeros(len(start), bool)
-    for where, values, kind, target, dtype in (
-        (own.doc[which], own.seeds[which], BITS, bits, np.uint32),
-        (np.searchsorted(own.block.offsets, start, "right") - 1, hashes, FLAGS, flags, np.uint8),
-    ):
-        bucket = _bucket(values, open_bits)
-        first = np.searchsorted(where, np.arange(own.block.n + 1))
-        for d, parts in enumerate(own.given):
-            for part in parts or ():
-                if part["kind"] == kind:
-                    low, high = first[d], first[d + 1]
-                    target[low:high][bucket[low:high] == part["bucket"]] = np.frombuffer(part["data"], dtype)
+    bits, flags = np.zeros(len(which), np.uint32), np.zeros(len(start), np.uint8)
+    own.given.apply(BITS, own.doc[which], _bucket(own.seeds[which], open_bits), bits)
+    own.given.apply(FLAGS, np.searchsorted(own.block.offsets, start, "right") - 1, _bucket(hashes, open_bits), flags)
     rows, steps = np.nonzero((bits[:, None] >> np.arange(WINDOW, dtype=np.uint32)) & 1)
-    copied = np.concatenate([own.place[which][rows] - steps, start[flags]])
+    copied = np.concatenate([own.place[which][rows] - steps, start[flags > 0]])
     np.add.at(cover, copied, 1)
     np.add.at(cover, copied + LENGTH, -1)
     gone = np.cumsum(cover[:-1]) > 0
@@ -645,7 +682,7 @@ def with_spans(docs: DataFrame, finish, schema) -> tuple[DataFrame, Callable[[],
         for batch in batches:
             for block in B.blocks(batch.column("text"), BATCH_BYTES):
                 part = batch.slice(block.row, block.n)
-                own = Answered(block, part.column(given).to_pylist(), bits)
+                own = Answered(block, part.column(given), bits)
                 yield finish(part.drop_columns([given]), block, _spans(own, open_bits))
 
     def drop():

@@ -136,3 +136,20 @@ def test_cut_keeps_whole_characters(spark):
     assert found[1] == passage and found[4] is None and 3 not in found
     assert found[2] == "début  fin"
     assert suffixes.without("aéb", np.array([[0, 2]])) == "éb"
+
+
+def test_rims_are_one_row_for_a_task_and_bucket(docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    seen = []
+
+    def counted(dealt, open_bits, settle=suffixes.settle_rims):
+        seen.append((open_bits, dealt.count(), dealt.select("bucket", F.spark_partition_id()).distinct().count()))
+        return settle(dealt, open_bits)
+
+    for name, value in {"BATCH_BYTES": 2_000, "OPEN_ENTRIES": 20, "settle_rims": counted}.items():
+        monkeypatch.setattr(suffixes, name, value)
+    suffixes.dedup(docs).count()
+    ((open_bits, dealt, tasks),) = seen
+    # Not one for each block of texts.
+    assert open_bits > 1 and dealt == tasks > 0
