@@ -592,7 +592,11 @@ def strings_of(seed: np.ndarray, around: np.ndarray) -> np.ndarray:
 
 
 def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
-    """Answers: a bit for each string of an open anchor, a flag for each hot string: is there a smaller doc_id?"""
+    """Answers: a bit for each string of an open anchor, a flag for each hot string: is there a smaller doc_id? None where all are no."""
+    def copies(kind, bucket, keys, counts, values):
+        found = np.maximum.reduceat(values, np.cumsum(counts) - counts) > 0 if len(keys) else np.empty(0, bool)
+        return _answers(kind, bucket, keys, counts, values).filter(pa.array(found, pa.bool_()))
+
     def run(key, table):
         unpack = zstandard.ZstdDecompressor().decompress
         bucket = key[0].as_py()
@@ -608,7 +612,7 @@ def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
             at = [np.searchsorted(distinct, o)[w] for o, w in zip(once, again)]
             at, owner = np.concatenate(at), np.concatenate(doc)
             np.minimum.at(best, at, owner)
-            return _answers(FLAGS, bucket - (1 << open_bits), keys, per_key, (best[at] < owner).astype(np.uint8))
+            return copies(FLAGS, bucket - (1 << open_bits), keys, per_key, (best[at] < owner).astype(np.uint8))
         hashes, masks = [], []
         for r, c in zip(rows, counts):
             n, body = int(c.sum()), unpack(r["body"])
@@ -625,7 +629,7 @@ def settle_rims(dealt: DataFrame, open_bits: int) -> DataFrame:
         np.minimum.at(best, which, owner)
         bits = np.zeros(valid.shape, np.uint32)
         bits[valid] = best[which] < owner
-        return _answers(BITS, bucket, keys, per_key, (bits << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32))
+        return copies(BITS, bucket, keys, per_key, (bits << np.arange(WINDOW, dtype=np.uint32)).sum(axis=1, dtype=np.uint32))
 
     return dealt.groupBy("bucket").applyInArrow(run, ANSWER)
 

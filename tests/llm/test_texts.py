@@ -262,6 +262,33 @@ def test_merging_equals_the_library(text):
     assert own.ranked("▁" + text.replace(" ", "▁"))[0] == (library.encode(text) if text else own.ranked("▁")[0])
 
 
+@settings(deadline=None, max_examples=60)
+@cases(st.text(alphabet="theanding \u00e9\u6f22*.\n", max_size=60))
+def test_short_merging_equals_the_heap(text):
+    own = pieces.encoder(MODEL)
+    marked = pieces.U.MARK + text.replace(" ", pieces.U.MARK)
+    ids = []
+    cuts = own.merge(marked)
+    for low, high in zip(cuts, cuts[1:]):
+        piece = own.automaton.get(marked[low:high], None)
+        ids += [piece[1]] if piece else [own.byte_ids[b] for b in marked[low:high].encode()]
+    assert own.merge_short(marked)[0] == ids
+
+
+def test_units_are_remembered_from_task_to_task(docs, monkeypatch):
+    assert pieces.encoder(MODEL) is blocks.remembered(MODEL, pieces.Encoder)
+    monkeypatch.setattr(pieces, "MEMORY_UNITS", 7)
+    own, met = pieces.Encoder(MODEL), []
+    encode, own.memory.work = own.memory.work, lambda texts: (met.extend(texts), encode(texts))
+    block = lambda text: next(iter(blocks.blocks(pieces.pa.array([text]))))
+    tokens = lambda text: own.encode_block(block(text))[0].tolist()
+    want = [tokens(t) for t in ("the one", "the two", "a b c d e f g", "the end", "one two")]
+    # Full after the third text: only the unit that was met in two blocks is still known.
+    assert met.count("the") == 1 and met.count("one") == 2
+    fresh = pieces.Encoder(MODEL)
+    assert want == [fresh.encode_block(block(t))[0].tolist() for t in ("the one", "the two", "a b c d e f g", "the end", "one two")]
+
+
 def test_round_trips(docs, pairs):
     found = rows(pieces.round_trips(docs, MODEL).select("doc_id", "n_bytes", "round_trip"))
     assert ordered(found) == ordered([(d, len((t or "").encode()), True) for d, t in pairs])
