@@ -63,3 +63,19 @@ def test_scoped_queries_meet_the_chunks_of_their_documents_only(spark, monkeypat
     ]
     # The words of all chunks are neither stored nor moved where every query has a scope.
     assert "words" not in stored
+
+
+def test_no_row_holds_a_whole_named_document(spark, monkeypatch):
+    import re
+
+    from lectern.operators import retrieval as R
+
+    monkeypatch.setattr(R, "ASKED_AT_ONCE", 2)
+    texts = [f"some words of the red chapter number {'abcdefghijkl'[i]} and more words" for i in range(12)]
+    chunks = spark.createDataFrame([(i, i % 2, f"blue book {i % 2}.txt", t) for i, t in enumerate(texts)], "chunk_id int, doc_id int, doc_name string, content string")
+    asked = spark.createDataFrame([(q, f"words in blue book {q % 3} chapter") for q in range(9)], "query_id int, query string")
+    found = R.named_scores(asked, chunks)
+    assert not re.search(r"collect_list\([^)]*chunk_id", found._jdf.queryExecution().optimizedPlan().toString())
+    got = {(r["query_id"], r["doc_id"], r["chunk_id"]): r["score"] for r in found.collect()}
+    assert len(got) == found.count() == 9 * 12
+    assert set(got.values()) == {3}  # twice "words", once "chapter"; no other term stands in the text
